@@ -115,22 +115,34 @@ def hrefs(html: Column | str) -> Column:
     return F.regexp_extract_all(_c(html), F.lit(P.HREF), F.lit(1))
 
 
-def resolve_href(href: Column | str, base: Column | str) -> Column:
-    """Resolve a link against the page URL (absolute, //, /, #, ?, relative)."""
-    h = py_strip(_c(href))
+def base_parts(base: Column | str) -> list[Column]:
+    """Per-page pieces used to resolve relative links (compute before explode)."""
     b = _c(base)
     scheme = F.regexp_extract(b, r"\A([A-Za-z][A-Za-z0-9+.\-]*):", 1)
     origin = F.regexp_extract(b, r"\A([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)", 1)
     no_frag = F.regexp_replace(b, r"#.*\z", "")
-    no_query = F.regexp_replace(no_frag, r"\?.*\z", "")
-    base_dir = F.regexp_replace(F.regexp_extract(no_query, r"\A([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*(/.*)?)", 1), r"[^/]*\z", "")
-    base_dir = F.when(base_dir.endswith("/"), base_dir).otherwise(F.concat(origin, F.lit("/")))
+    no_query = F.regexp_replace(F.regexp_replace(b, r"#.*\z", ""), r"\?.*\z", "")
+    bd = F.regexp_replace(
+        F.regexp_extract(no_query, r"\A([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*(/.*)?)", 1), r"[^/]*\z", ""
+    )
+    return [
+        scheme.alias("_b_scheme"), origin.alias("_b_origin"), no_frag.alias("_b_nofrag"),
+        no_query.alias("_b_noquery"), bd.alias("_b_dir"),
+    ]
+
+
+def resolve_href_parts(h: Column | str) -> Column:
+    """Resolve a stripped link against the ``base_parts`` columns."""
+    h = _c(h)
+    base_dir = F.when(F.col("_b_dir").endswith("/"), F.col("_b_dir")).otherwise(
+        F.concat(F.col("_b_origin"), F.lit("/"))
+    )
     return (
         F.when(h.rlike(r"\A[A-Za-z][A-Za-z0-9+.\-]*:"), h)
-        .when(h.startswith("//"), F.concat(scheme, F.lit(":"), h))
-        .when(h.startswith("/"), F.concat(origin, h))
-        .when(h.startswith("#"), F.concat(no_frag, h))
-        .when(h.startswith("?"), F.concat(no_query, h))
-        .when(h == "", no_frag)
+        .when(h.startswith("//"), F.concat(F.col("_b_scheme"), F.lit(":"), h))
+        .when(h.startswith("/"), F.concat(F.col("_b_origin"), h))
+        .when(h.startswith("#"), F.concat(F.col("_b_nofrag"), h))
+        .when(h.startswith("?"), F.concat(F.col("_b_noquery"), h))
+        .when(h == "", F.col("_b_nofrag"))
         .otherwise(F.concat(base_dir, h))
     )

@@ -36,34 +36,40 @@ def netloc(url: Column | str) -> Column:
     return F.regexp_extract(_c(url), P.NETLOC, 1)
 
 
+def error_of_stripped(v: Column | str) -> Column:
+    """U2 on input already passed through ``py_strip`` (NULL stays NULL)."""
+    v = _c(v)
+    host = netloc(_with_https(F.regexp_replace(v, P.TRAILING_PUNCT, "")))
+    return (
+        F.when(v.isNull() | (v == ""), F.lit("empty"))
+        .when(_input_host_part(v).contains(" "), F.lit("looks_like_text"))
+        .when(host == "", F.lit("no_host"))
+        .when(~F.substring_index(host, ":", 1).contains("."), F.lit("no_tld"))
+    )
+
+
+def normalized_of_stripped(v: Column | str) -> Column:
+    """U1 on stripped input, without the validity check."""
+    n = _with_https(F.regexp_replace(_c(v), P.TRAILING_PUNCT, ""))
+    return F.regexp_replace(n, r"(?s)\A(https://[^/?#]*?)\.+([/?#].*)?\z", "$1$2")
+
+
 def url_error(raw: Column | str) -> Column:
     """NULL when the input is a usable URL, else a reason code.
 
     Reasons: ``empty``, ``looks_like_text`` (space in the host part),
     ``no_host``, ``no_tld`` (no dot in the host without port).
     """
-    v = py_strip(raw)
-    norm = _with_https(F.regexp_replace(v, P.TRAILING_PUNCT, ""))
-    host = netloc(norm)
-    host_no_port = F.substring_index(host, ":", 1)
-    return (
-        F.when(_c(raw).isNull() | (v == ""), F.lit("empty"))
-        .when(_input_host_part(v).contains(" "), F.lit("looks_like_text"))
-        .when(host == "", F.lit("no_host"))
-        .when(~host_no_port.contains("."), F.lit("no_tld"))
-    )
+    return error_of_stripped(py_strip(raw))
 
 
 def normalize_url(raw: Column | str) -> Column:
     """Trimmed, trailing punctuation removed, https forced, host dot dropped.
 
-    Returns NULL for inputs that ``url_error`` rejects.
+    Returns NULL for inputs that ``url_error`` rejects. For wide pipelines
+    prefer ``with_url_keys``, which stages the same work.
     """
-    v = py_strip(raw)
-    v = F.regexp_replace(v, P.TRAILING_PUNCT, "")
-    v = _with_https(v)
-    v = F.regexp_replace(v, r"(?s)\A(https://[^/?#]*?)\.+([/?#].*)?\z", "$1$2")
-    return F.when(url_error(raw).isNull(), v)
+    return F.when(url_error(raw).isNull(), normalized_of_stripped(py_strip(raw)))
 
 
 def domain_of_normalized(norm: Column | str) -> Column:
@@ -155,3 +161,20 @@ def is_homepage(url: Column | str, domain: Column | str) -> Column:
         F.concat(F.lit("http://"), d),
         F.concat(F.lit("http://www."), d),
     )
+
+
+def with_url_keys(df, raw: str, error: str | None = None, nurl: str = "_nurl", domain: str | None = None):
+    """Add validity reason, normalized URL and site key of column ``raw``.
+
+    Staged projections: each heavy intermediate is a column referenced
+    several times downstream, so Catalyst keeps the stages apart and every
+    generated method stays small.
+    """
+    d = df.withColumn("_v", py_strip(raw))
+    d = d.withColumn("_e", error_of_stripped("_v")).withColumn("_n0", normalized_of_stripped("_v"))
+    d = d.withColumn(nurl, F.when(F.col("_e").isNull(), F.col("_n0")))
+    if domain:
+        d = d.withColumn(domain, domain_of_normalized(nurl))
+    if error:
+        d = d.withColumn(error, F.col("_e"))
+    return d.drop("_v", "_e", "_n0")

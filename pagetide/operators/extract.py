@@ -13,11 +13,11 @@ from pyspark.sql import functions as F
 from pagetide.functions import html as H
 from pagetide.functions import patterns as P
 from pagetide.functions.urls import (
-    domain_of_normalized,
     drop_query,
     is_content_url,
-    normalize_url,
+    py_strip,
     url_slug,
+    with_url_keys,
 )
 
 DEFAULT_DISCOVERY_LIMIT = 100_000  # fixed value: per-site discovery cap of the reference
@@ -42,9 +42,9 @@ def _nz(name: str):
 
 
 def with_domain(df: DataFrame, url_col: str = "url", out: str = "domain") -> DataFrame:
-    """Add the site key of ``url_col`` (normalisation staged in its own projection)."""
+    """Add the site key of ``url_col`` (normalisation staged in its own projections)."""
     tmp = f"_{out}_norm"
-    return df.withColumn(tmp, normalize_url(url_col)).withColumn(out, domain_of_normalized(tmp)).drop(tmp)
+    return with_url_keys(df, url_col, nurl=tmp, domain=out).drop(tmp)
 
 
 def keyed_pages(pages: DataFrame) -> DataFrame:
@@ -123,10 +123,13 @@ def main_text_table(pages: DataFrame) -> DataFrame:
 def page_links(pages: DataFrame) -> DataFrame:
     """Every link of every page, resolved, with host and flags."""
     src = keyed_pages(pages.select("page_id", "url", "html")).select(
-        "domain", "url", "seq",
+        "domain", "url", "seq", *H.base_parts("url"),
         F.posexplode(H.hrefs("html")).alias("pos", "href"),
     )
-    resolved = src.withColumn("target", H.resolve_href(F.col("href"), F.col("url")))
+    stripped = src.withColumn("_h", py_strip("href"))
+    resolved = stripped.withColumn("target", H.resolve_href_parts("_h")).drop(
+        "_h", "_b_scheme", "_b_origin", "_b_nofrag", "_b_noquery", "_b_dir"
+    )
     with_td = with_domain(resolved, "target", "target_domain")
     return with_td.select(
         "domain", "url", "seq", "pos", "href", "target", "target_domain",
@@ -143,8 +146,8 @@ def discover_urls(pages: DataFrame, limit: int = DEFAULT_DISCOVERY_LIMIT) -> Dat
     """
     own = keyed_pages(pages.select("page_id", "url")).select("domain", F.col("url").alias("found"))
     links = page_links(pages).where("is_same_site").select("domain", F.col("target").alias("found"))
-    found = own.unionByName(links).withColumn("_n", normalize_url("found"))
-    found = found.select("domain", drop_query("_n").alias("url"), domain_of_normalized("_n").alias("_d"))
+    found = with_url_keys(own.unionByName(links), "found", nurl="_n", domain="_d")
+    found = found.select("domain", drop_query("_n").alias("url"), "_d")
     found = found.where(F.col("url").isNotNull() & is_content_url("url") & (F.col("_d") == F.col("domain")))
     distinct = found.groupBy("domain", "url").agg(F.count(F.lit(1)).alias("n_refs"))
     w = Window.partitionBy("domain").orderBy("url")

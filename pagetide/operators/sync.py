@@ -157,22 +157,25 @@ def run_health(run_map: DataFrame, max_ratio: float = MAX_DELETION_RATIO) -> Dat
 def miss_history(run_map: DataFrame, threshold: int = DELETION_MISS_THRESHOLD) -> DataFrame:
     """The miss counter over a whole run history, as gaps-and-islands.
 
-    Per ``(domain, url)`` in run order: a presence resets (trusted or not),
-    an absence in a trusted run counts, an absence in an untrusted run is
-    ignored. Rows before the first presence are untracked; a count reaching
-    ``threshold`` deletes and the URL is forgotten until it reappears.
-    Output: one row per candidate state ``(domain, url, run_id,
-    consecutive_misses, deleted)``.
+    Per ``(domain, url)`` in run order: a presence starts a new island (the
+    count resets, trusted run or not); inside an island the count is the
+    number of absences in trusted runs (untrusted runs carry it unchanged).
+    Rows before the first presence are untracked; the run where the count
+    reaches ``threshold`` deletes and the URL is forgotten until it
+    reappears. Output: the candidate state after every run,
+    ``(domain, url, run_id, consecutive_misses, deleted)``.
     """
     health = run_health(run_map).select("domain", "run_id", "trusted")
-    ev = run_map.join(health, ["domain", "run_id"]).where(F.col("present") | F.col("trusted"))
-    w = Window.partitionBy("domain", "url").orderBy("run_id")
-    ev = ev.withColumn(
-        "_grp", F.sum(F.col("present").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    ev = run_map.join(health, ["domain", "run_id"])
+    w = Window.partitionBy("domain", "url").orderBy("run_id").rowsBetween(Window.unboundedPreceding, 0)
+    ev = ev.withColumn("_grp", F.sum(F.col("present").cast("int")).over(w))
+    ev = ev.withColumn("_inc", (~F.col("present") & F.col("trusted")).cast("int"))
+    wg = Window.partitionBy("domain", "url", "_grp").orderBy("run_id").rowsBetween(Window.unboundedPreceding, 0)
+    ev = ev.where(F.col("_grp") > 0).withColumn("consecutive_misses", F.sum("_inc").over(wg).cast("int"))
+    live = (F.col("consecutive_misses") >= 1) & (
+        (F.col("consecutive_misses") < threshold) | ((F.col("consecutive_misses") == threshold) & (F.col("_inc") == 1))
     )
-    wg = Window.partitionBy("domain", "url", "_grp").orderBy("run_id")
-    ev = ev.where(F.col("_grp") > 0).withColumn("consecutive_misses", (F.row_number().over(wg) - 1).cast("int"))
-    return ev.where((F.col("consecutive_misses") >= 1) & (F.col("consecutive_misses") <= threshold)).select(
+    return ev.where(live).select(
         "domain", "url", "run_id", "consecutive_misses",
         (F.col("consecutive_misses") == threshold).alias("deleted"),
     )

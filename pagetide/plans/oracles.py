@@ -287,14 +287,16 @@ FROM (SELECT domain, run_id, count(*) FILTER (WHERE _prev) AS n_cached, count(*)
 cte(
     "miss_history",
     f"""SELECT domain, url, run_id, consecutive_misses, consecutive_misses = {SY.DELETION_MISS_THRESHOLD} AS deleted
-FROM (SELECT *, (row_number() OVER (PARTITION BY domain, url, _grp ORDER BY run_id) - 1)::INTEGER AS consecutive_misses
+FROM (SELECT *, (sum(_inc) OVER (PARTITION BY domain, url, _grp ORDER BY run_id
+                                 ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))::INTEGER AS consecutive_misses
   FROM (SELECT r.domain, r.url, r.run_id, r.present,
+          (NOT r.present AND h.trusted)::INTEGER AS _inc,
           sum(r.present::INTEGER) OVER (PARTITION BY r.domain, r.url ORDER BY r.run_id
                                         ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS _grp
-        FROM run_map r JOIN run_health h ON r.domain = h.domain AND r.run_id = h.run_id
-        WHERE r.present OR h.trusted)
+        FROM run_map r JOIN run_health h ON r.domain = h.domain AND r.run_id = h.run_id)
   WHERE _grp > 0)
-WHERE consecutive_misses BETWEEN 1 AND {SY.DELETION_MISS_THRESHOLD}""",
+WHERE consecutive_misses >= 1 AND (consecutive_misses < {SY.DELETION_MISS_THRESHOLD}
+  OR (consecutive_misses = {SY.DELETION_MISS_THRESHOLD} AND _inc = 1))""",
     "run_map",
     "run_health",
 )

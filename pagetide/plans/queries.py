@@ -13,15 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagetide.functions import text as T
-from pagetide.functions.urls import (
-    batch_id_agg,
-    domain_of_normalized,
-    drop_query,
-    is_content_url,
-    normalize_url,
-    url_error,
-    url_slug,
-)
+from pagetide.functions.urls import batch_id_agg, drop_query, is_content_url, url_slug, with_url_keys
 from pagetide.operators import assemble as A
 from pagetide.operators import extract as E
 from pagetide.operators import search as Q
@@ -68,9 +60,7 @@ def url_refs(spark, sf):
     links = E.page_links(p).select(
         F.col("domain").alias("site"), F.col("target").alias("raw"), "seq", F.lit("link").alias("kind")
     )
-    r = own.unionByName(links)
-    r = r.withColumn("error", url_error("raw")).withColumn("nurl", normalize_url("raw"))
-    return r.withColumn("domain", domain_of_normalized("nurl"))
+    return with_url_keys(own.unionByName(links), "raw", error="error", nurl="nurl", domain="domain")
 
 
 def url_inventory(spark, sf):
