@@ -32,10 +32,20 @@ def decode_entities(c: Column | str) -> Column:
     A single higher-order expression instead of 17 nested ``replace`` calls
     keeps the generated code of wide projections under the JVM method limit.
     """
-    table = F.array(*[F.struct(F.lit(e).alias("e"), F.lit(ch).alias("c")) for e, ch in P.ENTITIES])
+    table = sql_array([f"named_struct('e', {sql_lit(e)}, 'c', {sql_lit(ch)})" for e, ch in P.ENTITIES])
     return F.aggregate(table, _c(c), lambda acc, x: F.replace(acc, x["e"], x["c"]))
 
 
+def sql_lit(s: str) -> str:
+    """A Spark SQL string literal (quotes and backslashes escaped)."""
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def sql_array(items: list[str]) -> Column:
+    """A literal array built by one SQL expression (one JVM call, not one per item)."""
+    return F.expr("array(" + ", ".join(items) + ")")
+
+
 def strip_html(c: Column | str) -> Column:
     """<br> -> space, other tags dropped, whitespace collapsed, trimmed."""
     s = F.regexp_replace(_c(c), P.BR_TAG, " ")
@@ -131,9 +141,8 @@ def condense_summary(c: Column | str) -> Column:
     sentences = F.filter(
         F.transform(F.split(s, r"\. ", -1), lambda x: py_strip(x)), lambda x: x != ""
     )
-    phrase_hit = lambda x: F.exists(
-        F.array(*[F.lit(p) for p in PAGE_STRUCTURE_PHRASES]), lambda p: F.lower(x).contains(p)
-    )
+    phrases = sql_array([sql_lit(p) for p in PAGE_STRUCTURE_PHRASES])
+    phrase_hit = lambda x: F.exists(phrases, lambda p: F.lower(x).contains(p))
     business = F.filter(sentences, lambda x: ~phrase_hit(x))
     chosen = F.slice(F.when(F.size(business) > 0, business).otherwise(sentences), 1, CONDENSE_MAX_SENTENCES)
     init = F.struct(

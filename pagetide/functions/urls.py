@@ -170,11 +170,13 @@ def with_url_keys(df, raw: str, error: str | None = None, nurl: str = "_nurl", d
     several times downstream, so Catalyst keeps the stages apart and every
     generated method stays small.
     """
-    d = df.withColumn("_v", py_strip(raw))
-    d = d.withColumn("_e", error_of_stripped("_v")).withColumn("_n0", normalized_of_stripped("_v"))
-    d = d.withColumn(nurl, F.when(F.col("_e").isNull(), F.col("_n0")))
-    if domain:
-        d = d.withColumn(domain, domain_of_normalized(nurl))
+    keep = [c for c in df.columns if c not in {nurl, error, domain}]
+    d = df.select(*keep, py_strip(raw).alias("_v"))
+    d = d.select(*keep, error_of_stripped("_v").alias("_e"), normalized_of_stripped("_v").alias("_n0"))
+    out = [*keep, F.when(F.col("_e").isNull(), F.col("_n0")).alias(nurl)]
     if error:
-        d = d.withColumn(error, F.col("_e"))
-    return d.drop("_v", "_e", "_n0")
+        out.append(F.col("_e").alias(error))
+    d = d.select(*out)
+    if domain:
+        d = d.select("*", domain_of_normalized(nurl).alias(domain))
+    return d

@@ -84,14 +84,12 @@ def dry_run_preview(
 
 def _category_array(categories: Sequence[V.Category]) -> F.Column:
     rows = [
-        F.struct(
-            F.lit(i).alias("cat_order"), F.lit(c.name).alias("category"),
-            F.lit(kw).alias("keyword"), F.lit(c.min_hits).alias("min_hits"),
-        )
+        f"named_struct('cat_order', {i}, 'category', {T.sql_lit(c.name)}, "
+        f"'keyword', {T.sql_lit(kw)}, 'min_hits', {c.min_hits})"
         for i, c in enumerate(categories)
         for kw in c.keywords
     ]
-    return F.array(*rows)
+    return T.sql_array(rows)
 
 
 def page_title_summary(page: DataFrame) -> DataFrame:
@@ -160,7 +158,7 @@ def site_description(
     )
     rule_hits = first.groupBy("domain").agg(
         *[
-            F.bool_or(F.exists(F.array(*[F.lit(x) for x in r.terms]), lambda x: F.col("t").contains(x))).alias(f"r{i}")
+            F.bool_or(F.exists(T.sql_array([T.sql_lit(x) for x in r.terms]), lambda x: F.col("t").contains(x))).alias(f"r{i}")
             for i, r in enumerate(rules)
         ]
     )

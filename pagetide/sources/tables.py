@@ -25,9 +25,24 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> Da
     return df.select(*columns) if columns else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use every core for CPU-heavy per-row work on a narrow scan.
+
+    A small file with one row group is one scan split, so all regex work
+    would land in one task. When the scan has fewer splits than the
+    cluster's default parallelism, round-robin the rows; on large inputs
+    (thousands of splits) this is a no-op and adds no shuffle. Only the
+    physical plan is inspected, no job runs.
+    """
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
+
+
 def read_pages(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """Raw pages ``(page_id, url, html)``; project ``html`` only when needed."""
-    return read_table(spark, sf_dir, "pages", *(columns or ("page_id", "url", "html")))
+    return spread(read_table(spark, sf_dir, "pages", *(columns or ("page_id", "url", "html"))))
 
 
 def read_map_text(spark: SparkSession, path: str, domain: str | None = None) -> DataFrame:
