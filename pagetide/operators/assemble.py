@@ -12,7 +12,7 @@ PAGE_DOC_COLUMNS = ["domain", "slug", "url", "seq", "title", "description", "sum
 
 
 def resolve_fields(page: DataFrame) -> DataFrame:
-    """P1 + P2: one flat row per non-blank page.
+    """P1 + P2: one flat row per page, with the P2 blank-body flag ``_blank``.
 
     title: metadata.title, else json.title (HTML-stripped), else "Untitled";
     description: metadata.description, ogDescription, else json.description
@@ -30,7 +30,10 @@ def resolve_fields(page: DataFrame) -> DataFrame:
         T.strip_html(F.coalesce(j["description"], F.lit(""))),
     )
     summary = T.strip_html(F.coalesce(j["summary"], F.lit("")))
-    return page.where(py_strip(F.coalesce("markdown", F.lit(""))) != "").select(
+    # P2 is a flag, not a filter here: a filter on it would be pushed below
+    # the projection that renders the markdown and re-run that whole regex
+    # chain. ``page_docs`` drops blank pages after its per-slug window.
+    return page.select(
         "domain",
         url.alias("url"),
         "seq",
@@ -38,6 +41,7 @@ def resolve_fields(page: DataFrame) -> DataFrame:
         description.alias("description"),
         summary.alias("summary"),
         "markdown",
+        (py_strip(F.coalesce("markdown", F.lit(""))) == "").alias("_blank"),
     )
 
 
@@ -56,14 +60,20 @@ def render(fields: DataFrame) -> DataFrame:
         .withColumn("body", body)
         .withColumn("content", content)
         .withColumn("content_sha", F.sha2(F.col("content"), 256))
-        .select(*PAGE_DOC_COLUMNS)
+        .select(*PAGE_DOC_COLUMNS, *(["_blank"] if "_blank" in fields.columns else []))
     )
 
 
 def last_per_slug(docs: DataFrame) -> DataFrame:
-    """Decision 6: one document per ``(domain, slug)`` — the last in list order."""
-    w = Window.partitionBy("domain", "slug").orderBy(F.desc("seq"), F.desc("url"))
-    return docs.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+    """Decision 6: one document per ``(domain, slug)`` — the last in list order.
+
+    Blank pages (P2) never win and are dropped; the filter sits after the
+    window, so it cannot be pushed below the rendering projection.
+    """
+    blank = F.col("_blank") if "_blank" in docs.columns else F.lit(False)
+    w = Window.partitionBy("domain", "slug").orderBy(blank.asc(), F.desc("seq"), F.desc("url"))
+    out = docs.withColumn("_b", blank).withColumn("_r", F.row_number().over(w))
+    return out.where((F.col("_r") == 1) & ~F.col("_b")).select(*PAGE_DOC_COLUMNS)
 
 
 def page_docs(page: DataFrame) -> DataFrame:
