@@ -631,6 +631,8 @@ SQL["map_health"] = build("SELECT * FROM health", "health")
 SQL["effective_map"] = build("SELECT * FROM effective", "effective")
 SQL["miss_counter"] = build("SELECT * FROM counter", "counter")
 SQL["miss_history"] = build("SELECT * FROM miss_history", "miss_history")
+# ST2 (keyed streaming state) must produce exactly the window form
+SQL["miss_counter_stream"] = SQL["miss_history"]
 SQL["cached_pages"] = build("SELECT * FROM cached_pages", "cached_pages")
 SQL["cached_pages_fallback"] = build("SELECT * FROM cached_fallback", "cached_fallback")
 SQL["backfill_urls"] = build("SELECT * FROM backfill", "backfill")

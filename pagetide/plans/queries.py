@@ -328,6 +328,13 @@ def categorize(spark, sf):
     return Q.categorize_pages(docs(spark, sf))
 
 
+def _stream_miss_counter(spark, sf):
+    """ST2: the miss counter as keyed streaming state; must equal J5."""
+    from pagetide.streaming.snapshots import run_miss_counter_stream
+
+    return run_miss_counter_stream(spark, SN.run_map(spark, sf))
+
+
 QUERIES: dict[str, Query] = {
     # url_inventory job
     "url_inventory": url_inventory,
@@ -353,6 +360,7 @@ QUERIES: dict[str, Query] = {
     "effective_map": effective,
     "miss_counter": counter,
     "miss_history": lambda s, f: S.miss_history(SN.run_map(s, f)),
+    "miss_counter_stream": lambda s, f: _stream_miss_counter(s, f),
     "cached_pages": cached_pages,
     "cached_pages_fallback": cached_pages_fallback,
     "backfill_urls": backfill,
