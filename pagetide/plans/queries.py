@@ -82,9 +82,16 @@ def page_table(spark, sf):
     return E.extract_pages(pages(spark, sf))
 
 
+@shared
+def rendered(spark, sf):
+    """Every page rendered, hash-partitioned on the document key once; both
+    the current and the previous documents read this one exchange."""
+    return A.render(A.resolve_fields(page_table(spark, sf))).repartition("domain", "slug")
+
+
 @shared
 def docs(spark, sf):
-    return A.page_docs(page_table(spark, sf))
+    return A.last_per_slug(rendered(spark, sf))
 
 
 @shared
@@ -262,8 +269,7 @@ def prev_docs(spark, sf):
     """Documents as the previous run left them: the cached pages rendered,
     every 13th one edited since (so the diff sees updates)."""
     cached = SN.cached_urls(spark, sf).select("seq")
-    p = page_table(spark, sf).join(cached, "seq", "left_semi")
-    d = A.page_docs(p)
+    d = A.last_per_slug(rendered(spark, sf).join(cached, "seq", "left_semi"))
     edited = F.col("seq") % SN.SPEC.edited_mod == 0
     d = d.select(
         *[c for c in d.columns if c not in ("body", "content", "content_sha")],
