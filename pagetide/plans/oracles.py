@@ -766,5 +766,49 @@ WHERE rank <= 10""",
 )
 
 
+# documents as pages
+cte(
+    "dp",
+    """SELECT source AS domain, 'doc:' || CAST(doc_id AS VARCHAR) AS url, doc_id AS seq, CAST(doc_id AS VARCHAR) AS slug,
+  split_part(text, chr(10), 1) AS title, '' AS description, '' AS summary, text AS body, text AS content
+FROM documents""",
+)
+cte(
+    "dkw_tf",
+    f"""SELECT domain, url, seq, term, count(*) AS tf FROM (
+  SELECT domain, url, seq, unnest(string_split_regex(lower(body), {L(P.TOKEN_SPLIT)})) AS term FROM dp)
+WHERE length(term) >= 4 GROUP BY domain, url, seq, term""",
+    "dp",
+)
+SQL["document_keywords"] = build(
+    f"""SELECT l.domain, l.url, l.seq, coalesce(k.keywords, '') AS keywords, coalesce(k.keyword_tf, 0)::BIGINT AS keyword_tf, l.lead
+FROM (SELECT domain, url, seq, nullif({D.lead_sentences('body', 1)}, '') AS lead FROM dp) l
+LEFT JOIN (
+  SELECT domain, url, seq, string_agg(term, ' ' ORDER BY r) AS keywords, sum(tf)::BIGINT AS keyword_tf FROM (
+    SELECT t.*, row_number() OVER (PARTITION BY t.domain, t.url, t.seq ORDER BY t.tf DESC, d.df ASC, t.term ASC) AS r
+    FROM dkw_tf t JOIN (SELECT term, count(*) AS df FROM dkw_tf GROUP BY term) d ON t.term = d.term)
+  WHERE r <= 8 GROUP BY domain, url, seq) k
+ON l.domain = k.domain AND l.url = k.url AND l.seq = k.seq""",
+    "dp",
+    "dkw_tf",
+)
+SQL["document_patterns"] = build(
+    f"""SELECT domain, slug, family, phrase, count(*) AS n FROM (
+  SELECT d.domain, d.slug, f.family, unnest(regexp_extract_all(lower(d.content), f.pat, 0)) AS phrase
+  FROM dp d, ({_families_values(V.FIXTURE_PATTERN_FAMILIES)}) f(family, pat))
+GROUP BY domain, slug, family, phrase""",
+    "dp",
+)
+SQL["document_topics"] = build(
+    f"""SELECT g.topic, g.domain, coalesce(h.n, 0)::BIGINT AS n_hits,
+  CASE WHEN coalesce(h.n, 0) >= {QS.TOO_MANY} THEN 'narrow' WHEN coalesce(h.n, 0) = 0 THEN 'broaden' ELSE 'ok' END AS advice
+FROM (SELECT d.domain, t.topic FROM (SELECT DISTINCT domain FROM dp) d, ({_topics_values(V.FIXTURE_TOPICS)}) t(i, topic, pat)) g
+LEFT JOIN (SELECT t.topic, d.domain, count(*) AS n FROM dp d JOIN ({_topics_values(V.FIXTURE_TOPICS)}) t(i, topic, pat)
+           ON regexp_matches(lower(d.content), t.pat) GROUP BY t.topic, d.domain) h
+  ON g.topic = h.topic AND g.domain = h.domain""",
+    "dp",
+)
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)

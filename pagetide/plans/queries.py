@@ -334,6 +334,32 @@ def categorize(spark, sf):
     return Q.categorize_pages(docs(spark, sf))
 
 
+# ---- documents: the text jobs at larger volume (source = site, doc_id = page)
+
+
+@shared
+def doc_pages(spark, sf):
+    """Documents shaped like rendered pages: first line as title, text as body."""
+    from pagetide.sources.tables import read_table, spread
+
+    d = spread(read_table(spark, sf, "documents", "doc_id", "source", "text"))
+    return d.select(
+        F.col("source").alias("domain"),
+        F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("url"),
+        F.col("doc_id").alias("seq"),
+        F.col("doc_id").cast("string").alias("slug"),
+        F.substring_index("text", "\n", 1).alias("title"),
+        F.lit("").alias("description"),
+        F.lit("").alias("summary"),
+        F.col("text").alias("body"),
+        F.col("text").alias("content"),
+    )
+
+
+def document_keywords(spark, sf):
+    return E.keyword_summary(doc_pages(spark, sf).select("domain", "url", "seq", F.col("body").alias("text")))
+
+
 def _stream_miss_counter(spark, sf):
     """ST2: the miss counter as keyed streaming state; must equal J5."""
     from pagetide.streaming.snapshots import run_miss_counter_stream
@@ -402,6 +428,10 @@ QUERIES: dict[str, Query] = {
     "categorize_pages": categorize,
     "sample_per_category": lambda s, f: Q.sample_per_category(categorize(s, f)),
     "synthesize_top": lambda s, f: Q.synthesize_top(pattern_matches(s, f)),
+    # the same text operators over the documents table
+    "document_keywords": document_keywords,
+    "document_patterns": lambda s, f: Q.pattern_matches(doc_pages(s, f), V.FIXTURE_PATTERN_FAMILIES),
+    "document_topics": lambda s, f: Q.too_many_results(doc_pages(s, f), V.FIXTURE_TOPICS),
 }
 
 QUERIES = {k: scoped(v) for k, v in QUERIES.items()}
