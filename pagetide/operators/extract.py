@@ -150,14 +150,26 @@ def discover_urls(pages: DataFrame, limit: int = DEFAULT_DISCOVERY_LIMIT) -> Dat
     found = found.select("domain", drop_query("_n").alias("url"), "_d")
     found = found.where(F.col("url").isNotNull() & is_content_url("url") & (F.col("_d") == F.col("domain")))
     distinct = found.groupBy("domain", "url").agg(F.count(F.lit(1)).alias("n_refs"))
-    w = Window.partitionBy("domain").orderBy("url")
-    return (
-        distinct.withColumn("rank", F.row_number().over(w))
-        .where(F.col("rank") <= limit)
-        .select("domain", "url", "n_refs", url_slug("url").alias("slug"))
+    return first_n_per_key(distinct, ["domain"], [F.asc("url")], limit).select(
+        "domain", "url", "n_refs", url_slug("url").alias("slug")
     )
 
 
+def first_n_per_key(df: DataFrame, keys: list[str], order: list, n: int, buckets: int = 64) -> DataFrame:
+    """First ``n`` rows per key in ``order``, in two rounds.
+
+    Round one ranks inside (key, hash bucket) groups and keeps at most ``n``
+    per bucket, so a hot key is spread over ``buckets`` tasks; round two
+    ranks the survivors (at most ``buckets * n`` per key). Same result as one
+    window over the whole key.
+    """
+    b = df.withColumn("_bkt", F.pmod(F.xxhash64(*df.columns), F.lit(buckets)))
+    w1 = Window.partitionBy(*keys, "_bkt").orderBy(*order)
+    b = b.withColumn("_r1", F.row_number().over(w1)).where(F.col("_r1") <= n).drop("_r1", "_bkt")
+    w2 = Window.partitionBy(*keys).orderBy(*order)
+    return b.withColumn("_r", F.row_number().over(w2)).where(F.col("_r") <= n).drop("_r")
+
+
 def keyword_summary(text_df: DataFrame, k: int = 8, min_len: int = 4) -> DataFrame:
     """Top-``k`` terms per page by (tf desc, df asc, term asc) + lead sentence.
 

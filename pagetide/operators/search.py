@@ -106,9 +106,13 @@ def rank_tiers(docs: DataFrame, pattern: str, keep_weak: bool = False) -> DataFr
 
 def top_pages(ranked: DataFrame, n: int = DEFAULT_TOP) -> DataFrame:
     """Q7: best ``n`` pages per site by (tier, matched terms desc, url)."""
+    from pagetide.operators.extract import first_n_per_key
+
     tier_rank = F.when(F.col("tier") == "strong", 1).when(F.col("tier") == "moderate", 2).otherwise(3)
-    w = Window.partitionBy("domain").orderBy(tier_rank, F.desc("matched_terms"), F.asc("url"), F.asc("slug"))
-    return ranked.withColumn("rank", F.row_number().over(w).cast("int")).where(F.col("rank") <= n)
+    order = [tier_rank, F.desc("matched_terms"), F.asc("url"), F.asc("slug")]
+    top = first_n_per_key(ranked, ["domain"], order, n)
+    w = Window.partitionBy("domain").orderBy(*order)
+    return top.withColumn("rank", F.row_number().over(w).cast("int"))
 
 
 def _topic_hits(docs: DataFrame, topics: Sequence[tuple[str, str]]) -> DataFrame:
@@ -189,10 +193,12 @@ def categorize_pages(docs: DataFrame) -> DataFrame:
 
 def sample_per_category(categorized: DataFrame, n: int = SAMPLES_PER_CATEGORY) -> DataFrame:
     """Q14: first ``n`` pages (list order) of every (site, category)."""
-    w = Window.partitionBy("domain", "category").orderBy("seq", "slug")
-    return categorized.withColumn("sample_rank", F.row_number().over(w).cast("int")).where(
-        F.col("sample_rank") <= n
-    )
+    from pagetide.operators.extract import first_n_per_key
+
+    order = [F.asc("seq"), F.asc("slug")]
+    top = first_n_per_key(categorized, ["domain", "category"], order, n)
+    w = Window.partitionBy("domain", "category").orderBy(*order)
+    return top.withColumn("sample_rank", F.row_number().over(w).cast("int"))
 
 
 def synthesize_top(found: DataFrame, n: int = 10) -> DataFrame:

@@ -151,11 +151,11 @@ def site_description(
         F.when(F.length(og) > V.HOMEPAGE_MIN_DESCRIPTION, og).alias("t2d"),
     )
     # tier 3: first 20 pages by list order, json.title before metadata.title
-    w = Window.partitionBy("domain").orderBy("seq")
+    from pagetide.operators.extract import first_n_per_key
+
     title = F.lower(F.coalesce(T.nullif_blank(F.col("json.title")), T.nullif_blank(F.col("metadata.title")), F.lit("")))
-    first = page.select("domain", "seq", title.alias("t")).withColumn("_r", F.row_number().over(w)).where(
-        F.col("_r") <= V.DESCRIPTION_TITLE_PAGES
-    )
+    first = first_n_per_key(page.select("domain", "seq", title.alias("t")), ["domain"], [F.asc("seq")],
+                            V.DESCRIPTION_TITLE_PAGES)
     rule_hits = first.groupBy("domain").agg(
         *[
             F.bool_or(F.exists(T.sql_array([T.sql_lit(x) for x in r.terms]), lambda x: F.col("t").contains(x))).alias(f"r{i}")
@@ -192,18 +192,14 @@ def asset_filter_report(found: DataFrame) -> DataFrame:
 
 def pending_deletions(counter: DataFrame, show: int = 5) -> DataFrame:
     """Pending candidates per site and the first five (by URL)."""
-    p = counter.where(F.col("action") == "pending")
-    w = Window.partitionBy("domain").orderBy("url")
-    top = p.withColumn("_r", F.row_number().over(w))
-    return top.groupBy("domain").agg(
-        F.count(F.lit(1)).alias("n_pending"),
-        F.array_join(
-            F.transform(
-                F.array_sort(F.collect_list(F.when(F.col("_r") <= show, F.struct("_r", "url")))), lambda s: s["url"]
-            ),
-            " ",
-        ).alias("first_pending"),
+    from pagetide.operators.extract import first_n_per_key
+
+    p = counter.where(F.col("action") == "pending").select("domain", "url")
+    n = p.groupBy("domain").agg(F.count(F.lit(1)).alias("n_pending"))
+    first = first_n_per_key(p, ["domain"], [F.asc("url")], show).groupBy("domain").agg(
+        F.array_join(F.array_sort(F.collect_list("url")), " ").alias("first_pending")
     )
+    return n.join(first, "domain")
 
 
 def batch_status(batches: DataFrame) -> DataFrame:

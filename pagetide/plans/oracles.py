@@ -545,8 +545,9 @@ FROM refs GROUP BY site""",
     "refs",
 )
 SQL["slug_collisions"] = build(
-    """SELECT domain, slug, count(*) AS n_urls, array_to_string(list_sort(list(url)), ' ') AS urls
-FROM inv GROUP BY domain, slug HAVING count(*) > 1""",
+    """SELECT i.domain, i.slug, i.url, g.n_urls FROM inv i
+JOIN (SELECT domain, slug, count(*) AS n_urls FROM inv GROUP BY domain, slug HAVING count(*) > 1) g
+  ON i.domain = g.domain AND i.slug = g.slug""",
     "inv",
 )
 SQL["discover_urls"] = build("SELECT * FROM disc", "disc")

@@ -129,11 +129,14 @@ def url_inventory_by_domain(spark, sf):
 
 
 def slug_collisions(spark, sf):
+    """Every URL whose slug is shared within its site, one row per URL.
+
+    Rows, not an array per slug: a path with a million query variants must
+    not become one list in one task. The count joins back on the key.
+    """
     inv = url_inventory(spark, sf)
-    g = inv.groupBy("domain", "slug").agg(
-        F.count(F.lit(1)).alias("n_urls"), F.array_join(F.array_sort(F.collect_list("url")), " ").alias("urls")
-    )
-    return g.where(F.col("n_urls") > 1)
+    g = inv.groupBy("domain", "slug").agg(F.count(F.lit(1)).alias("n_urls")).where(F.col("n_urls") > 1)
+    return inv.join(g, ["domain", "slug"]).select("domain", "slug", "url", "n_urls")
 
 
 def discover_urls(spark, sf):
