@@ -145,11 +145,14 @@ def discover_urls(pages: DataFrame, limit: int = DEFAULT_DISCOVERY_LIMIT) -> Dat
     ``limit`` per site by URL.
     """
     own = keyed_pages(pages.select("page_id", "url")).select("domain", F.col("url").alias("found"))
-    links = page_links(pages).where("is_same_site").select("domain", F.col("target").alias("found"))
+    links = page_links(pages).select("domain", F.col("target").alias("found"))
     found = with_url_keys(own.unionByName(links), "found", nurl="_n", domain="_d")
     found = found.select("domain", drop_query("_n").alias("url"), "_d")
-    found = found.where(F.col("url").isNotNull() & is_content_url("url") & (F.col("_d") == F.col("domain")))
-    distinct = found.groupBy("domain", "url").agg(F.count(F.lit(1)).alias("n_refs"))
+    # same-site, valid, content URLs only; counted inside the aggregate so no
+    # row filter is pushed down through the URL projections (and the
+    # same-site test of the link rows is the _d = domain test itself)
+    valid = F.col("url").isNotNull() & is_content_url("url") & (F.col("_d") == F.col("domain"))
+    distinct = found.groupBy("domain", "url").agg(F.count_if(valid).alias("n_refs")).where(F.col("n_refs") > 0)
     return first_n_per_key(distinct, ["domain"], [F.asc("url")], limit).select(
         "domain", "url", "n_refs", url_slug("url").alias("slug")
     )

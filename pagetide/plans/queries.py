@@ -109,10 +109,13 @@ def url_refs(spark, sf):
 
 @shared
 def url_inventory(spark, sf):
-    r = url_refs(spark, sf).where(F.col("error").isNull())
+    # Validity is an aggregate output, not a row filter: a filter on ``error``
+    # would be pushed below every projection and inline the whole URL chain.
+    r = url_refs(spark, sf)
     g = r.groupBy("domain", F.col("nurl").alias("url")).agg(
-        F.min("seq").alias("first_seq"), F.count(F.lit(1)).alias("n_refs")
-    )
+        F.min("seq").alias("first_seq"), F.count(F.lit(1)).alias("n_refs"),
+        F.bool_and(F.col("error").isNull()).alias("_ok"),
+    ).where("_ok")
     return g.select("domain", "url", url_slug("url").alias("slug"), is_content_url("url").alias("is_content"),
                     "first_seq", "n_refs")
 
@@ -144,18 +147,20 @@ def discover_urls(spark, sf):
 
 
 def discovery_scope(spark, sf, limit: int = E.DEFAULT_DISCOVERY_LIMIT):
-    r = url_refs(spark, sf).where(F.col("error").isNull())
-    r = r.withColumn("_same", F.col("domain") == F.col("site")).withColumn("_content", is_content_url("nurl"))
-    kept = r.where("_same AND _content").select("site", drop_query("nurl").alias("u"))
-    n_kept = kept.groupBy("site").agg(F.countDistinct("u").alias("n_distinct"))
+    r = url_refs(spark, sf)
+    ok = F.col("error").isNull()
+    same = ok & (F.col("domain") == F.col("site"))
+    content = is_content_url("nurl")
     g = r.groupBy("site").agg(
-        F.count_if("_same").alias("n_same_site_refs"),
-        F.count_if(~F.col("_same")).alias("n_offsite_refs"),
-        F.count_if(F.col("_same") & ~F.col("_content")).alias("n_asset_refs"),
-        F.count_if(F.col("_same") & (F.col("nurl") != drop_query("nurl"))).alias("n_with_query"),
+        F.count_if(same).alias("n_same_site_refs"),
+        F.count_if(ok & ~(F.col("domain") == F.col("site"))).alias("n_offsite_refs"),
+        F.count_if(same & ~content).alias("n_asset_refs"),
+        F.count_if(same & (F.col("nurl") != drop_query("nurl"))).alias("n_with_query"),
+        F.count_distinct(F.when(same & content, drop_query("nurl"))).alias("n_distinct"),
+    )
+    return g.where(F.col("n_same_site_refs") + F.col("n_offsite_refs") > 0).withColumn(
+        "n_kept", F.least(F.col("n_distinct"), F.lit(limit).cast("bigint"))
     )
-    j = g.join(n_kept, "site", "left").withColumn("n_distinct", F.coalesce("n_distinct", F.lit(0).cast("bigint")))
-    return j.withColumn("n_kept", F.least(F.col("n_distinct"), F.lit(limit).cast("bigint")))
 
 
 def batch_ids(spark, sf, chunk: int = S.BATCH_SIZE):
@@ -303,9 +308,12 @@ def site_description(spark, sf):
 
 
 def asset_filter_report(spark, sf):
-    r = url_refs(spark, sf).where(F.col("error").isNull() & (F.col("domain") == F.col("site")))
-    found = r.select(F.col("site").alias("domain"), F.col("nurl").alias("url"), is_content_url("nurl").alias("is_content"))
-    return ST.asset_filter_report(found)
+    r = url_refs(spark, sf)
+    keep = F.col("error").isNull() & (F.col("domain") == F.col("site"))
+    found = r.groupBy(F.col("site").alias("domain"), F.col("nurl").alias("url")).agg(
+        F.bool_or(keep).alias("_keep")
+    ).where("_keep")
+    return ST.asset_filter_report(found.select("domain", "url", is_content_url("url").alias("is_content")))
 
 
 def site_manifest(spark, sf):
