@@ -7,12 +7,14 @@ State lives in a store folder on shared storage:
   <root>/v=<n>/page_cache   (domain, url, seq, markdown, metadata, json)
   <root>/v=<n>/docs         page_doc rows (K3)
   <root>/v=<n>/batches      (domain, chunk, batch_id, urls, n_urls, status, ts)
-  <root>/run_log            append-only, one row per site and run (K7)
+  <root>/v=<n>/run          the run's log rows, one per site (K7)
   <root>/CURRENT            the committed version number, written last (K5)
 
 A run reads version n and writes n+1; the pointer moves only after every
-table of n+1 is written, so a crash or a lost executor leaves n intact and
-the run can simply be repeated. Nothing is overwritten in place.
+table of n+1 (its log rows included) is written, so a crash or a lost
+executor leaves n intact and the run can simply be repeated: the run log is
+the union of the ``run`` tables of committed versions, so a half-written
+version is invisible and a committed run id is never applied twice.
 """
 
 from __future__ import annotations
@@ -125,13 +127,15 @@ class SyncStore:
         self._commit(v)
         return v
 
-    def append_log(self, log: DataFrame) -> None:
-        log.write.mode("append").parquet(self.root + "/run_log")
-
     def run_log(self) -> DataFrame:
-        if not self._fs.exists(self._Path(self.root + "/run_log")):
+        """K7: log rows of every committed version (uncommitted ones ignored)."""
+        v = self.current()
+        if v == 0:
+            return self.spark.createDataFrame([], RUN_LOG_SCHEMA)
+        paths = [self.path(i, "run") for i in range(1, v + 1) if self._fs.exists(self._Path(self.path(i, "run")))]
+        if not paths:
             return self.spark.createDataFrame([], RUN_LOG_SCHEMA)
-        return self.spark.read.parquet(self.root + "/run_log")
+        return self.spark.read.schema(RUN_LOG_SCHEMA).parquet(*paths)
 
 
 RUN_LOG_SCHEMA = (
@@ -284,7 +288,7 @@ def sync(
             "page_cache": merged.select(*PAGE_SCHEMA.fieldNames()),
             "docs": docs_out.select(*A.PAGE_DOC_COLUMNS),
             "batches": batches,
+            "run": log,
         }
     )
-    store.append_log(log)
     return {"report": report, "health": health, "log": log, "docs": store.read("docs", version)}

@@ -64,3 +64,22 @@ def test_second_sync_same_input_is_unchanged(spark):
     out = sync(spark, store, m, pages, RunOptions(run_id=3, run_ts="2026-04-04 00:00:00", cache_only=True))
     rows = out["log"].collect()
     assert all(r["credits"] == 0 and r["updated"] == 0 and r["added"] == 0 for r in rows)
+
+
+def test_markdown_export(spark):
+    from pagetide.plans.export import changed_docs, export_markdown
+    from pagetide.plans import queries as Q
+    from pagetide.operators import assemble as A
+    from pagetide.streaming.snapshots import scratch
+
+    docs = Q.scoped(Q.docs)(spark, SF001)
+    empty = docs.limit(0)
+    diff = A.content_diff(docs, empty)
+    out = scratch(spark, "export")
+    export_markdown(changed_docs(docs, diff), out)
+    local = out[len("file:"):] if out.startswith("file:") else out
+    files = [os.path.join(d, f) for d, _, fs in os.walk(local) for f in fs if f.endswith(".md")]
+    assert len(files) == docs.count()
+    one = docs.orderBy("domain", "slug").first()
+    with open(os.path.join(local, one["domain"], one["slug"] + ".md"), encoding="utf-8") as f:
+        assert f.read() == one["content"]
