@@ -42,6 +42,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 # build each shared sub-plan is constructed once; a new call builds afresh.
 
 _memo: dict | None = None
+_materialize: frozenset = frozenset()
 
 
 def shared(fn):
@@ -50,24 +51,32 @@ def shared(fn):
             return fn(spark, sf, *args, **kwargs)
         key = (fn.__name__, sf)
         if key not in _memo:
-            _memo[key] = fn(spark, sf)
+            df = fn(spark, sf)
+            if fn.__name__ in _materialize:
+                # several consumers in this query: compute once, read back
+                # from the shared checkpoint folder (survives executor loss)
+                df = df.checkpoint()
+            _memo[key] = df
         return _memo[key]
 
     wrapper.__name__ = fn.__name__
     return wrapper
 
 
-def scoped(fn):
+def scoped(fn, materialize: tuple[str, ...] = ()):
     def run(spark, sf):
-        global _memo
-        outer = _memo
+        global _memo, _materialize
+        from pagetide.session import checkpoint_dir
+
+        checkpoint_dir(spark)
+        outer, outer_m = _memo, _materialize
         if outer is None:
-            _memo = {}
+            _memo, _materialize = {}, frozenset(materialize)
         try:
             return fn(spark, sf)
         finally:
             if outer is None:
-                _memo = None
+                _memo, _materialize = None, outer_m
 
     return run
 
@@ -445,7 +454,13 @@ QUERIES: dict[str, Query] = {
     "document_topics": lambda s, f: Q.too_many_results(doc_pages(s, f), V.FIXTURE_TOPICS),
 }
 
-QUERIES = {k: scoped(v) for k, v in QUERIES.items()}
+# Queries that read the extracted page table from several branches: the
+# extraction (the expensive regex work) runs once and is materialized.
+MATERIALIZE = {
+    name: ("page_table",)
+    for name in ("site_manifest", "site_description")
+}
+QUERIES = {k: scoped(v, MATERIALIZE.get(k, ())) for k, v in QUERIES.items()}
 
 # Queries with no DuckDB twin (rows-only check): the Python-stage renderer.
 ROWS_ONLY = {"extract_markdown"}
