@@ -20,6 +20,8 @@ LOCAL_DEFAULTS = {
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # pages are ~20 KB each: keep Arrow batches for the Python stage small
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
     "spark.driver.memory": "16g",
 }
 
