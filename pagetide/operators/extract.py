@@ -142,8 +142,10 @@ def discover_urls(pages: DataFrame, limit: int = DEFAULT_DISCOVERY_LIMIT) -> Dat
     """E5: same-site content URLs found in pages and their links (map stand-in).
 
     Query and fragment dropped, https forced, distinct per site, first
-    ``limit`` per site by URL.
+    ``limit`` per site by URL. ``limit`` must be 1..100,000 (U8).
     """
+    if not 1 <= limit <= DEFAULT_DISCOVERY_LIMIT:
+        raise ValueError(f"limit must be between 1 and {DEFAULT_DISCOVERY_LIMIT}, got {limit}")
     own = keyed_pages(pages.select("page_id", "url")).select("domain", F.col("url").alias("found"))
     links = page_links(pages).select("domain", F.col("target").alias("found"))
     found = with_url_keys(own.unionByName(links), "found", nurl="_n", domain="_d")

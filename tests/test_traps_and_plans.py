@@ -103,3 +103,20 @@ def test_search_reads_only_needed_columns(spark):
     plan = _plan(QQ.QUERIES["document_topics"](spark, SF001))
     schemas = [line for line in plan.splitlines() if "ReadSchema" in line]
     assert schemas and all("lang" not in s and "n_chars" not in s for s in schemas)
+
+
+def test_discovery_limit(spark):
+    import pytest
+
+    from pagetide.operators.extract import discover_urls
+    from pagetide.sources.tables import read_pages
+
+    pages = read_pages(spark, SF001)
+    with pytest.raises(ValueError):
+        discover_urls(pages, limit=0)
+    with pytest.raises(ValueError):
+        discover_urls(pages, limit=100_001)
+    capped = discover_urls(pages, limit=2)
+    per_site = {r["domain"]: r["n"] for r in capped.groupBy("domain").agg(F.count("*").alias("n")).collect()}
+    full = {r["domain"]: r["n"] for r in discover_urls(pages).groupBy("domain").agg(F.count("*").alias("n")).collect()}
+    assert per_site == {d: min(2, n) for d, n in full.items()}
