@@ -194,8 +194,14 @@ def page_links(spark, sf):
     return E.page_links(pages(spark, sf))
 
 
+@shared
+def text_table(spark, sf):
+    return E.main_text_table(pages(spark, sf))
+
+
 def keyword_summary(spark, sf):
-    return E.keyword_summary(E.main_text_table(pages(spark, sf)))
+    # the text feeds both the term counts and the lead sentence
+    return E.keyword_summary(text_table(spark, sf))
 
 
 def extract_markdown(spark, sf):
@@ -460,6 +466,7 @@ MATERIALIZE = {
     name: ("page_table",)
     for name in ("site_manifest", "site_description")
 }
+MATERIALIZE["keyword_summary"] = ("text_table",)
 QUERIES = {k: scoped(v, MATERIALIZE.get(k, ())) for k, v in QUERIES.items()}
 
 # Queries with no DuckDB twin (rows-only check): the Python-stage renderer.
