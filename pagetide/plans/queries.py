@@ -21,6 +21,7 @@ from pagetide.operators import sites as ST
 from pagetide.operators import sync as S
 from pagetide.plans import vocab as V
 from pagetide.sources import snapshots as SN
+from pagetide.plans.memo import scoped, shared
 from pagetide.sources.tables import read_pages
 
 # ---- query parameters (mirrored by the oracles) ---------------------------
@@ -41,45 +42,6 @@ Query = Callable[[SparkSession, str], DataFrame]
 # the documents, the site descriptions and the expansions). Within one query
 # build each shared sub-plan is constructed once; a new call builds afresh.
 
-_memo: dict | None = None
-_materialize: frozenset = frozenset()
-
-
-def shared(fn):
-    def wrapper(spark, sf, *args, **kwargs):
-        if _memo is None or args or kwargs:
-            return fn(spark, sf, *args, **kwargs)
-        key = (fn.__name__, sf)
-        if key not in _memo:
-            df = fn(spark, sf)
-            if fn.__name__ in _materialize:
-                # several consumers in this query: compute once, read back
-                # from the shared checkpoint folder (survives executor loss)
-                df = df.checkpoint()
-            _memo[key] = df
-        return _memo[key]
-
-    wrapper.__name__ = fn.__name__
-    return wrapper
-
-
-def scoped(fn, materialize: tuple[str, ...] = ()):
-    def run(spark, sf):
-        global _memo, _materialize
-        from pagetide.session import checkpoint_dir
-
-        checkpoint_dir(spark)
-        outer, outer_m = _memo, _materialize
-        if outer is None:
-            _memo, _materialize = {}, frozenset(materialize)
-        try:
-            return fn(spark, sf)
-        finally:
-            if outer is None:
-                _memo, _materialize = None, outer_m
-
-    return run
-
 
 @shared
 def pages(spark, sf):

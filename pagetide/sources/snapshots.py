@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from pagetide.operators.extract import keyed_pages
 from pagetide.functions.urls import batch_id_of
+from pagetide.plans.memo import shared
 from pagetide.sources.tables import read_pages
 
 # Run timestamps are parameters, never current_timestamp(): results must not
@@ -37,6 +38,7 @@ class SnapshotSpec:
 SPEC = SnapshotSpec()
 
 
+@shared
 def site_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(domain, url, seq) of every page; ``seq`` = page_id = list order."""
     return keyed_pages(read_pages(spark, sf_dir, "page_id", "url")).select("domain", "url", "seq")
