@@ -30,3 +30,18 @@ def test_entry_smoke(spark):
     df = entry.entry(spark)
     assert df.columns == ["domain", "slug", "citation"]
     assert df.count() > 0
+
+
+SPARK_T = {"string": "str", "bigint": "i64", "int": "i32", "double": "f64", "boolean": "bool", "timestamp": "ts"}
+DUCK_T = {"VARCHAR": "str", "BIGINT": "i64", "INTEGER": "i32", "DOUBLE": "f64", "BOOLEAN": "bool", "TIMESTAMP": "ts"}
+
+
+def test_schemas_match(spark, con):
+    bad = {}
+    for name, sql in SQLS.items():
+        sdt = {c: SPARK_T.get(t, t) for c, t in QUERIES[name](spark, SF001).dtypes}
+        rel = con.sql(sql)
+        ddt = {c: DUCK_T.get(str(t), str(t)) for c, t in zip(rel.columns, rel.types)}
+        if sdt != ddt:
+            bad[name] = (sdt, ddt)
+    assert not bad
