@@ -241,5 +241,8 @@ def extract_markdown(pages: DataFrame) -> DataFrame:
     closing tags inside script strings. Put the fetch-queue anti join
     upstream; Catalyst cannot push filters through ``mapInPandas``.
     """
+    from pagetide.session import ship_package
+
+    ship_package(pages.sparkSession)
     keyed = keyed_pages(pages.select("page_id", "url", "html")).select("domain", "url", "seq", "html")
     return keyed.mapInPandas(_render_batches, MARKDOWN_SCHEMA)

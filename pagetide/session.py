@@ -60,3 +60,44 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(current)
     return sc.getCheckpointDir() or current
+
+
+_shipped: set[tuple[int, str]] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``pagetide`` importable in executor Python workers.
+
+    Python stages (mapInPandas) pickle module functions by reference, so the
+    workers must import this package. The package is zipped in memory,
+    written to the shared checkpoint folder through the Hadoop FS API and
+    registered with ``addPyFile`` once per SparkContext.
+    """
+    import hashlib
+    import io
+    import zipfile
+
+    root = os.path.dirname(os.path.abspath(__file__))
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as zf:
+        for folder, _, files in sorted(os.walk(root)):
+            for name in sorted(files):
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    arc = os.path.join("pagetide", os.path.relpath(full, root))
+                    zf.writestr(zipfile.ZipInfo(arc, (2020, 1, 1, 0, 0, 0)), open(full, "rb").read())
+    data = buf.getvalue()
+    digest = hashlib.sha256(data).hexdigest()[:12]
+    sc = spark.sparkContext
+    key = (id(sc._jsc), digest)
+    if key in _shipped:
+        return
+    jvm = sc._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{checkpoint_dir(spark).rstrip('/')}/pyfiles/pagetide-{digest}.zip")
+    fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        out = fs.create(path, True)
+        out.write(bytearray(data))
+        out.close()
+    sc.addPyFile(path.toString())
+    _shipped.add(key)

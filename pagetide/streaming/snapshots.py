@@ -62,6 +62,9 @@ def miss_state_fn(threshold: int = S.DELETION_MISS_THRESHOLD):
 
 def miss_counter_stream(presence: DataFrame) -> DataFrame:
     """ST2 over a streaming DataFrame of ``PRESENCE_SCHEMA`` rows."""
+    from pagetide.session import ship_package
+
+    ship_package(presence.sparkSession)
     return presence.groupBy("domain", "url").applyInPandasWithState(
         miss_state_fn(), MISS_OUT_SCHEMA, MISS_STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout
     )
