@@ -3,8 +3,6 @@
 import json
 import os
 
-from pyspark.sql import functions as F
-
 from pagetide.sources import state as SS
 from pagetide.streaming.snapshots import scratch
 

@@ -1,12 +1,8 @@
 """Streaming forms (ST1-ST3) against their batch twins."""
 
-import os
-
 from conftest import SF001
 from pyspark.sql import functions as F
 
-from pagetide.operators import assemble as A
-from pagetide.operators import extract as E
 from pagetide.operators import sync as S
 from pagetide.plans.sync_job import SyncStore
 from pagetide.sources import snapshots as SN
