@@ -62,12 +62,8 @@ def page_lang(html: Column | str) -> Column:
 
 
 def content_html(html: Column | str) -> Column:
-    """HTML with comments, non-content elements and excluded blocks removed."""
-    s = F.regexp_replace(_c(html), P.COMMENT, "")
-    s = F.regexp_replace(s, P.NON_CONTENT, "")
-    s = F.regexp_replace(s, P.EXCLUDED_BLOCKS, "")
-    s = F.regexp_replace(s, P.EXCLUDED_DIVS, "")
-    return F.regexp_replace(s, P.IMG, "")
+    """HTML with comments, non-content elements and excluded blocks removed (one pass)."""
+    return F.regexp_replace(_c(html), P.REMOVE_BLOCKS, "")
 
 
 def markdown_lite(html: Column | str) -> Column:
@@ -76,16 +72,15 @@ def markdown_lite(html: Column | str) -> Column:
     headings -> ``#``..``######``, paragraphs -> blank lines, ``<br>`` ->
     newline, list items -> ``- ``, links -> ``[text](href)``; other tags
     dropped; entities decoded; spaces collapsed per line; at most one blank
-    line in a row.
+    line in a row. Tag classes that are disjoint share one regex pass.
     """
     s = content_html(html)
+    s = F.regexp_replace(s, P.HEADING_OPEN_ANY, "\n\n" + P.HEADING_MARK + "$1 ")
     for n in range(1, 7):
-        s = F.regexp_replace(s, P.HEADING_OPEN.format(n=n), "\n\n" + "#" * n + " ")
-    s = F.regexp_replace(s, P.HEADING_CLOSE, "\n\n")
-    s = F.regexp_replace(s, P.BR_TAG, "\n")
-    s = F.regexp_replace(s, P.PARA, "\n\n")
+        s = F.replace(s, F.lit(f"{P.HEADING_MARK}{n} "), F.lit("#" * n + " "))
+    s = F.regexp_replace(s, P.DOUBLE_BREAK, "\n\n")
+    s = F.regexp_replace(s, P.SINGLE_BREAK, "\n")
     s = F.regexp_replace(s, P.LIST_ITEM, "\n- ")
-    s = F.regexp_replace(s, P.BLOCK_CLOSE, "\n")
     s = F.regexp_replace(s, P.ANCHOR, "[$2]($1)")
     s = F.regexp_replace(s, P.ANY_TAG, "")
     s = decode_entities(s)

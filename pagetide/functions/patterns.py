@@ -83,6 +83,23 @@ EXCLUDED_DIVS = (
     + r")[\"'][^>]*>.*?</(div|section|span)>"
 )
 IMG = r"(?is)<img\b[^>]*>"
+# All of the above removed in one pass (leftmost block wins).
+REMOVE_BLOCKS = (
+    r"(?is)<!--.*?-->|<head\b.*?</head>|<script\b.*?</script>|<style\b.*?</style>"
+    r"|<noscript\b.*?</noscript>|<template\b.*?</template>|<svg\b.*?</svg>|"
+    + "|".join(rf"<{t}\b.*?</{t}>" for t in EXCLUDED_TAGS)
+    + r"|<(div|section|span)\b[^>]*\b(class|id)=[\"'](" + "|".join(EXCLUDED_CLASSES)
+    + r")[\"'][^>]*>.*?</(div|section|span)>|<img\b[^>]*>"
+)
+# Heading open tags become a private-use marker + level, then literal
+# replaces turn "marker+N " into N '#' (byte-level, no regex).
+HEADING_MARK = "\ue000"
+HEADING_OPEN_ANY = r"(?i)<h([1-6])\b[^>]*>"
+# Tags that become a blank line / a line break (disjoint tag sets, one pass each).
+DOUBLE_BREAK = r"(?i)</h[1-6]" + WS + r"*>|</?p\b[^>]*>"
+SINGLE_BREAK = (
+    r"(?i)<br" + WS + r"*/?>|</(li|ul|ol|div|section|article|main|table|tr|blockquote)" + WS + r"*>"
+)
 HEADING_OPEN = r"(?i)<h{n}\b[^>]*>"
 HEADING_CLOSE = r"(?i)</h[1-6]" + WS + r"*>"
 PARA = r"(?i)</?p\b[^>]*>"

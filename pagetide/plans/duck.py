@@ -222,22 +222,17 @@ def page_lang(html: str) -> str:
 
 
 def content_html(html: str) -> str:
-    s = rr(html, P.COMMENT, "")
-    s = rr(s, P.NON_CONTENT, "")
-    s = rr(s, P.EXCLUDED_BLOCKS, "")
-    s = rr(s, P.EXCLUDED_DIVS, "")
-    return rr(s, P.IMG, "")
+    return rr(html, P.REMOVE_BLOCKS, "")
 
 
 def markdown_lite(html: str) -> str:
     s = content_html(html)
+    s = rr(s, P.HEADING_OPEN_ANY, "\n\n" + P.HEADING_MARK + r"\1 ")
     for n in range(1, 7):
-        s = rr(s, P.HEADING_OPEN.format(n=n), "\n\n" + "#" * n + " ")
-    s = rr(s, P.HEADING_CLOSE, "\n\n")
-    s = rr(s, P.BR_TAG, "\n")
-    s = rr(s, P.PARA, "\n\n")
+        s = f"replace({s}, {lit(P.HEADING_MARK + str(n) + ' ')}, {lit('#' * n + ' ')})"
+    s = rr(s, P.DOUBLE_BREAK, "\n\n")
+    s = rr(s, P.SINGLE_BREAK, "\n")
     s = rr(s, P.LIST_ITEM, "\n- ")
-    s = rr(s, P.BLOCK_CLOSE, "\n")
     s = rr(s, P.ANCHOR, r"[\2](\1)")
     s = rr(s, P.ANY_TAG, "")
     s = decode_entities(s)
