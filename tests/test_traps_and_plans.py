@@ -120,3 +120,21 @@ def test_discovery_limit(spark):
     per_site = {r["domain"]: r["n"] for r in capped.groupBy("domain").agg(F.count("*").alias("n")).collect()}
     full = {r["domain"]: r["n"] for r in discover_urls(pages).groupBy("domain").agg(F.count("*").alias("n")).collect()}
     assert per_site == {d: min(2, n) for d, n in full.items()}
+
+
+def test_python_renderer_agrees_with_native_text(spark):
+    """E2 (tag-stack parser) and E3 (regex) see the same words on the fixture."""
+    from pagetide.operators import extract as E
+    from pagetide.sources.tables import read_pages
+
+    pages = read_pages(spark, SF001)
+    py = E.extract_markdown(pages).select("url", E.main_text(F.col("markdown")).alias("a"))
+    nat = E.main_text_table(pages).select("url", F.col("text").alias("b"))
+    words = lambda c: F.array_distinct(F.split(F.lower(c), r"[^\p{L}\p{N}]+"))
+    j = py.join(nat, "url").select(
+        F.size(F.array_intersect(words("a"), words("b"))).alias("i"),
+        F.size(F.array_union(words("a"), words("b"))).alias("u"),
+    )
+    ratios = [r["i"] / r["u"] for r in j.collect() if r["u"]]
+    assert len(ratios) == pages.count()
+    assert sum(x >= 0.95 for x in ratios) >= 0.9 * len(ratios)
