@@ -170,7 +170,8 @@ def sync(
     missing, render, delete what is confirmed gone, commit a new version.
 
     ``new_map``: ``(domain, url, seq)`` from discovery (E5 or a map table);
-    ``pages``: raw ``(page_id, url, html)`` — only queued URLs are extracted.
+    ``pages``: raw ``(page_id, url, html)``, looked up by exact URL — only
+    queued URLs are extracted.
     Returns the run's report tables (already written unless ``dry_run``).
     """
     prev_map = store.read("map")
