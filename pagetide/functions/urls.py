@@ -108,6 +108,15 @@ def url_path(url: Column | str) -> Column:
     return F.regexp_replace(path, r";[^/]*\z", "")
 
 
+def _let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and pass it to ``body`` (a one-element transform).
+
+    Keeps expressions that use an intermediate several times from growing
+    into duplicated subtrees in generated code.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def url_slug(url: Column | str) -> Column:
     """Page key inside a site (file name in the reference).
 
@@ -116,18 +125,18 @@ def url_slug(url: Column | str) -> Column:
     80 chars -> first 80 + ``-`` + 8 hex of sha256(url).
     """
     u = _c(url)
-    path = url_path(F.regexp_replace(u, r"/+\z", ""))
-    path = F.regexp_replace(path, r"\A/+|/+\z", "")
-    slug = F.regexp_replace(F.lower(F.replace(path, F.lit("/"), F.lit("--"))), r"[^a-z0-9\-]", "")
-    slug = F.when(
-        F.length(slug) > P.MAX_SLUG_LEN,
-        F.concat(
-            F.substring(slug, 1, P.MAX_SLUG_LEN),
-            F.lit("-"),
-            F.substring(F.sha2(u, 256), 1, P.SLUG_HASH_LEN),
-        ),
-    ).otherwise(slug)
-    return F.when(path == "", F.lit("index")).otherwise(slug)
+    path = F.regexp_replace(url_path(F.regexp_replace(u, r"/+\z", "")), r"\A/+|/+\z", "")
+
+    def from_path(p: Column) -> Column:
+        slug = F.regexp_replace(F.lower(F.replace(p, F.lit("/"), F.lit("--"))), r"[^a-z0-9\-]", "")
+
+        def finish(sl: Column) -> Column:
+            long = F.concat(F.substring(sl, 1, P.MAX_SLUG_LEN), F.lit("-"), F.substring(F.sha2(u, 256), 1, P.SLUG_HASH_LEN))
+            return F.when(p == "", F.lit("index")).when(F.length(sl) > P.MAX_SLUG_LEN, long).otherwise(sl)
+
+        return _let(slug, finish)
+
+    return _let(path, from_path)
 
 
 def is_content_url(url: Column | str) -> Column:
