@@ -138,3 +138,18 @@ def test_python_renderer_agrees_with_native_text(spark):
     ratios = [r["i"] / r["u"] for r in j.collect() if r["u"]]
     assert len(ratios) == pages.count()
     assert sum(x >= 0.95 for x in ratios) >= 0.9 * len(ratios)
+
+
+def test_no_query_plans_cross_products(spark):
+    """No registered query pairs rows without a key (cartesian / nested-loop joins)."""
+    from pagetide.plans.queries import QUERIES
+
+    bad = {}
+    for name, fn in QUERIES.items():
+        if name == "miss_counter_stream":  # executes a stream; its batch twin is miss_history
+            continue
+        plan = _plan(fn(spark, SF001))
+        hits = [op for op in ("CartesianProduct", "BroadcastNestedLoopJoin") if op in plan]
+        if hits:
+            bad[name] = hits
+    assert not bad
