@@ -79,7 +79,15 @@ def run_miss_counter_stream(spark: SparkSession, run_map: DataFrame) -> DataFram
     runs = [r["run_id"] for r in presence.select("run_id").distinct().orderBy("run_id").collect()]
     for r in runs:  # one append per run: the stream sees runs in commit order
         presence.where(F.col("run_id") == r).write.mode("append").parquet(f"{base}/in")
-    src = spark.readStream.schema(PRESENCE_SCHEMA).parquet(f"{base}/in")
+    # The state store is partitioned by spark.sql.shuffle.partitions at the
+    # first run of a checkpoint. When the session never configured it (Spark's
+    # default of 200), size it to the cluster in an isolated session instead.
+    sess = spark.newSession()
+    if not spark.sparkContext.getConf().contains("spark.sql.shuffle.partitions") and (
+        spark.conf.get("spark.sql.shuffle.partitions") == "200"
+    ):
+        sess.conf.set("spark.sql.shuffle.partitions", str(spark.sparkContext.defaultParallelism))
+    src = sess.readStream.schema(PRESENCE_SCHEMA).parquet(f"{base}/in")
     q = (
         miss_counter_stream(src)
         .writeStream.format("parquet")
