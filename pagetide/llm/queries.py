@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pagetide.llm.licenses import op2_license_scan
 from pagetide.llm.quality import op7_quality_rules
 
 QUERIES = {
+    "op2_license_scan": op2_license_scan,
     "op7_quality_rules": op7_quality_rules,
 }
 
