@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from pagetide.llm.licenses import op2_license_scan
+from pagetide.llm.packing import op10_packing
 from pagetide.llm.quality import op7_quality_rules
+from pagetide.llm.tokens import op8_token_counts
 
 QUERIES = {
     "op2_license_scan": op2_license_scan,
     "op7_quality_rules": op7_quality_rules,
+    "op8_token_counts": op8_token_counts,
+    "op10_packing": op10_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {}
