@@ -50,3 +50,40 @@ def split_words(text: Column) -> Column:
 def re_literal(pattern: str) -> str:
     """``pattern`` as a SQL string literal (backslashes kept)."""
     return "r'" + pattern.replace("'", "\\x27") + "'"
+
+
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once per row and use it several times in ``body``."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def regex_spans(text: Column, pattern: Column, fields, schema: str) -> Column:
+    """Matches of ``pattern`` in ``text`` as an array of structs.
+
+    ``fields(start, stop, hit, before, after)`` makes a struct's columns, in
+    the order of ``schema``; positions are code points, ``before`` and
+    ``after`` the text up to the neighbouring matches. ``pattern`` must not
+    match the empty string.
+    """
+
+    def place(found):
+        def walk(gaps):
+            def step(acc, m):
+                start = (acc["at"] + F.char_length(m["gap"])).cast("long")
+                stop = (start + F.char_length(m["hit"])).cast("long")
+                row = F.struct(*fields(start, stop, m["hit"], m["gap"], m["next"]))
+                return F.struct(stop.alias("at"), F.concat(acc["out"], F.array(row)).cast(schema).alias("out"))
+
+            n = F.size(found)
+            sides = F.zip_with(
+                F.slice(gaps, F.lit(1), n), F.slice(gaps, F.lit(2), n), lambda g, x: F.struct(g.alias("gap"), x.alias("next"))
+            )
+            matches = F.zip_with(
+                sides, found, lambda s, h: F.struct(s["gap"].alias("gap"), s["next"].alias("next"), h.alias("hit"))
+            )
+            zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(schema).alias("out"))
+            return F.aggregate(matches, zero, step, lambda acc: acc["out"])
+
+        return F.when(F.size(found) == 0, F.array().cast(schema)).otherwise(let(F.split(text, pattern, -1), walk))
+
+    return let(F.regexp_extract_all(text, pattern, F.lit(0)), place)

@@ -19,7 +19,7 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagetide.llm.common import documents, text_or_empty
+from pagetide.llm.common import documents, let, regex_spans, text_or_empty
 from pagetide.llm.license_rules import GATE, rules
 
 # a word character before lower-casing, and its complement
@@ -39,10 +39,6 @@ BASE = rf"(?i)(?<!{_IN})(?:{'|'.join(map(_phrase, PHRASES))})(?!{_IN})"
 SPANS = "array<struct<start:bigint,stop:bigint,label:string,priority:int,rule:int>>"
 
 
-def _let(value: Column, body) -> Column:
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def rule_table() -> Column:
     rows = [
         {"label": r.label, "priority": r.priority, "k1": r.keywords[0], "k2": r.keywords[1], "pattern": r.pattern, "rule": i}
@@ -55,32 +51,18 @@ def rule_table() -> Column:
 
 def _spans(text: Column, r: Column) -> Column:
     """Spans (code points, end exclusive) of one rule's matches in ``text``."""
-
-    def place(found):
-        def walk(between):
-            step = lambda acc, m: F.struct(
-                (acc["at"] + F.char_length(m["gap"]) + F.char_length(m["hit"])).alias("at"),
-                F.concat(acc["out"], F.array(F.struct(
-                    (acc["at"] + F.char_length(m["gap"])).cast("long").alias("start"),
-                    (acc["at"] + F.char_length(m["gap"]) + F.char_length(m["hit"])).cast("long").alias("stop"),
-                    r["label"].alias("label"), r["priority"].alias("priority"), r["rule"].alias("rule"),
-                ))).alias("out"),
-            )
-            pairs = F.zip_with(
-                F.slice(between, F.lit(1), F.size(found)), found, lambda g, h: F.struct(g.alias("gap"), h.alias("hit"))
-            )
-            start = F.struct(F.lit(0).cast("int").alias("at"), F.array().cast(SPANS).alias("out"))
-            return F.aggregate(pairs, start, step, lambda acc: acc["out"])
-
-        none = F.array().cast(SPANS)
-        return F.when(F.size(found) == 0, none).otherwise(_let(F.split(text, r["pattern"], -1), walk))
-
-    return _let(F.regexp_extract_all(text, r["pattern"], F.lit(0)), place)
+    return regex_spans(
+        text, r["pattern"],
+        lambda start, stop, hit, before, after: (
+            start.alias("start"), stop.alias("stop"), r["label"].alias("label"), r["priority"].alias("priority"), r["rule"].alias("rule"),
+        ),
+        SPANS,
+    )
 
 
 def detections(text: Column, lower: Column) -> Column:
     """All spans of all rules whose keywords occur, suppressed ones removed."""
-    runnable = _let(lower, lambda low: F.filter(rule_table(), lambda r: F.contains(low, r["k1"]) & F.contains(low, r["k2"])))
+    runnable = let(lower, lambda low: F.filter(rule_table(), lambda r: F.contains(low, r["k1"]) & F.contains(low, r["k2"])))
     every = F.flatten(F.transform(runnable, lambda r: _spans(text, r)))
 
     def beaten(a: Column, b: Column) -> Column:
@@ -93,7 +75,7 @@ def detections(text: Column, lower: Column) -> Column:
     # Sorted by start, a container never starts later; the widest stop seen so
     # far does not decide priority, so the spans of a text are compared. Their
     # number is the number of mentions in one text.
-    return _let(F.array_sort(every), lambda s: F.filter(s, lambda a: ~F.exists(s, lambda b: beaten(a, b))))
+    return let(F.array_sort(every), lambda s: F.filter(s, lambda a: ~F.exists(s, lambda b: beaten(a, b))))
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -111,11 +93,11 @@ def scan(docs: DataFrame) -> DataFrame:
     found = F.size("_hits") > 0
     df = df.withColumns({
         "n_base": F.size("_hits").cast("long"),
-        "first_word": F.when(found, _let(parts, lambda p: F.regexp_count(F.get(p, F.lit(0)), word)).cast("long")),
+        "first_word": F.when(found, let(parts, lambda p: F.regexp_count(F.get(p, F.lit(0)), word)).cast("long")),
         "last_word": F.when(
             found,
             F.col("n_words")
-            - _let(parts, lambda p: F.regexp_count(F.element_at(p, -1), word))
+            - let(parts, lambda p: F.regexp_count(F.element_at(p, -1), word))
             - F.regexp_count(F.element_at("_hits", -1), word),
         ).cast("long"),
         "_base": F.array_sort(F.array_distinct(F.transform("_hits", base_label))),

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagetide.llm import weak
-from pagetide.llm.common import materialize, text_or_empty
+from pagetide.llm.common import documents, let, materialize, text_or_empty
 
 THRESHOLD = 0.5
 MIN_WORDS = 50
@@ -31,11 +31,6 @@ FALSE_ALARM = (0.05, 0.004, 0.004, 0.2, 0.02, 0.004, 0.01)
 P_GOOD, P_BAD, PRIOR_GOOD = (0.002, 0.198, 0.80), (0.30, 0.25, 0.45), 0.85
 
 
-def _let(value: Column, body) -> Column:
-    """Evaluate ``value`` once per row and use it several times in ``body``."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def repeat_words(words: Column) -> Column:
     """Words inside 3-word windows that occur at least twice in the array."""
 
@@ -65,13 +60,13 @@ def repeat_words(words: Column) -> Column:
         def repeated(t):
             pairs = F.transform(t, lambda x, i: F.struct(x.alias("h"), i.alias("i")))
             return F.when(F.size(F.array_distinct(t)) == F.size(t), F.lit(0).cast("long")).otherwise(
-                _let(_let(F.sort_array(pairs), starts), total)
+                let(let(F.sort_array(pairs), starts), total)
             )
 
         hashed = F.transform(w, lambda x: F.xxhash64(x))
-        return F.when(n >= 3, _let(_let(hashed, windows), repeated)).otherwise(F.lit(0).cast("long"))
+        return F.when(n >= 3, let(let(hashed, windows), repeated)).otherwise(F.lit(0).cast("long"))
 
-    return _let(words, covered)
+    return let(words, covered)
 
 
 def features(docs: DataFrame) -> DataFrame:
@@ -144,8 +139,6 @@ def keep_good(docs: DataFrame) -> DataFrame:
 
 
 def op7_quality_rules(spark, sf_dir: str) -> DataFrame:
-    from pagetide.llm.common import documents
-
     return assess(documents(spark, sf_dir).select("doc_id", "text"), ["doc_id"]).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         "base_failed", "kept", F.round("quality", 6).alias("quality"),

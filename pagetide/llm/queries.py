@@ -3,15 +3,21 @@
 from __future__ import annotations
 
 from pagetide.llm.licenses import op2_license_scan
+from pagetide.llm.mixing import OP4_SQL, op4_mixing
 from pagetide.llm.packing import op10_packing
+from pagetide.llm.pii import op5_pii
 from pagetide.llm.quality import op7_quality_rules
 from pagetide.llm.tokens import op8_token_counts
 
 QUERIES = {
     "op2_license_scan": op2_license_scan,
+    "op4_mixing": op4_mixing,
+    "op5_pii": op5_pii,
     "op7_quality_rules": op7_quality_rules,
     "op8_token_counts": op8_token_counts,
     "op10_packing": op10_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_mixing": OP4_SQL,
+}

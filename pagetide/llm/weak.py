@@ -25,14 +25,51 @@ class LabelModel:
     weights: tuple[tuple[float, float, float], ...]  # for votes -1, 0, +1
     reliabilities: tuple[float, ...]  # P(vote agrees with the class | it votes)
 
-    def log_odds(self) -> Column:
+    def log_odds(self, get=F.col) -> Column:
         total = F.lit(self.bias)
         for name, (neg, zero, pos) in zip(self.labelers, self.weights):
-            total = total + F.when(F.col(name) < 0, neg).when(F.col(name) > 0, pos).otherwise(zero)
+            total = total + F.when(get(name) < 0, neg).when(get(name) > 0, pos).otherwise(zero)
         return total
 
-    def posterior(self) -> Column:
-        return F.lit(1.0) / (F.lit(1.0) + F.exp(-self.log_odds()))
+    def posterior(self, get=F.col) -> Column:
+        return F.lit(1.0) / (F.lit(1.0) + F.exp(-self.log_odds(get)))
+
+
+@dataclass(frozen=True)
+class NaiveBayes:
+    """Classifier over categorical features, fitted on soft labels."""
+
+    bias: float
+    tables: tuple[tuple[str, tuple[tuple[object, float], ...]], ...]
+
+    def probability(self, get=F.col) -> Column:
+        total = F.lit(self.bias)
+        for name, weights in self.tables:
+            term = None
+            for value, weight in weights:
+                term = F.when(get(name) == value, weight) if term is None else term.when(get(name) == value, weight)
+            if term is not None:
+                total = total + term.otherwise(0.0)
+        return F.lit(1.0) / (F.lit(1.0) + F.exp(-total))
+
+
+def fit_naive_bayes(df: DataFrame, features: list[str], p: Column) -> NaiveBayes:
+    """Fit on posteriors ``p``; ``features`` must have few distinct values (the
+    sums per combination come to the driver)."""
+    rows = df.groupBy(*features).agg(F.sum(p).alias("pos"), F.sum(F.lit(1.0) - p).alias("neg")).collect()
+    pos, neg = sum(r["pos"] for r in rows) + 1.0, sum(r["neg"] for r in rows) + 1.0
+    tables = []
+    for name in features:
+        sums: dict = {}
+        for r in rows:
+            a, b = sums.get(r[name], (0.0, 0.0))
+            sums[r[name]] = (a + r["pos"], b + r["neg"])
+        k = max(1, len(sums))
+        tables.append((name, tuple(
+            (value, math.log((a + 1.0) / (pos + k)) - math.log((b + 1.0) / (neg + k)))
+            for value, (a, b) in sorted(sums.items(), key=str) if value is not None
+        )))
+    return NaiveBayes(math.log(pos / neg), tuple(tables))
 
 
 def vote_patterns(df: DataFrame, labelers: list[str], extra: list[str] = ()) -> list:
