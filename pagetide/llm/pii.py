@@ -189,7 +189,8 @@ def _digest_text(spans: Column) -> Column:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """``docs`` with each accepted span of ``text`` replaced by ``<KIND>``."""
+    """``docs`` with each accepted span of ``text`` replaced by ``<KIND>``; a
+    column ``n_chars`` is counted anew where a text changed."""
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("text"))
     df = label(packed, ["_row"])
     ordered = F.sort_array(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["kind"].alias("kind"))))
@@ -209,7 +210,12 @@ def redact(docs: DataFrame) -> DataFrame:
         lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, (acc["at"] + 1).cast("int"), F.char_length(text))),
     )
     df = df.withColumn("_clean", F.when(F.size("spans") == 0, text).otherwise(clean))
-    return df.select(*[F.col("_clean").alias("text") if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns])
+    new = {"text": F.col("_clean")}
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        old = F.col("_row")["n_chars"]
+        new["n_chars"] = F.when(F.size("spans") == 0, old).otherwise(F.char_length("_clean").cast(kind))
+    return df.select(*[new.get(c, F.col("_row")[c]).alias(c) for c in docs.columns])
 
 
 def op5_pii(spark, sf_dir: str) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from pagetide.llm.licenses import op2_license_scan
+from pagetide.llm.minhash import op1_minhash_dedup
 from pagetide.llm.mixing import OP4_SQL, op4_mixing
 from pagetide.llm.packing import op10_packing
 from pagetide.llm.pii import op5_pii
@@ -10,6 +12,8 @@ from pagetide.llm.quality import op7_quality_rules
 from pagetide.llm.tokens import op8_token_counts
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
+    "op1_minhash_dedup": op1_minhash_dedup,
     "op2_license_scan": op2_license_scan,
     "op4_mixing": op4_mixing,
     "op5_pii": op5_pii,
@@ -21,3 +25,5 @@ QUERIES = {
 ORACLE_SQL: dict[str, str] = {
     "op4_mixing": OP4_SQL,
 }
+if corpus_pipeline.ORACLE_SQL is not None:
+    ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
