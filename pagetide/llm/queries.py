@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
+from pagetide.llm.epsgrid import op3_epsilon_grid
 from pagetide.llm.licenses import op2_license_scan
 from pagetide.llm.minhash import op1_minhash_dedup
 from pagetide.llm.mixing import OP4_SQL, op4_mixing
@@ -15,6 +16,7 @@ QUERIES = {
     "pipeline": corpus_pipeline.run,
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_license_scan": op2_license_scan,
+    "op3_epsilon_grid": op3_epsilon_grid,
     "op4_mixing": op4_mixing,
     "op5_pii": op5_pii,
     "op7_quality_rules": op7_quality_rules,
