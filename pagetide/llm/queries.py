@@ -10,6 +10,7 @@ from pagetide.llm.mixing import OP4_SQL, op4_mixing
 from pagetide.llm.packing import op10_packing
 from pagetide.llm.pii import op5_pii
 from pagetide.llm.quality import op7_quality_rules
+from pagetide.llm.substrings import op9_substring_dedup
 from pagetide.llm.tokens import op8_token_counts
 
 QUERIES = {
@@ -21,6 +22,7 @@ QUERIES = {
     "op5_pii": op5_pii,
     "op7_quality_rules": op7_quality_rules,
     "op8_token_counts": op8_token_counts,
+    "op9_substring_dedup": op9_substring_dedup,
     "op10_packing": op10_packing,
 }
 
