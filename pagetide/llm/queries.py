@@ -10,6 +10,7 @@ from pagetide.llm.mixing import OP4_SQL, op4_mixing
 from pagetide.llm.packing import op10_packing
 from pagetide.llm.pii import op5_pii
 from pagetide.llm.quality import op7_quality_rules
+from pagetide.llm.runindex import op6_run_index
 from pagetide.llm.substrings import op9_substring_dedup
 from pagetide.llm.tokens import op8_token_counts
 
@@ -20,6 +21,7 @@ QUERIES = {
     "op3_epsilon_grid": op3_epsilon_grid,
     "op4_mixing": op4_mixing,
     "op5_pii": op5_pii,
+    "op6_run_index": op6_run_index,
     "op7_quality_rules": op7_quality_rules,
     "op8_token_counts": op8_token_counts,
     "op9_substring_dedup": op9_substring_dedup,
