@@ -94,9 +94,13 @@ def miss_counter(
     health: DataFrame,
     run_ts: str,
     threshold: int = DELETION_MISS_THRESHOLD,
+    count: bool = True,
 ) -> DataFrame:
     """One run of the debounced deletion rule (Decisions 1-2).
 
+    ``count=False`` (a forced run, which is compared with nothing) counts no
+    miss and deletes nothing; candidates that are back are still cleared.
+
     misses = (last trusted map ∪ candidates) minus new map, on trusted sites
     only; candidates back in the new map are cleared on every site; a count
     reaching ``threshold`` deletes. Output keeps all three outcomes in
@@ -114,6 +118,7 @@ def miss_counter(
     missing = (
         known.join(_keys(cur), ["domain", "url"], "left_anti")
         .join(trusted_sites, "domain", "left_semi")
+        .where(F.lit(count))
         .withColumn("_miss", F.lit(True))
     )
     back = cand.join(_keys(cur).withColumn("_back", F.lit(True)), ["domain", "url"], "left")
@@ -140,18 +145,53 @@ def miss_counter(
 
 
 def run_health(run_map: DataFrame, max_ratio: float = MAX_DELETION_RATIO) -> DataFrame:
-    """J2 per (domain, run_id), each run checked against the run before it."""
-    w = Window.partitionBy("domain", "url").orderBy("run_id")
-    x = run_map.withColumn("_prev", F.coalesce(F.lag("present").over(w), F.lit(False)))
-    g = x.groupBy("domain", "run_id").agg(
-        F.count_if("_prev").alias("n_cached"),
-        F.count_if("present").alias("n_new"),
-        F.count_if(F.col("_prev") & ~F.col("present")).alias("n_deleted"),
+    """J2 per (domain, run_id), each run checked against the last trusted run
+    before it (a site's first run has nothing to be checked against).
+
+    Which run is compared with which depends on the verdicts in between, so
+    the losses between any two runs are counted first, from the URLs that are
+    present in one and absent in the other (one shuffle on the URL; a stable URL
+    adds nothing), and each site's verdicts are folded over its runs. A site
+    contributes one row per run and at most one per pair of runs to its fold.
+    """
+    n_new = run_map.groupBy("domain", "run_id").agg(F.count_if("present").alias("n"))
+    seen = run_map.groupBy("domain", "url").agg(
+        F.sort_array(F.collect_set(F.when(F.col("present"), F.col("run_id")))).alias("here"),
+        F.sort_array(F.collect_set(F.when(~F.col("present"), F.col("run_id")))).alias("away"),
+    )
+    lost = (
+        seen.where((F.size("here") > 0) & (F.size("away") > 0))
+        .select("domain", F.explode("here").alias("base"), "away")
+        .select("domain", "base", F.explode(F.filter("away", lambda r: r > F.col("base"))).alias("run_id"))
+        .groupBy("domain", "base", "run_id").agg(F.count(F.lit(1)).alias("n_lost"))
+        .groupBy("domain").agg(
+            F.map_from_entries(F.collect_list(F.struct(F.concat_ws(":", "base", "run_id"), "n_lost"))).alias("lost")
+        )
+    )
+    per_site = n_new.groupBy("domain").agg(F.sort_array(F.collect_list(F.struct("run_id", "n"))).alias("runs"))
+    out_type = "array<struct<run_id:int,n_cached:bigint,n_new:bigint,n_deleted:bigint,trusted:boolean>>"
+
+    def step(acc, run):
+        key = F.concat_ws(":", acc["base"].cast("string"), run["run_id"].cast("string"))
+        n_lost = F.coalesce(F.try_element_at(F.col("lost"), key), F.lit(0).cast("bigint"))
+        trusted = F.when(acc["n"] == 0, True).when(run["n"] == 0, False).otherwise(n_lost < max_ratio * acc["n"])
+        row = F.struct(
+            run["run_id"].cast("int").alias("run_id"), acc["n"].alias("n_cached"), run["n"].alias("n_new"),
+            n_lost.alias("n_deleted"), trusted.alias("trusted"),
+        )
+        return F.struct(
+            F.when(trusted, run["run_id"].cast("int")).otherwise(acc["base"]).alias("base"),
+            F.when(trusted, run["n"]).otherwise(acc["n"]).alias("n"),
+            F.concat(acc["out"], F.array(row)).cast(out_type).alias("out"),
+        )
+
+    start = F.struct(
+        F.lit(None).cast("int").alias("base"), F.lit(0).cast("bigint").alias("n"), F.array().cast(out_type).alias("out")
     )
-    trusted = (F.col("n_cached") == 0) | (
-        (F.col("n_new") > 0) & (F.col("n_deleted") / F.col("n_cached") < max_ratio)
+    folded = per_site.join(lost, "domain", "left").select(
+        "domain", F.explode(F.aggregate("runs", start, step, lambda acc: acc["out"])).alias("h")
     )
-    return g.select("domain", "run_id", "n_cached", "n_new", "n_deleted", trusted.alias("trusted"))
+    return folded.select("domain", "h.run_id", "h.n_cached", "h.n_new", "h.n_deleted", "h.trusted")
 
 
 def miss_history(run_map: DataFrame, threshold: int = DELETION_MISS_THRESHOLD) -> DataFrame:

@@ -42,7 +42,7 @@ def build(select: str, *deps: str) -> str:
     names = _order(deps)
     if not names:
         return select
-    return "WITH " + ",\n".join(f"{n} AS (\n{CTES[n][0]}\n)" for n in names) + "\n" + select
+    return "WITH RECURSIVE " + ",\n".join(f"{n} AS (\n{CTES[n][0]}\n)" for n in names) + "\n" + select
 
 
 L = D.lit
@@ -274,16 +274,33 @@ FROM (
     "cur_map",
     "health",
 )
+# each run against the last trusted one: a walk over the runs of every site
+cte(
+    "run_steps",
+    """SELECT a.domain, a.run_id, a.n_new, b.run_id AS base, b.n_new AS n_cached, coalesce(l.n, 0) AS n_deleted,
+  a.nth FROM (SELECT domain, run_id, count(*) FILTER (WHERE present) AS n_new,
+                     row_number() OVER (PARTITION BY domain ORDER BY run_id) AS nth FROM run_map GROUP BY domain, run_id) a
+JOIN (SELECT domain, run_id, count(*) FILTER (WHERE present) AS n_new FROM run_map GROUP BY domain, run_id) b
+  ON a.domain = b.domain AND b.run_id < a.run_id
+LEFT JOIN (SELECT x.domain, x.run_id AS base, y.run_id, count(*) AS n FROM run_map x JOIN run_map y
+             ON x.domain = y.domain AND x.url = y.url AND x.run_id < y.run_id
+           WHERE x.present AND NOT y.present GROUP BY ALL) l
+  ON l.domain = a.domain AND l.base = b.run_id AND l.run_id = a.run_id""",
+    "run_map",
+)
 cte(
-    "run_health",
-    f"""SELECT domain, run_id, n_cached, n_new, n_deleted,
-  (n_cached = 0 OR (n_new > 0 AND n_deleted::DOUBLE / n_cached < {SY.MAX_DELETION_RATIO})) AS trusted
-FROM (SELECT domain, run_id, count(*) FILTER (WHERE _prev) AS n_cached, count(*) FILTER (WHERE present) AS n_new,
-             count(*) FILTER (WHERE _prev AND NOT present) AS n_deleted
-      FROM (SELECT *, coalesce(lag(present) OVER (PARTITION BY domain, url ORDER BY run_id), false) AS _prev FROM run_map)
-      GROUP BY domain, run_id)""",
+    "run_walk",
+    """SELECT domain, run_id, 1::BIGINT AS nth, run_id AS next_base, 0::BIGINT AS n_cached, n_new, 0::BIGINT AS n_deleted, true AS trusted
+FROM (SELECT domain, run_id, count(*) FILTER (WHERE present) AS n_new FROM run_map GROUP BY domain, run_id)
+QUALIFY row_number() OVER (PARTITION BY domain ORDER BY run_id) = 1
+UNION ALL
+SELECT domain, run_id, nth, CASE WHEN ok THEN run_id ELSE base END, n_cached, n_new, n_deleted, ok
+FROM (SELECT s.*, s.n_cached = 0 OR (s.n_new > 0 AND 10 * s.n_deleted < 3 * s.n_cached) AS ok
+      FROM run_walk w JOIN run_steps s ON s.domain = w.domain AND s.nth = w.nth + 1 AND s.base = w.next_base)""",
     "run_map",
+    "run_steps",
 )
+cte("run_health", "SELECT domain, run_id, n_cached, n_new, n_deleted, trusted FROM run_walk", "run_walk")
 cte(
     "miss_history",
     f"""SELECT domain, url, run_id, consecutive_misses, consecutive_misses = {SY.DELETION_MISS_THRESHOLD} AS deleted

@@ -123,3 +123,16 @@ def test_miss_rule_vectors(spark):
 
     assert history([True, False, False, False]) == [0, 1, 2, 3]
     assert history([True, False, True, False]) == [0, 1, 0, 1]
+
+
+def test_health_is_checked_against_the_last_trusted_run(spark):
+    """Full map, empty map, degraded map: the degraded one is compared with the
+    full one, so it is not trusted and counts no miss; a healthy one then is."""
+    urls = [f"u{i}" for i in range(10)]
+    present = {0: urls, 1: [], 2: urls[:1], 3: urls[:9], 4: urls[:9]}
+    rows = [("a.com", u, r, u in have) for r, have in present.items() for u in urls]
+    rm = spark.createDataFrame(rows, "domain string, url string, run_id int, present boolean")
+    health = {x["run_id"]: (x["n_cached"], x["n_deleted"], x["trusted"]) for x in S.run_health(rm).collect()}
+    assert health == {0: (0, 0, True), 1: (10, 10, False), 2: (10, 9, False), 3: (10, 1, True), 4: (9, 0, True)}
+    got = {(x["url"], x["run_id"]): x["consecutive_misses"] for x in S.miss_history(rm).collect()}
+    assert got == {("u9", 3): 1, ("u9", 4): 2}
