@@ -2,23 +2,26 @@
 
 State lives in a store folder on shared storage:
 
-  <root>/v=<n>/map          (domain, url, seq)            last trusted map per site
-  <root>/v=<n>/candidates   (domain, url, misses, ...)     pending deletions
-  <root>/v=<n>/page_cache   (domain, url, seq, markdown, metadata, json)
-  <root>/v=<n>/docs         page_doc rows (K3)
-  <root>/v=<n>/batches      (domain, chunk, batch_id, urls, n_urls, status, ts)
-  <root>/v=<n>/run          the run's log rows, one per site (K7)
-  <root>/CURRENT            the committed version number, written last (K5)
-
-A run reads version n and writes n+1; the pointer moves only after every
-table of n+1 (its log rows included) is written, so a crash or a lost
-executor leaves n intact and the run can simply be repeated: the run log is
-the union of the ``run`` tables of committed versions, so a half-written
+  <root>/v=<n>-<attempt>/map          (domain, url, seq)            last trusted map per site
+  <root>/v=<n>-<attempt>/candidates   (domain, url, misses, ...)     pending deletions
+  <root>/v=<n>-<attempt>/page_cache   (domain, url, seq, markdown, metadata, json)
+  <root>/v=<n>-<attempt>/docs         page_doc rows (K3)
+  <root>/v=<n>-<attempt>/batches      (domain, chunk, batch_id, urls, n_urls, status, ts)
+  <root>/v=<n>-<attempt>/run          the run's log rows, one per site (K7)
+  <root>/commits/<n>        the folder of version n, written last (K5)
+
+A run reads version n and writes n+1 into a folder of its own; the version
+exists once its commit file does. Commit files are created exclusively and
+never changed or deleted, so a crash or a lost executor leaves n intact, two
+writers cannot both take n+1, and the run can simply be repeated: the run log
+is the union of the ``run`` tables of committed versions, so a half-written
 version is invisible and a committed run id is never applied twice.
 """
 
 from __future__ import annotations
 
+import datetime as dt
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,7 +32,7 @@ from pagetide.operators import assemble as A
 from pagetide.operators import extract as E
 from pagetide.operators import sites as ST
 from pagetide.operators import sync as S
-from pagetide.functions.urls import batch_id_agg
+from pagetide.functions.urls import batch_id_agg, drop_query, with_url_keys
 
 MAP_SCHEMA = "domain string, url string, seq bigint"
 CAND_SCHEMA = (
@@ -62,8 +65,8 @@ TABLES = {"map": MAP_SCHEMA, "candidates": CAND_SCHEMA, "page_cache": PAGE_SCHEM
 class RunOptions:
     run_id: int
     run_ts: str
-    force: bool = False                # refetch every URL of the map (K9 rebuild implies it)
-    rebuild: bool = False              # drop cached pages and documents first
+    force: bool = False                # refetch every URL of the map, compared with nothing: no miss is counted
+    rebuild: bool = False              # drop cached pages and documents first; implies force
     allow_mass_deletion: bool = False  # override the 30 % guard
     cache_only: bool = False           # re-render from cached pages; no map, no fetch
     dry_run: bool = False              # preview only (A4); nothing is written
@@ -73,10 +76,13 @@ class RunOptions:
     def __post_init__(self):
         if self.cache_only and (self.force or self.rebuild or self.dry_run):
             raise ValueError("cache_only excludes force, rebuild and dry_run")
+        if self.rebuild:
+            object.__setattr__(self, "force", True)
+        dt.datetime.fromisoformat(self.run_ts)  # fail here, not in a job
 
 
 class SyncStore:
-    """Versioned tables under ``root`` with a pointer file switched last."""
+    """Versioned tables under ``root``; a version is committed by one new file."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
@@ -85,54 +91,71 @@ class SyncStore:
         self._Path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._Path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    # -- pointer ------------------------------------------------------------
-    def current(self) -> int:
-        p = self._Path(self.root + "/CURRENT")
-        if not self._fs.exists(p):
-            return 0
-        stream = self._fs.open(p)
+    # -- commits ------------------------------------------------------------
+    def commits(self) -> dict[int, str]:
+        """version -> folder; a commit file without content (a writer that died
+        while writing it) uses up its number but commits nothing."""
+        folder = self._Path(self.root + "/commits")
+        if not self._fs.exists(folder):
+            return {}
+        out = {}
+        for status in self._fs.listStatus(folder):
+            name = status.getPath().getName()
+            if name.isdigit():
+                out[int(name)] = self._text(status.getPath())
+        return out
+
+    def _text(self, path) -> str:
+        stream = self._fs.open(path)
         try:
-            reader = self.spark.sparkContext._jvm.java.io.BufferedReader(
-                self.spark.sparkContext._jvm.java.io.InputStreamReader(stream)
-            )
-            return int(reader.readLine().strip())
+            java = self.spark.sparkContext._jvm.java.io
+            line = java.BufferedReader(java.InputStreamReader(stream)).readLine()
+            return line.strip() if line else ""
         finally:
             stream.close()
 
-    def _commit(self, version: int) -> None:
-        tmp = self._Path(f"{self.root}/CURRENT.{version}.tmp")
-        out = self._fs.create(tmp, True)
-        out.write(bytearray(str(version).encode()))
+    def current(self) -> int:
+        return max((v for v, folder in self.commits().items() if folder), default=0)
+
+    def begin(self) -> tuple[int, str]:
+        """The next version and a folder for it that no other writer uses."""
+        version = max(self.commits(), default=0) + 1
+        return version, f"v={version:06d}-{uuid.uuid4().hex[:8]}"
+
+    def commit(self, version: int, folder: str) -> None:
+        """Fails if another writer has taken the version."""
+        out = self._fs.create(self._Path(f"{self.root}/commits/{version:06d}"), False)
+        out.write(bytearray(folder.encode()))
         out.close()
-        final = self._Path(self.root + "/CURRENT")
-        if self._fs.exists(final):
-            self._fs.delete(final, False)
-        self._fs.rename(tmp, final)
 
     # -- tables -------------------------------------------------------------
     def path(self, version: int, table: str) -> str:
-        return f"{self.root}/v={version:06d}/{table}"
+        return f"{self.root}/{self.commits()[version]}/{table}"
+
+    def write(self, folder: str, table: str, df: DataFrame) -> DataFrame:
+        """Write a table of a version that is not committed yet; reads it back."""
+        path = f"{self.root}/{folder}/{table}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
 
     def read(self, table: str, version: int | None = None) -> DataFrame:
         v = self.current() if version is None else version
         schema = TABLES[table]
-        if v == 0 or not self._fs.exists(self._Path(self.path(v, table))):
+        if v == 0 or not self._fs.exists(self._Path(path := self.path(v, table))):
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(self.path(v, table))
+        return self.spark.read.schema(schema).parquet(path)
 
     def write_version(self, tables: dict[str, DataFrame]) -> int:
-        v = self.current() + 1
+        version, folder = self.begin()
         for name, df in tables.items():
-            df.write.mode("overwrite").parquet(self.path(v, name))
-        self._commit(v)
-        return v
+            self.write(folder, name, df)
+        self.commit(version, folder)
+        return version
 
     def run_log(self) -> DataFrame:
         """K7: log rows of every committed version (uncommitted ones ignored)."""
-        v = self.current()
-        if v == 0:
-            return self.spark.createDataFrame([], RUN_LOG_SCHEMA)
-        paths = [self.path(i, "run") for i in range(1, v + 1) if self._fs.exists(self._Path(self.path(i, "run")))]
+        paths = [f"{self.root}/{folder}/run" for folder in self.commits().values() if folder]
+        paths = [p for p in paths if self._fs.exists(self._Path(p))]
         if not paths:
             return self.spark.createDataFrame([], RUN_LOG_SCHEMA)
         return self.spark.read.schema(RUN_LOG_SCHEMA).parquet(*paths)
@@ -140,23 +163,40 @@ class SyncStore:
 
 RUN_LOG_SCHEMA = (
     "run_id int, run_ts string, domain string, status string, trusted boolean, reason string, "
-    "urls_discovered bigint, new_urls bigint, fetched bigint, deleted bigint, added bigint, updated bigint, "
+    "urls_discovered bigint, new_urls bigint, queued bigint, fetched bigint, deleted bigint, added bigint, updated bigint, "
     "unchanged bigint, total bigint, credits bigint"
 )
 
 
-def _chunk_batches(queue: DataFrame, run_ts: str, size: int) -> DataFrame:
-    """K6: the fetched queue as completed batch records (chunks of ``size``)."""
+def _chunk_batches(queue: DataFrame, obtained: DataFrame, run_ts: str, size: int) -> DataFrame:
+    """K6: batch records of the queue, chunks of ``size``: the URLs of a chunk
+    whose page was obtained as ``completed``, the others as ``failed``."""
+    got = obtained.select("domain", "url", F.lit("completed").alias("status"))
     c = queue.withColumn("chunk", F.floor((F.col("queue_pos") - 1) / size).cast("int"))
-    g = c.groupBy("domain", "chunk").agg(
+    c = c.join(got, ["domain", "url"], "left").withColumn("status", F.coalesce("status", F.lit("failed")))
+    g = c.groupBy("domain", "chunk", "status").agg(
         batch_id_agg("url").alias("batch_id"),
         F.array_sort(F.collect_list("url")).alias("urls"),
         F.count(F.lit(1)).alias("n_urls"),
     )
-    return g.select(
-        "domain", "chunk", "batch_id", "urls", "n_urls", F.lit("completed").alias("status"),
-        F.to_timestamp(F.lit(run_ts)).alias("ts"),
-    )
+    return g.select("domain", "chunk", "batch_id", "urls", "n_urls", "status", F.to_timestamp(F.lit(run_ts)).alias("ts"))
+
+
+def _canonical(df: DataFrame, url: str = "url") -> DataFrame:
+    """Add ``key``: the URL as discovery writes it (https, no query or fragment)."""
+    return with_url_keys(df, url, nurl="_n").withColumn("key", drop_query(F.col("_n"))).drop("_n")
+
+
+def lookup_pages(queue: DataFrame, pages: DataFrame) -> DataFrame:
+    """The queued URLs' pages as ``(page_id, url, html)``, ``url`` being the
+    queued one: the page of exactly this URL, else the latest page of the same
+    canonical URL. Picks on keys; ``html`` joins only the pages picked."""
+    want = _canonical(queue.select("domain", "url")).select(F.col("url").alias("want"), "key").distinct()
+    have = _canonical(pages.select("page_id", "url")).select("page_id", "url", "key")
+    best = F.max_by(F.struct("page_id", "url"), F.struct((F.col("url") == F.col("want")).alias("same"), "page_id"))
+    picked = have.join(want, "key").groupBy("want").agg(best.alias("p")).select("want", "p.page_id", F.col("p.url").alias("url"))
+    html = pages.select("page_id", "url", "html").dropDuplicates(["page_id", "url"])
+    return html.join(picked, ["page_id", "url"]).select("page_id", F.col("want").alias("url"), "html")
 
 
 def sync(
@@ -165,13 +205,17 @@ def sync(
     new_map: DataFrame,
     pages: DataFrame,
     opts: RunOptions,
+    sites: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
     """One run for every site: diff, guard, count misses, fetch what is
     missing, render, delete what is confirmed gone, commit a new version.
 
     ``new_map``: ``(domain, url, seq)`` from discovery (E5 or a map table);
-    ``pages``: raw ``(page_id, url, html)``, looked up by exact URL — only
-    queued URLs are extracted.
+    ``pages``: raw ``(page_id, url, html)``, looked up by ``lookup_pages`` — only
+    queued URLs are extracted, once: the new version's page cache is written
+    first and documents and log are built from its files.
+    ``sites``: ``(domain)`` of the sites to run (default: those of either map);
+    a site without any URL gets a log row, and other sites keep their state.
     Returns the run's report tables (already written unless ``dry_run``).
     """
     prev_map = store.read("map")
@@ -179,9 +223,19 @@ def sync(
     cache = store.read("page_cache")
     prev_docs = store.read("docs")
     prev_batches = store.read("batches")
+    # a repeated run_id is a replay after a failure: the committed version wins
+    if not store.run_log().where(F.col("run_id") == opts.run_id).isEmpty():
+        raise RuntimeError(f"run {opts.run_id} is already committed")
+    other_map, other_candidates = prev_map.limit(0), candidates.limit(0)
+    if sites is not None:
+        sites = sites.select("domain").distinct()
+        other_map = prev_map.join(sites, "domain", "left_anti")
+        other_candidates = candidates.join(sites, "domain", "left_anti")
+        prev_map, candidates, new_map = (x.join(sites, "domain", "left_semi") for x in (prev_map, candidates, new_map))
     if opts.rebuild:
-        cache = cache.limit(0)
-        prev_docs = prev_docs.limit(0)
+        chosen = sites if sites is not None else prev_map.select("domain").union(new_map.select("domain")).distinct()
+        cache = cache.join(chosen, "domain", "left_anti")
+        prev_docs = prev_docs.join(chosen, "domain", "left_anti")
 
     if opts.cache_only:
         # S7 + Decision 4: newest cached copy of every URL of the stored map
@@ -202,19 +256,25 @@ def sync(
         queue = effective.limit(0).select("domain", "url", F.lit("").alias("kind"), F.lit(0).alias("queue_pos"))
         keep_map = prev_map
     else:
-        diff = S.map_diff(prev_map, new_map)
-        health = S.map_health(diff, force=opts.force, allow_mass_deletion=opts.allow_mass_deletion)
+        # a forced run is compared with nothing: every URL is new, none is missed
+        diff = S.map_diff(prev_map.limit(0) if opts.force else prev_map, new_map)
+        health = S.map_health(diff, allow_mass_deletion=opts.allow_mass_deletion)
+        if sites is not None:
+            none = F.lit(0).cast("bigint")
+            health = health.unionByName(sites.join(health, "domain", "left_anti").select(
+                "domain", none.alias("n_cached"), none.alias("n_new"), none.alias("n_deleted"),
+                F.lit(1.0).alias("deleted_ratio"), F.lit(False).alias("trusted"), F.lit("empty_map").alias("reason"),
+            ))
         effective = S.effective_map(diff, health)
-        counter = S.miss_counter(candidates, prev_map, new_map, health, opts.run_ts)
+        counter = S.miss_counter(candidates, prev_map, new_map, health, opts.run_ts, count=not opts.force)
         backfill = S.backfill_urls(effective, cache)
         queue_all = S.fetch_queue(effective, backfill, seq=new_map, force=opts.force)
         queue = queue_all if opts.max_pages is None else queue_all.where(F.col("queue_pos") <= opts.max_pages)
         if opts.dry_run:
             preview = ST.dry_run_preview(effective, backfill, force=opts.force, max_pages=opts.max_pages)
             return {"preview": preview, "health": health, "queue": queue}
-        # work avoidance: extract only queued URLs (anti join upstream of extraction)
-        todo = pages.join(queue.select("url").distinct(), "url", "left_semi")
-        fresh = E.extract_pages(todo)
+        # work avoidance: only queued URLs are extracted
+        fresh = E.extract_pages(lookup_pages(queue, pages))
         # K4: trusted sites take the new map, untrusted keep the last trusted one
         trusted = health.where("trusted").select("domain")
         keep_map = new_map.select("domain", "url", "seq").join(trusted, "domain", "left_semi").unionByName(
@@ -222,18 +282,23 @@ def sync(
         )
 
     gone = counter.where(F.col("action") == "delete").select("domain", "url")
+    version, folder = store.begin()
+    fresh = store.write(folder, "fetched", fresh.select(*PAGE_SCHEMA.fieldNames()))
     # newest copy per URL: fetched pages replace cached ones
     merged = cache.join(fresh.select("domain", "url"), ["domain", "url"], "left_anti").unionByName(fresh)
     merged = merged.join(gone, ["domain", "url"], "left_anti")
+    merged = store.write(folder, "page_cache", merged.select(*PAGE_SCHEMA.fieldNames()))
     # pages of URLs that left the map stay until their deletion is confirmed
     live_pages = merged
     if opts.cache_only:
         live_pages = merged.join(prev_map.select("domain", "url"), ["domain", "url"], "left_semi")
-    docs = A.page_docs(live_pages)
+    docs = store.write(folder, "docs", A.page_docs(live_pages).select(*A.PAGE_DOC_COLUMNS))
     diff_docs = A.content_diff(docs, prev_docs)
     report = ST.sync_report(diff_docs)
 
-    fetched = queue.groupBy("domain").agg(F.count(F.lit(1)).alias("fetched"))
+    # only pages that were obtained count as fetched, and are paid for
+    fetched = fresh.groupBy("domain").agg(F.count(F.lit(1)).alias("fetched"))
+    queued = queue.groupBy("domain").agg(F.count(F.lit(1)).alias("queued"))
     credits = (
         F.lit(0) if opts.cache_only
         else F.when((F.coalesce("fetched", F.lit(0)) == 0) & F.lit(not opts.force), F.lit(ST.COST_MAP))
@@ -246,15 +311,12 @@ def sync(
     n_gone = gone.groupBy("domain").agg(F.count(F.lit(1)).alias("deleted"))
     sites = health.select("domain", "trusted", "reason")
     log = (
-        sites.join(eff_counts, "domain", "left").join(fetched, "domain", "left").join(n_gone, "domain", "left")
+        sites.join(eff_counts, "domain", "left").join(fetched, "domain", "left").join(queued, "domain", "left").join(n_gone, "domain", "left")
         .join(report, "domain", "left")
     )
     # K8: per-site guards; the job fails only when every site fails
     status = (
-        F.when(
-            (F.col("reason") == "first_run") & (F.coalesce("urls_discovered", F.lit(0)) == 0) & F.lit(not opts.force),
-            "error_empty_map",
-        )
+        F.when((F.col("reason") == "empty_map") & (F.coalesce("urls_discovered", F.lit(0)) == 0), "error_empty_map")
         .when(F.coalesce("total", F.lit(0)) == 0, "error_no_pages")
         .otherwise("ok")
     )
@@ -262,34 +324,21 @@ def sync(
         F.lit(opts.run_id).alias("run_id"), F.lit(opts.run_ts).alias("run_ts"), "domain", status.alias("status"),
         "trusted", "reason",
         *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in
-          ("urls_discovered", "new_urls", "fetched", "deleted", "added", "updated", "unchanged", "total")],
+          ("urls_discovered", "new_urls", "queued", "fetched", "deleted", "added", "updated", "unchanged", "total")],
         credits.cast("bigint").alias("credits"),
     )
-    # a repeated run_id is a replay after a failure: the committed version wins
-    if store.run_log().where(F.col("run_id") == opts.run_id).limit(1).count() > 0:
-        raise RuntimeError(f"run {opts.run_id} is already committed")
-
-    # checkpoint the run's outputs so the writes below do not recompute the
-    # whole lineage (and survive a lost executor mid-write)
-    docs_out = docs.checkpoint()
-    log = log.checkpoint()
-    if log.where(F.col("status") == "ok").limit(1).count() == 0 and log.limit(1).count() > 0:
+    log = store.write(folder, "run", log)
+    if log.where(F.col("status") == "ok").isEmpty() and not log.isEmpty():
         raise RuntimeError("every site failed its guards; nothing committed")
 
-    batches = prev_batches.unionByName(_chunk_batches(queue, opts.run_ts, opts.batch_size))
+    batches = prev_batches.unionByName(_chunk_batches(queue, fresh, opts.run_ts, opts.batch_size))
     new_cand = counter.where(F.col("action") == "pending").select(
         "domain", "url", "consecutive_misses",
         F.to_timestamp("first_missing_at").alias("first_missing_at"),
         F.to_timestamp("last_missing_at").alias("last_missing_at"),
     )
-    version = store.write_version(
-        {
-            "map": keep_map.select("domain", "url", "seq"),
-            "candidates": new_cand,
-            "page_cache": merged.select(*PAGE_SCHEMA.fieldNames()),
-            "docs": docs_out.select(*A.PAGE_DOC_COLUMNS),
-            "batches": batches,
-            "run": log,
-        }
-    )
-    return {"report": report, "health": health, "log": log, "docs": store.read("docs", version)}
+    store.write(folder, "map", keep_map.select("domain", "url", "seq").unionByName(other_map))
+    store.write(folder, "candidates", new_cand.unionByName(other_candidates))
+    store.write(folder, "batches", batches)
+    store.commit(version, folder)
+    return {"report": report, "health": health, "log": log, "docs": docs}

@@ -23,7 +23,7 @@ from pagetide.operators import sync as S
 from pagetide.session import checkpoint_dir
 
 PRESENCE_SCHEMA = "domain string, url string, run_id int, present boolean, trusted boolean"
-MISS_OUT_SCHEMA = "domain string, url string, run_id int, consecutive_misses int, deleted boolean"
+MISS_OUT_SCHEMA = "domain string, url string, run_id int, consecutive_misses int, deleted boolean, late boolean"
 MISS_STATE_SCHEMA = "misses int, tracked boolean, last_run int"
 
 
@@ -39,7 +39,8 @@ def miss_state_fn(threshold: int = S.DELETION_MISS_THRESHOLD):
         rows = pd.concat(list(batches), ignore_index=True).sort_values("run_id")
         out = []
         for run_id, present, trusted in zip(rows["run_id"], rows["present"], rows["trusted"]):
-            if run_id <= last_run:  # replayed input
+            if run_id <= last_run:  # older than the state: cannot count any more
+                out.append((key[0], key[1], int(run_id), int(misses), False, True))
                 continue
             last_run = int(run_id)
             if present:
@@ -50,12 +51,12 @@ def miss_state_fn(threshold: int = S.DELETION_MISS_THRESHOLD):
             if trusted:
                 misses += 1
             if misses >= 1:
-                out.append((key[0], key[1], last_run, misses, misses == threshold))
+                out.append((key[0], key[1], last_run, misses, misses == threshold, False))
             if misses == threshold:
                 misses, tracked = 0, False
         state.update((int(misses), bool(tracked), int(last_run)))
         if out:
-            yield pd.DataFrame(out, columns=["domain", "url", "run_id", "consecutive_misses", "deleted"])
+            yield pd.DataFrame(out, columns=["domain", "url", "run_id", "consecutive_misses", "deleted", "late"])
 
     return fn
 
@@ -71,23 +72,23 @@ def miss_counter_stream(presence: DataFrame) -> DataFrame:
 
 
 def run_miss_counter_stream(spark: SparkSession, run_map: DataFrame) -> DataFrame:
-    """Feed a run history through ST2, one file set per run, and return the
-    emitted candidate states (read back from the stream's parquet sink)."""
+    """Feed a run history through ST2 and return the emitted candidate states
+    (read back from the stream's parquet sink). ``late`` rows, whose run is not
+    after the last one that their URL has seen, are in ``miss_stream_late``."""
+    return _miss_stream_sink(spark, run_map).where(~F.col("late")).drop("late")
+
+
+def miss_stream_late(spark: SparkSession, run_map: DataFrame) -> DataFrame:
+    return _miss_stream_sink(spark, run_map).where("late").select("domain", "url", "run_id")
+
+
+def _miss_stream_sink(spark: SparkSession, run_map: DataFrame) -> DataFrame:
     base = scratch(spark, "miss")
     health = S.run_health(run_map).select("domain", "run_id", "trusted")
     presence = run_map.join(health, ["domain", "run_id"]).select("domain", "url", "run_id", "present", "trusted")
-    runs = [r["run_id"] for r in presence.select("run_id").distinct().orderBy("run_id").collect()]
-    for r in runs:  # one append per run: the stream sees runs in commit order
-        presence.where(F.col("run_id") == r).write.mode("append").parquet(f"{base}/in")
-    # The state store is partitioned by spark.sql.shuffle.partitions at the
-    # first run of a checkpoint. When the session never configured it (Spark's
-    # default of 200), size it to the cluster in an isolated session instead.
-    sess = spark.newSession()
-    if not spark.sparkContext.getConf().contains("spark.sql.shuffle.partitions") and (
-        spark.conf.get("spark.sql.shuffle.partitions") == "200"
-    ):
-        sess.conf.set("spark.sql.shuffle.partitions", str(spark.sparkContext.defaultParallelism))
-    src = sess.readStream.schema(PRESENCE_SCHEMA).parquet(f"{base}/in")
+    # the state function orders what a micro-batch holds of a URL by run
+    presence.write.parquet(f"{base}/in")
+    src = spark.readStream.schema(PRESENCE_SCHEMA).parquet(f"{base}/in")
     q = (
         miss_counter_stream(src)
         .writeStream.format("parquet")
@@ -102,21 +103,22 @@ def run_miss_counter_stream(spark: SparkSession, run_map: DataFrame) -> DataFram
 
 
 def snapshot_stream(spark: SparkSession, store, source_dir: str, pages: DataFrame, ckpt: str, **opts):
-    """ST1: every micro-batch of map snapshots ``(domain, url, seq, run_id)``
-    runs the sync once per run id it contains, in order; committed run ids
-    are skipped, so a replayed micro-batch changes nothing."""
+    """ST1: every micro-batch of map snapshots ``(domain, url, seq, run_id,
+    run_ts)`` runs the sync once per run id it contains, in order, at the run's
+    own time; committed run ids are skipped, so a replayed micro-batch changes
+    nothing."""
     from pagetide.plans.sync_job import RunOptions, sync
 
     def apply(batch: DataFrame, epoch: int) -> None:
         done = {r["run_id"] for r in store.run_log().select("run_id").distinct().collect()}
-        ids = sorted(r["run_id"] for r in batch.select("run_id").distinct().collect())
-        for run_id in ids:
+        runs = batch.groupBy("run_id").agg(F.max("run_ts").alias("run_ts")).orderBy("run_id").collect()
+        for run_id, run_ts in runs:
             if run_id in done:
                 continue
             snap = batch.where(F.col("run_id") == run_id).select("domain", "url", "seq")
-            sync(spark, store, snap, pages, RunOptions(run_id=run_id, run_ts=f"epoch-{epoch}", **opts))
+            sync(spark, store, snap, pages, RunOptions(run_id=run_id, run_ts=run_ts, **opts))
 
-    src = spark.readStream.schema("domain string, url string, seq bigint, run_id int").parquet(source_dir)
+    src = spark.readStream.schema("domain string, url string, seq bigint, run_id int, run_ts string").parquet(source_dir)
     q = src.writeStream.foreachBatch(apply).option("checkpointLocation", ckpt).trigger(availableNow=True).start()
     q.awaitTermination()
     return store
@@ -124,18 +126,19 @@ def snapshot_stream(spark: SparkSession, store, source_dir: str, pages: DataFram
 
 def page_upsert_stream(spark: SparkSession, store, source_dir: str, ckpt: str):
     """ST3: rendered page documents arriving as a stream are upserted by
-    ``(domain, slug)``: a newer ``seq`` replaces, an identical ``content_sha``
-    is a no-op. Each micro-batch commits one store version."""
+    ``(domain, slug)``: only a newer ``seq`` replaces, and an identical
+    ``content_sha`` is a no-op, so older or replayed documents change nothing.
+    Each micro-batch that changes something commits one store version."""
     from pagetide.operators.assemble import PAGE_DOC_COLUMNS, last_per_slug
     from pagetide.plans.sync_job import DOC_SCHEMA
 
     def apply(batch: DataFrame, epoch: int) -> None:
         incoming = last_per_slug(batch.select(*PAGE_DOC_COLUMNS))
         cur = store.read("docs")
-        changed = incoming.join(
-            cur.select("domain", "slug", "content_sha"), ["domain", "slug", "content_sha"], "left_anti"
-        )
-        if changed.limit(1).count() == 0:
+        stored = cur.select("domain", "slug", F.col("seq").alias("_seq"), F.col("content_sha").alias("_sha"))
+        newer = F.col("_sha").isNull() | ((F.col("seq") > F.col("_seq")) & (F.col("content_sha") != F.col("_sha")))
+        changed = incoming.join(stored, ["domain", "slug"], "left").where(newer).select(*PAGE_DOC_COLUMNS)
+        if changed.isEmpty():
             return
         kept = cur.join(changed.select("domain", "slug"), ["domain", "slug"], "left_anti")
         merged = kept.unionByName(changed).checkpoint()

@@ -34,7 +34,7 @@ def test_snapshot_stream_and_page_upsert(spark):
     runs = SN.run_map(spark, SF001)
     src = ST.scratch(spark, "snap-src")
     for r in (0, 1):
-        runs.where((F.col("run_id") == r) & F.col("present")).select("domain", "url", "seq", "run_id") \
+        runs.where((F.col("run_id") == r) & F.col("present")).select("domain", "url", "seq", "run_id", F.lit(f"2026-03-0{r + 1} 00:00:00").alias("run_ts")) \
             .write.mode("append").parquet(src)
     store = SyncStore(spark, ST.scratch(spark, "store"))
     ckpt = ST.scratch(spark, "snap-ckpt")
@@ -56,3 +56,46 @@ def test_snapshot_stream_and_page_upsert(spark):
     after = store.read("docs")
     assert after.count() == docs.count()
     assert after.where(F.col("content").endswith(" edited")).count() == 1
+
+    # an older document never replaces a newer one
+    old = one.withColumn("seq", F.lit(-1).cast("bigint")).withColumn("content_sha", F.lit("old"))
+    osrc = ST.scratch(spark, "docs-old")
+    old.write.parquet(osrc)
+    ST.page_upsert_stream(spark, store, osrc, ST.scratch(spark, "docs-ckpt2"))
+    assert store.current() == 3
+
+
+def test_late_rows_are_reported(spark):
+    """A second micro-batch with an older run: nothing is counted, the rows are kept apart."""
+    import pandas as pd
+
+    fn = ST.miss_state_fn()
+
+    class State:
+        exists, value = False, None
+
+        def update(self, v):
+            self.exists, self.value = True, v
+
+        @property
+        def get(self):
+            return self.value
+
+    state = State()
+    frame = lambda *rows: iter([pd.DataFrame(rows, columns=["run_id", "present", "trusted"])])
+    list(fn(("a.com", "u"), frame((0, True, True), (3, False, True)), state))
+    out = pd.concat(list(fn(("a.com", "u"), frame((2, False, True), (4, False, True)), state)))
+    assert out[["run_id", "consecutive_misses", "late"]].values.tolist() == [[2, 1, True], [4, 2, False]]
+
+
+def test_run_times_come_from_the_snapshot_rows(spark):
+    """Run times come from the rows, whatever the micro-batch is called."""
+    pages = spark.createDataFrame(
+        [(i, f"https://a.com/p{i}", f"<html><body><p>Page {i}.</p></body></html>") for i in range(3)], "page_id long, url string, html string"
+    )
+    src, store = ST.scratch(spark, "many-src"), SyncStore(spark, ST.scratch(spark, "many-store"))
+    rows = [("a.com", f"https://a.com/p{i}", i, r, f"2026-03-{r + 1:02d} 00:00:00") for r in (0, 20) for i in range(3)]
+    spark.createDataFrame(rows, "domain string, url string, seq long, run_id int, run_ts string").write.parquet(src)
+    ST.snapshot_stream(spark, store, src, pages, ST.scratch(spark, "many-ckpt"))
+    assert {(x.run_id, x.run_ts) for x in store.run_log().collect()} == {(0, "2026-03-01 00:00:00"), (20, "2026-03-21 00:00:00")}
+    assert {str(x.ts) for x in store.read("batches").select("ts").collect()} == {"2026-03-01 00:00:00"}

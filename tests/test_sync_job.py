@@ -83,3 +83,76 @@ def test_markdown_export(spark):
     one = docs.orderBy("domain", "slug").first()
     with open(os.path.join(local, one["domain"], one["slug"] + ".md"), encoding="utf-8") as f:
         assert f.read() == one["content"]
+
+
+def _small(spark):
+    pages = spark.createDataFrame(
+        [
+            (1, "http://a.com/x", "<body><p>Old x.</p></body>"), (2, "https://www.a.com/x?ref=1", "<body><p>New x.</p></body>"),
+            (3, "https://a.com/y", "<body><p>Y.</p></body>"), (4, "https://a.com/y#top", "<body><p>Other y.</p></body>"),
+        ],
+        "page_id long, url string, html string",
+    )
+    new_map = spark.createDataFrame(
+        [("a.com", "https://a.com/x", 1), ("a.com", "https://a.com/y", 2), ("a.com", "https://a.com/z", 3)], "domain string, url string, seq long"
+    )
+    return pages, new_map
+
+
+def test_pages_are_found_by_canonical_url(spark):
+    store, (pages, new_map) = _store(spark), _small(spark)
+    out = sync(spark, store, new_map, pages, RunOptions(run_id=0, run_ts="2026-04-01 00:00:00"))
+    log = out["log"].collect()[0]
+    # an exact URL wins, otherwise the latest page; z has no page and is not paid for
+    assert (log.queued, log.fetched, log.credits) == (3, 2, 11)
+    bodies = {x.url: x.body for x in store.read("docs").collect()}
+    assert bodies["https://a.com/y"].strip() == "Y." and set(bodies) == {"https://a.com/x", "https://a.com/y"}
+    got = {(x.status, tuple(x.urls)) for x in store.read("batches").collect()}
+    assert got == {("completed", ("https://a.com/x", "https://a.com/y")), ("failed", ("https://a.com/z",))}
+    again = sync(spark, store, new_map, pages, RunOptions(run_id=1, run_ts="2026-04-02 00:00:00"))["log"].collect()[0]
+    assert (again.queued, again.fetched, again.credits) == (1, 0, 1)
+
+
+def test_forced_run_counts_no_miss_and_rebuild_implies_force(spark):
+    store, (pages, new_map) = _store(spark), _small(spark)
+    sync(spark, store, new_map, pages, RunOptions(run_id=0, run_ts="2026-04-01 00:00:00"))
+    one = new_map.where("seq = 1")
+    log = sync(spark, store, one, pages, RunOptions(run_id=1, run_ts="2026-04-02 00:00:00", force=True))["log"].collect()[0]
+    assert (log.trusted, log.deleted, log.fetched) == (True, 0, 1)
+    assert store.read("candidates").count() == 0
+    assert RunOptions(run_id=2, run_ts="2026-04-03 00:00:00", rebuild=True).force
+    import pytest
+
+    with pytest.raises(ValueError):
+        RunOptions(run_id=2, run_ts="epoch-3")
+
+
+def test_site_list_reports_sites_without_urls(spark):
+    store, (pages, new_map) = _store(spark), _small(spark)
+    sites = spark.createDataFrame([("a.com",), ("empty.com",)], "domain string")
+    log = sync(spark, store, new_map, pages, RunOptions(run_id=0, run_ts="2026-04-01 00:00:00"), sites=sites)["log"]
+    assert {x.domain: x.status for x in log.collect()} == {"a.com": "ok", "empty.com": "error_empty_map"}
+    only = spark.createDataFrame([("b.com",), ("c.com",)], "domain string")
+    more = spark.createDataFrame([("b.com", "https://b.com/y", 1)], "domain string, url string, seq long")
+    b = spark.createDataFrame([(9, "https://b.com/y", "<p>B.</p>")], "page_id long, url string, html string")
+    sync(spark, store, more, b, RunOptions(run_id=1, run_ts="2026-04-02 00:00:00"), sites=only)
+    assert {x.domain for x in store.read("map").select("domain").distinct().collect()} == {"a.com", "b.com"}
+
+
+def test_crash_between_commit_steps_keeps_the_version(spark):
+    import pytest
+
+    store = _store(spark)
+    docs = spark.createDataFrame([("a.com", "x", 0)], "domain string, url string, seq long")
+    assert store.write_version({"map": docs}) == 1
+    version, folder = store.begin()
+    store.write(folder, "map", docs.union(docs))
+    assert store.current() == 1 and store.read("map").count() == 1  # tables without a commit
+    rival, rival_folder = store.begin()
+    assert rival == version and rival_folder != folder
+    store.commit(version, folder)
+    assert store.current() == 2 and store.read("map").count() == 2
+    with pytest.raises(Exception):
+        store.commit(rival, rival_folder)  # the version is taken
+    store.commit(3, "")  # a writer that died while writing its commit file
+    assert store.current() == 2 and store.begin()[0] == 4
