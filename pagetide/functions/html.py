@@ -37,14 +37,17 @@ def first_h1(html: Column | str) -> Column:
 def meta_value(html: Column | str, attr: str, value: str) -> Column:
     """Meta tag content in either attribute order ('' when absent)."""
     h = _c(html)
-    # one of the two is '' unless a page repeats the tag in both orders
-    raw = F.concat(
-        F.regexp_extract(h, P.meta_content(attr, value), 1),
-        F.regexp_extract(h, P.meta_content_first(attr, value), 1),
+    raw = F.coalesce(
+        *[F.nullif(_quoted(h, p), F.lit("")) for p in (P.meta_content(attr, value), P.meta_content_first(attr, value))], F.lit("")
     )
     return py_strip(F.regexp_replace(decode_entities(F.regexp_replace(raw, P.ANY_TAG, "")), P.WS_RUN, " "))
 
 
+def _quoted(html: Column, pattern: str) -> Column:
+    """The value that ``P.QUOTED`` captures at the end of a pattern's match."""
+    return F.concat(F.regexp_extract(html, pattern, 1), F.regexp_extract(html, pattern, 2))
+
+
 def meta_description(html: Column | str) -> Column:
     return meta_value(html, "name", "description")
 
@@ -58,7 +61,7 @@ def og_url(html: Column | str) -> Column:
 
 
 def page_lang(html: Column | str) -> Column:
-    return F.lower(F.regexp_extract(_c(html), P.LANG, 1))
+    return F.lower(_quoted(_c(html), P.LANG))
 
 
 def content_html(html: Column | str) -> Column:
@@ -81,7 +84,8 @@ def markdown_lite(html: Column | str) -> Column:
     s = F.regexp_replace(s, P.DOUBLE_BREAK, "\n\n")
     s = F.regexp_replace(s, P.SINGLE_BREAK, "\n")
     s = F.regexp_replace(s, P.LIST_ITEM, "\n- ")
-    s = F.regexp_replace(s, P.ANCHOR, "[$2]($1)")
+    for anchor in P.ANCHORS:
+        s = F.regexp_replace(s, anchor, "[$2]($1)")
     s = F.regexp_replace(s, P.ANY_TAG, "")
     s = decode_entities(s)
     s = F.regexp_replace(s, P.INLINE_SPACE, " ")
@@ -106,8 +110,31 @@ def lead_sentences(text: Column | str, n: int) -> Column:
 
 
 def hrefs(html: Column | str) -> Column:
-    """Every ``<a href>`` value in document order (array)."""
-    return F.regexp_extract_all(_c(html), F.lit(P.HREF), F.lit(1))
+    """Every ``<a href>`` value in document order (array): quoted or bare,
+    entities decoded."""
+    found = F.regexp_extract_all(_c(html), F.lit(P.HREF), F.lit(1))
+    return F.transform(found, lambda x: decode_entities(F.regexp_replace(x, P.HREF_QUOTES, "")))
+
+
+def remove_dot_segments(url: Column | str) -> Column:
+    """``.`` and ``..`` segments of an absolute URL's path resolved."""
+    u = _c(url)
+    parts = r"(?s)\A([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)([^?#]*)(.*)\z"
+    path = F.regexp_extract(u, parts, 2)
+
+    def step(acc, s):
+        return (
+            F.when(s == ".", acc)
+            .when((s == "..") & (F.size(acc) > 1), F.slice(acc, F.lit(1), F.size(acc) - 1))
+            .when(s == "..", acc)
+            .otherwise(F.concat(acc, F.array(s)))
+        )
+
+    # a path that ends in a dot segment ends in a slash
+    closed = F.when(path.rlike(r"/\.\.?\z"), F.concat(path, F.lit("/"))).otherwise(path)
+    walked = F.aggregate(F.split(closed, "/"), F.array().cast("array<string>"), step)
+    fixed = F.concat(F.regexp_extract(u, parts, 1), F.array_join(walked, "/"), F.regexp_extract(u, parts, 3))
+    return F.when(u.rlike(r"(?s)\A[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*(/[^?#]*)?/\.\.?(/|\z|\?|#)"), fixed).otherwise(u)
 
 
 def base_parts(base: Column | str) -> list[Column]:

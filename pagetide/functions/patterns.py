@@ -41,48 +41,34 @@ WS_RUN = WS + r"+"
 # HTML field extraction (E1). (?is): case-insensitive, dot matches newline.
 TITLE = r"(?is)<title[^>]*>(.*?)</title"
 H1 = r"(?is)<h1[^>]*>(.*?)</h1"
-LANG = r"(?is)<html\b[^>]*\blang=[\"']([^\"']*)[\"']"
+# An attribute value in double or in single quotes: groups 1 and 2, of which
+# one is empty. A quote of the other kind is part of the value.
+QUOTED = r"""(?:"([^"]*)"|'([^']*)')"""
+LANG = r"(?is)<html\b[^>]*\blang=" + QUOTED
 
 
 def meta_content(attr: str, value: str) -> str:
     """<meta {attr}="{value}" ... content="..."> (attribute order: name first)."""
-    return (
-        r"(?is)<meta\b[^>]*\b" + attr + r"=[\"']" + value
-        + r"[\"'][^>]*\bcontent=[\"']([^\"']*)[\"']"
-    )
+    return r"(?is)<meta\b[^>]*\b" + attr + r"=[\"']" + value + r"[\"'][^>]*\bcontent=" + QUOTED
 
 
 def meta_content_first(attr: str, value: str) -> str:
     """<meta content="..." ... {attr}="{value}"> (attribute order: content first)."""
-    return (
-        r"(?is)<meta\b[^>]*\bcontent=[\"']([^\"']*)[\"'][^>]*\b" + attr
-        + r"=[\"']" + value + r"[\"']"
-    )
+    return r"(?is)<meta\b[^>]*\bcontent=" + QUOTED + r"[^>]*\b" + attr + r"=[\"']" + value + r"[\"']"
 
 
 # Blocks removed before any text is taken (E2/E3): comments, non-content
 # elements, the excluded layout tags, and blocks whose class/id marks them as
 # navigation, widgets or ads. Regex removal is non-nesting: a block ends at
 # the first closing tag of its kind.
-COMMENT = r"(?s)<!--.*?-->"
-NON_CONTENT = (
-    r"(?is)<head\b.*?</head>|<script\b.*?</script>|<style\b.*?</style>"
-    r"|<noscript\b.*?</noscript>|<template\b.*?</template>|<svg\b.*?</svg>"
-)
 # ---- fixed values that must equal the reference (excluded tags) ----------
 EXCLUDED_TAGS = ("nav", "aside", "header", "footer", "menu")
+# ---------------------------------------------------------------------------
+# Classes and ids of widgets and ads (our choice).
 EXCLUDED_CLASSES = (
     "sidebar", "navigation", "filter", "widget", "widget-area", "sidebar-widget",
     "menu", "ad", "ads", "advert", "advertisement",
 )
-# ---------------------------------------------------------------------------
-EXCLUDED_BLOCKS = "(?is)" + "|".join(rf"<{t}\b.*?</{t}>" for t in EXCLUDED_TAGS)
-EXCLUDED_DIVS = (
-    r"(?is)<(div|section|span)\b[^>]*\b(class|id)=[\"']("
-    + "|".join(EXCLUDED_CLASSES)
-    + r")[\"'][^>]*>.*?</(div|section|span)>"
-)
-IMG = r"(?is)<img\b[^>]*>"
 # All of the above removed in one pass (leftmost block wins).
 REMOVE_BLOCKS = (
     r"(?is)<!--.*?-->|<head\b.*?</head>|<script\b.*?</script>|<style\b.*?</style>"
@@ -100,19 +86,20 @@ DOUBLE_BREAK = r"(?i)</h[1-6]" + WS + r"*>|</?p\b[^>]*>"
 SINGLE_BREAK = (
     r"(?i)<br" + WS + r"*/?>|</(li|ul|ol|div|section|article|main|table|tr|blockquote)" + WS + r"*>"
 )
-HEADING_OPEN = r"(?i)<h{n}\b[^>]*>"
-HEADING_CLOSE = r"(?i)</h[1-6]" + WS + r"*>"
-PARA = r"(?i)</?p\b[^>]*>"
 LIST_ITEM = r"(?i)<li\b[^>]*>"
-BLOCK_CLOSE = r"(?i)</(li|ul|ol|div|section|article|main|table|tr|blockquote)" + WS + r"*>"
-ANCHOR = r"(?is)<a\b[^>]*\bhref=[\"']([^\"']*)[\"'][^>]*>(.*?)</a" + WS + r"*>"
-HREF = r"(?is)<a\b[^>]*\bhref=[\"']([^\"']*)[\"']"
+# One pass per kind of quote: group 1 the target, group 2 the text.
+ANCHORS = tuple(
+    r"(?is)<a\b[^>]*\bhref=" + q + "([^" + q + "]*)" + q + r"[^>]*>(.*?)</a" + WS + r"*>" for q in ('"', "'")
+)
+# An href attribute of an <a> (white space before it, so not data-href): group 1
+# is the value with its quotes, or bare.
+HREF = r"""(?is)<a[ \t\r\n\f](?:[^>]*?[ \t\r\n\f])?href[ \t\r\n\f]*=[ \t\r\n\f]*("[^"]*"|'[^']*'|[^ \t\r\n\f"'>]+)"""
+HREF_QUOTES = r"""\A["']|["']\z"""
 INLINE_SPACE = r"[ \t\x{A0}]+"
 SPACE_AROUND_NL = r"[ \t]*\n[ \t]*"
 MANY_NL = r"\n{3,}"
 
-# ---- fixed values that must equal the reference (named HTML entities) -----
-# Decoded in this order; &amp; last so "&amp;lt;" stays "&lt;".
+# Named HTML entities, decoded in this order; &amp; last so "&amp;lt;" stays "&lt;".
 ENTITIES = (
     ("&nbsp;", " "),
     ("&lt;", "<"),
@@ -130,9 +117,27 @@ ENTITIES = (
     ("&lsquo;", "‘"),
     ("&rdquo;", "”"),
     ("&ldquo;", "“"),
+    ("&euro;", "€"),
+    ("&bull;", "•"),
+    ("&laquo;", "«"),
+    ("&raquo;", "»"),
+    ("&trade;", "™"),
+    ("&eacute;", "é"),
+    ("&egrave;", "è"),
+    ("&agrave;", "à"),
+    ("&ccedil;", "ç"),
+    ("&auml;", "ä"),
+    ("&ouml;", "ö"),
+    ("&uuml;", "ü"),
+    ("&szlig;", "ß"),
+    ("&ntilde;", "ñ"),
+    ("&#8217;", "’"),
+    ("&#8211;", "–"),
+    ("&#8212;", "—"),
+    ("&#8230;", "…"),
+    ("&#160;", " "),
     ("&amp;", "&"),
 )
-# ---------------------------------------------------------------------------
 
 # Words of running text (keyword jobs): letters and digits.
 TOKEN_SPLIT = r"[^\p{L}\p{N}]+"

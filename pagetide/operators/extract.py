@@ -20,8 +20,6 @@ from pagetide.functions.urls import (
     with_url_keys,
 )
 
-DEFAULT_DISCOVERY_LIMIT = 100_000  # fixed value: per-site discovery cap of the reference
-
 
 def main_text(markdown):
     """Plain text of a markdown-lite body: markup removed, whitespace collapsed."""
@@ -127,8 +125,8 @@ def page_links(pages: DataFrame) -> DataFrame:
         F.posexplode(H.hrefs("html")).alias("pos", "href"),
     )
     stripped = src.withColumn("_h", py_strip("href"))
-    resolved = stripped.withColumn("target", H.resolve_href_parts("_h")).drop(
-        "_h", "_b_scheme", "_b_origin", "_b_nofrag", "_b_noquery", "_b_dir"
+    resolved = stripped.withColumn("_r", H.resolve_href_parts("_h")).withColumn("target", H.remove_dot_segments("_r")).drop(
+        "_r", "_h", "_b_scheme", "_b_origin", "_b_nofrag", "_b_noquery", "_b_dir"
     )
     with_td = with_domain(resolved, "target", "target_domain")
     return with_td.select(
@@ -138,14 +136,14 @@ def page_links(pages: DataFrame) -> DataFrame:
     )
 
 
-def discover_urls(pages: DataFrame, limit: int = DEFAULT_DISCOVERY_LIMIT) -> DataFrame:
+def discover_urls(pages: DataFrame, limit: int | None = None) -> DataFrame:
     """E5: same-site content URLs found in pages and their links (map stand-in).
 
-    Query and fragment dropped, https forced, distinct per site, first
-    ``limit`` per site by URL. ``limit`` must be 1..100,000 (U8).
+    Query and fragment dropped, https forced, distinct per site; with ``limit``
+    the first that many per site by URL.
     """
-    if not 1 <= limit <= DEFAULT_DISCOVERY_LIMIT:
-        raise ValueError(f"limit must be between 1 and {DEFAULT_DISCOVERY_LIMIT}, got {limit}")
+    if limit is not None and limit < 1:
+        raise ValueError(f"limit must be at least 1, got {limit}")
     own = keyed_pages(pages.select("page_id", "url")).select("domain", F.col("url").alias("found"))
     links = page_links(pages).select("domain", F.col("target").alias("found"))
     found = with_url_keys(own.unionByName(links), "found", nurl="_n", domain="_d")
@@ -155,9 +153,9 @@ def discover_urls(pages: DataFrame, limit: int = DEFAULT_DISCOVERY_LIMIT) -> Dat
     # same-site test of the link rows is the _d = domain test itself)
     valid = F.col("url").isNotNull() & is_content_url("url") & (F.col("_d") == F.col("domain"))
     distinct = found.groupBy("domain", "url").agg(F.count_if(valid).alias("n_refs")).where(F.col("n_refs") > 0)
-    return first_n_per_key(distinct, ["domain"], [F.asc("url")], limit).select(
-        "domain", "url", "n_refs", url_slug("url").alias("slug")
-    )
+    if limit is not None:
+        distinct = first_n_per_key(distinct, ["domain"], [F.asc("url")], limit)
+    return distinct.select("domain", "url", "n_refs", url_slug("url").alias("slug"))
 
 
 def first_n_per_key(df: DataFrame, keys: list[str], order: list, n: int, buckets: int = 64) -> DataFrame:
@@ -175,20 +173,26 @@ def first_n_per_key(df: DataFrame, keys: list[str], order: list, n: int, buckets
     return b.withColumn("_r", F.row_number().over(w2)).where(F.col("_r") <= n).drop("_r")
 
 
-def keyword_summary(text_df: DataFrame, k: int = 8, min_len: int = 4) -> DataFrame:
+def keyword_summary(text_df: DataFrame, k: int = 8, min_len: int = 1, stop_words: tuple[str, ...] = ()) -> DataFrame:
     """Top-``k`` terms per page by (tf desc, df asc, term asc) + lead sentence.
 
     ``text_df`` has ``domain, url, seq, text``. Terms are lower-cased runs of
-    letters/digits of at least ``min_len`` chars. df counts pages over the
-    whole input; it is one partial-aggregated shuffle on ``term``.
+    letters/digits of at least ``min_len`` chars that are no ``stop_words``. df
+    counts pages over the whole input; it is one partial-aggregated shuffle on
+    ``term``. Only terms that can reach a page's top ``k`` (those of its ``k``-th
+    largest tf or more) are looked up in df.
     """
     toks = text_df.select(
         "domain", "url", "seq",
         F.explode(F.split(F.lower(F.col("text")), P.TOKEN_SPLIT, -1)).alias("term"),
     ).where(F.length("term") >= min_len)
+    if stop_words:
+        toks = toks.where(~F.col("term").isin(*stop_words))
     tf = toks.groupBy("domain", "url", "seq", "term").agg(F.count(F.lit(1)).alias("tf"))
     df_ = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    scored = tf.join(df_, "term")
+    by_tf = Window.partitionBy("domain", "url", "seq").orderBy(F.desc("tf"))
+    able = tf.withColumn("_r", F.rank().over(by_tf)).where(F.col("_r") <= k).drop("_r")
+    scored = able.join(df_, "term")
     w = Window.partitionBy("domain", "url", "seq").orderBy(F.desc("tf"), F.asc("df"), F.asc("term"))
     top = scored.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k)
     kw = top.groupBy("domain", "url", "seq").agg(

@@ -40,6 +40,8 @@ class _Renderer(HTMLParser):
         a = dict((k, v or "") for k, v in attrs)
         if tag == "p" and any(t == "p" for t, _ in self.stack):
             self._close("p")  # <p> inside an open <p> closes it
+        if tag == "body" and any(t == "head" for t, _ in self.stack):
+            self._close("head")  # </head> may be left out
         if tag in _VOID:
             if tag == "br":
                 self._emit("\n")
@@ -87,11 +89,8 @@ class _Renderer(HTMLParser):
 def render_markdown(html: str) -> tuple[str, int, int]:
     """Return (markdown, number of links, number of headings)."""
     r = _Renderer()
-    try:
-        r.feed(html)
-        r.close()
-    except Exception:  # noqa: BLE001 - malformed input keeps what was parsed
-        pass
+    r.feed(html)
+    r.close()
     r._close("")
     text = "".join(r.out)
     text = re.sub(r"[ \t ]+", " ", text)

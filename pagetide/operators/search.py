@@ -162,7 +162,9 @@ def full_page_markdown(pages: DataFrame) -> DataFrame:
     """Whole-page text with anchors as markdown links (navigation kept)."""
     from pagetide.operators.extract import keyed_pages
 
-    md = F.regexp_replace(F.col("html"), P.ANCHOR, "[$2]($1)")
+    md = F.col("html")
+    for anchor in P.ANCHORS:
+        md = F.regexp_replace(md, anchor, "[$2]($1)")
     return keyed_pages(pages.select("page_id", "url", "html")).select("domain", "url", "seq", md.alias("md"))
 
 

@@ -213,12 +213,17 @@ def field(html: str, pattern: str) -> str:
 
 
 def meta_value(html: str, attr: str, value: str) -> str:
-    raw = f"({rx(html, P.meta_content(attr, value))} || {rx(html, P.meta_content_first(attr, value))})"
+    first, second = (f"nullif({quoted(html, p)}, '')" for p in (P.meta_content(attr, value), P.meta_content_first(attr, value)))
+    raw = f"coalesce({first}, {second}, '')"
     return strip(rr(decode_entities(rr(raw, P.ANY_TAG, "")), P.WS_RUN, " "))
 
 
+def quoted(html: str, pattern: str) -> str:
+    return f"({rx(html, pattern, 1)} || {rx(html, pattern, 2)})"
+
+
 def page_lang(html: str) -> str:
-    return f"lower({rx(html, P.LANG)})"
+    return f"lower({quoted(html, P.LANG)})"
 
 
 def content_html(html: str) -> str:
@@ -233,7 +238,8 @@ def markdown_lite(html: str) -> str:
     s = rr(s, P.DOUBLE_BREAK, "\n\n")
     s = rr(s, P.SINGLE_BREAK, "\n")
     s = rr(s, P.LIST_ITEM, "\n- ")
-    s = rr(s, P.ANCHOR, r"[\2](\1)")
+    for anchor in P.ANCHORS:
+        s = rr(s, anchor, r"[\2](\1)")
     s = rr(s, P.ANY_TAG, "")
     s = decode_entities(s)
     s = rr(s, P.INLINE_SPACE, " ")
@@ -265,7 +271,24 @@ def lead_sentences(t: str, n: int) -> str:
 
 
 def hrefs(html: str) -> str:
-    return f"regexp_extract_all({html}, {lit(P.HREF)}, 1)"
+    bare = rr("x", P.HREF_QUOTES, "")
+    return f"list_transform(regexp_extract_all({html}, {lit(P.HREF)}, 1), lambda x: {decode_entities(bare)})"
+
+
+def remove_dot_segments(u: str) -> str:
+    """Independent of the Spark form: segments with depth counted from the end."""
+    parts = r"(?s)\A([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)([^?#]*)(.*)\z"
+    path = rx(u, parts, 2)
+    closed = f"(CASE WHEN regexp_matches({path}, '/\\.\\.?\\z') THEN {path} || '/' ELSE {path} END)"
+    walked = (
+        f"list_reduce(list_transform(string_split({closed}, '/'), lambda s: [s]), lambda acc, s: CASE WHEN s[1] = '.' THEN acc "
+        f"WHEN s[1] = '..' THEN (CASE WHEN len(acc) > 1 THEN acc[:-2] ELSE acc END) ELSE list_concat(acc, s) END)"
+    )
+    fixed = f"({rx(u, parts, 1)} || array_to_string({walked}, '/') || {rx(u, parts, 3)})"
+    return (
+        f"(CASE WHEN regexp_matches({u}, '(?s)\\A[A-Za-z][A-Za-z0-9+.\\-]*://[^/?#]*(/[^?#]*)?/\\.\\.?(/|\\z|\\?|#)') "
+        f"THEN {fixed} ELSE {u} END)"
+    )
 
 
 def resolve_href(h: str, b: str) -> str:

@@ -119,7 +119,8 @@ FROM (SELECT domain, url, seq, {D.hrefs('html')} AS h FROM kp), range(1, len(h)
 )
 cte(
     "lk1",
-    f"SELECT *, {D.resolve_href('_h', 'url')} AS target FROM (SELECT *, {D.strip('href')} AS _h FROM lk0)",
+    f"SELECT * EXCLUDE (_r), {D.remove_dot_segments('_r')} AS target "
+    f"FROM (SELECT *, {D.resolve_href('_h', 'url')} AS _r FROM (SELECT *, {D.strip('href')} AS _h FROM lk0))",
     "lk0",
 )
 cte("lk2", f"SELECT *, {D.normalize_url('target')} AS _tn FROM lk1", "lk1")
@@ -161,12 +162,10 @@ cte("disc1", f"SELECT domain, found, {D.normalize_url('found')} AS _n FROM disc0
 cte(
     "disc",
     f"""SELECT domain, url, n_refs, {D.url_slug('url')} AS slug FROM (
-  SELECT domain, url, count(*) AS n_refs,
-    row_number() OVER (PARTITION BY domain ORDER BY url) AS rnk
+  SELECT domain, url, count(*) AS n_refs
   FROM (SELECT domain, {D.drop_query('_n')} AS url, {D.domain_of_normalized('_n')} AS _d FROM disc1)
   WHERE url IS NOT NULL AND {D.is_content_url('url')} AND _d = domain
-  GROUP BY domain, url)
-WHERE rnk <= {Q.E.DEFAULT_DISCOVERY_LIMIT}""",
+  GROUP BY domain, url)""",
     "disc1",
 )
 
@@ -570,7 +569,7 @@ JOIN (SELECT domain, slug, count(*) AS n_urls FROM inv GROUP BY domain, slug HAV
 SQL["discover_urls"] = build("SELECT * FROM disc", "disc")
 SQL["discovery_scope"] = build(
     f"""SELECT g.site, g.n_same_site_refs, g.n_offsite_refs, g.n_asset_refs, g.n_with_query,
-  coalesce(k.n_distinct, 0) AS n_distinct, least(coalesce(k.n_distinct, 0), {Q.E.DEFAULT_DISCOVERY_LIMIT})::BIGINT AS n_kept
+  coalesce(k.n_distinct, 0) AS n_distinct, coalesce(k.n_distinct, 0)::BIGINT AS n_kept
 FROM (SELECT site, count(*) FILTER (WHERE _same) AS n_same_site_refs, count(*) FILTER (WHERE NOT _same) AS n_offsite_refs,
         count(*) FILTER (WHERE _same AND NOT _content) AS n_asset_refs,
         count(*) FILTER (WHERE _same AND nurl <> {D.drop_query('nurl')}) AS n_with_query
@@ -602,7 +601,7 @@ cte(
     "kw_tf",
     f"""SELECT domain, url, seq, term, count(*) AS tf FROM (
   SELECT domain, url, seq, unnest(string_split_regex(lower(text), {L(P.TOKEN_SPLIT)})) AS term FROM mt)
-WHERE length(term) >= 4 GROUP BY domain, url, seq, term""",
+WHERE length(term) >= 1 GROUP BY domain, url, seq, term""",
     "mt",
 )
 SQL["keyword_summary"] = build(
@@ -764,7 +763,7 @@ _link_md = QS.LINK_MD
 SQL["markdown_links"] = build(
     f"""SELECT domain, url, seq, (i - 1)::INTEGER AS pos, t[i] AS text, h[i] AS href FROM (
   SELECT domain, url, seq, regexp_extract_all(md, {L(_link_md)}, 1) AS t, regexp_extract_all(md, {L(_link_md)}, 2) AS h
-  FROM (SELECT domain, url, seq, {D.rr('html', P.ANCHOR, r'[\2](\1)')} AS md FROM kp)), range(1, len(t) + 1) r(i)""",
+  FROM (SELECT domain, url, seq, {D.rr(D.rr('html', P.ANCHORS[0], r'[\2](\1)'), P.ANCHORS[1], r'[\2](\1)')} AS md FROM kp)), range(1, len(t) + 1) r(i)""",
     "kp",
 )
 SQL["pattern_matches"] = build("SELECT * FROM pmatch", "pmatch")
@@ -795,7 +794,7 @@ cte(
     "dkw_tf",
     f"""SELECT domain, url, seq, term, count(*) AS tf FROM (
   SELECT domain, url, seq, unnest(string_split_regex(lower(body), {L(P.TOKEN_SPLIT)})) AS term FROM dp)
-WHERE length(term) >= 4 GROUP BY domain, url, seq, term""",
+WHERE length(term) >= 1 GROUP BY domain, url, seq, term""",
     "dp",
 )
 SQL["document_keywords"] = build(

@@ -117,7 +117,7 @@ def discover_urls(spark, sf):
     return E.discover_urls(pages(spark, sf))
 
 
-def discovery_scope(spark, sf, limit: int = E.DEFAULT_DISCOVERY_LIMIT):
+def discovery_scope(spark, sf, limit: int | None = None):
     r = url_refs(spark, sf)
     ok = F.col("error").isNull()
     same = ok & (F.col("domain") == F.col("site"))
@@ -130,7 +130,7 @@ def discovery_scope(spark, sf, limit: int = E.DEFAULT_DISCOVERY_LIMIT):
         F.count_distinct(F.when(same & content, drop_query("nurl"))).alias("n_distinct"),
     )
     return g.where(F.col("n_same_site_refs") + F.col("n_offsite_refs") > 0).withColumn(
-        "n_kept", F.least(F.col("n_distinct"), F.lit(limit).cast("bigint"))
+        "n_kept", F.col("n_distinct") if limit is None else F.least(F.col("n_distinct"), F.lit(limit).cast("bigint"))
     )
 
 
@@ -328,9 +328,9 @@ def categorize(spark, sf):
 @shared
 def doc_pages(spark, sf):
     """Documents shaped like rendered pages: first line as title, text as body."""
-    from pagetide.sources.tables import read_table, spread
+    from pagetide.sources.tables import read_table
 
-    d = spread(read_table(spark, sf, "documents", "doc_id", "source", "text"))
+    d = read_table(spark, sf, "documents", "doc_id", "source", "text")
     return d.select(
         F.col("source").alias("domain"),
         F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("url"),

@@ -62,7 +62,6 @@ REFERENCE_DESCRIPTION_RULES = (
 DESCRIPTION_TITLE_PAGES = 20
 HOMEPAGE_MIN_DESCRIPTION = 20
 HOMEPAGE_MIN_SUMMARY = 50
-GENERIC_DESCRIPTION = "a website at {domain}"
 
 # ---- fixed values that must equal the reference (query expansions, Q8) ----
 REFERENCE_TOPICS = (

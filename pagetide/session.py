@@ -22,10 +22,14 @@ LOCAL_DEFAULTS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # pages are ~20 KB each: keep Arrow batches for the Python stage small
     "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
-    "spark.driver.memory": "16g",
+    "spark.driver.memory": "8g",
 }
 
 
+def settings_master(master: str | None) -> str:
+    return master or os.environ.get("PAGETIDE_MASTER", "local[8]")
+
+
 def get_spark(master: str | None = None, app: str = "pagetide", **conf: str) -> SparkSession:
     """Return the active session, or build a local one with sane defaults."""
     active = SparkSession.getActiveSession()
@@ -33,9 +37,9 @@ def get_spark(master: str | None = None, app: str = "pagetide", **conf: str) ->
         checkpoint_dir(active)
         return active
     builder = SparkSession.builder.appName(app)
-    builder = builder.master(master or os.environ.get("PAGETIDE_MASTER", "local[8]"))
+    builder = builder.master(settings_master(master))
     settings = {**LOCAL_DEFAULTS, **conf}
-    if "spark.checkpoint.dir" not in settings:
+    if "spark.checkpoint.dir" not in settings and settings_master(master).startswith("local"):
         scratch = os.environ.get("PAGETIDE_SCRATCH", "/tmp")
         settings["spark.checkpoint.dir"] = tempfile.mkdtemp(prefix="pagetide-ckpt-", dir=scratch)
     for k, v in settings.items():
@@ -55,6 +59,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     current = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
     if not current:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         scratch = os.environ.get("PAGETIDE_SCRATCH", "/tmp")
         current = tempfile.mkdtemp(prefix="pagetide-ckpt-", dir=scratch)
     if not sc.getCheckpointDir():
