@@ -9,23 +9,28 @@ computation runs once for all consumers. A new query call builds afresh.
 
 from __future__ import annotations
 
-_memo: dict | None = None
-_materialize: frozenset = frozenset()
+from contextvars import ContextVar
+
+# (shared sub-plans by key, names to materialize) of the query being built;
+# a context of its own per thread, so concurrent builds share nothing
+_scope: ContextVar[tuple[dict, frozenset] | None] = ContextVar("pagetide_query_scope", default=None)
 
 
 def shared(fn):
     def wrapper(spark, sf, *args, **kwargs):
-        if _memo is None or args or kwargs:
+        scope = _scope.get()
+        if scope is None or args or kwargs:
             return fn(spark, sf, *args, **kwargs)
+        memo, materialize = scope
         key = (fn.__module__, fn.__name__, sf)
-        if key not in _memo:
+        if key not in memo:
             df = fn(spark, sf)
-            if fn.__name__ in _materialize:
+            if fn.__name__ in materialize:
                 # several consumers in this query: compute once, read back
                 # from the shared checkpoint folder (survives executor loss)
                 df = df.checkpoint()
-            _memo[key] = df
-        return _memo[key]
+            memo[key] = df
+        return memo[key]
 
     wrapper.__name__ = fn.__name__
     return wrapper
@@ -33,17 +38,15 @@ def shared(fn):
 
 def scoped(fn, materialize: tuple[str, ...] = ()):
     def run(spark, sf):
-        global _memo, _materialize
         from pagetide.session import checkpoint_dir
 
         checkpoint_dir(spark)
-        outer, outer_m = _memo, _materialize
-        if outer is None:
-            _memo, _materialize = {}, frozenset(materialize)
+        if _scope.get() is not None:
+            return fn(spark, sf)
+        token = _scope.set(({}, frozenset(materialize)))
         try:
             return fn(spark, sf)
         finally:
-            if outer is None:
-                _memo, _materialize = None, outer_m
+            _scope.reset(token)
 
     return run

@@ -621,6 +621,20 @@ SQL["page_docs"] = build(
 FROM docs""",
     "docs",
 )
+SQL["sync_docs"] = SQL["cache_only_docs"] = SQL["doc_upsert_stream"] = SQL["page_docs"]
+SQL["sync_run_log"] = build(
+    f"""SELECT r.run_id::INTEGER AS run_id, '{SN.RUN_TS}' AS run_ts, m.domain, CASE WHEN coalesce(d.n, 0) = 0 THEN 'error_no_pages' ELSE 'ok' END AS status,
+  true AS trusted, CASE WHEN r.run_id = 0 THEN 'first_run' ELSE 'cache_only' END AS reason, m.n AS urls_discovered,
+  CASE WHEN r.run_id = 0 THEN m.n ELSE 0 END AS new_urls, CASE WHEN r.run_id = 0 THEN m.n ELSE 0 END AS queued,
+  CASE WHEN r.run_id = 0 THEN m.n ELSE 0 END AS fetched, 0::BIGINT AS deleted,
+  CASE WHEN r.run_id = 0 THEN coalesce(d.n, 0) ELSE 0 END AS added, 0::BIGINT AS updated,
+  CASE WHEN r.run_id = 1 THEN coalesce(d.n, 0) ELSE 0 END AS unchanged, coalesce(d.n, 0) AS total,
+  CASE WHEN r.run_id = 0 THEN 1 + 5 * m.n ELSE 0 END::BIGINT AS credits
+FROM (SELECT domain, count(DISTINCT url) AS n FROM kp GROUP BY domain) m
+LEFT JOIN (SELECT domain, count(*) AS n FROM docs GROUP BY domain) d ON d.domain = m.domain, range(0, 2) r(run_id)""",
+    "kp",
+    "docs",
+)
 SQL["artifact_lines_by_domain"] = build(
     f"""SELECT domain, count(*) AS n_pages, sum(len(string_split(md, chr(10))))::BIGINT AS n_lines,
   sum({D.artifact_line_count('md')})::BIGINT AS n_artifact_lines

@@ -355,7 +355,57 @@ def _stream_miss_counter(spark, sf):
     return run_miss_counter_stream(spark, SN.run_map(spark, sf))
 
 
+# ---- the sync job and its streams, over a store of their own ---------------
+
+
+def _synced(spark, sf, **more):
+    """A store after one run over every page of the page table."""
+    from pagetide.plans.sync_job import RunOptions, SyncStore, sync
+    from pagetide.streaming.snapshots import scratch
+
+    store = SyncStore(spark, scratch(spark, "store"))
+    sync(spark, store, SN.site_pages(spark, sf), read_pages(spark, sf), RunOptions(run_id=0, run_ts=SN.RUN_TS))
+    if more:
+        sync(spark, store, SN.site_pages(spark, sf), read_pages(spark, sf), RunOptions(run_id=1, run_ts=SN.RUN_TS, **more))
+    return store
+
+
+def _doc_columns(df):
+    return df.select(
+        "domain", "slug", "url", "seq", "title", "description", "summary", "body", "content_sha",
+        F.length("content").cast("bigint").alias("n_chars"),
+    )
+
+
+def sync_run_log(spark, sf):
+    """K7, K8: the log of a first run and of the cache-only run after it."""
+    return _synced(spark, sf, cache_only=True).run_log()
+
+
+def doc_upsert_stream(spark, sf):
+    """ST3: the documents arrive as a stream, every third a second time with an
+    older ``seq`` and other content, which must change nothing."""
+    from pagetide.plans.sync_job import SyncStore
+    from pagetide.streaming.snapshots import page_upsert_stream, scratch
+
+    now = docs(spark, sf)
+    src = scratch(spark, "docs-src")
+    now.select(*A.PAGE_DOC_COLUMNS).write.parquet(src)
+    store = page_upsert_stream(spark, SyncStore(spark, scratch(spark, "store")), src, scratch(spark, "ckpt"))
+    older = store.read("docs").where(F.pmod("seq", F.lit(3)) == 0).withColumns(
+        {"seq": F.col("seq") - 1_000_000, "content": F.lit("old"), "content_sha": F.lit("old")}
+    )
+    late = scratch(spark, "docs-late")
+    older.write.parquet(late)
+    return _doc_columns(page_upsert_stream(spark, store, late, scratch(spark, "ckpt")).read("docs"))
+
+
 QUERIES: dict[str, Query] = {
+    # the sync job
+    "sync_docs": lambda s, f: _doc_columns(_synced(s, f).read("docs")),
+    "cache_only_docs": lambda s, f: _doc_columns(_synced(s, f, cache_only=True).read("docs")),
+    "sync_run_log": sync_run_log,
+    "doc_upsert_stream": doc_upsert_stream,
     # url_inventory job
     "url_inventory": url_inventory,
     "url_inventory_by_domain": url_inventory_by_domain,
