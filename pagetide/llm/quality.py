@@ -25,7 +25,7 @@ MIN_WORDS = 50
 SYMBOLS = r"[#*$%&|<>]"
 RULES = ["v_length", "v_symbols", "v_repeats", "v_lines", "v_word_length", "v_shouting", "v_sentences"]
 #: The most that each rule may fire on good documents (order of RULES).
-FALSE_ALARM = (0.05, 0.004, 0.004, 0.2, 0.02, 0.004, 0.01)
+FALSE_ALARM = (0.05, 0.001, 0.001, 0.2, 0.02, 0.001, 0.01)
 #: Start and prior of EM: good documents hardly ever draw a bad vote, bad ones
 #: draw one from some of the rules.
 P_GOOD, P_BAD, PRIOR_GOOD = (0.002, 0.198, 0.80), (0.30, 0.25, 0.45), 0.85
