@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from pagetide.llm import hashing as H
 from pagetide.llm.common import materialize, python_ready, text_or_empty
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 #: Buckets per shuffle partition.
 FAN_OUT = 4
 

@@ -48,7 +48,8 @@ SPAN = LENGTH - K + 1  # fingerprints in a string
 SEPARATOR = 0xFF  # no byte of UTF-8 text
 MASK_BYTES = (SPAN + 7) // 8
 RECORD = np.dtype([("at", "<i8"), ("mask", "u1", MASK_BYTES)])
-PIECE = 8 << 20
+PIECE = 1 << 19  # bytes hashed at a time
+INDEX_BYTES = 1 << 18  # contexts indexed at a time, one anchor's at least
 
 SENT = T.StructType().add("bucket", "integer", False).add("chunk", "long", False).add("blob", "binary", False)
 MARKS = T.StructType().add("chunk", "long", False).add("kind", "integer", False).add("packed", "binary", False)
@@ -69,7 +70,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     n = len(data)
     if n < LENGTH:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    if n > 2 * PIECE:  # a very long text: pieces that overlap by all that an anchor depends on
+    if n > 2 * PIECE:  # pieces that overlap by all that an anchor depends on bound the memory
         found = []
         for lo in range(0, n, PIECE):
             a, b = max(0, lo - LENGTH), min(n, lo + PIECE + LENGTH)
@@ -156,15 +157,15 @@ def suffix_order(text: np.ndarray) -> tuple[np.ndarray, list[tuple[int, np.ndarr
         order = np.argsort(key, kind="stable")
         ordered = key[order]
         fresh = np.concatenate(([True], ordered[1:] != ordered[:-1]))
-        rank = np.empty(n, np.int64)
+        rank = np.empty(n, np.int32)
         rank[order] = np.cumsum(fresh)  # from 1; 0 stands for the end
         levels.append((depth, rank))
         if fresh.all():
             return order, levels
-        ahead = np.zeros(n, np.int64)
+        ahead = np.zeros(n, np.int32)
         if depth < n:
             ahead[:-depth] = rank[depth:]
-        key = (rank * (n + 1) + ahead).view(np.uint64)
+        key = rank.astype(np.uint64) * np.uint64(n + 1) + ahead.astype(np.uint64)
         depth *= 2
 
 
@@ -215,6 +216,28 @@ def match_classes(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray
     return order, matching[order] < length
 
 
+def _index(several, body, end, size, start, text_rank, masks) -> None:
+    """Mark in ``masks`` the strings of these contexts that start earlier in
+    another one."""
+    parts = [np.frombuffer(body, np.uint8, size[i], end[i] - size[i]) for i in several]
+    gap = np.array([SEPARATOR], np.uint8)
+    text = np.concatenate([x for p in parts for x in (p, gap)])
+    lengths = size[several] + 1
+    offset = np.cumsum(lengths) - lengths
+    owner = np.repeat(np.arange(len(several)), lengths)
+    inside = np.arange(len(text)) - offset[owner]
+    valid = inside + LENGTH <= size[several][owner]
+    place = (text_rank[several][owner] << 40) + start[several][owner] + inside
+    place[~valid] = np.iinfo(np.int64).max
+    order, fresh = match_classes(text, LENGTH)
+    heads = np.flatnonzero(fresh)
+    lowest = np.minimum.reduceat(place[order], heads)
+    low = np.empty(len(text), np.int64)
+    low[order] = np.repeat(lowest, np.diff(np.append(heads, len(text))))
+    gone = np.flatnonzero(valid & (place > low))
+    masks[several[owner[gone]], inside[gone]] = True
+
+
 def _decide(table: pa.Table) -> pa.Table:
     """Which strings of a bucket's contexts start earlier elsewhere."""
     unpack = zstandard.ZstdDecompressor()
@@ -246,25 +269,19 @@ def _decide(table: pa.Table) -> pa.Table:
         else:
             first[key] = i
             groups.setdefault(key[0], []).append(i)
-    several = np.array([i for g in groups.values() if len(g) > 1 for i in g], np.int64)
-    if len(several):
-        parts = [np.frombuffer(body, np.uint8)[end[i] - size[i]:end[i]] for i in several]
-        gap = np.array([SEPARATOR], np.uint8)
-        text = np.concatenate([x for p in parts for x in (p, gap)])
-        lengths = size[several] + 1
-        offset = np.cumsum(lengths) - lengths
-        owner = np.repeat(np.arange(len(several)), lengths)
-        inside = np.arange(len(text)) - offset[owner]
-        valid = inside + LENGTH <= size[several][owner]
-        place = (text_rank[several][owner] << 40) + start[several][owner] + inside
-        place[~valid] = np.iinfo(np.int64).max
-        order2, fresh = match_classes(text, LENGTH)
-        heads2 = np.flatnonzero(fresh)
-        lowest = np.minimum.reduceat(place[order2], heads2)
-        low = np.empty(len(text), np.int64)
-        low[order2] = np.repeat(lowest, np.diff(np.append(heads2, len(text))))
-        gone = np.flatnonzero(valid & (place > low))
-        masks[several[owner[gone]], inside[gone]] = True
+    # strings are compared within their anchor's group, so groups are indexed
+    # some at a time
+    some: list[int] = []
+    held = 0
+    for group in groups.values():
+        if len(group) > 1:
+            some += group
+            held += int(size[group].sum())
+            if held >= INDEX_BYTES:
+                _index(np.array(some), body, end, size, start, text_rank, masks)
+                some, held = [], 0
+    if some:
+        _index(np.array(some), body, end, size, start, text_rank, masks)
     hit = np.flatnonzero(masks.any(axis=1))
     bits = np.packbits(masks[hit], axis=1)
     out_chunk, out = [], []
