@@ -57,13 +57,14 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def regex_spans(text: Column, pattern: Column, fields, schema: str) -> Column:
+def regex_spans(text: Column, pattern: Column, fields, schema: str, keep=None) -> Column:
     """Matches of ``pattern`` in ``text`` as an array of structs.
 
     ``fields(start, stop, hit, before, after)`` makes a struct's columns, in
     the order of ``schema``; positions are code points, ``before`` and
     ``after`` the text up to the neighbouring matches. ``pattern`` must not
-    match the empty string.
+    match the empty string; matches of which ``keep(hit)`` is not true are
+    passed over.
     """
 
     def place(found):
@@ -71,8 +72,11 @@ def regex_spans(text: Column, pattern: Column, fields, schema: str) -> Column:
             def step(acc, m):
                 start = (acc["at"] + F.char_length(m["gap"])).cast("long")
                 stop = (start + F.char_length(m["hit"])).cast("long")
-                row = F.struct(*fields(start, stop, m["hit"], m["gap"], m["next"]))
-                return F.struct(stop.alias("at"), F.concat(acc["out"], F.array(row)).cast(schema).alias("out"))
+                row = F.array(F.struct(*fields(start, stop, m["hit"], m["gap"], m["next"]))).cast(schema)
+                more = F.concat(acc["out"], row)
+                if keep is not None:
+                    more = F.when(keep(m["hit"]), more).otherwise(acc["out"])
+                return F.struct(stop.alias("at"), more.alias("out"))
 
             n = F.size(found)
             sides = F.zip_with(

@@ -4,12 +4,17 @@
   ``mapInArrow``), a digest of the set, and a one-permutation sketch of
   ``BANDS * ROWS`` bins with optimal densification (an empty bin copies the bin
   that a fixed random sequence of its own hits first), cut into band keys.
-* Texts with equal sets form a class; only classes go on.
-* Candidates are star-shaped: in each bucket of equal band key, every member is
-  paired with one centre, so pairs stay linear in the members. Later rounds
-  choose other centres in buckets that still hold unlinked classes, until a
-  round links nothing new.
-* Pairs are confirmed on full sets, and components come from the links.
+* Texts with equal sets form a class; only classes go on, and of these only the
+  members of buckets (equal band keys) that hold two or more.
+* Candidates are star-shaped: in each bucket, every member is paired with one
+  centre, so pairs stay linear in the members. Later rounds draw ``CENTRES``
+  other centres in buckets that still hold classes of different components, for
+  the members outside the largest of these (fewer rounds if one links nothing
+  new): a class that is near to only some of a bucket meets that many of it per
+  bucket and round.
+* Pairs of large sets first compare ``CHECKED`` bytes of their sketches; a pair
+  at the threshold agrees on fewer than ``AGREE`` of them once in ten million.
+  The others are confirmed on full sets, and components come from the links.
 
 The chance that a pair at similarity 0.8 shares no bucket is
 (1 - 0.8**ROWS)**BANDS = 3e-6.
@@ -39,7 +44,8 @@ THRESHOLD_NUM, THRESHOLD_DEN = 80, 100
 BANDS, ROWS = 32, 5
 BINS = BANDS * ROWS
 WORK_BYTES = 4 << 20
-MAX_ROUNDS = 12
+CENTRES = (2, 8, 8)  # drawn per bucket in each round after the first
+CHECKED, AGREE, LARGE = 96, 52, 200  # sketch bytes, of which to agree, for sets from LARGE on
 
 _tries = np.random.default_rng(7).integers(0, BINS, (BINS, 2048))
 
@@ -87,8 +93,8 @@ def sketch(s: np.ndarray) -> np.ndarray:
     return out
 
 
-def band_keys(s: np.ndarray) -> np.ndarray:
-    rows = sketch(s).reshape(BANDS, ROWS)
+def band_keys(values: np.ndarray) -> np.ndarray:
+    rows = values.reshape(BANDS, ROWS)
     total = (rows * H.MULTIPLIERS[:ROWS]).sum(axis=1, dtype=np.uint64)
     return H.mix(total + np.arange(BANDS, dtype=np.uint64) * H.MULTIPLIERS[ROWS]).view(np.int64)
 
@@ -99,26 +105,32 @@ def _digest(s: np.ndarray) -> bytes:
 
 def _sketches(batches, width):
     for b in batches:
-        sizes, sets, bands = [], [], []
+        sizes, sets, bands, brief = [], [], [], []
         for s in shingle_sets(b.column("text"), width):
             sizes.append(len(s))
+            values = sketch(s) if len(s) else None
             sets.append(_digest(s) if len(s) else None)
-            bands.append(band_keys(s) if len(s) else None)
+            bands.append(band_keys(values) if len(s) else None)
+            brief.append(values[:CHECKED].astype(np.uint8).tobytes() if len(s) else None)
         cols = [b.column(i) for i, n in enumerate(b.schema.names) if n != "text"]
         names = [n for n in b.schema.names if n != "text"]
-        yield pa.RecordBatch.from_arrays(
-            [*cols, pa.array(sizes, pa.int64()), pa.array(sets, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
-            names=[*names, "n_shingles", "cls", "bands"],
-        )
+        new = [pa.array(sizes, pa.int64()), pa.array(sets, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(brief, pa.binary())]
+        yield pa.RecordBatch.from_arrays([*cols, *new], names=[*names, "n_shingles", "cls", "bands", "brief"])
+
+
+def _plausible(batches):
+    """Pairs whose brief sketches agree well enough, or whose sets are small."""
+    for b in batches:
+        x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, CHECKED) for c in ("brief_a", "brief_b"))
+        n = np.minimum(b.column("n_a").to_numpy(), b.column("n_b").to_numpy())
+        mask = pa.array(((x == y).sum(axis=1) >= AGREE) | (n < LARGE))
+        yield b.select(["a", "b", "comp_a", "comp_b"]).filter(mask)
 
 
 def _full_sets(batches, width):
     for b in batches:
-        sets = [s for s in shingle_sets(b.column("text"), width)]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([_digest(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())],
-            names=["cls", "full"],
-        )
+        sets = [s.tobytes() for s in shingle_sets(b.column("text"), width)]
+        yield pa.RecordBatch.from_arrays([b.column("cid"), pa.array(sets, pa.binary())], names=["cid", "full"])
 
 
 def _confirm(batches, num, den):
@@ -130,8 +142,7 @@ def _confirm(batches, num, den):
             both.sort(kind="stable")
             same = int((both[1:] == both[:-1]).sum())
             keep.append(den * same >= num * (len(x) + len(y) - same))
-        mask = pa.array(keep, pa.bool_())
-        yield pa.RecordBatch.from_arrays([b.column("a").filter(mask), b.column("b").filter(mask)], names=["a", "b"])
+        yield b.select(["comp_a", "comp_b"]).filter(pa.array(keep, pa.bool_()))
 
 
 class _Work:
@@ -139,92 +150,99 @@ class _Work:
 
     def __init__(self, docs: DataFrame, width: int, num: int, den: int):
         self.docs, self.width, self.num, self.den = docs, width, num, den
-        spark = docs.sparkSession
-        python_ready(spark)
+        python_ready(docs.sparkSession)
         text = text_or_empty()
         src = docs.select("doc_id", F.xxhash64(text, F.octet_length(text)).alias("th"), text.alias("text"))
-        schema = src.drop("text").schema.add("n_shingles", "long").add("cls", "binary").add("bands", T.ArrayType(T.LongType()))
+        schema = src.drop("text").schema.add("n_shingles", "long").add("cls", "binary")
+        schema = schema.add("bands", T.ArrayType(T.LongType())).add("brief", "binary")
         self.rows = materialize(src.mapInArrow(lambda it: _sketches(it, width), schema), "minhash-sketch")
-        has = self.rows.filter(F.col("cls").isNotNull())
-        # equal sets have equal sizes and band keys; any text of the class will do
-        self.classes = materialize(
-            has.groupBy("cls").agg(
-                F.min("doc_id").alias("rep"), F.min(F.struct("th", "n_shingles", "bands")).alias("x")
-            ).select("cls", "rep", "x.th", "x.n_shingles", "x.bands"),
-            "minhash-classes",
+        # equal sets have equal sizes and sketches; any text of the class will do
+        grouped = self.rows.filter(F.col("cls").isNotNull()).groupBy("cls").agg(
+            F.min("doc_id").alias("rep"), F.min("th").alias("th"),
+            *[F.first(c).alias(c) for c in ("n_shingles", "bands", "brief")],
         )
+        self.classes = materialize(grouped.withColumn("cid", F.monotonically_increasing_id()), "minhash-classes")
+        every = self.classes.select(F.explode("bands").alias("bucket"), "cid")
+        shared = every.groupBy("bucket").agg(F.min("cid").alias("centre"), F.max("cid").alias("other")).filter("centre <> other")
+        shared = materialize(shared.select("bucket", "centre"), "minhash-buckets")
+        self.members = materialize(every.join(shared, "bucket"), "minhash-members")
 
     def pairs(self, round_no: int, label: DataFrame | None) -> DataFrame:
-        """Candidate pairs (a, b) of this round: members and their centre."""
-        member = self.classes.select(F.explode("bands").alias("bucket"), "cls", F.col("n_shingles").alias("n"), "rep")
+        """Candidate pairs (a, b) of this round: members and their centres."""
+        info = self.classes.select("cid", F.col("n_shingles").alias("n"), "brief")
         if label is None:
-            order = F.struct(F.col("rep").isNull(), "rep", "cls", "n")
-            centre = member.groupBy("bucket").agg(F.min(order).alias("m"), F.count(F.lit(1)).alias("k")).filter("k > 1")
+            hit = self.members.select("cid", "centre")
+            info = info.withColumn("comp", F.col("cid"))
         else:
-            named = self.classes.join(label, self.classes["cls"] == label["node"], "left").select(
-                "cls", "n_shingles", "bands", F.coalesce("component", "cls").alias("comp")
-            )
+            info = info.join(label.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("component", "cid"))
+            info = materialize(info.select("cid", "n", "brief", "comp"), "minhash-info")
+            sizes = label.groupBy("component").agg(F.count(F.lit(1)).alias("comp_size")).withColumnRenamed("component", "comp")
+            named = self.members.join(info.select("cid", "comp"), "cid").join(sizes, "comp", "left")
+            named = named.select("bucket", "cid", "comp", F.coalesce("comp_size", F.lit(1)).alias("comp_size"))
             named = materialize(named, "minhash-named")
-            member = named.select(F.explode("bands").alias("bucket"), "cls", F.col("n_shingles").alias("n"), "comp")
-            # a centre drawn anew each round, where two components share a bucket
-            order = F.struct(F.xxhash64("bucket", "cls", F.lit(round_no)), "cls", "n", "comp")
-            centre = (
-                member.groupBy("bucket")
-                .agg(F.min(order).alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-                .filter("lo <> hi")
-            )
-        fields = [F.col("m.cls").alias("centre"), F.col("m.n").alias("n_centre")]
-        if label is not None:
-            fields.append(F.col("m.comp").alias("comp_centre"))
-        centre = materialize(centre.select("bucket", *fields), "minhash-centres")
-        hit = member.join(centre, "bucket").filter(F.col("cls") != F.col("centre"))
-        if label is not None:
-            hit = hit.filter(F.col("comp") != F.col("comp_centre"))
+            # flipping the bits of a constant gives another order of the ids
+            flip = np.random.default_rng(round_no).integers(0, 1 << 62, CENTRES[round_no - 1]).tolist()
+            flipped = [F.min(F.col("cid").bitwiseXOR(F.lit(x))).alias(f"c{i}") for i, x in enumerate(flip)]
+            split = named.groupBy("bucket").agg(
+                F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max_by("comp", "comp_size").alias("hub"), *flipped
+            ).filter("lo <> hi")
+            drawn = F.array_distinct(F.array(*[F.col(f"c{i}").bitwiseXOR(F.lit(x)) for i, x in enumerate(flip)]))
+            split = materialize(split.select("bucket", "hub", drawn.alias("centres")), "minhash-centres")
+            hit = named.join(split, "bucket").filter("comp <> hub").select("cid", F.explode("centres").alias("centre"))
+        hit = hit.filter("cid <> centre").select(F.least("cid", "centre").alias("a"), F.greatest("cid", "centre").alias("b")).distinct()
+        side = lambda x: info.select(F.col("cid").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "brief", "comp")])
         # a similarity bounds the ratio of the sizes
-        hit = hit.filter((self.den * F.col("n") >= self.num * F.col("n_centre")) & (self.den * F.col("n_centre") >= self.num * F.col("n")))
-        return hit.select(F.least("cls", "centre").alias("a"), F.greatest("cls", "centre").alias("b")).distinct()
+        near = (self.den * F.col("n_a") >= self.num * F.col("n_b")) & (self.den * F.col("n_b") >= self.num * F.col("n_a"))
+        known = hit.join(side("a"), "a").join(side("b"), "b").filter(near & (F.col("comp_a") != F.col("comp_b")))
+        known = known.select("a", "b", "comp_a", "comp_b", "n_a", "n_b", "brief_a", "brief_b")
+        return known.mapInArrow(_plausible, "a long, b long, comp_a long, comp_b long")
 
     def sets_of(self, pairs: DataFrame) -> DataFrame:
         """Full sets of all classes in ``pairs``, from one text of each."""
-        need = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
-        th = self.classes.join(need, "cls").select("th").distinct()
+        need = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
+        th = materialize(self.classes.select("cid", "th").join(need, "cid").select("th", "cid"), "minhash-need")
         text = text_or_empty()
         texts = self.docs.select(text.alias("text")).withColumn("th", F.xxhash64("text", F.octet_length("text")))
-        first = texts.join(th, "th", "left_semi").groupBy("th").agg(F.first("text").alias("text")).select("text")
+        first = texts.join(th, "th").groupBy("th", "cid").agg(F.first("text").alias("text")).select("cid", "text")
         width = self.width
-        full = first.mapInArrow(lambda it: _full_sets(it, width), "cls binary, full binary")
-        return materialize(full.filter(F.octet_length("full") > 0), "minhash-sets")
+        return materialize(first.mapInArrow(lambda it: _full_sets(it, width), "cid long, full binary"), "minhash-sets")
 
     def links(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        left = sets.select(F.col("cls").alias("a"), F.col("full").alias("full_a"))
-        right = sets.select(F.col("cls").alias("b"), F.col("full").alias("full_b"))
-        joined = pairs.join(left, "a").join(right, "b").select("a", "b", "full_a", "full_b")
+        left = sets.select(F.col("cid").alias("a"), F.col("full").alias("full_a"))
+        right = sets.select(F.col("cid").alias("b"), F.col("full").alias("full_b"))
+        joined = pairs.join(left, "a").join(right, "b").select("comp_a", "comp_b", "full_a", "full_b")
         num, den = self.num, self.den
-        return joined.mapInArrow(lambda it: _confirm(it, num, den), "a binary, b binary")
+        return joined.mapInArrow(lambda it: _confirm(it, num, den), "comp_a long, comp_b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = SHINGLE, num: int = THRESHOLD_NUM, den: int = THRESHOLD_DEN) -> DataFrame:
     """doc_id, th (hash of the text), n_shingles, group (a digest; null without
     words), component_id and kept."""
     w = _Work(docs, width, num, den)
-    label, links = None, None
-    for round_no in range(MAX_ROUNDS):
+    label = None
+    for round_no in range(1 + len(CENTRES)):
         pairs = materialize(w.pairs(round_no, label), "minhash-pairs")
         if pairs.isEmpty():
             break
         found = materialize(w.links(pairs, w.sets_of(pairs)), "minhash-links")
-        if found.isEmpty() and round_no:
+        if found.isEmpty():
             break
-        links = found if links is None else links.union(found)
-        label = components(links)
-    named = w.classes.select("cls", "rep")
+        # the links join components of the rounds before
+        merged = components(found.select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b")))
+        if label is not None:
+            onto = merged.select(F.col("node").alias("component"), F.col("component").alias("onto"))
+            old = label.join(onto, "component", "left").select("node", F.coalesce("onto", "component").alias("component"))
+            merged = materialize(old.union(merged.join(label.select("node"), "node", "left_anti")), "minhash-label")
+        label = merged
+    named = w.classes.select("cls", "rep", "cid")
     if label is not None:
-        named = named.join(label, named["cls"] == label["node"], "left").select("cls", "rep", F.coalesce("component", "cls").alias("comp"))
+        named = named.join(label.withColumnRenamed("node", "cid"), "cid", "left").select(
+            "cls", "rep", F.coalesce("component", "cid").alias("comp")
+        )
     else:
-        named = named.withColumn("comp", F.col("cls"))
-    named = materialize(named, "minhash-components")
-    smallest = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    smallest = materialize(smallest, "minhash-smallest")
+        named = named.withColumn("comp", F.col("cid"))
+    named = materialize(named.select("cls", "rep", "comp"), "minhash-components")
+    smallest = materialize(named.groupBy("comp").agg(F.min("rep").alias("component_id")), "minhash-smallest")
     of_class = materialize(named.join(smallest, "comp").select("cls", "comp", "component_id"), "minhash-of-class")
     out = w.rows.select("doc_id", "th", "n_shingles", "cls").join(of_class, "cls", "left")
     component = F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
@@ -244,10 +262,13 @@ def dedup(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     gone = found.join(first, "group").filter(F.col("key") != F.col("first")).select("key.doc_id", "key.th")
     gone = materialize(gone, "minhash-gone").select(F.col("doc_id").alias("_gone_id"), F.col("th").alias("_th"))
     text = text_or_empty()
-    keyed = docs.withColumn("_th", F.xxhash64(text, F.octet_length(text)))
-    same = (keyed["_th"] == gone["_th"]) & keyed["doc_id"].eqNullSafe(gone["_gone_id"])
+    keyed = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
+        F.xxhash64(text, F.octet_length(text)).alias("_hash"), F.col("doc_id").alias("_id"),
+    )
+    same = (F.col("_hash") == F.col("_th")) & F.col("_id").eqNullSafe(F.col("_gone_id"))
     left = keyed.join(gone, same, "left_anti")
-    return left.dropDuplicates(["_th", "doc_id"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return left.dropDuplicates(["_hash", "_id"]).select("_row.*")
 
 
 def op1_minhash_dedup(spark, sf_dir: str) -> DataFrame:

@@ -117,7 +117,7 @@ def _fields(kind: str, base: bool, strict: bool):
         context = F.when(near.rlike(NOT_CUES), -1).when(near.rlike(f"(?i)(?:{CUES[kind]})"), 1).otherwise(0)
         return (
             F.lit(kind).alias("kind"), start.alias("start"), stop.alias("stop"),
-            (base_valid(kind, hit) if base else F.lit(False)).alias("base"),
+            F.lit(base).alias("base"),
             F.lit(1 if strict else 0).alias("v_regex"),
             gazetteer.alias("v_gazetteer"), context.alias("v_context"), shape.alias("v_shape"),
             F.when(edge == 1, 1).otherwise(-1).alias("v_boundary"),
@@ -129,6 +129,10 @@ def _fields(kind: str, base: bool, strict: bool):
     return fields
 
 
+def _base_spans(text: Column, kind: str, pattern: str) -> Column:
+    return regex_spans(text, F.lit(pattern), _fields(kind, True, True), SPAN, lambda hit: base_valid(kind, hit))
+
+
 def candidates(text: Column) -> Column:
     """All candidate spans of a text: valid base spans first by kind and start,
     then the others that touch none of them."""
@@ -136,7 +140,7 @@ def candidates(text: Column) -> Column:
     digits = text.rlike("[0-9]")
     gates = {"email": F.contains(text, F.lit("@")), "phone": F.contains(text, F.lit("+")) & digits}
     base = [
-        F.when(gates.get(k, digits), F.filter(regex_spans(text, F.lit(p), _fields(k, True, True), SPAN), lambda s: s["base"])).otherwise(none)
+        F.when(gates.get(k, digits), _base_spans(text, k, p)).otherwise(none)
         for k, p in BASE.items()
     ]
     more_gates = {
