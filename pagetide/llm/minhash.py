@@ -10,8 +10,12 @@
   centre, so pairs stay linear in the members. Later rounds draw ``CENTRES``
   other centres in buckets that still hold classes of different components, for
   the members outside the largest of these (fewer rounds if one links nothing
-  new): a class that is near to only some of a bucket meets that many of it per
-  bucket and round.
+  new). These rounds only save work.
+* Buckets that hold several components after that are compared exactly: up to
+  ``SMALL`` members, all pairs across components; the classes of larger ones by
+  a prefix-filtered join on shingles, rarest first. Which shingles are common is
+  estimated on ``SAMPLE`` of these classes and only decides what is skipped.
+  Shingles of many prefixes are joined block by block.
 * Pairs of large sets first compare ``CHECKED`` bytes of their sketches; a pair
   at the threshold agrees on fewer than ``AGREE`` of them once in ten million.
   The others are confirmed on full sets, and components come from the links.
@@ -47,6 +51,10 @@ WORK_BYTES = 4 << 20
 CENTRES = (2, 8, 8)  # drawn per bucket in each round after the first
 CHECKED, AGREE, LARGE = 96, 52, 200  # sketch bytes, of which to agree, for sets from LARGE on
 
+SMALL = 16  # members of a bucket up to which all its pairs are compared
+SAMPLE, COMMON = 4096, 200_000  # classes that shingles are counted on; shingles kept of these
+BLOCK = 512  # prefixes with one shingle that meet in one block
+
 _tries = np.random.default_rng(7).integers(0, BINS, (BINS, 2048))
 
 
@@ -133,6 +141,27 @@ def _full_sets(batches, width):
         yield pa.RecordBatch.from_arrays([b.column("cid"), pa.array(sets, pa.binary())], names=["cid", "full"])
 
 
+def _shingles(batches):
+    for b in batches:
+        for s in b.column("full"):
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(s.as_buffer(), np.int64))], names=["token"])
+
+
+def _prefixes(batches, width, num, den, common, counts):
+    """Each set's shingles, rarest first, as far as one must be shared with any
+    set at the threshold; ``common`` is sorted."""
+    for b in batches:
+        for cid, s in zip(b.column("cid").to_pylist(), shingle_sets(b.column("text"), width)):
+            often = np.zeros(len(s), np.int64)
+            if len(common):
+                at = np.minimum(np.searchsorted(common, s), len(common) - 1)
+                often = np.where(common[at] == s, counts[at], 0)
+            n = len(s) + num * len(s) // -den + 1  # size - ceil(num * size / den) + 1
+            first = s[np.lexsort((s, often))[:n]].view(np.int64)
+            cols = [pa.array(first), pa.array(np.full(n, cid, np.int64)), pa.array(np.arange(n))]
+            yield pa.RecordBatch.from_arrays(cols, names=["token", "cid", "pos"])
+
+
 def _confirm(batches, num, den):
     for b in batches:
         keep = []
@@ -169,13 +198,10 @@ class _Work:
 
     def pairs(self, round_no: int, label: DataFrame | None) -> DataFrame:
         """Candidate pairs (a, b) of this round: members and their centres."""
-        info = self.classes.select("cid", F.col("n_shingles").alias("n"), "brief")
+        info = self.info(label)
         if label is None:
             hit = self.members.select("cid", "centre")
-            info = info.withColumn("comp", F.col("cid"))
         else:
-            info = info.join(label.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("component", "cid"))
-            info = materialize(info.select("cid", "n", "brief", "comp"), "minhash-info")
             sizes = label.groupBy("component").agg(F.count(F.lit(1)).alias("comp_size")).withColumnRenamed("component", "comp")
             named = self.members.join(info.select("cid", "comp"), "cid").join(sizes, "comp", "left")
             named = named.select("bucket", "cid", "comp", F.coalesce("comp_size", F.lit(1)).alias("comp_size"))
@@ -190,6 +216,18 @@ class _Work:
             split = materialize(split.select("bucket", "hub", drawn.alias("centres")), "minhash-centres")
             hit = named.join(split, "bucket").filter("comp <> hub").select("cid", F.explode("centres").alias("centre"))
         hit = hit.filter("cid <> centre").select(F.least("cid", "centre").alias("a"), F.greatest("cid", "centre").alias("b")).distinct()
+        return self.checked(hit, info)
+
+    def info(self, label: DataFrame | None) -> DataFrame:
+        """Size, brief sketch and component of each class."""
+        info = self.classes.select("cid", F.col("n_shingles").alias("n"), "brief")
+        if label is None:
+            return info.withColumn("comp", F.col("cid"))
+        info = info.join(label.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("component", "cid"))
+        return materialize(info.select("cid", "n", "brief", "comp"), "minhash-info")
+
+    def checked(self, hit: DataFrame, info: DataFrame) -> DataFrame:
+        """Those of the pairs (a, b) that sizes, components and brief sketches leave."""
         side = lambda x: info.select(F.col("cid").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "brief", "comp")])
         # a similarity bounds the ratio of the sizes
         near = (self.den * F.col("n_a") >= self.num * F.col("n_b")) & (self.den * F.col("n_b") >= self.num * F.col("n_a"))
@@ -197,15 +235,62 @@ class _Work:
         known = known.select("a", "b", "comp_a", "comp_b", "n_a", "n_b", "brief_a", "brief_b")
         return known.mapInArrow(_plausible, "a long, b long, comp_a long, comp_b long")
 
-    def sets_of(self, pairs: DataFrame) -> DataFrame:
-        """Full sets of all classes in ``pairs``, from one text of each."""
-        need = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
+    def rest(self, label: DataFrame | None) -> DataFrame:
+        """All pairs across components that the star rounds may have left: in
+        small buckets directly, in the others by prefixes."""
+        info = self.info(label)
+        named = materialize(self.members.join(info.select("cid", "comp"), "cid"), "minhash-rest")
+        split = named.groupBy("bucket").agg(
+            F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("held")
+        ).filter("lo <> hi and held > 2").select("bucket", "held")
+        left = materialize(named.join(split, "bucket"), "minhash-left")
+        # every member has met its bucket's centre
+        small = left.filter((F.col("held") <= SMALL) & (F.col("cid") != F.col("centre")))
+        one, two = (small.select("bucket", F.col("cid").alias(x), F.col("comp").alias(f"comp_{x}")) for x in "ab")
+        hit = one.join(two, "bucket").filter("a < b and comp_a <> comp_b").select("a", "b")
+        crowd = materialize(left.filter(F.col("held") > SMALL).select("cid").distinct(), "minhash-crowd")
+        if not crowd.isEmpty():
+            hit = hit.union(self.by_prefix(crowd, info))
+        return self.checked(hit.distinct(), info)
+
+    def by_prefix(self, crowd: DataFrame, info: DataFrame) -> DataFrame:
+        """Pairs (a, b) of ``crowd`` across components whose prefixes share a shingle."""
+        num, den, width = self.num, self.den, self.width
+        sample = self.sets_of(crowd.orderBy(F.xxhash64("cid")).limit(SAMPLE))
+        often = sample.mapInArrow(_shingles, "token long").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+        top = often.filter("n > 1").orderBy(F.desc("n"), "token").limit(COMMON).toPandas()
+        common = top["token"].to_numpy(np.int64).view(np.uint64)
+        order = np.argsort(common)
+        common, counts = common[order], top["n"].to_numpy(np.int64)[order]
+        found = self.texts_of(crowd).mapInArrow(lambda it: _prefixes(it, width, num, den, common, counts), "token long, cid long, pos long")
+        found = materialize(found.join(info.select("cid", "n", "comp"), "cid"), "minhash-prefixes")
+        held = found.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("held"))
+        held = materialize(held.filter("lo <> hi").select("token", F.ceil(F.col("held") / BLOCK).alias("blocks")), "minhash-tokens")
+        dealt = found.join(held, "token").withColumn("block", F.pmod(F.xxhash64("cid", "token"), "blocks"))
+        dealt = materialize(dealt, "minhash-dealt")
+        # each pair of blocks (x <= y) of a shingle meets once
+        side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("cid", "n", "comp", "pos")]
+        one = dealt.select("token", F.col("block").alias("x"), F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)).alias("y"), *side("a"))
+        two = dealt.select("token", F.explode(F.sequence(F.lit(0).cast("long"), F.col("block"))).alias("x"), F.col("block").alias("y"), *side("b"))
+        both = F.col("n_a") + F.col("n_b")
+        # the first shared shingle bounds what can still be shared
+        bound = (num + den) * F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b")) >= num * both
+        near = (den * F.col("n_a") >= num * F.col("n_b")) & (den * F.col("n_b") >= num * F.col("n_a"))
+        once = (F.col("x") < F.col("y")) | (F.col("cid_a") < F.col("cid_b"))
+        met = one.join(two, ["token", "x", "y"]).filter(once & (F.col("comp_a") != F.col("comp_b")) & near & bound)
+        return met.select(F.least("cid_a", "cid_b").alias("a"), F.greatest("cid_a", "cid_b").alias("b"))
+
+    def texts_of(self, need: DataFrame) -> DataFrame:
+        """One text of each class in ``need`` (cid)."""
         th = materialize(self.classes.select("cid", "th").join(need, "cid").select("th", "cid"), "minhash-need")
         text = text_or_empty()
         texts = self.docs.select(text.alias("text")).withColumn("th", F.xxhash64("text", F.octet_length("text")))
-        first = texts.join(th, "th").groupBy("th", "cid").agg(F.first("text").alias("text")).select("cid", "text")
+        return texts.join(th, "th").groupBy("th", "cid").agg(F.first("text").alias("text")).select("cid", "text")
+
+    def sets_of(self, need: DataFrame) -> DataFrame:
+        """Full sets of the classes in ``need`` (cid)."""
         width = self.width
-        return materialize(first.mapInArrow(lambda it: _full_sets(it, width), "cid long, full binary"), "minhash-sets")
+        return materialize(self.texts_of(need).mapInArrow(lambda it: _full_sets(it, width), "cid long, full binary"), "minhash-sets")
 
     def links(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         left = sets.select(F.col("cid").alias("a"), F.col("full").alias("full_a"))
@@ -220,20 +305,33 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, num: int = THRESHOLD_
     words), component_id and kept."""
     w = _Work(docs, width, num, den)
     label = None
-    for round_no in range(1 + len(CENTRES)):
-        pairs = materialize(w.pairs(round_no, label), "minhash-pairs")
-        if pairs.isEmpty():
-            break
-        found = materialize(w.links(pairs, w.sets_of(pairs)), "minhash-links")
-        if found.isEmpty():
-            break
+
+    def linked(pairs):
+        need = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
+        return materialize(w.links(pairs, w.sets_of(need)), "minhash-links")
+
+    def joined(label, found):
         # the links join components of the rounds before
         merged = components(found.select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b")))
         if label is not None:
             onto = merged.select(F.col("node").alias("component"), F.col("component").alias("onto"))
             old = label.join(onto, "component", "left").select("node", F.coalesce("onto", "component").alias("component"))
             merged = materialize(old.union(merged.join(label.select("node"), "node", "left_anti")), "minhash-label")
-        label = merged
+        return merged
+
+    for round_no in range(1 + len(CENTRES)):
+        pairs = materialize(w.pairs(round_no, label), "minhash-pairs")
+        if pairs.isEmpty():
+            break
+        found = linked(pairs)
+        if found.isEmpty():
+            break
+        label = joined(label, found)
+    pairs = materialize(w.rest(label), "minhash-pairs")
+    if not pairs.isEmpty():
+        found = linked(pairs)
+        if not found.isEmpty():
+            label = joined(label, found)
     named = w.classes.select("cls", "rep", "cid")
     if label is not None:
         named = named.join(label.withColumnRenamed("node", "cid"), "cid", "left").select(

@@ -92,3 +92,37 @@ def test_shared_passage_without_link_stays_apart(spark):
     passage = " ".join(word() for _ in range(60))
     rows = [(i, passage + " " + " ".join(word() for _ in range(40)), "a") for i in range(60)]
     assert minhash.dedup(documents(spark, rows)).count() == 60
+
+
+def test_templated_crowd_matches_brute_force(spark):
+    """Pages of one template (0.78 alike) that come in pairs just above the threshold."""
+    rnd = random.Random(11)
+    words = lambda k: ["".join(rnd.choice("abcdefgh") for _ in range(7)) for _ in range(k)]
+    template, rows = words(303), []
+    for _ in range(700):
+        shared = words(6)
+        rows += [(0, " ".join(template + shared + words(36)), "a") for _ in range(2)]
+    rnd.shuffle(rows)
+    rows = [(i, t, s) for i, (_, t, s) in enumerate(rows)]
+    number = {}
+    sets = [frozenset(number.setdefault(x, len(number)) for x in shingles(t, 4)) for _, t, _ in rows]
+    want = list(range(len(rows)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            both = len(a & sets[j])
+            if 100 * both >= 80 * (len(a) + len(sets[j]) - both):
+                want[i] = want[j]
+    assert len(set(want)) == 700
+    got = minhash.near_duplicates(documents(spark, rows), 4).select("doc_id", "component_id").collect()
+    assert [r.component_id for r in sorted(got)] == want
+
+
+@pytest.mark.parametrize("small,block", [(2, 3), (1000, 512)])
+def test_rest_is_exact_in_blocks_and_in_small_buckets(spark, monkeypatch, small, block):
+    monkeypatch.setattr(minhash, "SMALL", small)
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    monkeypatch.setattr(minhash, "CENTRES", ())
+    rows = near_copies(21) + near_copies(22)
+    rows = [(i, t, s) for i, (_, t, s) in enumerate(rows)]
+    got = minhash.near_duplicates(documents(spark, rows), 4).select("doc_id", "n_shingles", "component_id", "kept")
+    assert ordered(got.collect()) == ordered(brute(rows, 4))
