@@ -42,7 +42,7 @@ MORE = [
     ("phone", r"(?<![0-9+.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[.-][0-9]{4}(?![0-9.-])", False),
     ("ssn", r"(?<![0-9.-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9.-])", False),
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", False),
-    ("secret", r"(?i)(?<![a-z0-9])(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)[\"']?[\x20\t]{0,3}[=:][\x20\t]{0,3}[\"']?[^\s\"',;]{6,200}", True),
+    ("secret", r"(?i)(?<![a-z0-9])(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)[\"']?[\x20\t]{0,3}[=:][\x20\t]{0,3}[\"']?[^\s\"',;]{6,}+", True),
 ]
 
 # fixed values: gazetteers
@@ -135,7 +135,7 @@ def _base_spans(text: Column, kind: str, pattern: str) -> Column:
 
 def candidates(text: Column) -> Column:
     """All candidate spans of a text: valid base spans first by kind and start,
-    then the others that touch none of them."""
+    then the others that do not lie inside one of them (they may overlap)."""
     none = F.array().cast(SPAN)
     digits = text.rlike("[0-9]")
     gates = {"email": F.contains(text, F.lit("@")), "phone": F.contains(text, F.lit("+")) & digits}
@@ -152,7 +152,7 @@ def candidates(text: Column) -> Column:
         F.when(more_gates.get(k, digits), regex_spans(text, F.lit(p), _fields(k, False, strict), SPAN)).otherwise(none)
         for k, p, strict in MORE
     ]
-    clear = lambda found: F.filter(F.concat(*more), lambda s: ~F.exists(found, lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"])))
+    clear = lambda found: F.filter(F.concat(*more), lambda s: ~F.exists(found, lambda b: (b["start"] <= s["start"]) & (s["stop"] <= b["stop"])))
     return let(F.concat(*base), lambda found: F.concat(found, clear(found)))
 
 

@@ -63,3 +63,17 @@ def test_redact(spark):
     assert out[2].text == "nothing here" and out[3].text is None
     assert pii.redact(df).columns == df.columns
     assert pii.redact(df.limit(0)).count() == 0
+
+
+def test_secrets_go_whole(spark):
+    """However long a secret is, and whatever base spans it holds."""
+    rnd = random.Random(4)
+    key = "".join(rnd.choice("abcdefghijkABCDEFGHIJK0123456789") for _ in range(1000))
+    values = [key, "ab10.0.0.1cd", "x@y.com!z9", "k4111111111111111z", "ab+1(386)555-3733cd"]
+    rows = [(i, f"😀 first password={v} then call +1 (386) 555-3733", "a") for i, v in enumerate(values)]
+    out = {r.doc_id: r.text for r in pii.redact(documents(spark, rows)).collect()}
+    assert out == {i: "😀 first <SECRET> then call <PHONE>" for i in range(len(values))}
+    found = pii.label(documents(spark, rows), ["doc_id"]).collect()
+    at = len("😀 first ")
+    for r in found:
+        assert [(s.start, s.stop) for s in r.spans if s.kind == "secret"] == [(at, at + len("password=" + values[r.doc_id]))]
