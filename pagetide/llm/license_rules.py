@@ -1,7 +1,7 @@
 """Licence signatures: a table of families, spelled out per form of mention.
 
 Each family gives an SPDX identifier, a keyword that every mention of the
-name contains (lower case), a regex of the name, and a regex of its address.
+name contains (lower case, white space as one blank), a regex of the name, and a regex of its address.
 ``rules()`` expands them by the ways in which texts state a licence; the
 order of ``FORMS`` is the order of trust.
 """
@@ -75,29 +75,40 @@ CC_VERSIONS = ["1.0", "2.0", "2.5", "3.0", "4.0"]
 STATEMENTS = [
     ("proprietary", 40, "reserved", r"\ball rights (?:are )?reserved\b"),
     ("proprietary", 55, "confidential", r"\bproprietary and confidential\b"),
-    ("proprietary", 50, "redistribut", r"\bmay not be (?:copied|reproduced|redistributed)\b"),
+    ("proprietary", 50, "may not be", r"\bmay not be (?:copied|reproduced|redistributed)\b"),
     ("public-domain", 50, "public domain", r"\b(?:released|dedicated|placed) (?:in)?to the public domain\b"),
     ("public-domain", 45, "public domain", r"\bin the public domain\b"),
     ("copyright", 20, "copyright", r"\bcopyright (?:\(c\)|©|[0-9]{4})"),
     ("copyright", 20, "(c)", r"\(c\) (?:19|20)[0-9]{2}\b"),
-    ("warranty-disclaimer", 30, "as is", r"\bprovided [\"']?as[- ]is[\"']?"),
+    ("warranty-disclaimer", 30, "as is", r"\bprovided [\"']?as is[\"']?"),
+    ("warranty-disclaimer", 30, "as-is", r"\bprovided [\"']?as-is[\"']?"),
     ("MIT", 75, "permission is hereby granted", r"\bpermission is hereby granted, free of charge\b"),
     ("ISC", 75, "permission to use", r"\bpermission to use, copy, modify,? and(?:/or)? distribute this software\b"),
     ("BSD", 70, "redistribution and use", r"\bredistribution and use in source and binary forms\b"),
-    ("GPL", 35, "general public license", r"\bgeneral public licen[cs]e\b"),
-    ("LGPL", 38, "general public license", r"\b(?:lesser|library) general public licen[cs]e\b"),
-    ("AGPL", 38, "general public license", r"\baffero general public licen[cs]e\b"),
+    ("GPL", 35, "general public licen", r"\bgeneral public licen[cs]e\b"),
+    ("LGPL", 38, "general public licen", r"\b(?:lesser|library) general public licen[cs]e\b"),
+    ("AGPL", 38, "general public licen", r"\baffero general public licen[cs]e\b"),
     ("CC", 35, "creative commons", r"\bcreative commons\b"),
 ]
 
+LEAD = r"\b(?:licen[cs]ed|released|distributed|available|published|redistributed)"
+LEAD_MARK = "\x00lead"  # stands in the keyword text where a lead and "under" occur
+
 #: (trust, keyword of the form, regex around the name)
 FORMS = [
-    (90, "licen", r"\b(?:licen[cs]ed|released|distributed|available|published|redistributed) under (?:the )?(?:terms of )?(?:the )?(?:{name})(?: licen[cs]e)?(?![\w-])"),
+    (90, LEAD_MARK, rf"{LEAD} under (?:the )?(?:terms of )?(?:the )?(?:{{name}})(?: licen[cs]e)?(?![\w-])"),
     (70, "licen", r"\b(?:{name}) licen[cs]e\b"),
     (60, "licen", r"\blicen[cs]e\s*[:=]\s*[\"']?(?:{name})(?![\w-])"),
 ]
 
 
+def spaced(pattern: str) -> str:
+    """``pattern`` with each blank standing for any white space: mentions wrap."""
+    for a, b in (("[- ]", r"(?:-|\s+)"), ("[ -]", r"(?:-|\s+)"), (" ?", r"\s*"), (" ", r"\s+")):
+        pattern = pattern.replace(a, b)
+    return pattern
+
+
 class Rule(NamedTuple):
     label: str
     priority: int
@@ -119,16 +130,17 @@ def rules() -> list[Rule]:
     out = []
     for label, keyword, name, url in families:
         spdx = label.replace(".", r"\.")
-        out.append(Rule(label, 100, ("spdx", keyword), rf"SPDX-License-Identifier:\s*{spdx}(?:-only|-or-later)?(?![\w.-])"))
-        out.append(Rule(label, 95, ("/", "."), url))
+        out.append(Rule(label, 100, ("spdx", label.lower()), rf"SPDX-License-Identifier:\s*{spdx}(?:-only|-or-later)?(?![\w.-])"))
+        out.append(Rule(label, 95, (".", "."), url))
         out += [Rule(label, trust, (form, keyword), regex.format(name=name)) for trust, form, regex in FORMS]
     out += [Rule(label, priority, (keyword, keyword), p) for label, priority, keyword, p in STATEMENTS]
-    return [r._replace(pattern="(?i)" + r.pattern) for r in out]
+    return [r._replace(pattern="(?i)" + spaced(r.pattern)) for r in out]
 
 
 #: A text can match some rule only if one of these occurs in it (ASCII case ignored).
 GATE = (
     r"(?i)licen[cs]|spdx|opensource\.org|apache\.org|gnu\.org|mozilla\.org|eclipse\.org|joinup\.ec|boost\.org|mariadb\.com"
     r"|wtfpl\.net|scripts\.sil|docs\.python|mongodb\.com|opendatacommons|nationalarchives|creativecommons"
-    r"|reserved|confidential|redistribut|may not be|public domain|copyright|\(c\)|as[- ]is|permission|creative commons"
+    r"|reserved|confidential|redistribut|may\s+not\s+be|public\s+domain|copyright|\(c\)|as(?:-|\s+)is|permission|creative\s+commons"
+    rf"|{LEAD}\s+under"
 )

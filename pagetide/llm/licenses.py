@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagetide.llm.common import documents, let, regex_spans, text_or_empty
-from pagetide.llm.license_rules import GATE, rules
+from pagetide.llm.license_rules import GATE, LEAD, LEAD_MARK, rules
 
 # a word character before lower-casing, and its complement
 _IN = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
@@ -60,6 +60,12 @@ def _spans(text: Column, r: Column) -> Column:
     )
 
 
+def keyword_text(text: Column) -> Column:
+    """Where keywords are looked up: lower case, white space as one blank."""
+    lead = F.when(text.rlike(rf"(?i){LEAD}\s+under"), F.lit(LEAD_MARK)).otherwise(F.lit(""))
+    return F.concat(F.regexp_replace(F.lower(text), r"\s+", " "), lead)
+
+
 def detections(text: Column, lower: Column) -> Column:
     """All spans of all rules whose keywords occur, suppressed ones removed."""
     runnable = let(lower, lambda low: F.filter(rule_table(), lambda r: F.contains(low, r["k1"]) & F.contains(low, r["k2"])))
@@ -86,7 +92,7 @@ def scan(docs: DataFrame) -> DataFrame:
     df = df.withColumns({
         "n_words": F.regexp_count("_t", word).cast("long"),
         "_hits": F.when(F.col("_gate"), F.regexp_extract_all("_t", F.lit(BASE), F.lit(0))).otherwise(empty),
-        "detections": F.when(F.col("_gate"), detections(F.col("_t"), F.lower("_t"))).otherwise(F.array().cast(SPANS)),
+        "detections": F.when(F.col("_gate"), detections(F.col("_t"), keyword_text(F.col("_t")))).otherwise(F.array().cast(SPANS)),
     })
     parts = F.split("_t", BASE, -1)
     base_label = lambda h: F.when(F.lower(h).startswith("cc"), "cc-by").when(F.lower(h).startswith("gen"), "gpl").otherwise("reserved")

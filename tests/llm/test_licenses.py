@@ -55,3 +55,54 @@ def test_gate_covers_every_rule():
 
 def test_empty_table(spark):
     assert licenses.scan(documents(spark, edge_rows()).limit(0)).count() == 0
+
+
+def samples(parsed):
+    """Texts of a parsed regex that take each of its alternatives and options."""
+    options = []
+    for op, arg in parsed:
+        name = str(op)
+        if name == "LITERAL":
+            options.append([chr(arg)])
+        elif name == "BRANCH":
+            options.append([x for branch in arg[1] for x in samples(branch)])
+        elif name == "SUBPATTERN":
+            options.append(samples(arg[3]))
+        elif name == "MAX_REPEAT":
+            lo, hi, body = arg
+            texts = samples(body)
+            options.append((texts if hi else []) + (["\n".join(texts[:1]) if lo else ""] if not lo else []))
+        elif name == "IN":
+            kinds = {str(a): b for a, b in arg}
+            if "CATEGORY" in kinds:
+                options.append(["\n"] if str(kinds["CATEGORY"]) == "CATEGORY_SPACE" else ["x"])
+            else:
+                options.append([chr(b if str(a) == "LITERAL" else b[0]) for a, b in arg])
+    n = max(map(len, options), default=1)
+    return ["".join(o[i % len(o)] for o in options) for i in range(n)]
+
+
+def test_every_alternative_of_every_rule_is_found(spark):
+    """The rule alone, as a whole text, wrapped at each blank: no gate drops it."""
+    rows, least = [], {}
+    for r in rules():
+        for t in samples(re._parser.parse(r.pattern)):
+            if re.search(r.pattern, t):
+                least[len(rows)] = r.priority / 100
+                rows.append((len(rows), t, "a"))
+    assert len(rows) > 2 * len(rules())
+    got = {d.doc_id: d.score for d in licenses.scan(documents(spark, rows)).select("doc_id", "score").collect()}
+    assert [(rows[i][1], s) for i, s in least.items() if got[i] < s] == []
+
+
+@pytest.mark.parametrize("text,labels", [
+    ("It may not be copied.", "proprietary"),
+    ("provided 'as-is'", "warranty-disclaimer"),
+    ("GNU general public licence", "GPL"),
+    ("available under Apache-2.0", "Apache-2.0"),
+    ("distributed under the GPL-3.0", "GPL-3.0"),
+    ("released under the GNU General\nPublic License,\nversion 3", "GPL-3.0,gpl"),
+    ("SPDX-License-Identifier: CPL-1.0", "CPL-1.0"),
+])
+def test_gates_keep_what_rules_match(spark, text, labels):
+    assert licenses.scan(documents(spark, [(1, text, "a")])).collect()[0].labels == labels
