@@ -16,9 +16,10 @@ def con():
 
 
 def test_every_query_has_an_oracle_or_is_rows_only():
+    from pagetide.plans.queries import QUERIES as OWN
     from pagetide.plans.queries import ROWS_ONLY
 
-    assert set(QUERIES) - set(SQLS) == ROWS_ONLY
+    assert set(OWN) - set(SQLS) == ROWS_ONLY
 
 
 @pytest.mark.parametrize("name", sorted(SQLS))
