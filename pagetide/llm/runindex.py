@@ -146,13 +146,16 @@ def _send(chunk: int, batch, returned: np.ndarray, n: int) -> pa.RecordBatch:
 
 
 def suffix_order(text: np.ndarray) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
-    """Suffix array by doubling, and the ranks by the first 8, 16, ... bytes."""
+    """Suffix array by doubling, and the ranks by the first 7, 14, ... bytes.
+
+    Bytes count from 1 and the end as 0, so a suffix is smaller than any that
+    it begins, whatever bytes it ends with."""
     n = len(text)
-    wide = np.concatenate((text, np.zeros(8, np.uint8))).astype(np.uint64)
+    wide = np.concatenate((text.astype(np.uint64) + np.uint64(1), np.zeros(7, np.uint64)))
     key = np.zeros(n, np.uint64)
-    for i in range(8):
-        key = (key << np.uint64(8)) | wide[i:i + n]
-    levels, depth = [], 8
+    for i in range(7):
+        key = (key << np.uint64(9)) | wide[i:i + n]
+    levels, depth = [], 7
     while True:
         order = np.argsort(key, kind="stable")
         ordered = key[order]
@@ -180,7 +183,7 @@ def common_prefix(text: np.ndarray, a: np.ndarray, b: np.ndarray, levels) -> np.
         length[same] += depth
         a[same] += depth
         b[same] += depth
-    for _ in range(7):
+    for _ in range(6):
         live = (a < n) & (b < n)
         same = live & (text[np.minimum(a, n - 1)] == text[np.minimum(b, n - 1)])
         if not same.any():
