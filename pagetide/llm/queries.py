@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 from pagetide.llm.epsgrid import op3_epsilon_grid
+from pagetide.llm.filter_audit import OP13_SQL, op13_filter_audit
 from pagetide.llm.licenses import op2_license_scan
 from pagetide.llm.minhash import op1_minhash_dedup
 from pagetide.llm.mixing import OP4_SQL, op4_mixing
@@ -26,10 +27,12 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_packing": op10_packing,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op4_mixing": OP4_SQL,
+    "op13_filter_audit": OP13_SQL,
 }
 if corpus_pipeline.ORACLE_SQL is not None:
     ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
