@@ -5,6 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 from pagetide.llm.epsgrid import op3_epsilon_grid
 from pagetide.llm.filter_audit import OP13_SQL, op13_filter_audit
+from pagetide.llm.htmltext import op12_html_text
 from pagetide.llm.licenses import op2_license_scan
 from pagetide.llm.minhash import op1_minhash_dedup
 from pagetide.llm.mixing import OP4_SQL, op4_mixing
@@ -27,6 +28,7 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_packing": op10_packing,
+    "op12_html_text": op12_html_text,
     "op13_filter_audit": op13_filter_audit,
 }
 
