@@ -15,6 +15,7 @@ from pagetide.llm.quality import op7_quality_rules
 from pagetide.llm.runindex import op6_run_index
 from pagetide.llm.substrings import op9_substring_dedup
 from pagetide.llm.tokens import op8_token_counts
+from pagetide.llm.trie import OP11_SQL, op11_prefix_trie
 
 QUERIES = {
     "pipeline": corpus_pipeline.run,
@@ -28,12 +29,14 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_packing": op10_packing,
+    "op11_prefix_trie": op11_prefix_trie,
     "op12_html_text": op12_html_text,
     "op13_filter_audit": op13_filter_audit,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op4_mixing": OP4_SQL,
+    "op11_prefix_trie": OP11_SQL,
     "op13_filter_audit": OP13_SQL,
 }
 if corpus_pipeline.ORACLE_SQL is not None:
