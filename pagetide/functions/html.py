@@ -1,9 +1,9 @@
 """HTML fields (E1, E3, E4) as native Column expressions.
 
-These are the regex-expressible parts of extraction: they run inside
-whole-stage codegen with no Python worker. Tag nesting is not regular, so a
-removed block ends at the first closing tag of its kind; the tolerant
-tag-stack renderer lives in ``operators/extract.py`` (E2).
+They run in the JVM with no Python worker. Tag nesting is not regular: main
+content is a fold over a page's tags with the open elements as state (one
+regex pass cuts the page into tokens; the fold sees only the tags that can
+matter), so nested blocks end at their own end tags.
 """
 
 from __future__ import annotations
@@ -64,36 +64,155 @@ def page_lang(html: Column | str) -> Column:
     return F.lower(_quoted(_c(html), P.LANG))
 
 
-def content_html(html: Column | str) -> Column:
-    """HTML with comments, non-content elements and excluded blocks removed (one pass)."""
-    return F.regexp_replace(_c(html), P.REMOVE_BLOCKS, "")
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once per row and use it several times in ``body``."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def markdown_lite(html: Column | str) -> Column:
-    """E3 body: main content as light markdown.
+def page_tokens(html: Column | str) -> Column:
+    """Comments, tags and texts of a page in order: array of (t, name, i); name
+    is '' for what is no tag."""
+    found = F.regexp_extract_all(_c(html), F.lit(P.TOKEN), F.lit(0))
+    name = lambda t: F.when(t.startswith("<"), F.lower(F.regexp_extract(t, P.TAG_NAME, 1))).otherwise("")
+    return F.transform(found, lambda t, i: F.struct(t.alias("t"), name(t).alias("name"), i.alias("i")))
+
+
+_FOLD = "struct<stack:array<string>,skip:int,start:int,ranges:array<struct<a:int,b:int>>>"
+
+
+def _excluded_ranges(tokens: Column) -> Column:
+    """Token ranges [a, b) of the outermost blocks that are no content.
+
+    One fold over the tags that matter. The state is the stack of open
+    elements, the stack's size at which a block to leave out began (0: none),
+    its first token, and the ranges found so far. An end tag closes all that is
+    open inside its element; one that nothing opened is passed over.
+    """
+    n = F.size(tokens)
+    tags = F.filter(tokens, lambda x: x["name"].isin(*P.TRACKED_TAGS) & ~x["t"].endswith("/>"))
+    bad = lambda x: x["name"].isin(*P.EXCLUDED_TAGS) | x["t"].rlike(P.EXCLUDED_CLASS)
+    marked = F.transform(
+        tags, lambda x: F.struct(x["name"].alias("name"), x["i"].alias("i"), x["t"].startswith("</").alias("end"), bad(x).alias("bad"))
+    )
+
+    def cut(acc, size, at):
+        """The state with the stack cut to ``size`` at token ``at``."""
+        over = (acc["skip"] > 0) & (size < acc["skip"])
+        done = F.concat(acc["ranges"], F.array(F.struct(acc["start"].alias("a"), at.cast("int").alias("b"))))
+        return F.struct(
+            F.slice(acc["stack"], F.lit(1), size).alias("stack"), F.when(over, 0).otherwise(acc["skip"]).alias("skip"),
+            acc["start"].alias("start"), F.when(over, done).otherwise(acc["ranges"]).alias("ranges"),
+        )
+
+    def opened(acc, x):
+        size = F.size(acc["stack"])
+        top = F.when(size > 0, F.element_at(acc["stack"], -1))
+        held = F.when(acc["skip"] > 0, F.get(acc["stack"], acc["skip"] - 1))
+        kept = (
+            F.when((top == x["name"]) & x["name"].isin(*P.SELF_CLOSING_SIBLINGS), size - 1)
+            .when(x["name"].isin(*P.CONTENT_TAGS) & held.isin(*P.NEVER_AROUND_CONTENT), acc["skip"] - 1)
+        )
+        before = F.when(kept.isNull(), acc).otherwise(cut(acc, kept, x["i"]))
+
+        def push(b):
+            begins = (b["skip"] == 0) & x["bad"]
+            return F.struct(
+                F.concat(b["stack"], F.array(x["name"])).alias("stack"),
+                F.when(begins, F.size(b["stack"]) + 1).otherwise(b["skip"]).alias("skip"),
+                F.when(begins, x["i"].cast("int")).otherwise(b["start"]).alias("start"), b["ranges"].alias("ranges"),
+            )
+
+        return let(before, push)
+
+    def closed(acc, x):
+        back = F.array_position(F.reverse(acc["stack"]), x["name"]).cast("int")
+        return let(back, lambda k: F.when(k == 0, acc).otherwise(cut(acc, F.size(acc["stack"]) - k, x["i"] + 1)))
+
+    empty = F.struct(
+        F.array().cast("array<string>").alias("stack"), F.lit(0).alias("skip"), F.lit(0).alias("start"),
+        F.array().cast("array<struct<a:int,b:int>>").alias("ranges"),
+    ).cast(_FOLD)
+    # what is open at the end ends there
+    finish = lambda acc: F.when(acc["skip"] > 0, cut(acc, F.lit(0), n)["ranges"]).otherwise(acc["ranges"])
+    fold = lambda m: F.aggregate(m, empty, lambda acc, x: F.when(x["end"], closed(acc, x)).otherwise(opened(acc, x)).cast(_FOLD), finish)
+    none = F.array().cast("array<struct<a:int,b:int>>")
+    return let(marked, lambda m: F.when(F.exists(m, lambda x: x["bad"] & ~x["end"]), fold(m)).otherwise(none))
+
+
+def content_tokens(html: Column | str) -> Column:
+    """The tokens of a page outside blocks that are no content."""
+
+    def kept(tokens):
+        def between(ranges):
+            start = lambda k: F.when(k == 0, 0).otherwise(F.get(ranges, k - 1)["b"])
+            stop = lambda k: F.when(k == F.size(ranges), F.size(tokens)).otherwise(F.get(ranges, k)["a"])
+            gaps = F.transform(
+                F.sequence(F.lit(0), F.size(ranges)), lambda k: F.slice(tokens, start(k) + 1, F.greatest(stop(k) - start(k), F.lit(0)))
+            )
+            return F.flatten(gaps)
+
+        return let(_excluded_ranges(tokens), between)
+
+    return F.when(_c(html).isNotNull(), let(page_tokens(html), kept))
+
+
+def _piece(x: Column) -> Column:
+    """What a content token becomes: markdown marks, texts and anchors stay."""
+    name, t = x["name"], x["t"]
+    end = t.startswith("</")
+    heading = name.isin(*[f"h{n}" for n in range(1, 7)])
+    level = F.substring(name, 2, 1).cast("int")
+    href = F.regexp_replace(F.regexp_extract(t, P.TAG_HREF, 1), P.HREF_QUOTES, "")
+    return (
+        F.when(name == "", F.when(t.startswith("<") & (t != "<"), "").otherwise(t))
+        .when(name == "p", "\n\n")
+        .when(heading, F.when(end, "\n\n").otherwise(F.concat(F.lit("\n\n"), F.repeat(F.lit("#"), level), F.lit(" "))))
+        .when(name == "br", "\n")
+        .when(name == "li", F.when(end, "\n").otherwise("\n- "))
+        .when((name == "a") & end, P.LINK_END)
+        .when(name == "a", let(href, lambda h: F.when(h != "", F.concat(F.lit(P.LINK_OPEN), h, F.lit(P.LINK_TEXT))).otherwise("")))
+        .when(end & name.isin(*P.BREAK_TAGS), "\n")
+        .otherwise("")
+    )
+
+
+def _linked(x: Column) -> Column:
+    """Marks of anchors with a target and an end become links, others go."""
+    return F.regexp_replace(F.regexp_replace(x, P.LINK, "[$2]($1)"), P.LINK_MARKS, "")
+
+
+def token_markdown(tokens: Column | str) -> Column:
+    """E2/E3 body of content tokens: main content as light markdown.
 
     headings -> ``#``..``######``, paragraphs -> blank lines, ``<br>`` ->
     newline, list items -> ``- ``, links -> ``[text](href)``; other tags
     dropped; entities decoded; spaces collapsed per line; at most one blank
-    line in a row. Tag classes that are disjoint share one regex pass.
+    line in a row.
     """
-    s = content_html(html)
-    s = F.regexp_replace(s, P.HEADING_OPEN_ANY, "\n\n" + P.HEADING_MARK + "$1 ")
-    for n in range(1, 7):
-        s = F.replace(s, F.lit(f"{P.HEADING_MARK}{n} "), F.lit("#" * n + " "))
-    s = F.regexp_replace(s, P.DOUBLE_BREAK, "\n\n")
-    s = F.regexp_replace(s, P.SINGLE_BREAK, "\n")
-    s = F.regexp_replace(s, P.LIST_ITEM, "\n- ")
-    for anchor in P.ANCHORS:
-        s = F.regexp_replace(s, anchor, "[$2]($1)")
-    s = F.regexp_replace(s, P.ANY_TAG, "")
-    s = decode_entities(s)
+    s = F.array_join(F.transform(_c(tokens), _piece), "")
+    s = let(s, lambda x: F.when(x.rlike(P.LINK_MARKS), _linked(x)).otherwise(x))
+    s = let(s, lambda x: F.when(F.contains(x, F.lit("&")), decode_entities(x)).otherwise(x))
     s = F.regexp_replace(s, P.INLINE_SPACE, " ")
     s = F.regexp_replace(s, P.SPACE_AROUND_NL, "\n")
     s = F.regexp_replace(s, P.MANY_NL, "\n\n")
     return py_strip(s)
 
 
+def markdown_lite(html: Column | str) -> Column:
+    """E3 body of a page."""
+    return token_markdown(content_tokens(html))
+
+
+def count_links(tokens: Column | str) -> Column:
+    """Links of content tokens: anchors with a target and an end."""
+    anchors = F.filter(_c(tokens), lambda x: x["name"] == "a")
+    return F.regexp_count(F.array_join(F.transform(anchors, _piece), ""), F.lit(P.LINK))
+
+
+def count_headings(tokens: Column | str) -> Column:
+    return F.size(F.filter(_c(tokens), lambda x: x["name"].isin(*[f"h{n}" for n in range(1, 7)]) & ~x["t"].startswith("</")))
+
+
 def plain_text(markdown: Column | str) -> Column:
     """Whitespace-collapsed text of a markdown-lite body (search and keywords)."""
     return py_strip(F.regexp_replace(_c(markdown), P.WS_RUN, " "))

@@ -57,10 +57,8 @@ def meta_content_first(attr: str, value: str) -> str:
     return r"(?is)<meta\b[^>]*\bcontent=" + QUOTED + r"[^>]*\b" + attr + r"=[\"']" + value + r"[\"']"
 
 
-# Blocks removed before any text is taken (E2/E3): comments, non-content
-# elements, the excluded layout tags, and blocks whose class/id marks them as
-# navigation, widgets or ads. Regex removal is non-nesting: a block ends at
-# the first closing tag of its kind.
+# Main content (E2/E3): pages are cut into tokens, blocks that are no content end
+# at their own end tag, however deep they nest.
 # ---- fixed values that must equal the reference (excluded tags) ----------
 EXCLUDED_TAGS = ("nav", "aside", "header", "footer", "menu")
 # ---------------------------------------------------------------------------
@@ -69,24 +67,43 @@ EXCLUDED_CLASSES = (
     "sidebar", "navigation", "filter", "widget", "widget-area", "sidebar-widget",
     "menu", "ad", "ads", "advert", "advertisement",
 )
-# All of the above removed in one pass (leftmost block wins).
-REMOVE_BLOCKS = (
-    r"(?is)<!--.*?-->|<head\b.*?</head>|<script\b.*?</script>|<style\b.*?</style>"
-    r"|<noscript\b.*?</noscript>|<template\b.*?</template>|<svg\b.*?</svg>|"
-    + "|".join(rf"<{t}\b.*?</{t}>" for t in EXCLUDED_TAGS)
-    + r"|<(div|section|span)\b[^>]*\b(class|id)=[\"'](" + "|".join(EXCLUDED_CLASSES)
-    + r")[\"'][^>]*>.*?</(div|section|span)>|<img\b[^>]*>"
+# Elements whose inside is one token and no text. A script or style without an
+# end goes on to the end of the page, the others then mean nothing.
+SILENT_TAGS = ("script", "style", "noscript", "template", "svg", "iframe", "head")
+# A comment, a silent element, a tag (quoted values may hold >), other markup, text, a lone <.
+TOKEN = (
+    r"(?is)<!--.*?(?:-->|\z)|<(?:script|style)\b.*?(?:</(?:script|style)\s*>|\z)|<svg\b[^>]*/>"
+    + "".join(rf"|<{t}\b.*?</{t}\s*>" for t in SILENT_TAGS[2:-1])
+    + r"|<head\b.*?(?:</head\s*>|<body\b[^>]*>)"
+    + r"""|</?[a-z](?:[^"'>]++|"[^"]*+"|'[^']*+')*+>|</?[a-z][^>]*+>|<[!?/][^>]*+>|[^<]++|<"""
 )
-# Heading open tags become a private-use marker + level, then literal
-# replaces turn "marker+N " into N '#' (byte-level, no regex).
-HEADING_MARK = "\ue000"
-HEADING_OPEN_ANY = r"(?i)<h([1-6])\b[^>]*>"
-# Tags that become a blank line / a line break (disjoint tag sets, one pass each).
-DOUBLE_BREAK = r"(?i)</h[1-6]" + WS + r"*>|</?p\b[^>]*>"
-SINGLE_BREAK = (
-    r"(?i)<br" + WS + r"*/?>|</(li|ul|ol|div|section|article|main|table|tr|blockquote)" + WS + r"*>"
+TAG_NAME = r"\A</?([A-Za-z][A-Za-z0-9]*)"
+# Elements that can be a block to leave out, or end one that is open inside them.
+TRACKED_TAGS = (
+    "nav", "aside", "header", "footer", "menu", "div", "section", "span", "article", "main", "form", "ul", "ol", "li", "dl",
+    "p", "table", "blockquote", "figure", "details", "center", "body", "html",
 )
-LIST_ITEM = r"(?i)<li\b[^>]*>"
+# Elements that close one of their own kind that is still open, and content that
+# no open navigation, menu or header can hold.
+SELF_CLOSING_SIBLINGS = ("p", "li")
+CONTENT_TAGS = ("article", "main")
+NEVER_AROUND_CONTENT = ("nav", "header", "menu")
+_names = "|".join(EXCLUDED_CLASSES)
+EXCLUDED_CLASS = (
+    r"(?is)[\s\"'](?:class|id)\s*=\s*(?:\"(?:[^\"]*\s)?(?:" + _names + r")(?:\s[^\"]*)?\"|'(?:[^']*\s)?(?:" + _names
+    + r")(?:\s[^']*)?'|(?:" + _names + r")(?:[\s/>]))"
+)
+# End tags that become a line break.
+BREAK_TAGS = ("ul", "ol", "div", "section", "article", "main", "table", "tr", "blockquote")
+# The href of an anchor's start tag, attribute by attribute: quoted values may hold anything.
+TAG_HREF = (
+    r"""(?is)\A<a(?:[\s/]+[^\s"'>/=]+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+))?)*?[\s/]+href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+)
+# Private-use marks of an anchor's target, text and end while a page is put
+# together; an anchor that begins inside another one ends it.
+LINK_OPEN, LINK_TEXT, LINK_END = "\ue001", "\ue002", "\ue003"
+LINK = "\ue001([^\ue001-\ue003]*)\ue002([^\ue001\ue003]*)\ue003"
+LINK_MARKS = "\ue001[^\ue001-\ue003]*\ue002|[\ue001-\ue003]"
 # One pass per kind of quote: group 1 the target, group 2 the text.
 ANCHORS = tuple(
     r"(?is)<a\b[^>]*\bhref=" + q + "([^" + q + "]*)" + q + r"[^>]*>(.*?)</a" + WS + r"*>" for q in ('"', "'")

@@ -1,8 +1,7 @@
 """Job ``extract_pages`` (E1-E6): raw HTML corpus -> page table.
 
-E1, E3, E4, E5, E6 are native expressions and joins. E2, the tolerant
-tag-stack markdown renderer, is the only Python stage (``mapInPandas``,
-Arrow batches) and should run after the fetch queue has cut the input down.
+All of it is native expressions and joins. Main content (E2, E3) is one
+token fold per page, which the page table and the markdown table share.
 """
 
 from __future__ import annotations
@@ -211,42 +210,11 @@ def keyword_summary(text_df: DataFrame, k: int = 8, min_len: int = 1, stop_words
     )
 
 
-# --------------------------------------------------------------------------
-# Tolerant tag-stack renderer (the one Python stage)
-# --------------------------------------------------------------------------
-
-MARKDOWN_SCHEMA = "domain string, url string, seq bigint, markdown string, n_links int, n_headings int"
-
-
-def _render_batches(batches):
-    """mapInPandas body: each Arrow batch of pages -> markdown rows."""
-    import pandas as pd
-
-    from pagetide.operators.htmlrender import render_markdown
-
-    for pdf in batches:
-        out = [render_markdown(h or "") for h in pdf["html"].tolist()]
-        yield pd.DataFrame(
-            {
-                "domain": pdf["domain"],
-                "url": pdf["url"],
-                "seq": pdf["seq"],
-                "markdown": [o[0] for o in out],
-                "n_links": [o[1] for o in out],
-                "n_headings": [o[2] for o in out],
-            }
-        )
-
-
 def extract_markdown(pages: DataFrame) -> DataFrame:
-    """Main-content markdown via a streaming HTML parser per Arrow batch.
-
-    Handles what regex cannot: nested blocks, unclosed ``<p>``/``<b>``,
-    closing tags inside script strings. Put the fetch-queue anti join
-    upstream; Catalyst cannot push filters through ``mapInPandas``.
-    """
-    from pagetide.session import ship_package
-
-    ship_package(pages.sparkSession)
-    keyed = keyed_pages(pages.select("page_id", "url", "html")).select("domain", "url", "seq", "html")
-    return keyed.mapInPandas(_render_batches, MARKDOWN_SCHEMA)
+    """Main-content markdown with its links and headings counted; the body
+    is the page table's (E3)."""
+    staged = keyed_pages(pages.select("page_id", "url", "html")).select("domain", "url", "seq", H.content_tokens("html").alias("_tokens"))
+    return staged.select(
+        "domain", "url", "seq", H.token_markdown("_tokens").alias("markdown"),
+        H.count_links("_tokens").cast("int").alias("n_links"), H.count_headings("_tokens").cast("int").alias("n_headings"),
+    )

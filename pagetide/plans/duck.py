@@ -226,28 +226,97 @@ def page_lang(html: str) -> str:
     return f"lower({quoted(html, P.LANG)})"
 
 
-def content_html(html: str) -> str:
-    return rr(html, P.REMOVE_BLOCKS, "")
+# The main content, written apart from the Spark fold: its own token regex, and
+# open elements as one path such as '>div>nav>', cut at an element's last place.
+_PIECES = (
+    r"(?is)<!--(?:.*?-->|.*)|<script\b(?:.*?</(?:script|style)\s*>|.*)|<style\b(?:.*?</(?:script|style)\s*>|.*)|<svg\b[^>]*/>"
+    r"|<noscript\b.*?</noscript\s*>|<template\b.*?</template\s*>|<svg\b.*?</svg\s*>|<iframe\b.*?</iframe\s*>"
+    r"|<head\b.*?(?:</head\s*>|<body\b[^>]*>)"
+    r"""|</?[a-z](?:[^"'>]|"[^"]*"|'[^']*')*>|</?[a-z][^>]*>|<[!?/][^>]*>|[^<]+|<"""
+)
+_OUT = "sidebar|navigation|filter|widget|widget-area|sidebar-widget|menu|ad|ads|advert|advertisement"
+_OUT_NAMED = (
+    r"(?is)[\s\"'](class|id)\s*=\s*(\"([^\"]*\s)?(" + _OUT + r")(\s[^\"]*)?\"|'([^']*\s)?(" + _OUT + r")(\s[^']*)?'|(" + _OUT + r")[\s/>])"
+)
+
+
+def tag_name(t: str) -> str:
+    return f"(CASE WHEN starts_with({t}, '<') THEN lower(regexp_extract({t}, '^</?([A-Za-z][A-Za-z0-9]*)', 1)) ELSE '' END)"
+
+
+def content_pieces(html: str) -> str:
+    """The tokens outside blocks that are no content, joined by a private mark."""
+    kinds = ("'nav','aside','header','footer','menu','div','section','span','article','main','form','ul','ol','li','dl','p','table',"
+             "'blockquote','figure','details','center','body','html'")
+    bad = f"(x.n IN ('nav','aside','header','footer','menu') OR regexp_matches(x.t, {lit(_OUT_NAMED)}))"
+    cut_at = "regexp_extract(acc.path, '^(.*>)' || x.n || '>', 1)"
+    # path before this token's own element: siblings close, content leaves what cannot hold it
+    before = (
+        "(CASE WHEN x.n IN ('p', 'li') AND ends_with(acc.path, '>' || x.n || '>') THEN acc.path[:-(length(x.n) + 2)] "
+        "WHEN x.n IN ('article', 'main') AND acc.skip > 0 AND regexp_extract(acc.path[:acc.skip], '([a-z0-9]+)>$', 1) IN ('nav', 'header', 'menu') "
+        "THEN regexp_extract(acc.path[:acc.skip], '^(.*>)[a-z0-9]+>$', 1) ELSE acc.path END)"
+    )
+    still = f"(CASE WHEN acc.skip > length({before}) THEN 0 ELSE acc.skip END)"
+    opened = (
+        f"{{'path': {before} || x.n || '>', 'skip': (CASE WHEN {still} = 0 AND {bad} THEN length({before} || x.n || '>') ELSE {still} END), "
+        f"'got': (CASE WHEN {still} = 0 AND NOT {bad} THEN list_append(acc.got, x.t) ELSE acc.got END)}}"
+    )
+    closed = (
+        f"{{'path': {cut_at}, 'skip': (CASE WHEN acc.skip > length({cut_at}) THEN 0 ELSE acc.skip END), "
+        "'got': (CASE WHEN acc.skip = 0 THEN list_append(acc.got, x.t) ELSE acc.got END)}"
+    )
+    plain = "{'path': acc.path, 'skip': acc.skip, 'got': (CASE WHEN acc.skip = 0 THEN list_append(acc.got, x.t) ELSE acc.got END)}"
+    step = (
+        f"lambda acc, x: CASE WHEN x.n NOT IN ({kinds}) OR ends_with(x.t, '/>') THEN {plain} "
+        f"WHEN NOT starts_with(x.t, '</') THEN {opened} WHEN {cut_at} = '' THEN {plain} ELSE {closed} END"
+    )
+    tokens = f"list_transform(regexp_extract_all({html}, {lit(_PIECES)}), lambda t: {{'t': t, 'n': {tag_name('t')}}})"
+    return f"list_reduce({tokens}, {step}, {{'path': '>', 'skip': 0::BIGINT, 'got': []::VARCHAR[]}}).got"
 
 
-def markdown_lite(html: str) -> str:
-    s = content_html(html)
-    s = rr(s, P.HEADING_OPEN_ANY, "\n\n" + P.HEADING_MARK + r"\1 ")
-    for n in range(1, 7):
-        s = f"replace({s}, {lit(P.HEADING_MARK + str(n) + ' ')}, {lit('#' * n + ' ')})"
-    s = rr(s, P.DOUBLE_BREAK, "\n\n")
-    s = rr(s, P.SINGLE_BREAK, "\n")
-    s = rr(s, P.LIST_ITEM, "\n- ")
-    for anchor in P.ANCHORS:
-        s = rr(s, anchor, r"[\2](\1)")
-    s = rr(s, P.ANY_TAG, "")
+def _anchor(t: str) -> str:
+    """An anchor's start tag as its target between two marks, without quotes."""
+    value = rx(t, r"""(?is)^<a((\s|/)+[^\s"'>/=]+(\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?)*?(\s|/)+href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", 6)
+    bare = f"(CASE WHEN {value}[1] IN (chr(34), chr(39)) THEN {value}[2:-2] ELSE {value} END)"
+    return f"(CASE WHEN {bare} <> '' THEN chr(57345) || {bare} || chr(57346) ELSE '' END)"
+
+
+def _anchors(s: str) -> str:
+    done = rr(s, r"\x{E001}([^\x{E001}\x{E002}\x{E003}]*)\x{E002}([^\x{E001}\x{E003}]*)\x{E003}", r"[\2](\1)")
+    return rr(done, r"\x{E001}[^\x{E001}\x{E002}\x{E003}]*\x{E002}|[\x{E001}\x{E002}\x{E003}]", "")
+
+
+def pieces_markdown(pieces: str) -> str:
+    n, piece = tag_name("t"), []
+    piece.append(f"WHEN {n} = '' THEN (CASE WHEN starts_with(t, '<') AND t <> '<' THEN '' ELSE t END)")
+    piece.append(r"WHEN regexp_matches(t, '(?i)^</(h[1-6]|p)\b') OR regexp_matches(t, '(?i)^<p\b') THEN chr(10) || chr(10)")
+    piece.append(r"WHEN regexp_matches(t, '(?i)^<h[1-6]\b') THEN chr(10) || chr(10) || repeat('#', t[3]::INT) || ' '")
+    piece.append(r"WHEN regexp_matches(t, '(?i)^<li\b') THEN chr(10) || '- '")
+    piece.append(r"WHEN regexp_matches(t, '(?i)^</?br\b') OR regexp_matches(t, '(?i)^</(li|ul|ol|div|section|article|main|table|tr|blockquote)\b') THEN chr(10)")
+    piece.append(f"WHEN {n} = 'a' THEN (CASE WHEN starts_with(t, '</') THEN chr(57347) ELSE {_anchor('t')} END) ELSE ''")
+    s = f"array_to_string(list_transform({pieces}, lambda t: CASE {' '.join(piece)} END), '')"
+    s = _anchors(s)
     s = decode_entities(s)
-    s = rr(s, P.INLINE_SPACE, " ")
-    s = rr(s, P.SPACE_AROUND_NL, "\n")
-    s = rr(s, P.MANY_NL, "\n\n")
+    s = rr(s, r"[ \t\x{A0}]+", " ")
+    s = rr(s, r"[ \t]*\n[ \t]*", "\n")
+    s = rr(s, r"\n{3,}", "\n\n")
     return strip(s)
 
 
+def markdown_lite(html: str) -> str:
+    return pieces_markdown(content_pieces(html))
+
+
+def count_links(pieces: str) -> str:
+    only = f"list_filter({pieces}, lambda t: {tag_name('t')} = 'a')"
+    marks = f"array_to_string(list_transform({only}, lambda t: CASE WHEN starts_with(t, '</') THEN chr(57347) ELSE {_anchor('t')} END), '')"
+    return f"len(string_split({marks}, chr(57346) || chr(57347))) - 1"
+
+
+def count_headings(pieces: str) -> str:
+    return f"len(list_filter({pieces}, lambda t: regexp_matches(t, '(?i)^<h[1-6]\\b')))"
+
+
 def plain_text(md: str) -> str:
     return strip(rr(md, P.WS_RUN, " "))
 

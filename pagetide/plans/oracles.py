@@ -110,6 +110,9 @@ WHERE _r = 1""",
 # main text (E3 table)
 cte("mt", f"SELECT domain, url, seq, {D.main_text(D.markdown_lite('html'))} AS text FROM kp", "kp")
 
+# markdown with its counts
+cte("md0", f"SELECT domain, url, seq, {D.content_pieces('html')} AS got FROM kp", "kp")
+
 # links (E4)
 cte(
     "lk0",
@@ -595,6 +598,11 @@ FROM (SELECT domain, url, seq, {D.field('html', P.TITLE)} AS title,
   {D.page_lang('html')} AS lang, {D.field('html', P.H1)} AS h1 FROM kp)""",
     "kp",
 )
+SQL["extract_markdown"] = build(
+    f"""SELECT domain, url, seq, {D.pieces_markdown('got')} AS markdown, ({D.count_links('got')})::INTEGER AS n_links,
+  ({D.count_headings('got')})::INTEGER AS n_headings FROM md0""",
+    "md0",
+)
 SQL["main_text"] = build("SELECT domain, url, seq, text, length(text)::BIGINT AS n_chars FROM mt", "mt")
 SQL["page_links"] = build("SELECT * FROM links", "links")
 cte(

@@ -482,4 +482,4 @@ MATERIALIZE["keyword_summary"] = ("text_table",)
 QUERIES = {k: scoped(v, MATERIALIZE.get(k, ())) for k, v in QUERIES.items()}
 
 # Queries with no DuckDB twin (rows-only check): the Python-stage renderer.
-ROWS_ONLY = {"extract_markdown"}
+ROWS_ONLY: set[str] = set()

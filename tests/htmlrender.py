@@ -1,18 +1,12 @@
-"""Per-page helper for E2: HTML -> main-content markdown with a tag stack.
-
-Small and self-contained on purpose; Spark partitions the pages and feeds
-this function Arrow batches through ``mapInPandas``.
-"""
+"""Main content by the standard library's parser, for comparison in tests."""
 
 from __future__ import annotations
 
 import re
 from html.parser import HTMLParser
 
-from pagetide.functions.patterns import EXCLUDED_CLASSES, EXCLUDED_TAGS
-
-_SKIP_TAGS = {"script", "style", "head", "noscript", "template", "svg", "iframe"} | set(EXCLUDED_TAGS)
-_SKIP_CLASSES = set(EXCLUDED_CLASSES)
+_SKIP_TAGS = {"script", "style", "head", "noscript", "template", "svg", "iframe"} | {"nav", "aside", "header", "footer", "menu"}
+_SKIP_CLASSES = set("sidebar navigation filter widget widget-area sidebar-widget menu ad ads advert advertisement".split())
 _VOID = {"br", "img", "meta", "link", "hr", "input", "source", "wbr", "area", "base", "col", "embed"}
 _BLOCK = {"p", "div", "section", "article", "main", "ul", "ol", "li", "table", "tr", "blockquote"}
 
@@ -53,7 +47,7 @@ class _Renderer(HTMLParser):
             self.skip_depth += 1
             return
         if re.fullmatch(r"h[1-6]", tag):
-            self.n_headings += 1
+            self.n_headings += not self.skip_depth
             self._emit("\n\n" + "#" * int(tag[1]) + " ")
         elif tag == "li":
             self._emit("\n- ")

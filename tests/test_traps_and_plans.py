@@ -9,28 +9,12 @@ from pyspark.sql import functions as F
 
 from pagetide.operators import search as Q
 from pagetide.operators import sites as ST
-from pagetide.operators.htmlrender import render_markdown
 from pagetide.plans import queries as QQ
 from pagetide.plans import vocab as V
 from pagetide.sources.tables import read_map_text
 from pagetide.streaming.snapshots import scratch
 
 
-def test_renderer_tolerates_malformed_html():
-    html = (
-        '<html><head><title>T</title><script>var t="</p>";</script><style>p{}</style></head>'
-        '<body><nav><a href="/x">nav</a></nav><!-- c --><div class="ad">buy</div>'
-        '<article><h1>Head</h1><p><b>bold never closed<br><p>second <a href="/y">link</a>'
-        '</article><footer>foot</footer></body></html>'
-    )
-    md, n_links, n_headings = render_markdown(html)
-    assert md.startswith("# Head")
-    assert "bold never closed" in md and "second [link](/y)" in md
-    for gone in ("nav", "buy", "foot", "var t", "p{}", "</p>"):
-        assert gone not in md
-    assert (n_links, n_headings) == (1, 1)
-
-
 def _pages(spark, rows):
     schema = "domain string, seq bigint, metadata struct<title:string>, json struct<title:string,summary:string>"
     return spark.createDataFrame(rows, schema)
@@ -120,24 +104,6 @@ def test_discovery_limit(spark):
     assert per_site == {d: min(2, n) for d, n in full.items()}
 
 
-def test_python_renderer_agrees_with_native_text(spark):
-    """E2 (tag-stack parser) and E3 (regex) see the same words on the fixture."""
-    from pagetide.operators import extract as E
-    from pagetide.sources.tables import read_pages
-
-    pages = read_pages(spark, SF001)
-    py = E.extract_markdown(pages).select("url", E.main_text(F.col("markdown")).alias("a"))
-    nat = E.main_text_table(pages).select("url", F.col("text").alias("b"))
-    words = lambda c: F.array_distinct(F.split(F.lower(c), r"[^\p{L}\p{N}]+"))
-    j = py.join(nat, "url").select(
-        F.size(F.array_intersect(words("a"), words("b"))).alias("i"),
-        F.size(F.array_union(words("a"), words("b"))).alias("u"),
-    )
-    ratios = [r["i"] / r["u"] for r in j.collect() if r["u"]]
-    assert len(ratios) == pages.count()
-    assert sum(x >= 0.95 for x in ratios) >= 0.9 * len(ratios)
-
-
 def test_no_query_plans_cross_products(spark):
     """No registered query pairs rows without a key (cartesian / nested-loop joins)."""
     from pagetide.plans.queries import QUERIES
