@@ -34,6 +34,11 @@ def first_h1(html: Column | str) -> Column:
     return _field(_c(html), P.H1)
 
 
+def meta_tags(html: Column | str) -> Column:
+    """All meta tags of a page as one short text: one pass, whatever is read from them."""
+    return F.array_join(F.regexp_extract_all(_c(html), F.lit(P.META_TAG), F.lit(0)), "")
+
+
 def meta_value(html: Column | str, attr: str, value: str) -> Column:
     """Meta tag content in either attribute order ('' when absent)."""
     h = _c(html)

@@ -47,6 +47,9 @@ QUOTED = r"""(?:"([^"]*)"|'([^']*)')"""
 LANG = r"(?is)<html\b[^>]*\blang=" + QUOTED
 
 
+META_TAG = r"(?is)<meta\b[^>]*>"
+
+
 def meta_content(attr: str, value: str) -> str:
     """<meta {attr}="{value}" ... content="..."> (attribute order: name first)."""
     return r"(?is)<meta\b[^>]*\b" + attr + r"=[\"']" + value + r"[\"'][^>]*\bcontent=" + QUOTED

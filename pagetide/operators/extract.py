@@ -54,13 +54,13 @@ def keyed_pages(pages: DataFrame) -> DataFrame:
 
 def page_metadata(pages: DataFrame) -> DataFrame:
     """Head fields per page (NULL when absent)."""
-    h = F.col("html")
-    raw = keyed_pages(pages).select(
+    h, m = F.col("html"), F.col("_metas")
+    raw = keyed_pages(pages).withColumn("_metas", H.meta_tags(h)).select(
         "domain", "url", "seq",
         H.meta_title(h).alias("title"),
-        H.meta_description(h).alias("description"),
-        H.og_description(h).alias("og_description"),
-        H.og_url(h).alias("og_url"),
+        H.meta_description(m).alias("description"),
+        H.og_description(m).alias("og_description"),
+        H.og_url(m).alias("og_url"),
         H.page_lang(h).alias("lang"),
         H.first_h1(h).alias("h1"),
     )
@@ -69,7 +69,10 @@ def page_metadata(pages: DataFrame) -> DataFrame:
 
 
 def _markdown_stage(pages: DataFrame, *extra) -> DataFrame:
-    return keyed_pages(pages).select("domain", "url", "seq", H.markdown_lite("html").alias("markdown"), *extra)
+    staged = keyed_pages(pages)
+    if extra:
+        staged = staged.withColumn("_metas", H.meta_tags("html"))
+    return staged.select("domain", "url", "seq", H.markdown_lite("html").alias("markdown"), *extra)
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
@@ -79,13 +82,13 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     ``json`` = what we derive from the body (first heading, lead sentence,
     lead of three sentences) in place of the reference's LLM extraction.
     """
-    h = F.col("html")
+    h, m = F.col("html"), F.col("_metas")
     s1 = _markdown_stage(
         pages,
         H.meta_title(h).alias("m_title"),
-        H.meta_description(h).alias("m_description"),
-        H.og_description(h).alias("m_og_description"),
-        H.og_url(h).alias("m_og_url"),
+        H.meta_description(m).alias("m_description"),
+        H.og_description(m).alias("m_og_description"),
+        H.og_url(m).alias("m_og_url"),
         H.first_h1(h).alias("j_title"),
     )
     # leads come from running text: heading lines are left out
