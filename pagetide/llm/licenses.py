@@ -1,29 +1,35 @@
 """Operator 2: licence scan by ordered signature rules (native).
 
-Several hundred regexes (``license_rules``) are gated twice: one cheap regex
-decides whether a text can hold a mention at all, and each rule runs only if
-its keywords occur. Detections are spans with a priority; a span inside
-another one is suppressed when the other has a higher priority, or the same
-priority and a longer span, or the same span and an earlier rule.
+Several hundred regexes (``license_rules``) are gated twice. A text goes on only
+if one of a few literals occurs in it. There every literal that some rule needs
+is looked up once, and a rule runs only if all its literals occur; ways to write
+a name that share no literal are rules of their own. Detections are spans with a
+priority; a span inside another one is suppressed when the other has a higher
+priority, or the same priority and a longer span, or the same span and an
+earlier rule.
 
 Words for positions are runs of ASCII letters and digits and all non-ASCII
 characters, after lower-casing A-Z. Defined cases: null text counts as empty;
 texts without a mention have zero places, null positions, empty labels and
-score 0; repeated rows get the same answer each; extra columns are ignored.
+score 0; repeated rows get the same answer each, and a null doc_id is carried;
+spans that tie in all but the rule go to the rule that stands first; texts of any
+length are read whole; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import functools
 import json
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagetide.llm.common import documents, let, regex_spans, text_or_empty
-from pagetide.llm.license_rules import GATE, LEAD, LEAD_MARK, rules
+from pagetide.llm.license_rules import GATE_LITERALS, LEAD_MARK, LEAD_UNDER, rules
 
-# a word character before lower-casing, and its complement
-_IN = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
+# a word character before lower-casing (ASCII letters and digits, and all
+# beyond ASCII), and its complement
+_IN = r"[\P{ASCII}\p{Alnum}]"
 _OUT = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 
 # fixed values: base phrases and their labels
@@ -39,14 +45,19 @@ BASE = rf"(?i)(?<!{_IN})(?:{'|'.join(map(_phrase, PHRASES))})(?!{_IN})"
 SPANS = "array<struct<start:bigint,stop:bigint,label:string,priority:int,rule:int>>"
 
 
+def literals() -> list[str]:
+    """All literals that some rule needs."""
+    return sorted({k for r in rules() for k in r.keywords})
+
+
 def rule_table() -> Column:
+    """The rules, with the numbers of their literals."""
+    number = {k: i for i, k in enumerate(literals())}
     rows = [
-        {"label": r.label, "priority": r.priority, "k1": r.keywords[0], "k2": r.keywords[1], "pattern": r.pattern, "rule": i}
+        {"label": r.label, "priority": r.priority, "needs": [number[k] for k in r.keywords], "pattern": r.pattern, "rule": i}
         for i, r in enumerate(rules())
     ]
-    return F.from_json(
-        F.lit(json.dumps(rows)), "array<struct<label:string,priority:int,k1:string,k2:string,pattern:string,rule:int>>"
-    )
+    return F.from_json(F.lit(json.dumps(rows)), "array<struct<label:string,priority:int,needs:array<int>,pattern:string,rule:int>>")
 
 
 def _spans(text: Column, r: Column) -> Column:
@@ -60,15 +71,29 @@ def _spans(text: Column, r: Column) -> Column:
     )
 
 
+def mentions(text: Column) -> Column:
+    """Whether some rule, or a base phrase, can match ``text`` at all."""
+
+    def held(low):
+        some = lambda words: functools.reduce(Column.__or__, [F.contains(low, F.lit(w)) for w in words])
+        # the base phrases hold 'cc', 'general' or 'reserved', of which the last passes anyway
+        base = some(["general", "cc"]) & text.rlike(BASE)
+        return some(GATE_LITERALS) | (F.contains(low, F.lit("under")) & text.rlike("(?i)" + LEAD_UNDER)) | base
+
+    return let(F.lower(text), held)
+
+
 def keyword_text(text: Column) -> Column:
-    """Where keywords are looked up: lower case, white space as one blank."""
-    lead = F.when(text.rlike(rf"(?i){LEAD}\s+under"), F.lit(LEAD_MARK)).otherwise(F.lit(""))
-    return F.concat(F.regexp_replace(F.lower(text), r"\s+", " "), lead)
+    """Where literals are looked up: lower case, white space and hyphens as one blank."""
+    lead = F.when(text.rlike("(?i)" + LEAD_UNDER), F.lit(LEAD_MARK)).otherwise(F.lit(""))
+    return F.concat(F.regexp_replace(F.lower(text), r"[\s-]+", " "), lead)
 
 
 def detections(text: Column, lower: Column) -> Column:
-    """All spans of all rules whose keywords occur, suppressed ones removed."""
-    runnable = let(lower, lambda low: F.filter(rule_table(), lambda r: F.contains(low, r["k1"]) & F.contains(low, r["k2"])))
+    """All spans of all rules whose literals occur, suppressed ones removed."""
+    words = F.from_json(F.lit(json.dumps(literals())), "array<string>")
+    hits = let(lower, lambda low: F.filter(F.transform(words, lambda w, i: F.when(F.contains(low, w), i)), lambda i: i.isNotNull()))
+    runnable = let(hits, lambda h: F.filter(rule_table(), lambda r: F.forall(r["needs"], lambda k: F.array_contains(h, k))))
     every = F.flatten(F.transform(runnable, lambda r: _spans(text, r)))
 
     def beaten(a: Column, b: Column) -> Column:
@@ -84,13 +109,20 @@ def detections(text: Column, lower: Column) -> Column:
     return let(F.array_sort(every), lambda s: F.filter(s, lambda a: ~F.exists(s, lambda b: beaten(a, b))))
 
 
+def n_words(text: Column) -> Column:
+    """Words of a text: the parts between separators that are not empty."""
+    parts = F.split(text, _OUT + "+")
+    outside = lambda p: (F.element_at(p, 1) == "").cast("int") + ((F.size(p) > 1) & (F.element_at(p, -1) == "")).cast("int")
+    return let(parts, lambda p: F.size(p) - outside(p)).cast("long")
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """``doc_id``, base columns, ``detections`` (spans), labels and score."""
-    df = docs.select("doc_id", text_or_empty().alias("_t")).withColumn("_gate", F.col("_t").rlike(GATE) | F.col("_t").rlike(BASE))
+    df = docs.select("doc_id", text_or_empty().alias("_t")).withColumn("_gate", mentions(F.col("_t")))
     word = F.lit(_IN + "+")
     empty = F.array().cast("array<string>")
     df = df.withColumns({
-        "n_words": F.regexp_count("_t", word).cast("long"),
+        "n_words": n_words(F.col("_t")),
         "_hits": F.when(F.col("_gate"), F.regexp_extract_all("_t", F.lit(BASE), F.lit(0))).otherwise(empty),
         "detections": F.when(F.col("_gate"), detections(F.col("_t"), keyword_text(F.col("_t")))).otherwise(F.array().cast(SPANS)),
     })
