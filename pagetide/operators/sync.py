@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagetide.functions.urls import batch_id_agg
+from pagetide.operators.rank import positions
 
 # ---- fixed values that must equal the reference (sync guards) -------------
 DELETION_MISS_THRESHOLD = 3
@@ -288,8 +289,8 @@ def fetch_queue(
         new = effective.where(F.col("status") == "new").select("domain", "url", F.lit("new").alias("kind"))
         q = new.unionByName(backfill.select("domain", "url", F.lit("backfill").alias("kind")))
         order = [F.when(F.col("kind") == "new", 0).otherwise(1), F.asc("url")]
-    w = Window.partitionBy("domain").orderBy(*order)
-    q = q.withColumn("queue_pos", F.row_number().over(w).cast("int"))
+    # a site of any size is ordered in many tasks
+    q = positions(q, ["domain"], order, "queue_pos").withColumn("queue_pos", F.col("queue_pos").cast("int"))
     if max_pages is not None:
         q = q.where(F.col("queue_pos") <= max_pages)
     return q.select("domain", "url", "kind", "queue_pos")

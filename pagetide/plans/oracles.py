@@ -177,7 +177,7 @@ cte(
 spec = SN.SPEC
 cte("site_pages", "SELECT domain, url, seq FROM kp", "kp")
 cte("prev_map", f"SELECT * FROM site_pages WHERE seq % {spec.prev_drop_mod} <> 0", "site_pages")
-cte("cur_map", f"SELECT * FROM site_pages WHERE seq % {spec.cur_drop_mod} <> 0", "site_pages")
+cte("cur_map", f"SELECT * FROM site_pages WHERE seq % {spec.cur_drop_mod} <> 0 OR seq % {spec.prev_drop_mod} = 0", "site_pages")
 cte("cached_urls", f"SELECT * FROM prev_map WHERE seq % {spec.uncached_mod} <> 0", "prev_map")
 cte(
     "batches",
@@ -369,7 +369,12 @@ cte(
 FROM (SELECT domain, chunk, {D.batch_id_agg('url')} AS batch_id, count(*)::BIGINT AS n_urls
       FROM (SELECT *, ((queue_pos - 1) // {Q.QUEUE_CHUNK})::INTEGER AS chunk FROM queue) GROUP BY domain, chunk) g
 LEFT JOIN (SELECT domain, batch_id, bool_or(status = 'completed') AS _done, bool_or(status = 'polling') AS _poll
-           FROM batches GROUP BY domain, batch_id) f
+           FROM (SELECT domain, batch_id, status FROM batches
+                 UNION ALL
+                 SELECT domain, {D.batch_id_agg('url')}, CASE (chunk + length(domain)) % 3 WHEN 0 THEN 'completed' ELSE 'polling' END
+                 FROM (SELECT *, ((queue_pos - 1) // {Q.QUEUE_CHUNK})::INTEGER AS chunk FROM queue)
+                 WHERE (chunk + length(domain)) % 3 < 2 GROUP BY domain, chunk)
+           GROUP BY domain, batch_id) f
   ON g.domain = f.domain AND g.batch_id = f.batch_id""",
     "queue",
     "batches",

@@ -19,6 +19,7 @@ from pagetide.operators import extract as E
 from pagetide.operators import search as Q
 from pagetide.operators import sites as ST
 from pagetide.operators import sync as S
+from pagetide.operators.rank import positions
 from pagetide.plans import vocab as V
 from pagetide.sources import snapshots as SN
 from pagetide.plans.memo import scoped, shared
@@ -135,11 +136,8 @@ def discovery_scope(spark, sf, limit: int | None = None):
 
 
 def batch_ids(spark, sf, chunk: int = S.BATCH_SIZE):
-    d = E.discover_urls(pages(spark, sf))
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("domain").orderBy("url")
-    c = d.withColumn("chunk", F.floor((F.row_number().over(w) - 1) / chunk).cast("int"))
+    d = E.discover_urls(pages(spark, sf)).select("domain", "url")
+    c = positions(d, ["domain"], [F.asc("url")]).withColumn("chunk", F.floor((F.col("pos") - 1) / chunk).cast("int"))
     return c.groupBy("domain", "chunk").agg(F.count(F.lit(1)).alias("n_urls"), batch_id_agg("url").alias("batch_id"))
 
 
@@ -246,7 +244,9 @@ def queue(spark, sf, max_pages=None):
 
 
 def pending_batches(spark, sf):
-    return S.pending_batches(queue(spark, sf), SN.batches(spark, sf), chunk=QUEUE_CHUNK)
+    q = queue(spark, sf)
+    known = SN.batches(spark, sf).select("domain", "batch_id", "status").unionByName(SN.interrupted_batches(q, QUEUE_CHUNK))
+    return S.pending_batches(q, known, chunk=QUEUE_CHUNK)
 
 
 @shared
@@ -360,10 +360,10 @@ def _stream_miss_counter(spark, sf):
 
 def _synced(spark, sf, **more):
     """A store after one run over every page of the page table."""
-    from pagetide.plans.sync_job import RunOptions, SyncStore, sync
+    from pagetide.plans.sync_job import RunOptions, CorpusStore, sync
     from pagetide.streaming.snapshots import scratch
 
-    store = SyncStore(spark, scratch(spark, "store"))
+    store = CorpusStore(spark, scratch(spark, "store"))
     sync(spark, store, SN.site_pages(spark, sf), read_pages(spark, sf), RunOptions(run_id=0, run_ts=SN.RUN_TS))
     if more:
         sync(spark, store, SN.site_pages(spark, sf), read_pages(spark, sf), RunOptions(run_id=1, run_ts=SN.RUN_TS, **more))
@@ -385,25 +385,25 @@ def sync_run_log(spark, sf):
 def doc_upsert_stream(spark, sf):
     """ST3: the documents arrive as a stream, every third a second time with an
     older ``seq`` and other content, which must change nothing."""
-    from pagetide.plans.sync_job import SyncStore
+    from pagetide.plans.sync_job import CorpusStore
     from pagetide.streaming.snapshots import page_upsert_stream, scratch
 
     now = docs(spark, sf)
     src = scratch(spark, "docs-src")
     now.select(*A.PAGE_DOC_COLUMNS).write.parquet(src)
-    store = page_upsert_stream(spark, SyncStore(spark, scratch(spark, "store")), src, scratch(spark, "ckpt"))
-    older = store.read("docs").where(F.pmod("seq", F.lit(3)) == 0).withColumns(
+    store = page_upsert_stream(spark, CorpusStore(spark, scratch(spark, "store")), src, scratch(spark, "ckpt"))
+    older = store.docs().where(F.pmod("seq", F.lit(3)) == 0).withColumns(
         {"seq": F.col("seq") - 1_000_000, "content": F.lit("old"), "content_sha": F.lit("old")}
     )
     late = scratch(spark, "docs-late")
     older.write.parquet(late)
-    return _doc_columns(page_upsert_stream(spark, store, late, scratch(spark, "ckpt")).read("docs"))
+    return _doc_columns(page_upsert_stream(spark, store, late, scratch(spark, "ckpt")).docs())
 
 
 QUERIES: dict[str, Query] = {
     # the sync job
-    "sync_docs": lambda s, f: _doc_columns(_synced(s, f).read("docs")),
-    "cache_only_docs": lambda s, f: _doc_columns(_synced(s, f, cache_only=True).read("docs")),
+    "sync_docs": lambda s, f: _doc_columns(_synced(s, f).docs()),
+    "cache_only_docs": lambda s, f: _doc_columns(_synced(s, f, cache_only=True).docs()),
     "sync_run_log": sync_run_log,
     "doc_upsert_stream": doc_upsert_stream,
     # url_inventory job

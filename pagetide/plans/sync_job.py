@@ -1,30 +1,32 @@
-"""The sync job: one run over every site, with versioned state (K3-K9).
-
-State lives in a store folder on shared storage:
-
-  <root>/v=<n>-<attempt>/map          (domain, url, seq)            last trusted map per site
-  <root>/v=<n>-<attempt>/candidates   (domain, url, misses, ...)     pending deletions
-  <root>/v=<n>-<attempt>/page_cache   (domain, url, seq, markdown, metadata, json)
-  <root>/v=<n>-<attempt>/docs         page_doc rows (K3)
-  <root>/v=<n>-<attempt>/batches      (domain, chunk, batch_id, urls, n_urls, status, ts)
-  <root>/v=<n>-<attempt>/run          the run's log rows, one per site (K7)
-  <root>/commits/<n>        the folder of version n, written last (K5)
-
-A run reads version n and writes n+1 into a folder of its own; the version
-exists once its commit file does. Commit files are created exclusively and
-never changed or deleted, so a crash or a lost executor leaves n intact, two
-writers cannot both take n+1, and the run can simply be repeated: the run log
-is the union of the ``run`` tables of committed versions, so a half-written
-version is invisible and a committed run id is never applied twice.
+"""The sync job: one run over every site, with its state kept as Parquet (K3-K9).
+
+State lives in a folder on shared storage:
+
+  <root>/<table>/run_id=<n>   what run n changed, of these tables:
+      map          (domain, url, seq)           maps of the sites whose map changed
+      candidates   (domain, url, misses, ...)    pending deletions of the run's sites
+      page_cache   (domain, url, slug, ...)      fetched pages, and URLs that went
+      batches      (domain, chunk, batch_id, urls, n_urls, status, ts)
+      run          the run's log rows, one per site (K7), written last
+  <root>/docs/bucket=<k>      page documents by hash of (domain, slug) (K3)
+
+A run writes only what it changes. Tables by run are read as the latest row per
+key; only runs in the log count, so what a crashed run left is invisible, and
+repeating the run replaces its folders. Documents are replaced bucket by bucket
+(dynamic partition overwrite): buckets without a change keep their files. A run
+that died after its documents is repeated like any other; documents that it had
+written already then count as unchanged.
+
+A run renders only the documents it can change: those of the slugs of fetched
+and of removed pages.
 """
 
 from __future__ import annotations
 
 import datetime as dt
-import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,7 +34,9 @@ from pagetide.operators import assemble as A
 from pagetide.operators import extract as E
 from pagetide.operators import sites as ST
 from pagetide.operators import sync as S
-from pagetide.functions.urls import batch_id_agg, drop_query, with_url_keys
+from pagetide.functions.text import nullif_blank
+from pagetide.functions.urls import batch_id_agg, drop_query, py_strip, url_slug, with_url_keys
+from pagetide.session import written
 
 MAP_SCHEMA = "domain string, url string, seq bigint"
 CAND_SCHEMA = (
@@ -58,7 +62,10 @@ DOC_SCHEMA = (
     "domain string, slug string, url string, seq bigint, title string, description string, summary string, "
     "body string, content string, content_sha string"
 )
-TABLES = {"map": MAP_SCHEMA, "candidates": CAND_SCHEMA, "page_cache": PAGE_SCHEMA, "docs": DOC_SCHEMA, "batches": BATCH_SCHEMA}
+#: Columns of the page cache beside the page's own; ``gone``: the URL was removed.
+CACHE_SCHEMA = T.StructType([*PAGE_SCHEMA.fields, T.StructField("slug", T.StringType()), T.StructField("blank", T.BooleanType()), T.StructField("gone", T.BooleanType())])
+CACHE_KEYS = ("domain", "url", "seq", "slug", "blank")
+BUCKETS = 64
 
 
 @dataclass(frozen=True)
@@ -81,86 +88,6 @@ class RunOptions:
         dt.datetime.fromisoformat(self.run_ts)  # fail here, not in a job
 
 
-class SyncStore:
-    """Versioned tables under ``root``; a version is committed by one new file."""
-
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark = spark
-        self.root = root.rstrip("/")
-        jvm = spark.sparkContext._jvm
-        self._Path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._Path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-    # -- commits ------------------------------------------------------------
-    def commits(self) -> dict[int, str]:
-        """version -> folder; a commit file without content (a writer that died
-        while writing it) uses up its number but commits nothing."""
-        folder = self._Path(self.root + "/commits")
-        if not self._fs.exists(folder):
-            return {}
-        out = {}
-        for status in self._fs.listStatus(folder):
-            name = status.getPath().getName()
-            if name.isdigit():
-                out[int(name)] = self._text(status.getPath())
-        return out
-
-    def _text(self, path) -> str:
-        stream = self._fs.open(path)
-        try:
-            java = self.spark.sparkContext._jvm.java.io
-            line = java.BufferedReader(java.InputStreamReader(stream)).readLine()
-            return line.strip() if line else ""
-        finally:
-            stream.close()
-
-    def current(self) -> int:
-        return max((v for v, folder in self.commits().items() if folder), default=0)
-
-    def begin(self) -> tuple[int, str]:
-        """The next version and a folder for it that no other writer uses."""
-        version = max(self.commits(), default=0) + 1
-        return version, f"v={version:06d}-{uuid.uuid4().hex[:8]}"
-
-    def commit(self, version: int, folder: str) -> None:
-        """Fails if another writer has taken the version."""
-        out = self._fs.create(self._Path(f"{self.root}/commits/{version:06d}"), False)
-        out.write(bytearray(folder.encode()))
-        out.close()
-
-    # -- tables -------------------------------------------------------------
-    def path(self, version: int, table: str) -> str:
-        return f"{self.root}/{self.commits()[version]}/{table}"
-
-    def write(self, folder: str, table: str, df: DataFrame) -> DataFrame:
-        """Write a table of a version that is not committed yet; reads it back."""
-        path = f"{self.root}/{folder}/{table}"
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def read(self, table: str, version: int | None = None) -> DataFrame:
-        v = self.current() if version is None else version
-        schema = TABLES[table]
-        if v == 0 or not self._fs.exists(self._Path(path := self.path(v, table))):
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(path)
-
-    def write_version(self, tables: dict[str, DataFrame]) -> int:
-        version, folder = self.begin()
-        for name, df in tables.items():
-            self.write(folder, name, df)
-        self.commit(version, folder)
-        return version
-
-    def run_log(self) -> DataFrame:
-        """K7: log rows of every committed version (uncommitted ones ignored)."""
-        paths = [f"{self.root}/{folder}/run" for folder in self.commits().values() if folder]
-        paths = [p for p in paths if self._fs.exists(self._Path(p))]
-        if not paths:
-            return self.spark.createDataFrame([], RUN_LOG_SCHEMA)
-        return self.spark.read.schema(RUN_LOG_SCHEMA).parquet(*paths)
-
-
 RUN_LOG_SCHEMA = (
     "run_id int, run_ts string, domain string, status string, trusted boolean, reason string, "
     "urls_discovered bigint, new_urls bigint, queued bigint, fetched bigint, deleted bigint, added bigint, updated bigint, "
@@ -168,6 +95,111 @@ RUN_LOG_SCHEMA = (
 )
 
 
+_TYPES = {
+    "string": T.StringType(), "bigint": T.LongType(), "int": T.IntegerType(), "timestamp": T.TimestampType(), "boolean": T.BooleanType(),
+    "array<string>": T.ArrayType(T.StringType()),
+}
+
+
+def _struct(columns: str) -> T.StructType:
+    """A schema of plain columns, without a session."""
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in (c.split() for c in columns.split(","))])
+
+
+TABLES = {
+    "map": _struct(MAP_SCHEMA), "candidates": _struct(CAND_SCHEMA), "page_cache": CACHE_SCHEMA,
+    "batches": _struct(BATCH_SCHEMA), "run": _struct(RUN_LOG_SCHEMA),
+}
+
+
+class CorpusStore:
+    """The state of all runs under ``root``."""
+
+    def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS):
+        self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
+        for name, schema in TABLES.items():  # so that every table can be read
+            spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{self.root}/{name}/run_id=-1")
+        spark.createDataFrame([], DOC_SCHEMA).write.mode("ignore").parquet(f"{self.root}/docs/bucket=0")
+
+    # -- tables by run ----------------------------------------------------------
+    def write(self, table: str, run_id: int, df: DataFrame, *observed) -> DataFrame:
+        """Write what run ``run_id`` changed of ``table``; reads it back."""
+        path = f"{self.root}/{table}/run_id={run_id}"
+        schema = TABLES[table]
+        out = df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema])
+        for observation, values in observed:
+            out = out.observe(observation, *values)
+        out.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(schema).parquet(path)
+
+    def changes(self, table: str) -> DataFrame:
+        """Rows of all runs in the log, with their ``run_id``."""
+        schema = T.StructType([*TABLES[table].fields, *([] if table == "run" else [T.StructField("run_id", T.IntegerType())])])
+        rows = self.spark.read.schema(schema).parquet(f"{self.root}/{table}")
+        return rows.where(F.col("run_id").isin(self.runs())) if table != "run" else rows.where("run_id >= 0")
+
+    def runs(self) -> list[int]:
+        return sorted(r["run_id"] for r in self.changes("run").select("run_id").distinct().collect())
+
+    def run_log(self) -> DataFrame:
+        """K7: log rows of every finished run."""
+        return self.changes("run").select(*TABLES["run"].fieldNames())
+
+    def _of_last_run(self, table: str) -> DataFrame:
+        """Per site the rows of the last run that wrote it; a row without URL
+        only says that the run did."""
+        rows = self.changes(table)
+        last = rows.groupBy("domain").agg(F.max("run_id").alias("run_id"))
+        return rows.join(last, ["domain", "run_id"]).where(F.col("url").isNotNull()).select(*TABLES[table].fieldNames())
+
+    def map(self) -> DataFrame:
+        """K4: the last trusted map of every site."""
+        return self._of_last_run("map")
+
+    def candidates(self) -> DataFrame:
+        return self._of_last_run("candidates")
+
+    def batches(self) -> DataFrame:
+        return self.changes("batches").drop("run_id")
+
+    def cached_keys(self) -> DataFrame:
+        """(domain, url, seq, slug, blank, run_id) of every cached page: no text is read."""
+        rows = self.changes("page_cache").select(*CACHE_KEYS, "gone", "run_id")
+        last = F.max_by(F.struct("seq", "slug", "blank", "gone", "run_id"), "run_id").alias("p")
+        found = rows.groupBy("domain", "url").agg(last).where("not p.gone")
+        return found.select("domain", "url", "p.seq", "p.slug", "p.blank", "p.run_id")
+
+    def cached_pages(self, keys: DataFrame) -> DataFrame:
+        """The pages of ``keys`` (domain, url, run_id)."""
+        rows = self.changes("page_cache").where("not gone")
+        return rows.join(keys.select("domain", "url", "run_id"), ["domain", "url", "run_id"], "left_semi").select(*PAGE_SCHEMA.fieldNames())
+
+    # -- documents ----------------------------------------------------------------
+    def docs(self) -> DataFrame:
+        return self._buckets().drop("bucket")
+
+    def _buckets(self) -> DataFrame:
+        schema = _struct(DOC_SCHEMA).add("bucket", T.IntegerType())
+        # a row without a slug only keeps a bucket that ran empty
+        return self.spark.read.schema(schema).parquet(f"{self.root}/docs").where(F.col("slug").isNotNull())
+
+    def upsert_docs(self, changed: DataFrame, removed: DataFrame) -> None:
+        """K3: replace the documents of ``changed``, drop those of ``removed``
+        (domain, slug); only buckets that hold one of them are written."""
+        bucket = F.pmod(F.xxhash64("domain", "slug"), F.lit(self.buckets)).cast("int").alias("bucket")
+        rows = changed.select(*A.PAGE_DOC_COLUMNS, bucket)
+        keys = rows.select("domain", "slug", "bucket").unionByName(removed.select("domain", "slug", bucket))
+        touched = sorted(r["bucket"] for r in keys.select("bucket").distinct().collect())  # no more than buckets
+        if not touched:
+            return
+        # pruned to the touched folders, whose files stay until the new ones are complete
+        kept = self._buckets().where(F.col("bucket").isin(touched)).join(keys.select("domain", "slug"), ["domain", "slug"], "left_anti")
+        empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in _struct(DOC_SCHEMA)]
+        marks = self.spark.createDataFrame([(b,) for b in touched], "bucket int").select(*empty, "bucket")
+        merged = kept.unionByName(rows).unionByName(marks).repartition(len(touched), "bucket")
+        merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{self.root}/docs")
+
+
 def _chunk_batches(queue: DataFrame, obtained: DataFrame, run_ts: str, size: int) -> DataFrame:
     """K6: batch records of the queue, chunks of ``size``: the URLs of a chunk
     whose page was obtained as ``completed``, the others as ``failed``."""
@@ -199,62 +231,56 @@ def lookup_pages(queue: DataFrame, pages: DataFrame) -> DataFrame:
     return html.join(picked, ["page_id", "url"]).select("page_id", F.col("want").alias("url"), "html")
 
 
+def winners(keys: DataFrame) -> DataFrame:
+    """Decision 6 on keys alone: per (domain, slug) the last page in list order
+    that is not blank."""
+    last = F.max_by(F.struct(*[c for c in keys.columns if c not in ("domain", "slug")]), F.struct("seq", "url"))
+    found = keys.where("not blank").groupBy("domain", "slug").agg(last.alias("w"))
+    return found.select("domain", "slug", "w.*")
+
+
 def sync(
     spark: SparkSession,
-    store: SyncStore,
+    store: CorpusStore,
     new_map: DataFrame,
     pages: DataFrame,
     opts: RunOptions,
     sites: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
     """One run for every site: diff, guard, count misses, fetch what is
-    missing, render, delete what is confirmed gone, commit a new version.
+    missing, render, delete what is confirmed gone, write the changes.
 
     ``new_map``: ``(domain, url, seq)`` from discovery (E5 or a map table);
     ``pages``: raw ``(page_id, url, html)``, looked up by ``lookup_pages`` — only
-    queued URLs are extracted, once: the new version's page cache is written
-    first and documents and log are built from its files.
+    queued URLs are extracted, once: they are written first, and documents and
+    log are built from those files.
     ``sites``: ``(domain)`` of the sites to run (default: those of either map);
     a site without any URL gets a log row, and other sites keep their state.
     Returns the run's report tables (already written unless ``dry_run``).
     """
-    prev_map = store.read("map")
-    candidates = store.read("candidates")
-    cache = store.read("page_cache")
-    prev_docs = store.read("docs")
-    prev_batches = store.read("batches")
-    # a repeated run_id is a replay after a failure: the committed version wins
-    if not store.run_log().where(F.col("run_id") == opts.run_id).isEmpty():
+    # a repeated run_id is a replay after a failure: the finished run wins
+    if opts.run_id in store.runs():
         raise RuntimeError(f"run {opts.run_id} is already committed")
-    other_map, other_candidates = prev_map.limit(0), candidates.limit(0)
+    prev_map, candidates, cache = store.map(), store.candidates(), store.cached_keys()
     if sites is not None:
         sites = sites.select("domain").distinct()
-        other_map = prev_map.join(sites, "domain", "left_anti")
-        other_candidates = candidates.join(sites, "domain", "left_anti")
         prev_map, candidates, new_map = (x.join(sites, "domain", "left_semi") for x in (prev_map, candidates, new_map))
+    dropped = cache.limit(0)
     if opts.rebuild:
         chosen = sites if sites is not None else prev_map.select("domain").union(new_map.select("domain")).distinct()
+        dropped = cache.join(chosen, "domain", "left_semi")
         cache = cache.join(chosen, "domain", "left_anti")
-        prev_docs = prev_docs.join(chosen, "domain", "left_anti")
 
     if opts.cache_only:
         # S7 + Decision 4: newest cached copy of every URL of the stored map
-        eff_urls = prev_map.select("domain", "url")
-        fresh = cache.limit(0)
-        effective = eff_urls.withColumn("status", F.lit("unchanged")).withColumn("trusted", F.lit(True))
+        effective = prev_map.select("domain", "url", F.lit("unchanged").alias("status"), F.lit(True).alias("trusted"))
         health = prev_map.select("domain").distinct().select(
             "domain", F.lit(None).cast("bigint").alias("n_cached"), F.lit(None).cast("bigint").alias("n_new"),
             F.lit(None).cast("bigint").alias("n_deleted"), F.lit(None).cast("double").alias("deleted_ratio"),
             F.lit(True).alias("trusted"), F.lit("cache_only").alias("reason"),
         )
-        counter = candidates.select(
-            "domain", "url", "consecutive_misses",
-            F.date_format("first_missing_at", S.TS_FORMAT).alias("first_missing_at"),
-            F.date_format("last_missing_at", S.TS_FORMAT).alias("last_missing_at"),
-            F.lit("pending").alias("action"),
-        )
+        gone = candidates.limit(0).select("domain", "url")
         queue = effective.limit(0).select("domain", "url", F.lit("").alias("kind"), F.lit(0).alias("queue_pos"))
-        keep_map = prev_map
     else:
         # a forced run is compared with nothing: every URL is new, none is missed
         diff = S.map_diff(prev_map.limit(0) if opts.force else prev_map, new_map)
@@ -267,35 +293,28 @@ def sync(
             ))
         effective = S.effective_map(diff, health)
         counter = S.miss_counter(candidates, prev_map, new_map, health, opts.run_ts, count=not opts.force)
+        gone = counter.where(F.col("action") == "delete").select("domain", "url")
         backfill = S.backfill_urls(effective, cache)
         queue_all = S.fetch_queue(effective, backfill, seq=new_map, force=opts.force)
         queue = queue_all if opts.max_pages is None else queue_all.where(F.col("queue_pos") <= opts.max_pages)
         if opts.dry_run:
             preview = ST.dry_run_preview(effective, backfill, force=opts.force, max_pages=opts.max_pages)
             return {"preview": preview, "health": health, "queue": queue}
-        # work avoidance: only queued URLs are extracted
-        fresh = E.extract_pages(lookup_pages(queue, pages))
-        # K4: trusted sites take the new map, untrusted keep the last trusted one
-        trusted = health.where("trusted").select("domain")
-        keep_map = new_map.select("domain", "url", "seq").join(trusted, "domain", "left_semi").unionByName(
-            prev_map.join(trusted, "domain", "left_anti")
-        )
-
-    gone = counter.where(F.col("action") == "delete").select("domain", "url")
-    version, folder = store.begin()
-    fresh = store.write(folder, "fetched", fresh.select(*PAGE_SCHEMA.fieldNames()))
-    # newest copy per URL: fetched pages replace cached ones
-    merged = cache.join(fresh.select("domain", "url"), ["domain", "url"], "left_anti").unionByName(fresh)
-    merged = merged.join(gone, ["domain", "url"], "left_anti")
-    merged = store.write(folder, "page_cache", merged.select(*PAGE_SCHEMA.fieldNames()))
-    # pages of URLs that left the map stay until their deletion is confirmed
-    live_pages = merged
-    if opts.cache_only:
-        live_pages = merged.join(prev_map.select("domain", "url"), ["domain", "url"], "left_semi")
-    docs = store.write(folder, "docs", A.page_docs(live_pages).select(*A.PAGE_DOC_COLUMNS))
-    diff_docs = A.content_diff(docs, prev_docs)
-    report = ST.sync_report(diff_docs)
 
+    # work avoidance: only queued URLs are extracted
+    fresh = None if opts.cache_only else E.extract_pages(lookup_pages(queue, pages))
+    fetched_rows = _cache_rows(fresh) if fresh is not None else spark.createDataFrame([], CACHE_SCHEMA)
+    out = dropped.select("domain", "url").unionByName(gone).distinct()
+    if fresh is not None:
+        out = out.join(fresh.select("domain", "url"), ["domain", "url"], "left_anti")
+    fetched_count = Observation("fetched")
+    count = F.count_if(~F.col("gone")).alias("n")
+    written = store.write("page_cache", opts.run_id, fetched_rows.unionByName(_gone_rows(out)), (fetched_count, [count]))
+    fresh = written.where("not gone")
+    n_fresh = fetched_count.get["n"]
+
+    docs = _write_docs(store, opts, cache, dropped, fresh, gone, prev_map if opts.cache_only else None)
+    report = docs["report"]
     # only pages that were obtained count as fetched, and are paid for
     fetched = fresh.groupBy("domain").agg(F.count(F.lit(1)).alias("fetched"))
     queued = queue.groupBy("domain").agg(F.count(F.lit(1)).alias("queued"))
@@ -309,9 +328,9 @@ def sync(
         F.count_if(F.col("status") == "new").alias("new_urls"),
     )
     n_gone = gone.groupBy("domain").agg(F.count(F.lit(1)).alias("deleted"))
-    sites = health.select("domain", "trusted", "reason")
     log = (
-        sites.join(eff_counts, "domain", "left").join(fetched, "domain", "left").join(queued, "domain", "left").join(n_gone, "domain", "left")
+        health.select("domain", "trusted", "reason")
+        .join(eff_counts, "domain", "left").join(fetched, "domain", "left").join(queued, "domain", "left").join(n_gone, "domain", "left")
         .join(report, "domain", "left")
     )
     # K8: per-site guards; the job fails only when every site fails
@@ -326,19 +345,74 @@ def sync(
         *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in
           ("urls_discovered", "new_urls", "queued", "fetched", "deleted", "added", "updated", "unchanged", "total")],
         credits.cast("bigint").alias("credits"),
+    ).checkpoint()
+    if not log.isEmpty() and log.where(F.col("status") == "ok").isEmpty():
+        raise RuntimeError("every site failed its guards; the run is not logged")
+    if not opts.cache_only:
+        ran = health.select("domain")
+        # K4: trusted sites whose map changed take the new one, the others keep theirs
+        moved = effective.where(F.col("trusted") & (F.col("status") != "unchanged")).select("domain").distinct()
+        if opts.force:
+            moved = health.where("trusted").select("domain")
+        taken = new_map.select("domain", "url", "seq").join(moved, "domain", "left_semi")
+        pending = counter.where(F.col("action") == "pending").select(
+            "domain", "url", "consecutive_misses",
+            F.to_timestamp("first_missing_at").alias("first_missing_at"), F.to_timestamp("last_missing_at").alias("last_missing_at"),
+        )
+        store.write("map", opts.run_id, taken.unionByName(moved, allowMissingColumns=True))
+        store.write("candidates", opts.run_id, pending.unionByName(ran, allowMissingColumns=True))
+        store.write("batches", opts.run_id, _chunk_batches(queue, fresh, opts.run_ts, opts.batch_size))
+    log = store.write("run", opts.run_id, log)
+    return {"report": report, "health": health, "log": log, "docs": store.docs(), "changed": docs["changed"], "fetched": n_fresh}
+
+
+def _cache_rows(pages: DataFrame) -> DataFrame:
+    """Extracted pages as cache rows: with the slug of their document, and
+    whether they are blank (P2)."""
+    url = F.coalesce(nullif_blank(F.col("metadata.sourceURL")), nullif_blank(F.col("metadata.ogUrl")), F.lit(""))
+    return pages.select(
+        *PAGE_SCHEMA.fieldNames(), url_slug(url).alias("slug"), (py_strip(F.coalesce("markdown", F.lit(""))) == "").alias("blank"), F.lit(False).alias("gone")
     )
-    log = store.write(folder, "run", log)
-    if log.where(F.col("status") == "ok").isEmpty() and not log.isEmpty():
-        raise RuntimeError("every site failed its guards; nothing committed")
-
-    batches = prev_batches.unionByName(_chunk_batches(queue, fresh, opts.run_ts, opts.batch_size))
-    new_cand = counter.where(F.col("action") == "pending").select(
-        "domain", "url", "consecutive_misses",
-        F.to_timestamp("first_missing_at").alias("first_missing_at"),
-        F.to_timestamp("last_missing_at").alias("last_missing_at"),
-    )
-    store.write(folder, "map", keep_map.select("domain", "url", "seq").unionByName(other_map))
-    store.write(folder, "candidates", new_cand.unionByName(other_candidates))
-    store.write(folder, "batches", batches)
-    store.commit(version, folder)
-    return {"report": report, "health": health, "log": log, "docs": docs}
+
+
+def _gone_rows(keys: DataFrame) -> DataFrame:
+    null = [F.lit(None).cast(f.dataType).alias(f.name) for f in CACHE_SCHEMA if f.name not in ("domain", "url", "gone")]
+    return keys.select("domain", "url", *null, F.lit(True).alias("gone"))
+
+
+def _write_docs(store, opts, cache, dropped, fresh, gone, live_map) -> dict[str, DataFrame]:
+    """Render and write the documents that the run changes; report per site."""
+    fresh_keys = fresh.select(*CACHE_KEYS).withColumn("run_id", F.lit(opts.run_id))
+    live = cache.join(fresh.select("domain", "url"), ["domain", "url"], "left_anti").join(gone, ["domain", "url"], "left_anti")
+    live = live.unionByName(fresh_keys)
+    if live_map is not None:  # cache-only: every document is rendered anew
+        live = live.join(live_map.select("domain", "url"), ["domain", "url"], "left_semi")
+        affected = live.select("domain", "slug").unionByName(store.docs().select("domain", "slug"))
+    else:
+        left = cache.join(gone, ["domain", "url"], "left_semi").unionByName(dropped)
+        affected = fresh_keys.select("domain", "slug").unionByName(left.select("domain", "slug"))
+        # a rebuild also drops documents whose page is not cached any more
+        if opts.rebuild:
+            affected = affected.unionByName(store.docs().join(dropped.select("domain").distinct(), "domain", "left_semi").select("domain", "slug"))
+    affected = written(affected.distinct(), "affected")
+    chosen = written(winners(live.join(affected, ["domain", "slug"], "left_semi")), "winners")
+    own = chosen.where(F.col("run_id") == opts.run_id)
+    pages = fresh.select(*PAGE_SCHEMA.fieldNames()).join(own.select("domain", "url"), ["domain", "url"], "left_semi")
+    pages = pages.unionByName(store.cached_pages(chosen.where(F.col("run_id") != opts.run_id)))
+    rendered = A.render(A.resolve_fields(pages)).where("not _blank").select(*A.PAGE_DOC_COLUMNS)
+    stored = store.docs().select("domain", "slug", "content_sha").join(affected, ["domain", "slug"], "left_semi")
+    stored = written(stored, "stored")
+    status = F.when(F.col("_sha").isNull(), "added").when(F.col("_sha") == F.col("content_sha"), "unchanged").otherwise("updated")
+    known = stored.select("domain", "slug", F.col("content_sha").alias("_sha"))
+    # rendered once: what is not unchanged goes into the buckets
+    diffed = written(rendered.join(known, ["domain", "slug"], "left").withColumn("status", status).drop("_sha").where("status <> 'unchanged'"), "changed")
+    removed = stored.join(chosen, ["domain", "slug"], "left_anti").select("domain", "slug")
+    removed = written(removed, "removed")
+    store.upsert_docs(diffed, removed)
+    n = lambda s: F.count_if(F.col("status") == s).alias(s)
+    counts = diffed.groupBy("domain").agg(n("added"), n("updated"))
+    total = store.docs().groupBy("domain").agg(F.count(F.lit(1)).alias("total"))
+    zero = F.lit(0).cast("bigint")
+    report = total.join(counts, "domain", "left").withColumns({"added": F.coalesce("added", zero), "updated": F.coalesce("updated", zero)})
+    report = report.withColumn("unchanged", F.col("total") - F.col("added") - F.col("updated"))
+    return {"report": report.select("domain", "added", "updated", "unchanged", "total"), "changed": diffed.select("domain", "slug", "url", "status")}

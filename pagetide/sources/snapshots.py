@@ -3,18 +3,18 @@
 The reference syncs one site against the state of its previous run. These
 relations play "previous run" and "this run" for every site at once. They are
 whole-table derivations; the residues on ``page_id`` decide which snapshot a
-page is missing from. With the residues of FIXTURES.md a page whose id 35
-divides is in neither map.
+page is missing from. No page is missing from both maps.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagetide.operators.extract import keyed_pages
+from pagetide.operators.rank import positions
 from pagetide.functions.urls import batch_id_of
 from pagetide.plans.memo import shared
 from pagetide.sources.tables import read_pages
@@ -50,7 +50,8 @@ def prev_map(spark: SparkSession, sf_dir: str, spec: SnapshotSpec = SPEC) -> Dat
 
 
 def cur_map(spark: SparkSession, sf_dir: str, spec: SnapshotSpec = SPEC) -> DataFrame:
-    return site_pages(spark, sf_dir).where(F.col("seq") % spec.cur_drop_mod != 0)
+    keep = (F.col("seq") % spec.cur_drop_mod != 0) | (F.col("seq") % spec.prev_drop_mod == 0)
+    return site_pages(spark, sf_dir).where(keep)
 
 
 def cached_urls(spark: SparkSession, sf_dir: str, spec: SnapshotSpec = SPEC) -> DataFrame:
@@ -64,10 +65,8 @@ def batches(spark: SparkSession, sf_dir: str, spec: SnapshotSpec = SPEC) -> Data
     ``(domain, chunk, batch_id, urls, n_urls, status, ts)``; status failed
     where chunk % 3 == 2. Only keys travel; pages stay in their own table.
     """
-    w = Window.partitionBy("domain").orderBy("url")
-    c = cached_urls(spark, sf_dir, spec).withColumn(
-        "chunk", F.floor((F.row_number().over(w) - 1) / spec.batch_chunk).cast("int")
-    )
+    c = positions(cached_urls(spark, sf_dir, spec), ["domain"], [F.asc("url")])
+    c = c.withColumn("chunk", F.floor((F.col("pos") - 1) / spec.batch_chunk).cast("int"))
     g = c.groupBy("domain", "chunk").agg(F.array_sort(F.collect_list("url")).alias("urls"))
     return g.select(
         "domain", "chunk",
@@ -79,6 +78,17 @@ def batches(spark: SparkSession, sf_dir: str, spec: SnapshotSpec = SPEC) -> Data
     )
 
 
+def interrupted_batches(queue: DataFrame, chunk_size: int) -> DataFrame:
+    """Batches of a run over ``queue`` that was cut off: every third chunk was
+    done and every third was being polled; the rest was not submitted."""
+    c = queue.withColumn("chunk", F.floor((F.col("queue_pos") - 1) / chunk_size).cast("int"))
+    g = c.groupBy("domain", "chunk").agg(F.array_sort(F.collect_list("url")).alias("urls"))
+    turn = (F.col("chunk") + F.length("domain")) % 3
+    return g.where(turn < 2).select(
+        "domain", batch_id_of("urls").alias("batch_id"), F.when(turn == 0, "completed").otherwise("polling").alias("status")
+    )
+
+
 def prev_candidates(spark: SparkSession, sf_dir: str, spec: SnapshotSpec = SPEC) -> DataFrame:
     """Deletion candidates carried from earlier runs.
 

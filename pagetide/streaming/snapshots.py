@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from pagetide.operators import sync as S
-from pagetide.session import checkpoint_dir
+from pagetide.session import checkpoint_dir, written
 
 PRESENCE_SCHEMA = "domain string, url string, run_id int, present boolean, trusted boolean"
 MISS_OUT_SCHEMA = "domain string, url string, run_id int, consecutive_misses int, deleted boolean, late boolean"
@@ -105,7 +105,7 @@ def _miss_stream_sink(spark: SparkSession, run_map: DataFrame) -> DataFrame:
 def snapshot_stream(spark: SparkSession, store, source_dir: str, pages: DataFrame, ckpt: str, **opts):
     """ST1: every micro-batch of map snapshots ``(domain, url, seq, run_id,
     run_ts)`` runs the sync once per run id it contains, in order, at the run's
-    own time; committed run ids are skipped, so a replayed micro-batch changes
+    own time; finished run ids are skipped, so a replayed micro-batch changes
     nothing."""
     from pagetide.plans.sync_job import RunOptions, sync
 
@@ -128,23 +128,17 @@ def page_upsert_stream(spark: SparkSession, store, source_dir: str, ckpt: str):
     """ST3: rendered page documents arriving as a stream are upserted by
     ``(domain, slug)``: only a newer ``seq`` replaces, and an identical
     ``content_sha`` is a no-op, so older or replayed documents change nothing.
-    Each micro-batch that changes something commits one store version."""
+    Each micro-batch writes the buckets of the documents that it changes."""
     from pagetide.operators.assemble import PAGE_DOC_COLUMNS, last_per_slug
     from pagetide.plans.sync_job import DOC_SCHEMA
 
     def apply(batch: DataFrame, epoch: int) -> None:
         incoming = last_per_slug(batch.select(*PAGE_DOC_COLUMNS))
-        cur = store.read("docs")
-        stored = cur.select("domain", "slug", F.col("seq").alias("_seq"), F.col("content_sha").alias("_sha"))
+        keys = incoming.select("domain", "slug")
+        stored = store.docs().select("domain", "slug", F.col("seq").alias("_seq"), F.col("content_sha").alias("_sha")).join(keys, ["domain", "slug"], "left_semi")
         newer = F.col("_sha").isNull() | ((F.col("seq") > F.col("_seq")) & (F.col("content_sha") != F.col("_sha")))
         changed = incoming.join(stored, ["domain", "slug"], "left").where(newer).select(*PAGE_DOC_COLUMNS)
-        if changed.isEmpty():
-            return
-        kept = cur.join(changed.select("domain", "slug"), ["domain", "slug"], "left_anti")
-        merged = kept.unionByName(changed).checkpoint()
-        tables = {t: store.read(t) for t in ("map", "candidates", "page_cache", "batches")}
-        tables["docs"] = merged
-        store.write_version(tables)
+        store.upsert_docs(written(changed, "changed"), keys.limit(0))
 
     src = spark.readStream.schema(DOC_SCHEMA).parquet(source_dir)
     q = src.writeStream.foreachBatch(apply).option("checkpointLocation", ckpt).trigger(availableNow=True).start()

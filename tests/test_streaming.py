@@ -4,7 +4,7 @@ from conftest import SF001
 from pyspark.sql import functions as F
 
 from pagetide.operators import sync as S
-from pagetide.plans.sync_job import SyncStore
+from pagetide.plans.sync_job import CorpusStore
 from pagetide.sources import snapshots as SN
 from pagetide.sources.tables import read_pages
 from pagetide.streaming import snapshots as ST
@@ -36,33 +36,35 @@ def test_snapshot_stream_and_page_upsert(spark):
     for r in (0, 1):
         runs.where((F.col("run_id") == r) & F.col("present")).select("domain", "url", "seq", "run_id", F.lit(f"2026-03-0{r + 1} 00:00:00").alias("run_ts")) \
             .write.mode("append").parquet(src)
-    store = SyncStore(spark, ST.scratch(spark, "store"))
+    store = CorpusStore(spark, ST.scratch(spark, "store"))
     ckpt = ST.scratch(spark, "snap-ckpt")
     ST.snapshot_stream(spark, store, src, pages, ckpt)
-    assert store.current() == 2
+    assert store.runs() == [0, 1]
     assert sorted(r[0] for r in store.run_log().select("run_id").distinct().collect()) == [0, 1]
-    # replay of the same source with a fresh checkpoint commits nothing new
+    # replay of the same source with a fresh checkpoint runs nothing anew
     ST.snapshot_stream(spark, store, src, pages, ST.scratch(spark, "snap-ckpt2"))
-    assert store.current() == 2
+    assert store.runs() == [0, 1] and store.run_log().count() == len(set(map(tuple, store.run_log().select("run_id", "domain").collect())))
 
     # ST3: a stream of documents where one page changed
-    docs = store.read("docs")
+    docs = store.docs()
     one = docs.orderBy("domain", "slug").limit(1).withColumn("content", F.concat("content", F.lit(" edited"))) \
         .withColumn("content_sha", F.sha2("content", 256)).withColumn("seq", F.col("seq") + 100000)
     dsrc = ST.scratch(spark, "docs-src")
     docs.unionByName(one).write.parquet(dsrc)
+    one.write.parquet(dsrc + "-one")
+    one, n_docs = spark.read.parquet(dsrc + "-one"), docs.count()
     ST.page_upsert_stream(spark, store, dsrc, ST.scratch(spark, "docs-ckpt"))
-    assert store.current() == 3
-    after = store.read("docs")
-    assert after.count() == docs.count()
+    after = store.docs()
+    assert after.count() == n_docs
     assert after.where(F.col("content").endswith(" edited")).count() == 1
 
     # an older document never replaces a newer one
     old = one.withColumn("seq", F.lit(-1).cast("bigint")).withColumn("content_sha", F.lit("old"))
     osrc = ST.scratch(spark, "docs-old")
     old.write.parquet(osrc)
+    files = set(store.docs().inputFiles())
     ST.page_upsert_stream(spark, store, osrc, ST.scratch(spark, "docs-ckpt2"))
-    assert store.current() == 3
+    assert set(store.docs().inputFiles()) == files
 
 
 def test_late_rows_are_reported(spark):
@@ -93,9 +95,9 @@ def test_run_times_come_from_the_snapshot_rows(spark):
     pages = spark.createDataFrame(
         [(i, f"https://a.com/p{i}", f"<html><body><p>Page {i}.</p></body></html>") for i in range(3)], "page_id long, url string, html string"
     )
-    src, store = ST.scratch(spark, "many-src"), SyncStore(spark, ST.scratch(spark, "many-store"))
+    src, store = ST.scratch(spark, "many-src"), CorpusStore(spark, ST.scratch(spark, "many-store"))
     rows = [("a.com", f"https://a.com/p{i}", i, r, f"2026-03-{r + 1:02d} 00:00:00") for r in (0, 20) for i in range(3)]
     spark.createDataFrame(rows, "domain string, url string, seq long, run_id int, run_ts string").write.parquet(src)
     ST.snapshot_stream(spark, store, src, pages, ST.scratch(spark, "many-ckpt"))
     assert {(x.run_id, x.run_ts) for x in store.run_log().collect()} == {(0, "2026-03-01 00:00:00"), (20, "2026-03-21 00:00:00")}
-    assert {str(x.ts) for x in store.read("batches").select("ts").collect()} == {"2026-03-01 00:00:00"}
+    assert {str(x.ts) for x in store.batches().select("ts").collect()} == {"2026-03-01 00:00:00"}
