@@ -77,12 +77,42 @@ def window_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
     return (prefix[ends] - prefix[starts]) * down[starts]
 
 
+PIECE = 1 << 20  # bytes hashed at a time
+
+
+def _cuts(data: np.ndarray, offsets: np.ndarray) -> list[int]:
+    """Where ``data`` can be cut into pieces of about ``PIECE`` bytes: between
+    texts and at white space (a longer word stays whole)."""
+    cuts, at = [0], 0
+    while len(data) - at > PIECE:
+        ends = offsets[(offsets > at) & (offsets <= at + PIECE)]
+        spaces = np.flatnonzero(_SPACE[data[at:at + PIECE]])
+        best = max(int(ends[-1]) if len(ends) else 0, at + int(spaces[-1]) if len(spaces) else 0)
+        if best <= at:  # inside a long word
+            rest = np.flatnonzero(_SPACE[data[at + PIECE:]])
+            after = offsets[offsets > at + PIECE]
+            best = min(at + PIECE + int(rest[0]) if len(rest) else len(data), int(after[0]) if len(after) else len(data))
+        cuts.append(best)
+        at = best
+    return [*cuts, len(data)] if cuts[-1] < len(data) or len(cuts) == 1 else cuts
+
+
 def words(data: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words (runs without ASCII white space) of consecutive texts.
 
     Returns word hashes, their byte starts and ends in ``data``, and for each
     text the index of its first word (one entry more than texts).
     """
+    if len(data) > 2 * PIECE:  # bounds the memory, whatever a text's length
+        cuts = _cuts(data, offsets)
+        parts = [_words(data[a:b], np.unique(np.clip(offsets, a, b)) - a, lower) for a, b in zip(cuts, cuts[1:])]
+        hashes = np.concatenate([p[0] for p in parts])
+        starts, ends = (np.concatenate([p[k] + a for p, a in zip(parts, cuts)]) for k in (1, 2))
+        return hashes, starts, ends, np.searchsorted(starts, offsets)
+    return _words(data, offsets, lower)
+
+
+def _words(data: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     if lower:
         data = _LOWER[data]
     solid = ~_SPACE[data]

@@ -4,21 +4,29 @@ A string of ``LENGTH`` bytes holds at least one *anchor*: a position whose
 ``K``-byte fingerprint is smallest among those of some string of that length.
 Equal strings have their anchors at the same places inside, so:
 
-1. chunks send the fingerprints of their anchors, and get back those that the
-   corpus holds twice or more (``chunks``);
+1. chunks send the fingerprints of their anchors with how often they hold them,
+   and get back those that the corpus holds twice or more (``chunks``), the ones
+   held more than ``HOT`` times marked;
 2. for each returned anchor, chunks send its *context* (all bytes of the strings
    that hold it), once per distinct context and chunk, to the fingerprint's
    bucket;
 3. a bucket decides which strings start earlier elsewhere. Where all contexts of
    an anchor are equal, the first keeps everything. The others are indexed: the
-   distinct contexts are concatenated, the Burrows-Wheeler transform of the
-   suffix order is run-compressed, longest common prefixes are computed at the
-   sampled run ends only, and matching lengths are streamed along the text from
-   these samples (between run ends they fall by one per byte). Suffixes that
-   match over ``LENGTH`` bytes form a class; all but its first string go;
-4. chunks mark the bytes under the strings that go, and drop them.
-
-Contexts are compared byte by byte; fingerprints only route and preselect.
+   distinct contexts are concatenated and the Burrows-Wheeler transform of the
+   suffix order is run-compressed. Of the order only samples at the run ends are
+   kept (a run's first text position, the position before it in suffix order, and
+   their common prefix). Along the text the matching statistics are streamed from
+   these samples: between two of them the position before moves on by one per byte
+   and the matching length falls by one. Positions that match the one before over
+   ``LENGTH`` bytes are linked to it; the links make classes of equal strings, and
+   all but the first string of a class go;
+4. the strings that hold a marked anchor (a line that stands in millions of texts)
+   are sent one by one instead, the first of a chunk only, as 128-bit hash and
+   place, to the hash's bucket: only equal strings meet, one entry a chunk;
+5. chunks mark the bytes under the strings that go, and drop them.
+
+Contexts are compared byte by byte; fingerprints only route and preselect. Strings
+of step 4 are equal when their 128-bit hashes are.
 
 The order of "earlier" is doc_id (null last), then the place of the row in the
 input, then the byte position. Defined cases: null text counts as empty; empty
@@ -49,7 +57,13 @@ SEPARATOR = 0xFF  # no byte of UTF-8 text
 MASK_BYTES = (SPAN + 7) // 8
 RECORD = np.dtype([("at", "<i8"), ("mask", "u1", MASK_BYTES)])
 PIECE = 1 << 19  # bytes hashed at a time
-INDEX_BYTES = 1 << 18  # contexts indexed at a time, one anchor's at least
+INDEX_BYTES = 1 << 18  # contexts indexed at a time, one anchor's at least (HOT contexts at most)
+HOT = 1024  # occurrences up to which an anchor's contexts meet
+FINER = 4  # buckets of contexts per bucket of fingerprints
+
+COUNTED = np.dtype([("print", "<u8"), ("n", "<u4")])
+STRING = np.dtype([("h1", "<u8"), ("h2", "<u8"), ("null", "u1"), ("number", "<i8"), ("row", "<i4"), ("start", "<i4"), ("at", "<i4")])
+CODE_2 = np.random.default_rng(20260301).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 
 SENT = T.StructType().add("bucket", "integer", False).add("chunk", "long", False).add("blob", "binary", False)
 MARKS = T.StructType().add("chunk", "long", False).add("kind", "integer", False).add("packed", "binary", False)
@@ -90,13 +104,47 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return at, prints[at]
 
 
+def counted(chunk: int, batch, n: int) -> pa.RecordBatch:
+    """Packed rows of a chunk's fingerprints and how often it holds them."""
+    prints, times = np.unique(anchors(*H.column_bytes(batch.column("text")))[1], return_counts=True)
+    both = np.empty(len(prints), COUNTED)
+    both["print"], both["n"] = prints, times
+    borders = np.searchsorted(prints, (np.arange(1, n, dtype=np.float64) * (2.0**64 / n)).astype(np.uint64))
+    rows = [(i, chunk, part.tobytes()) for i, part in enumerate(np.split(both, borders)) if len(part)]
+    cols = list(zip(*rows)) or [[], [], []]
+    return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(cols, (pa.int32(), pa.int64(), pa.binary()))], names=["bucket", "chunk", "packed"])
+
+
+def _return_marked(table: pa.Table) -> pa.Table:
+    """Of each chunk's fingerprints those held twice or more; the last bit, which
+    is set in a fingerprint, is cleared where it is held more than HOT times."""
+    parts = [np.frombuffer(p, COUNTED) for p in table.column("packed").to_pylist()]
+    every = np.concatenate([p["print"] for p in parts])
+    order = np.argsort(every, kind="stable")
+    values, first = np.unique(every[order], return_index=True)
+    total = np.add.reduceat(np.concatenate([p["n"] for p in parts])[order].astype(np.int64), first)
+    del every, order
+    marked = values & ~(total > HOT).astype(np.uint64)
+    values, marked = values[total > 1], marked[total > 1]
+    chunks, packed = [], []
+    for chunk, part in zip(table.column("chunk").to_pylist(), parts):
+        mine = part["print"][C.in_sorted(part["print"], values)]
+        if len(mine):
+            chunks.append(chunk)
+            packed.append(marked[np.searchsorted(values, mine)].tobytes())
+    return pa.table({"chunk": pa.array(chunks, pa.int64()), "packed": pa.array(packed, pa.binary())})
+
+
 class Contexts:
-    """The returned anchors of a chunk: distinct contexts, first ones first."""
+    """The returned anchors of a chunk: distinct contexts, first ones first, and
+    the strings that hold a marked anchor."""
 
     def __init__(self, batch, returned: np.ndarray):
         self.data, self.offsets = H.column_bytes(batch.column("text"))
         at, prints = anchors(self.data, self.offsets)
-        keep = C.in_sorted(prints, returned)
+        hot = np.sort(returned[returned & np.uint64(1) == 0] | np.uint64(1))
+        keep = C.in_sorted(prints, np.sort(returned[returned & np.uint64(1) == 1]))
+        hot_at = np.sort(at[C.in_sorted(prints, hot)])
         at, prints = at[keep], prints[keep]
         row = np.searchsorted(self.offsets, at, side="right") - 1
         ids = batch.column("doc_id").cast(pa.int64())
@@ -116,6 +164,40 @@ class Contexts:
                 first[key] = i
                 self.first[i] = True
         self.raw = raw
+        self._strings(hot_at)
+
+    def _strings(self, hot_at: np.ndarray) -> None:
+        """``strings``: the first one of each in the chunk; ``again``: where the
+        others start."""
+        if not len(hot_at):
+            self.strings, self.again = np.zeros(0, STRING), np.zeros(0, np.int64)
+            return
+        row = np.searchsorted(self.offsets, hot_at, side="right") - 1
+        edge = np.zeros(len(self.data) + 2, np.int64)
+        low = np.maximum(hot_at - (LENGTH - K), self.offsets[row])
+        high = np.minimum(hot_at, self.offsets[row + 1] - LENGTH) + 1
+        some = high > low
+        np.add.at(edge, low[some], 1)
+        np.add.at(edge, high[some], -1)
+        starts = np.flatnonzero(np.cumsum(edge[: len(self.data)]) > 0)
+        # only the bytes of these strings are hashed
+        edge[:] = 0
+        np.add.at(edge, starts, 1)
+        np.add.at(edge, starts + LENGTH, -1)
+        covered = np.cumsum(edge[: len(self.data)]) > 0
+        held, moved = self.data[covered], (np.cumsum(covered) - 1)[starts]
+        hashes = []
+        for codes in (H.BYTE_CODE, CODE_2):
+            prefix = H.prefix_hash(codes[held])
+            hashes.append(H.mix(H.window_hash(prefix, moved, moved + LENGTH)))
+        row = np.searchsorted(self.offsets, starts, side="right") - 1
+        out = np.empty(len(starts), STRING)
+        out["h1"], out["h2"], out["null"], out["number"] = *hashes, self.null[row], self.number[row]
+        out["row"], out["start"], out["at"] = row, starts - self.offsets[row], starts
+        out = out[np.lexsort((out["start"], out["row"], out["number"], out["null"], out["h2"], out["h1"]))]
+        fresh = np.ones(len(out), bool)
+        fresh[1:] = (out["h1"][1:] != out["h1"][:-1]) | (out["h2"][1:] != out["h2"][:-1])
+        self.strings, self.again = out[fresh], out["at"][~fresh].astype(np.int64)
 
 
 def _send(chunk: int, batch, returned: np.ndarray, n: int) -> pa.RecordBatch:
@@ -139,6 +221,10 @@ def _send(chunk: int, batch, returned: np.ndarray, n: int) -> pa.RecordBatch:
                 body = b"".join(c.raw[s:e] for s, e in zip(c.start[part].tolist(), c.stop[part].tolist()))
                 blob = len(part).to_bytes(8, "little") + np.ascontiguousarray(head.T).tobytes() + body
                 rows.append((bucket, chunk, pack.compress(blob)))
+        # strings around marked anchors have buckets of their own, by their hash
+        for bucket, part in enumerate(np.split(c.strings, np.searchsorted(c.strings["h1"], borders))):
+            if len(part):
+                rows.append((n + bucket, chunk, pack.compress(part.tobytes())))
     cols = list(zip(*rows)) or [[], [], []]
     return pa.RecordBatch.from_arrays(
         [pa.array(v, t) for v, t in zip(cols, (pa.int32(), pa.int64(), pa.binary()))], names=["bucket", "chunk", "blob"]
@@ -157,7 +243,7 @@ def suffix_order(text: np.ndarray) -> tuple[np.ndarray, list[tuple[int, np.ndarr
         key = (key << np.uint64(9)) | wide[i:i + n]
     levels, depth = [], 7
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)  # what ties is told apart by a later round
         ordered = key[order]
         fresh = np.concatenate(([True], ordered[1:] != ordered[:-1]))
         rank = np.empty(n, np.int32)
@@ -195,28 +281,44 @@ def common_prefix(text: np.ndarray, a: np.ndarray, b: np.ndarray, levels) -> np.
     return length
 
 
-def match_classes(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffix order, and where a new class of suffixes starts in it; suffixes of
-    a class agree on ``length`` bytes.
-
-    The transform's runs are found in suffix order; the longest common prefix
-    with the suffix before is computed where a run starts, and streamed along
-    the text from these samples.
-    """
-    order, levels = suffix_order(text)
-    before = text[order - 1]  # the transform; the text's end wraps around
-    run = np.concatenate(([True], before[1:] != before[:-1]))
-    run[order == 0] = True
-    after_first = np.flatnonzero(order == 0) + 1
-    run[after_first[after_first < len(run)]] = True
-    sampled = np.flatnonzero(run)[1:]  # the first suffix has none before it
-    reach = np.zeros(len(text), np.int64)
-    at = order[sampled]
-    reach[at] = at + common_prefix(text, at, order[sampled - 1], levels)
-    reach[order[0]] = max(reach[order[0]], order[0])
-    matching = np.maximum.accumulate(reach) - np.arange(len(text))
-    matching[order[0]] = 0
-    return order, matching[order] < length
+class RunIndex:
+    """The run-compressed transform of a text: per run its first text position,
+    the position before it in suffix order, and their common prefix."""
+
+    def __init__(self, text: np.ndarray):
+        self.length = len(text)
+        order, levels = suffix_order(text)
+        before = text[order - 1]  # the transform; the text's end wraps around
+        run = np.concatenate(([True], before[1:] != before[:-1]))
+        run[order == 0] = True
+        after_first = np.flatnonzero(order == 0) + 1
+        run[after_first[after_first < len(run)]] = True
+        sampled = np.flatnonzero(run)[1:]  # the first suffix has none before it
+        at, ahead = order[sampled], order[sampled - 1]
+        prefix = common_prefix(text, at, ahead, levels)
+        at, ahead, prefix = np.append(at, order[0]), np.append(ahead, order[0]), np.append(prefix, 0)
+        by_text = np.argsort(at, kind="stable")
+        self.at, self.ahead, self.prefix = at[by_text], ahead[by_text], prefix[by_text]
+
+    def stream(self) -> tuple[np.ndarray, np.ndarray]:
+        """Matching statistics along the text: for each position the one before it
+        in suffix order, and how many bytes both have in common."""
+        where = np.arange(self.length)
+        sample = np.searchsorted(self.at, where, side="right") - 1
+        past = where - self.at[sample]
+        return self.ahead[sample] + past, np.maximum(self.prefix[sample] - past, 0)
+
+
+def match_classes(text: np.ndarray, length: int) -> np.ndarray:
+    """For each position one that stands for all that agree with it on ``length``
+    bytes."""
+    ahead, common = RunIndex(text).stream()
+    to = np.where(common >= length, ahead, np.arange(len(text)))
+    while True:  # follow the links, twice as far each time
+        further = to[to]
+        if (further == to).all():
+            return to
+        to = further
 
 
 def _index(several, body, end, size, start, text_rank, masks) -> None:
@@ -232,15 +334,28 @@ def _index(several, body, end, size, start, text_rank, masks) -> None:
     valid = inside + LENGTH <= size[several][owner]
     place = (text_rank[several][owner] << 40) + start[several][owner] + inside
     place[~valid] = np.iinfo(np.int64).max
-    order, fresh = match_classes(text, LENGTH)
-    heads = np.flatnonzero(fresh)
-    lowest = np.minimum.reduceat(place[order], heads)
-    low = np.empty(len(text), np.int64)
-    low[order] = np.repeat(lowest, np.diff(np.append(heads, len(text))))
-    gone = np.flatnonzero(valid & (place > low))
+    of = match_classes(text, LENGTH)
+    low = np.full(len(text), np.iinfo(np.int64).max)
+    np.minimum.at(low, of, place)
+    gone = np.flatnonzero(valid & (place > low[of]))
     masks[several[owner[gone]], inside[gone]] = True
 
 
+def _decide_strings(table: pa.Table) -> pa.Table:
+    """Which strings around marked anchors start earlier in another chunk."""
+    unpack = zstandard.ZstdDecompressor()
+    parts = [np.frombuffer(unpack.decompress(b), STRING) for b in table.column("blob").to_pylist()]
+    chunk = np.repeat(np.array(table.column("chunk").to_pylist(), np.int64), [len(p) for p in parts])
+    every = np.concatenate(parts)
+    del parts
+    order = np.lexsort((every["start"], every["row"], chunk, every["number"], every["null"], every["h2"], every["h1"]))
+    h1, h2 = every["h1"][order], every["h2"][order]
+    gone = order[1:][(h1[1:] == h1[:-1]) & (h2[1:] == h2[:-1])]
+    out_chunk = np.unique(chunk[gone])
+    out = [every["at"][gone[chunk[gone] == c]].astype(np.int64).tobytes() for c in out_chunk]
+    return pa.table({"chunk": pa.array(out_chunk, pa.int64()), "kind": pa.array([2] * len(out), pa.int32()), "packed": pa.array(out, pa.binary())})
+
+
 def _decide(table: pa.Table) -> pa.Table:
     """Which strings of a bucket's contexts start earlier elsewhere."""
     unpack = zstandard.ZstdDecompressor()
@@ -303,12 +418,12 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     chunks = C.chunked(docs)
     n = C.buckets(chunks)
 
-    def fingerprints(chunk, batch):
-        return C.packed_rows(chunk, anchors(*H.column_bytes(batch.column("text")))[1], n)
-
-    shared = C.materialize(C.shared_values(C.each_chunk(chunks, fingerprints, C.PACKED)), "anchors-shared")
-    sent = C.with_returned(chunks, shared, lambda chunk, batch, table: _send(chunk, batch, C.joined(table), n), SENT)
-    decided = sent.groupBy("bucket").applyInArrow(_decide, MARKS)
+    packed = C.each_chunk(chunks, lambda chunk, batch: counted(chunk, batch, n), C.PACKED)
+    shared = C.materialize(packed.groupBy("bucket").applyInArrow(_return_marked, C.RETURNED), "anchors-shared")
+    finer = FINER * n
+    sent = C.with_returned(chunks, shared, lambda chunk, batch, table: _send(chunk, batch, C.joined(table), finer), SENT)
+    decide = lambda table: (_decide if table.column("bucket")[0].as_py() < finer else _decide_strings)(table)
+    decided = sent.groupBy("bucket").applyInArrow(decide, MARKS)
     back = decided.union(shared.select("chunk", F.lit(0).alias("kind"), "packed"))
 
     schema = T.StructType([docs.schema["doc_id"]]).add("n_bytes", "long", False).add("n_removed", "long", False)
@@ -339,6 +454,10 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
                 s = s[s + LENGTH <= c.stop[i[which]]]
                 np.add.at(edge, s, 1)
                 np.add.at(edge, s + LENGTH, -1)
+            strings = [c.again, *[np.frombuffer(p, np.int64) for p, k in zip(packed, kind) if k == 2]]
+            strings = np.concatenate(strings)
+            np.add.at(edge, strings, 1)
+            np.add.at(edge, strings + LENGTH, -1)
             gone = np.cumsum(edge[:-1]) > 0
         before = np.concatenate(([0], np.cumsum(gone)))
         opens = gone.copy()

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -84,16 +85,50 @@ def test_pieces_of_a_long_text_give_the_same_anchors(monkeypatch):
     assert (whole[0] == parts[0]).all() and (whole[1] == parts[1]).all()
 
 
-def test_run_index_classes_match_sorting():
+def test_run_index_streams_what_sorting_gives():
     rng = np.random.default_rng(3)
-    for text in (rng.integers(0, 2, 500), np.tile(rng.integers(0, 4, 30), 20), np.zeros(64), rng.integers(0, 3, 9)):
+    for text in (rng.integers(0, 2, 500), np.tile(rng.integers(0, 4, 30), 20), np.zeros(64), rng.integers(0, 3, 9), np.array([5])):
         text = text.astype(np.uint8)
-        order, fresh = runindex.match_classes(text, 6)
-        raw = text.tobytes()
-        assert [raw[i:] for i in order] == sorted(raw[i:] for i in range(len(raw)))
-        for k in range(1, len(order)):
-            a, b = raw[order[k - 1]:][:6], raw[order[k]:][:6]
-            assert fresh[k] == (a != b or len(a) < 6)
+        raw, n = text.tobytes(), len(text)
+        order = sorted(range(n), key=lambda i: raw[i:])
+        assert runindex.suffix_order(text)[0].tolist() == order
+        ahead, common = runindex.RunIndex(text).stream()
+        for before, i in zip(order, order[1:]):
+            same = next((k for k in range(n) if raw[i + k:i + k + 1] != raw[before + k:before + k + 1] or i + k >= n), n)
+            assert (ahead[i], common[i]) == (before, same)
+        assert common[order[0]] == 0
+        of = runindex.match_classes(text, 6)
+        for i in range(n):
+            whole = len(raw[i:i + 6]) == 6
+            assert [j for j in range(n) if of[j] == of[i]] == ([j for j in range(n) if raw[j:j + 6] == raw[i:i + 6]] if whole else [i])
+
+
+def test_a_line_in_every_document_is_compared_string_by_string(spark):
+    """A line of 70 bytes in 1,500 texts, more than meet as contexts, with what
+    stands around it shared by some of them."""
+    rnd = random.Random(8)
+    word = lambda k: "".join(rnd.choice("abcdefghij ") for _ in range(k))
+    line = word(70)
+    around = [word(45) for _ in range(40)]
+    rows = [(i, word(rnd.randint(0, 60)) + rnd.choice(around) + line + rnd.choice([word(50), rnd.choice(around)]) + word(rnd.randint(0, 20)), "a") for i in range(1500)]
+    rnd.shuffle(rows)
+    got = runindex.remove_repeats(documents(spark, rows).repartition(4)).collect()
+    want = brute_bytes(sorted(rows))
+    assert ordered(got) == ordered(want)
+    assert sum(r[2] > 0 for r in want) > 1000
+
+
+def test_words_of_pieces_hash_alike(monkeypatch):
+    rnd = random.Random(4)
+    texts = random_texts(5, 40) + ["", "x" * 500, " " * 300, "a b", "y" * 90 + " z"]
+    rnd.shuffle(texts)
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    offsets = np.cumsum([0] + [len(t.encode()) for t in texts])
+    whole = hashing.words(data, offsets, lower=True)
+    for piece in (7, 64, 1000):
+        monkeypatch.setattr(hashing, "PIECE", piece)
+        for a, b in zip(whole, hashing.words(data, offsets, lower=True)):
+            assert (a == b).all()
 
 
 def test_words_hash_like_their_bytes():
