@@ -8,7 +8,8 @@ orthonormal projection never moves two points apart. So:
   principal dimensions, lexicographically, over range partitions that a hot
   cell does not widen (the class id ends the sort key);
 * each partition cuts its sequence into blocks with bounding boxes; boxes of
-  partitions, then of blocks, select the pairs that may hold links;
+  partitions that meet in a cell of the first dimensions, then of blocks, select
+  the pairs that may hold links;
 * a block pair is joined by halving both sequences, skipping halves whose boxes
   are further apart than eps, and multiplying what is left in double precision.
 
@@ -39,6 +40,8 @@ from pagetide.llm.components import components
 
 THRESHOLD = 0.98
 LEADING = 8
+GRID_DIMS = 3  # leading dimensions of the grid on which partitions meet
+CELL = 1 / 16  # least side of its cells
 SAMPLE = 4096
 BLOCK = 1024
 LEAF = 128
@@ -232,8 +235,21 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     nodes = blocks.groupBy("label", "dim", "part").agg(*each).select(
         "label", "dim", "part", F.array(*[f"l{i}" for i in range(LEADING)]).alias("lo"), F.array(*[f"h{i}" for i in range(LEADING)]).alias("hi")
     )
-    x, y = named(nodes, "x_", ("label", "dim")), named(nodes, "y_", ("label", "dim"))
-    part_pairs = x.join(y, ["label", "dim"]).filter((F.col("x_part") <= F.col("y_part")) & near("x_", "y_")).select("label", "dim", "x_part", "y_part")
+    nodes = materialize(nodes, "eps-nodes")
+
+    def gridded(df, prefix, reach):
+        """A row per grid cell of the first dimensions that a box meets; with
+        ``reach`` also for the cells around."""
+        for i in range(min(GRID_DIMS, LEADING)):
+            low, high = (F.floor(F.coalesce(F.col(f"{prefix}{b}")[i], F.lit(0.0)) / max(eps + SLACK, CELL)) for b in ("lo", "hi"))
+            df = df.withColumn(f"g{i}", F.explode(F.sequence(low - reach, high + reach)))
+        return df
+
+    # boxes within reach of each other meet in a cell: no partition is paired with all
+    keys = ["label", "dim", *[f"g{i}" for i in range(min(GRID_DIMS, LEADING))]]
+    x, y = gridded(named(nodes, "x_", ("label", "dim")), "x_", 0), gridded(named(nodes, "y_", ("label", "dim")), "y_", 1)
+    met = x.join(y, keys).filter((F.col("x_part") <= F.col("y_part")) & near("x_", "y_"))
+    part_pairs = met.select("label", "dim", "x_part", "y_part").distinct()
     boxes = blocks.select("label", "dim", "part", "bid", "lo", "hi")
     x, y = named(boxes, "x_", ("label", "dim")), named(boxes, "y_", ("label", "dim"))
     pairs = (
