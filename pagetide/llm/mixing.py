@@ -16,8 +16,9 @@ ordered by rows, and a source or size that holds most rows is still spread over
 
 Words are runs without ASCII white space. Defined cases: null and empty texts
 have size 0 and take no words; a source without words has target 0; a null
-source is a source of its own; rows that repeat are documents of their own; an
-empty table gives no rows; extra columns do not matter.
+source is a source of its own; rows that repeat are documents of their own;
+documents of one size lie in the order of a hash; a text of any length counts
+with all its words; an empty table gives no rows; extra columns do not matter.
 """
 
 from __future__ import annotations

@@ -10,8 +10,12 @@ spans always stay.
 
 Positions are code points, end exclusive. Defined cases: null text counts as
 empty; texts without candidates have no spans (the digest is that of the empty
-string); repeated rows get the same answer each; null doc_id is carried
-through; extra columns are ignored (``redact`` carries them along).
+string); spans of one kind that tie are told apart by their start, of several
+kinds by the order of kinds; repeated rows get the same answer each; null doc_id
+is carried through; texts of any length are read whole, of a candidate's
+surroundings 24 characters to either side are read, and a spelled-out address
+has a local part of 64 characters at most; an empty table gives no rows (and EM
+keeps its start values); extra columns are ignored (``redact`` carries them along).
 """
 
 from __future__ import annotations

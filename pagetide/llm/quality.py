@@ -8,8 +8,9 @@ quality is at least ``THRESHOLD``; no single rule decides.
 Words are runs without ASCII white space. Defined cases: null text counts as
 empty; empty text and text without words have zero in every feature and fail
 the base rule (fewer than 50 words); repeated rows get the same answer each;
-null doc_id is carried through; extra columns do not matter, and columns of
-the input that carry a result's name are replaced by it.
+null doc_id is carried through; texts of any length are read whole; an empty
+table gives no rows (and EM keeps its start values); extra columns do not matter,
+and columns of the input that carry a result's name are replaced by it.
 """
 
 from __future__ import annotations

@@ -16,8 +16,9 @@ Fingerprints are 64-bit hashes of the words' 64-bit hashes.
 Words are runs without ASCII white space, unchanged. Defined cases: null text
 counts as empty; a text of fewer words than a window loses nothing; empty text
 keeps the empty string; rows that repeat are documents of their own (so both
-lose their windows); null doc_id is carried through; an empty table gives no
-rows; extra columns are ignored.
+lose their windows); null doc_id is carried through; texts of any length are
+read whole, one text at a time where it is larger than a chunk; an empty table
+gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -14,7 +14,7 @@ A cut is safe where no merge of the vocabulary can cross it:
 
 Defined cases: null and empty texts have zero bytes and tokens; repeated rows
 get the same answer each; null doc_id is carried through; texts of any length
-work in bounded memory; extra columns are ignored.
+work in bounded memory; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations

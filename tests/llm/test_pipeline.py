@@ -1,3 +1,5 @@
+import numpy as np
+
 import corpus_pipeline
 from conftest import SF001
 from llm.helpers import documents, edge_rows
@@ -34,8 +36,87 @@ def test_run_equals_its_stages_one_by_one(spark):
     assert words == {d: n * one[d] for d, n in copies.items() if n}
 
 
+def prose(rnd, n):
+    """Plain sentences of ``n`` words."""
+    vocab = ("the river bank was quiet and we walked along its old stone wall until evening came over fields where people had worked since "
+             "morning with their hands while small birds sang in trees that nobody remembered planting").split()
+    words = [rnd.choice(vocab) + rnd.choice(["", "", "", "s", "ed"]) for _ in range(n)]
+    out = []
+    while words:
+        k = min(len(words), rnd.randint(8, 14))
+        out.append(" ".join(words[:k]).capitalize() + ".")
+        words = words[k:]
+    return " ".join(out)
+
+
+def test_run_equals_plain_python_on_a_small_table(spark, tmp_path):
+    """The expected documents without any operator: word counts, shingle sets by
+    union-find, base patterns by re, copies by the contract's bounds, and token
+    ids by the library."""
+    import random
+    import re
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    rnd = random.Random(17)
+    rows = []
+    for i in range(40):
+        text = prose(rnd, rnd.randint(90, 160))
+        rows.append((i * 10, text, "ab"[i % 2]))
+        if i % 4 == 0:  # a near copy: one word of the last sentence
+            rows.append((i * 10 + 1, text.rsplit(" ", 1)[0] + " changed.", "ab"[i % 2]))
+        if i % 5 == 0:
+            rows.append((i * 10 + 2, text, "b"))
+    rows += [(1000 + i, prose(rnd, 20), "a") for i in range(6)]  # too short
+    rows += [(2000 + i, prose(rnd, 80) + f" Write to person{i}@mail{i}.example.org today. " + prose(rnd, 20), "b") for i in range(6)]
+    rnd.shuffle(rows)
+    docs = documents(spark, rows)
+    docs.write.parquet(f"file:{tmp_path}/documents.parquet")
+
+    left = [(d, t, s) for d, t, s in rows if len(t.split()) >= 50]
+    sets = [{tuple(w[k:k + 5]) for w in [t.lower().split()] for k in range(len(w) - 4)} for _, t, _ in left]
+    root = list(range(len(left)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(left)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                root[find(i)] = find(j)
+    first = {}
+    for i, (d, _, _) in enumerate(left):
+        first[find(i)] = min(d, first.get(find(i), d))
+    stay = {d: (t, s) for d, t, s in left if d in set(first.values())}
+    assert 40 < len(stay) < len(left) < len(rows)
+    mark = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+    clean = {d: mark.sub("<EMAIL>", t) for d, (t, _) in stay.items()}
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    ids = {d: tokenizer.encode(t, add_special_tokens=False).ids + [2] for d, t in clean.items()}
+    pieces = corpus_pipeline.run(spark, f"file:{tmp_path}").collect()
+    size = {d: len(t.split()) for d, t in clean.items()}
+    taken = {"a": 0, "b": 0}
+    for d in {p.doc_id for p in pieces}:
+        mine = sorted((p for p in pieces if p.doc_id == d), key=lambda p: p.start)
+        assert all(np.frombuffer(p.ids, "<u4").tolist() == ids[d][p.start:p.start + p.length] for p in mine)
+        total = sum(p.length for p in mine)
+        assert total % len(ids[d]) == 0 and total // len(ids[d]) <= 2
+        taken[stay[d][1]] += total // len(ids[d]) * size[d]
+    # sources weigh 3 and 1 and share 150 % of all words, twice their own at most
+    own = {s: sum(size[d] for d in size if stay[d][1] == s) for s in "ab"}
+    budget = 1.5 * sum(own.values())
+    target = {"a": min(2 * own["a"], budget * 3 / 4)}
+    target["b"] = min(2 * own["b"], budget - target["a"])
+    for s in "ab":
+        assert abs(taken[s] - target[s]) <= 2 * max(size.values())
+
+
 def test_every_operator_is_registered():
     names = list(queries.QUERIES)
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(x.startswith(f"op{n}_") for x in names) == 1
     assert "pipeline" in names and set(queries.ORACLE_SQL) <= set(names)
