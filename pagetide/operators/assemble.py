@@ -76,6 +76,24 @@ def last_per_slug(docs: DataFrame) -> DataFrame:
     return out.where((F.col("_r") == 1) & ~F.col("_b")).select(*PAGE_DOC_COLUMNS)
 
 
+def rival_pages(keys: DataFrame) -> DataFrame:
+    """``seq`` of the pages (domain, url, seq) that may share a document with
+    another one: those whose (domain, slug) is not theirs alone, and those without
+    a site (what they declare may name any slug). No text is read."""
+    slugs = keys.select(F.coalesce("domain", F.lit("")).alias("domain"), "seq", url_slug(F.coalesce("url", F.lit(""))).alias("slug"))
+    crowded = slugs.groupBy("domain", "slug").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("domain", "slug")
+    rivals = slugs.join(crowded, ["domain", "slug"], "left_semi").unionByName(slugs.where("domain = ''"))
+    return rivals.select("seq").distinct()
+
+
+def one_per_slug(docs: DataFrame, rivals: DataFrame) -> DataFrame:
+    """``last_per_slug`` with the winners chosen before texts move: only the
+    documents of ``rivals`` (seq) are shuffled, the others are their slug's only
+    ones. ``rivals`` is a written table, so its size decides how it is joined."""
+    alone = docs.join(rivals, "seq", "left_anti").where(~F.col("_blank")).select(*PAGE_DOC_COLUMNS)
+    return alone.unionByName(last_per_slug(docs.join(rivals, "seq", "left_semi")))
+
+
 def page_docs(page: DataFrame) -> DataFrame:
     return last_per_slug(render(resolve_fields(page)))
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagetide.session import written
 from pagetide.functions import html as H
 from pagetide.functions import patterns as P
 from pagetide.functions.urls import (
@@ -175,6 +176,10 @@ def first_n_per_key(df: DataFrame, keys: list[str], order: list, n: int, buckets
     return b.withColumn("_r", F.row_number().over(w2)).where(F.col("_r") <= n).drop("_r")
 
 
+#: Terms whose document frequencies are broadcast (some 300 KB).
+HOT_TERMS = 10_000
+
+
 def keyword_summary(text_df: DataFrame, k: int = 8, min_len: int = 1, stop_words: tuple[str, ...] = ()) -> DataFrame:
     """Top-``k`` terms per page by (tf desc, df asc, term asc) + lead sentence.
 
@@ -182,7 +187,9 @@ def keyword_summary(text_df: DataFrame, k: int = 8, min_len: int = 1, stop_words
     letters/digits of at least ``min_len`` chars that are no ``stop_words``. df
     counts pages over the whole input; it is one partial-aggregated shuffle on
     ``term``. Only terms that can reach a page's top ``k`` (those of its ``k``-th
-    largest tf or more) are looked up in df.
+    largest tf or more) are looked up in df: the ``HOT_TERMS`` of largest df, which
+    are broadcast, where the rows are, the others by a join on ``term``, where none
+    of them can hold more than one in ``HOT_TERMS`` of all (page, term) pairs.
     """
     toks = text_df.select(
         "domain", "url", "seq",
@@ -191,10 +198,14 @@ def keyword_summary(text_df: DataFrame, k: int = 8, min_len: int = 1, stop_words
     if stop_words:
         toks = toks.where(~F.col("term").isin(*stop_words))
     tf = toks.groupBy("domain", "url", "seq", "term").agg(F.count(F.lit(1)).alias("tf"))
-    df_ = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    df_ = written(tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "term-df")
     by_tf = Window.partitionBy("domain", "url", "seq").orderBy(F.desc("tf"))
     able = tf.withColumn("_r", F.rank().over(by_tf)).where(F.col("_r") <= k).drop("_r")
-    scored = able.join(df_, "term")
+    able = written(able, "terms-able")
+    hot = df_.orderBy(F.desc("df"), F.asc("term")).limit(HOT_TERMS)
+    looked = able.join(F.broadcast(hot), "term", "left")
+    rare = looked.where(F.col("df").isNull()).drop("df").join(df_, "term")
+    scored = looked.where(F.col("df").isNotNull()).unionByName(rare)
     w = Window.partitionBy("domain", "url", "seq").orderBy(F.desc("tf"), F.asc("df"), F.asc("term"))
     top = scored.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k)
     kw = top.groupBy("domain", "url", "seq").agg(

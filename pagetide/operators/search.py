@@ -115,6 +115,21 @@ def top_pages(ranked: DataFrame, n: int = DEFAULT_TOP) -> DataFrame:
     return top.withColumn("rank", F.row_number().over(w).cast("int"))
 
 
+QUICK, MODERATE, FIRST_LOAD = 3, 7, 5  # pages per load band, and loaded first
+
+
+def load_bands(ranked: DataFrame) -> DataFrame:
+    """Q7: per site how many candidates a search has, the band that this makes it
+    (quick up to 3 pages, moderate up to 7, deep beyond) and how many to load
+    first."""
+    g = ranked.groupBy("domain").agg(
+        F.count(F.lit(1)).alias("n_candidates"), F.count_if(F.col("tier") == "strong").alias("n_strong")
+    )
+    n = F.col("n_candidates")
+    band = F.when(n <= QUICK, "quick").when(n <= MODERATE, "moderate").otherwise("deep")
+    return g.select("domain", "n_candidates", "n_strong", band.alias("band"), F.least(n, F.lit(FIRST_LOAD)).cast("bigint").alias("n_first"))
+
+
 def _topic_hits(docs: DataFrame, topics: Sequence[tuple[str, str]]) -> DataFrame:
     hits = F.filter(
         F.array(*[F.when(matches(F.col("content"), pat), F.lit(name)) for name, pat in topics]),
@@ -123,8 +138,24 @@ def _topic_hits(docs: DataFrame, topics: Sequence[tuple[str, str]]) -> DataFrame
     return docs.select("domain", "slug", "url", "title", "summary", "description", "body", F.explode(hits).alias("topic"))
 
 
-def search_by_topic(docs: DataFrame, topics: Sequence[tuple[str, str]]) -> DataFrame:
-    """Q8: expand each topic to its synonym pattern and search; tier per hit."""
+def search_by_topic(
+    docs: DataFrame, topics: Sequence[tuple[str, str]], expansions: DataFrame | None = None, categories: Sequence = ()
+) -> DataFrame:
+    """Q8: expand each topic to its synonym pattern and search; tier per hit.
+
+    With ``expansions`` (domain, category) a site's own categories are topics too:
+    every page is matched against all ``categories`` where it is read, and the
+    hits, keys only, stay where the site has the category. No text is shuffled.
+    """
+    found = _tiered(docs, topics)
+    if expansions is not None:
+        own = _tiered(docs, [(c.name, c.expansion) for c in categories])
+        held = expansions.select("domain", F.col("category").alias("topic"))
+        found = found.unionByName(own.join(held, ["domain", "topic"], "left_semi"))
+    return found
+
+
+def _tiered(docs: DataFrame, topics: Sequence[tuple[str, str]]) -> DataFrame:
     pats = dict(topics)
     h = _topic_hits(docs, topics)
     tier = F.coalesce(*[F.when(F.col("topic") == name, _tier(pat)) for name, pat in pats.items()])

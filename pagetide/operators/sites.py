@@ -84,7 +84,7 @@ def dry_run_preview(
 
 def _category_array(categories: Sequence[V.Category]) -> F.Column:
     rows = [
-        f"named_struct('cat_order', {i}, 'category', {T.sql_lit(c.name)}, "
+        f"named_struct('cat_order', {i}, 'category', {T.sql_lit(c.name)}, 'expansion', {T.sql_lit(c.expansion)}, "
         f"'keyword', {T.sql_lit(kw)}, 'min_hits', {c.min_hits})"
         for i, c in enumerate(categories)
         for kw in c.keywords
@@ -110,8 +110,8 @@ def site_expansions(page: DataFrame, categories: Sequence[V.Category] = V.REFERE
     hits = t.select(
         "domain",
         F.explode(F.filter(_category_array(categories), lambda k: F.col("text").contains(k["keyword"]))).alias("k"),
-    ).select("domain", "k.cat_order", "k.category", "k.keyword", "k.min_hits")
-    g = hits.groupBy("domain", "cat_order", "category", "min_hits").agg(
+    ).select("domain", "k.cat_order", "k.category", "k.expansion", "k.keyword", "k.min_hits")
+    g = hits.groupBy("domain", "cat_order", "category", "expansion", "min_hits").agg(
         F.countDistinct("keyword").alias("n_keywords")
     )
     ok = g.where(F.col("n_keywords") >= F.col("min_hits"))
@@ -119,7 +119,7 @@ def site_expansions(page: DataFrame, categories: Sequence[V.Category] = V.REFERE
     return (
         ok.withColumn("cat_rank", F.row_number().over(w).cast("int"))
         .where(F.col("cat_rank") <= V.MAX_CATEGORIES)
-        .select("domain", "category", "n_keywords", "cat_rank")
+        .select("domain", "category", "n_keywords", "cat_rank", "expansion")
     )
 
 
@@ -128,10 +128,12 @@ def site_description(
     homepages: DataFrame,
     rules: Sequence[V.DescriptionRule] = V.REFERENCE_DESCRIPTION_RULES,
     manual: Mapping[str, str] | None = None,
+    title_pages: int | None = None,
 ) -> DataFrame:
-    """Manual -> homepage fields -> title rules over the first 20 pages -> generic.
+    """Manual -> homepage fields -> title rules over the pages -> generic.
 
-    ``homepages`` is the output of ``assemble.homepage`` (domain, url, seq).
+    The rules read the titles of all pages of a site, or with ``title_pages`` of the
+    first that many in list order. ``homepages`` is the output of ``assemble.homepage`` (domain, url, seq).
     Output ``(domain, description, tier)``.
     """
     sites = page.select("domain").distinct()
@@ -150,12 +152,13 @@ def site_description(
         F.when(F.length(md) > V.HOMEPAGE_MIN_DESCRIPTION, md).alias("t2c"),
         F.when(F.length(og) > V.HOMEPAGE_MIN_DESCRIPTION, og).alias("t2d"),
     )
-    # tier 3: first 20 pages by list order, json.title before metadata.title
-    from pagetide.operators.extract import first_n_per_key
-
+    # tier 3: json.title before metadata.title
     title = F.lower(F.coalesce(T.nullif_blank(F.col("json.title")), T.nullif_blank(F.col("metadata.title")), F.lit("")))
-    first = first_n_per_key(page.select("domain", "seq", title.alias("t")), ["domain"], [F.asc("seq")],
-                            V.DESCRIPTION_TITLE_PAGES)
+    first = page.select("domain", "seq", title.alias("t"))
+    if title_pages is not None:
+        from pagetide.operators.extract import first_n_per_key
+
+        first = first_n_per_key(first, ["domain"], [F.asc("seq")], title_pages)
     rule_hits = first.groupBy("domain").agg(
         *[
             F.bool_or(F.exists(T.sql_array([T.sql_lit(x) for x in r.terms]), lambda x: F.col("t").contains(x))).alias(f"r{i}")
@@ -211,11 +214,13 @@ def batch_status(batches: DataFrame) -> DataFrame:
 
 
 def site_manifest(report: DataFrame, expansions: DataFrame, description: DataFrame) -> DataFrame:
-    """Name, description, page count and expansion categories per site."""
-    e = expansions.groupBy("domain").agg(
-        F.array_join(
-            F.transform(F.array_sort(F.collect_list(F.struct("cat_rank", "category"))), lambda s: s["category"]), "; "
-        ).alias("expansions")
+    """Name, description, page count and expansion categories per site, with
+    a line ``- **category**: `pattern``` for each that a search can use."""
+    line = lambda s: F.concat(F.lit("- **"), s["category"], F.lit("**: `"), s["expansion"], F.lit("`"))
+    ranked = F.array_sort(F.collect_list(F.struct("cat_rank", "category", "expansion")))  # MAX_CATEGORIES at most
+    e = expansions.groupBy("domain").agg(ranked.alias("c")).select(
+        "domain", F.array_join(F.transform("c", lambda s: s["category"]), "; ").alias("expansions"),
+        F.array_join(F.transform("c", line), "\n").alias("expansion_lines"),
     )
     return (
         description.join(report.select("domain", F.col("total").alias("page_count")), "domain", "left")
@@ -226,5 +231,6 @@ def site_manifest(report: DataFrame, expansions: DataFrame, description: DataFra
             "description",
             F.coalesce("page_count", F.lit(0).cast("bigint")).alias("page_count"),
             F.coalesce("expansions", F.lit("")).alias("expansions"),
+            F.coalesce("expansion_lines", F.lit("")).alias("expansion_lines"),
         )
     )

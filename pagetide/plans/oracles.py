@@ -12,6 +12,7 @@ from pagetide.operators import search as QS
 from pagetide.operators import sites as STS
 from pagetide.operators import sync as SY
 from pagetide.plans import duck as D
+from pagetide.plans import probes
 from pagetide.plans import queries as Q
 from pagetide.plans import vocab as V
 from pagetide.sources import snapshots as SN
@@ -417,7 +418,7 @@ def _category_values(categories) -> str:
     rows = []
     for i, c in enumerate(categories):
         for kw in c.keywords:
-            rows.append(f"({i}, {L(c.name)}, {L(kw)}, {c.min_hits})")
+            rows.append(f"({i}, {L(c.name)}, {L(kw)}, {c.min_hits}, {L(c.expansion)})")
     return "VALUES " + ", ".join(rows)
 
 
@@ -430,13 +431,13 @@ WHERE {D.is_homepage('url', 'domain')} GROUP BY domain""",
 )
 cte(
     "expansions",
-    f"""SELECT domain, category, n_keywords, cat_rank FROM (
+    f"""SELECT domain, category, n_keywords, cat_rank, expansion FROM (
   SELECT *, row_number() OVER (PARTITION BY domain ORDER BY cat_order)::INTEGER AS cat_rank FROM (
-    SELECT p.domain, k.cat_order, k.category, k.min_hits, count(DISTINCT k.keyword) AS n_keywords
+    SELECT p.domain, k.cat_order, k.category, k.expansion, k.min_hits, count(DISTINCT k.keyword) AS n_keywords
     FROM (SELECT domain, lower(coalesce(m_title, j_title, '') || ' ' || coalesce(j_summary, '')) AS text FROM pt) p
-    JOIN ({_category_values(V.FIXTURE_CATEGORIES)}) k(cat_order, category, keyword, min_hits)
+    JOIN ({_category_values(V.FIXTURE_CATEGORIES)}) k(cat_order, category, keyword, min_hits, expansion)
       ON contains(p.text, k.keyword)
-    GROUP BY p.domain, k.cat_order, k.category, k.min_hits)
+    GROUP BY p.domain, k.cat_order, k.category, k.expansion, k.min_hits)
   WHERE n_keywords >= min_hits)
 WHERE cat_rank <= {V.MAX_CATEGORIES}""",
     "pt",
@@ -472,9 +473,8 @@ LEFT JOIN (SELECT hp.domain,
   FROM hp JOIN pt p ON hp.domain = p.domain AND hp.seq = p.seq) h ON s.domain = h.domain
 LEFT JOIN (SELECT domain, {_t3} AS t3 FROM (
     SELECT domain, {_aggs} FROM (
-      SELECT domain, lower(coalesce(j_title, m_title, '')) AS t,
-             row_number() OVER (PARTITION BY domain ORDER BY seq) AS _r FROM pt)
-    WHERE _r <= {V.DESCRIPTION_TITLE_PAGES} GROUP BY domain)) r ON s.domain = r.domain""",
+      SELECT domain, lower(coalesce(j_title, m_title, '')) AS t FROM pt)
+    GROUP BY domain)) r ON s.domain = r.domain""",
     "pt",
     "hp",
 )
@@ -743,15 +743,36 @@ SQL["batch_status"] = build(
 )
 SQL["site_manifest"] = build(
     f"""SELECT d.domain, {D.site_name('d.domain')} AS site_name, d.description, coalesce(r.total, 0)::BIGINT AS page_count,
-  coalesce(e.expansions, '') AS expansions
+  coalesce(e.expansions, '') AS expansions, coalesce(e.expansion_lines, '') AS expansion_lines
 FROM site_description d
 LEFT JOIN sync_report r ON d.domain = r.domain
-LEFT JOIN (SELECT domain, string_agg(category, '; ' ORDER BY cat_rank) AS expansions FROM expansions GROUP BY domain) e
+LEFT JOIN (SELECT domain, string_agg(category, '; ' ORDER BY cat_rank) AS expansions,
+                  string_agg('- **' || category || '**: `' || expansion || '`', chr(10) ORDER BY cat_rank) AS expansion_lines
+           FROM expansions GROUP BY domain) e
   ON d.domain = e.domain""",
     "site_description",
     "sync_report",
     "expansions",
 )
+SQL["map_scan"] = build("SELECT domain, url, row_number() OVER (PARTITION BY domain ORDER BY seq) AS seq FROM site_pages", "site_pages")
+SQL["sync_map"] = build(
+    """SELECT domain, url, seq FROM cur_map WHERE domain IN (SELECT domain FROM health WHERE trusted)
+UNION ALL SELECT domain, url, seq FROM prev_map WHERE domain NOT IN (SELECT domain FROM health WHERE trusted)""",
+    "cur_map",
+    "prev_map",
+    "health",
+)
+SQL["sync_guard_log"] = probes.probed_sql(build(
+    f"""SELECT 0 AS run_id, '{SN.RUN_TS}' AS run_ts, m.domain,
+  CASE WHEN m.n = 0 THEN 'error_empty_map' WHEN coalesce(d.n, 0) = 0 THEN 'error_no_pages' ELSE 'ok' END AS status,
+  m.n > 0 AS trusted, CASE WHEN m.n = 0 THEN 'empty_map' ELSE 'first_run' END AS reason, m.n AS urls_discovered, m.n AS new_urls, m.n AS queued,
+  m.n AS fetched, 0::BIGINT AS deleted, coalesce(d.n, 0) AS added, 0::BIGINT AS updated, 0::BIGINT AS unchanged, coalesce(d.n, 0) AS total,
+  (1 + 5 * m.n)::BIGINT AS credits
+FROM (SELECT domain, count(DISTINCT url) AS n FROM kp WHERE domain IS NOT NULL GROUP BY domain UNION ALL SELECT 'nomap.example.com', 0) m
+LEFT JOIN (SELECT domain, count(*) AS n FROM docs GROUP BY domain) d ON d.domain = m.domain""",
+    "kp",
+    "docs",
+))
 SQL["search_any"] = build(f"SELECT domain, slug, url FROM docs WHERE {m('content', Q.SEARCH_PATTERN)}", "docs")
 SQL["search_narrow"] = build(
     f"SELECT domain, slug, url FROM docs WHERE {m('content', Q.NARROW[0])} AND {m('content', Q.NARROW[1])}", "docs"
@@ -772,9 +793,21 @@ SQL["list_titles"] = build("SELECT domain, slug, title FROM docs", "docs")
 SQL["list_slugs"] = build("SELECT domain, slug FROM docs", "docs")
 SQL["rank_tiers"] = build("SELECT * FROM ranked", "ranked")
 SQL["top_pages"] = build("SELECT * FROM top", "top")
+_own_tier = "CASE " + " ".join(f"WHEN e.category = {L(c.name)} THEN {_tier_sql(c.expansion)}" for c in V.FIXTURE_CATEGORIES) + " END"
 SQL["search_by_topic"] = build(
-    f"SELECT topic, domain, slug, url, tier FROM (SELECT *, {_topic_tier()} AS tier FROM topic_hits) WHERE tier IS NOT NULL",
+    f"""SELECT topic, domain, slug, url, tier FROM (SELECT *, {_topic_tier()} AS tier FROM topic_hits) WHERE tier IS NOT NULL
+UNION ALL
+SELECT topic, domain, slug, url, tier FROM (
+  SELECT e.category AS topic, d.domain, d.slug, d.url, {_own_tier} AS tier
+  FROM docs d JOIN expansions e ON d.domain = e.domain AND regexp_matches(lower(d.content), lower(e.expansion))) WHERE tier IS NOT NULL""",
     "topic_hits",
+    "expansions",
+)
+SQL["load_bands"] = build(
+    """SELECT domain, n_candidates, n_strong, CASE WHEN n_candidates <= 3 THEN 'quick' WHEN n_candidates <= 7 THEN 'moderate' ELSE 'deep' END AS band,
+  least(n_candidates, 5)::BIGINT AS n_first
+FROM (SELECT domain, count(*) AS n_candidates, count(*) FILTER (WHERE tier = 'strong') AS n_strong FROM ranked GROUP BY domain)""",
+    "ranked",
 )
 SQL["too_many_results"] = build(
     f"""SELECT g.topic, g.domain, coalesce(h.n, 0)::BIGINT AS n_hits,
@@ -854,5 +887,9 @@ LEFT JOIN (SELECT t.topic, d.domain, count(*) AS n FROM dp d JOIN ({_topics_valu
 )
 
 
+SQL |= {f"{name}_indexed": SQL[name] for name in ("search_any", "search_narrow", "rank_tiers")}
+SQL |= {f"{name}_probed": probes.probed_sql(SQL[name]) for name in Q.PROBED}
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)

@@ -23,7 +23,9 @@ from pagetide.operators.rank import positions
 from pagetide.plans import vocab as V
 from pagetide.sources import snapshots as SN
 from pagetide.plans.memo import scoped, shared
-from pagetide.sources.tables import read_pages
+from pagetide.session import written
+from pagetide.plans.probes import with_probes
+from pagetide.sources.tables import read_map_files, read_pages
 
 # ---- query parameters (mirrored by the oracles) ---------------------------
 SEARCH_PATTERN = "the|of"
@@ -56,14 +58,19 @@ def page_table(spark, sf):
 
 @shared
 def rendered(spark, sf):
-    """Every page rendered, hash-partitioned on the document key once; both
-    the current and the previous documents read this one exchange."""
-    return A.render(A.resolve_fields(page_table(spark, sf))).repartition("domain", "slug")
+    """Every page rendered, where it is read."""
+    return A.render(A.resolve_fields(page_table(spark, sf)))
+
+
+@shared
+def rivals(spark, sf):
+    """Pages that share a document's key with others, written once: few."""
+    return written(A.rival_pages(SN.site_pages(spark, sf)), "rivals")
 
 
 @shared
 def docs(spark, sf):
-    return A.last_per_slug(rendered(spark, sf))
+    return A.one_per_slug(rendered(spark, sf), rivals(spark, sf))
 
 
 @shared
@@ -254,14 +261,11 @@ def prev_docs(spark, sf):
     """Documents as the previous run left them: the cached pages rendered,
     every 13th one edited since (so the diff sees updates)."""
     cached = SN.cached_urls(spark, sf).select("seq")
-    d = A.last_per_slug(rendered(spark, sf).join(cached, "seq", "left_semi"))
+    d = rendered(spark, sf).join(cached, "seq", "left_semi")
     edited = F.col("seq") % SN.SPEC.edited_mod == 0
-    d = d.select(
-        *[c for c in d.columns if c not in ("body", "content", "content_sha")],
-        F.when(edited, F.concat("body", F.lit("x"))).otherwise(F.col("body")).alias("body"),
-        F.when(edited, F.concat("content", F.lit("x"))).otherwise(F.col("content")).alias("content"),
-    )
-    return d.withColumn("content_sha", F.sha2("content", 256))
+    # edited and hashed before any key moves: a diff needs no text after that
+    d = d.withColumns({c: F.when(edited, F.concat(c, F.lit("x"))).otherwise(F.col(c)) for c in ("body", "content")})
+    return A.one_per_slug(d.withColumn("content_sha", F.sha2("content", 256)), rivals(spark, sf))
 
 
 @shared
@@ -400,7 +404,65 @@ def doc_upsert_stream(spark, sf):
     return _doc_columns(page_upsert_stream(spark, store, late, scratch(spark, "ckpt")).docs())
 
 
+def map_scan(spark, sf):
+    """The page table's URLs as map files, a few lines each, read back."""
+    from pagetide.streaming.snapshots import scratch
+
+    path = scratch(spark, "maps")
+    urls = SN.site_pages(spark, sf).repartition("domain").sortWithinPartitions("domain", "seq")
+    urls.select("domain", F.concat(F.lit(" "), "url", F.lit("\n")).alias("value")).write.option("maxRecordsPerFile", 3).partitionBy("domain").text(path)
+    return read_map_files(spark, path)
+
+
+def _indexed(spark, sf):
+    """The documents with postings of their own."""
+    from pagetide.operators.postings import Postings
+    from pagetide.streaming.snapshots import scratch
+
+    found = written(docs(spark, sf), "indexed-docs")
+    return found, Postings(spark, scratch(spark, "postings")).build(found)
+
+
+def indexed(search, *patterns):
+    """A search over the candidates of its patterns' postings."""
+
+    def run(spark, sf):
+        found, index = _indexed(spark, sf)
+        return search(index.restrict(found, *patterns))
+
+    return run
+
+
+def sync_map(spark, sf):
+    """K4: the map that every site keeps after a run over the previous map and one
+    over the current map, which some sites' guards refuse."""
+    from pagetide.plans.sync_job import CorpusStore, RunOptions, sync
+    from pagetide.streaming.snapshots import scratch
+
+    store = CorpusStore(spark, scratch(spark, "store"))
+    none = read_pages(spark, sf).where(F.lit(False))
+    one = read_pages(spark, sf).where(F.col("page_id") == read_pages(spark, sf, "page_id").agg(F.min("page_id")).first()[0])
+    sync(spark, store, SN.prev_map(spark, sf), one, RunOptions(run_id=0, run_ts=SN.PREV_RUN_TS))
+    sync(spark, store, SN.cur_map(spark, sf), none, RunOptions(run_id=1, run_ts=SN.RUN_TS))
+    return store.map()
+
+
+def sync_guard_log(spark, sf):
+    """K8: the log of a first run with a site whose pages are blank and one whose
+    map is empty."""
+    from pagetide.plans.sync_job import CorpusStore, RunOptions, sync
+    from pagetide.streaming.snapshots import scratch
+
+    urls = SN.site_pages(spark, sf).where(F.col("domain").isNotNull())
+    sites = urls.select("domain").distinct().unionByName(spark.createDataFrame([("nomap.example.com",)], "domain string"))
+    store = CorpusStore(spark, scratch(spark, "store"))
+    return sync(spark, store, urls, read_pages(spark, sf), RunOptions(run_id=0, run_ts=SN.RUN_TS), sites=sites)["log"]
+
+
 QUERIES: dict[str, Query] = {
+    "map_scan": map_scan,
+    "sync_map": sync_map,
+    "sync_guard_log": with_probes(sync_guard_log),
     # the sync job
     "sync_docs": lambda s, f: _doc_columns(_synced(s, f).docs()),
     "cache_only_docs": lambda s, f: _doc_columns(_synced(s, f, cache_only=True).docs()),
@@ -452,13 +514,17 @@ QUERIES: dict[str, Query] = {
     # search
     "search_any": lambda s, f: Q.search_any(docs(s, f), SEARCH_PATTERN),
     "search_narrow": lambda s, f: Q.search_narrow(docs(s, f), *NARROW),
+    "search_any_indexed": indexed(lambda d: Q.search_any(d, SEARCH_PATTERN), SEARCH_PATTERN),
+    "search_narrow_indexed": indexed(lambda d: Q.search_narrow(d, *NARROW), *NARROW),
+    "rank_tiers_indexed": indexed(lambda d: Q.rank_tiers(d, SEARCH_PATTERN), SEARCH_PATTERN),
     "match_lines": lambda s, f: Q.match_lines(docs(s, f), LINE_PATTERN),
     "preview": lambda s, f: Q.preview(docs(s, f), PREVIEW_PATTERN),
     "list_titles": lambda s, f: Q.list_titles(docs(s, f)),
     "list_slugs": lambda s, f: Q.list_slugs(docs(s, f)),
     "rank_tiers": rank_tiers,
     "top_pages": top_pages,
-    "search_by_topic": lambda s, f: Q.search_by_topic(docs(s, f), V.FIXTURE_TOPICS),
+    "load_bands": lambda s, f: Q.load_bands(rank_tiers(s, f)),
+    "search_by_topic": lambda s, f: Q.search_by_topic(docs(s, f), V.FIXTURE_TOPICS, site_expansions(s, f), V.FIXTURE_CATEGORIES),
     "too_many_results": lambda s, f: Q.too_many_results(docs(s, f), V.FIXTURE_TOPICS),
     "citations": lambda s, f: Q.citations(top_pages(s, f)),
     "markdown_links": lambda s, f: Q.markdown_links(Q.full_page_markdown(pages(s, f)), "md", ("domain", "url", "seq")),
@@ -472,11 +538,19 @@ QUERIES: dict[str, Query] = {
     "document_topics": lambda s, f: Q.too_many_results(doc_pages(s, f), V.FIXTURE_TOPICS),
 }
 
+#: Queries that also run over the pages of ``probes``, as ``<name>_probed``.
+PROBED = (
+    "url_inventory", "url_inventory_by_domain", "discovery_scope", "asset_filter_report", "page_metadata", "main_text", "extract_markdown",
+    "page_links", "page_docs", "artifact_lines_by_domain", "parse_page_docs", "homepage", "site_expansions", "site_description",
+    "categorize_pages", "sample_per_category",
+)
+QUERIES |= {f"{name}_probed": with_probes(QUERIES[name]) for name in PROBED}
+
 # Queries that read the extracted page table from several branches: the
 # extraction (the expensive regex work) runs once and is materialized.
 MATERIALIZE = {
     name: ("page_table",)
-    for name in ("site_manifest", "site_description")
+    for name in ("site_manifest", "site_description", "site_description_probed")
 }
 MATERIALIZE["keyword_summary"] = ("text_table",)
 QUERIES = {k: scoped(v, MATERIALIZE.get(k, ())) for k, v in QUERIES.items()}

@@ -1,9 +1,10 @@
 """Structured Streaming forms of the sync (ST1-ST3).
 
-ST2 is the miss counter as keyed state (``applyInPandasWithState``): one
-state row per (domain, url), fed explicit present/absent rows per run.
-ST1 and ST3 drive the versioned sync store from ``foreachBatch``; both are
-idempotent on replay (a committed run id is skipped).
+ST2 is the miss counter as typed keyed state (``transformWithStateInPandas``):
+one value per (domain, url) in RocksDB, fed explicit present/absent rows per run,
+with an initial state and a time to live if wanted.
+ST1 and ST3 drive the sync state from ``foreachBatch``; both are idempotent on
+replay (a finished run id is skipped).
 
 Every scratch path lives under the shared checkpoint folder of the session.
 """
@@ -13,11 +14,12 @@ from __future__ import annotations
 import os
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from pagetide.operators import sync as S
 from pagetide.session import checkpoint_dir, written
@@ -31,46 +33,100 @@ def scratch(spark: SparkSession, name: str) -> str:
     return os.path.join(checkpoint_dir(spark), "streams", f"{name}-{uuid.uuid4().hex[:10]}")
 
 
-def miss_state_fn(threshold: int = S.DELETION_MISS_THRESHOLD):
-    """Per-key state machine: same rule as ``sync.miss_history``."""
-
-    def fn(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        misses, tracked, last_run = state.get if state.exists else (0, False, -1)
-        rows = pd.concat(list(batches), ignore_index=True).sort_values("run_id")
-        out = []
-        for run_id, present, trusted in zip(rows["run_id"], rows["present"], rows["trusted"]):
-            if run_id <= last_run:  # older than the state: cannot count any more
-                out.append((key[0], key[1], int(run_id), int(misses), False, True))
-                continue
-            last_run = int(run_id)
-            if present:
-                misses, tracked = 0, True
-                continue
-            if not tracked:
-                continue
-            if trusted:
-                misses += 1
-            if misses >= 1:
-                out.append((key[0], key[1], last_run, misses, misses == threshold, False))
-            if misses == threshold:
-                misses, tracked = 0, False
-        state.update((int(misses), bool(tracked), int(last_run)))
-        if out:
-            yield pd.DataFrame(out, columns=["domain", "url", "run_id", "consecutive_misses", "deleted", "late"])
-
-    return fn
-
-
-def miss_counter_stream(presence: DataFrame) -> DataFrame:
-    """ST2 over a streaming DataFrame of ``PRESENCE_SCHEMA`` rows."""
+def miss_step(rows: pd.DataFrame, state: tuple | None, threshold: int = S.DELETION_MISS_THRESHOLD) -> tuple[list[tuple], tuple]:
+    """One URL's rows of a micro-batch on its state (misses, tracked, last run):
+    ``(run_id, misses, deleted, late)`` rows and the new state. The rule is that of
+    ``sync.miss_history`` (J5)."""
+    misses, tracked, last_run = state or (0, False, -1)
+    rows = rows.sort_values("run_id")
+    out = []
+    for run_id, present, trusted in zip(rows["run_id"], rows["present"], rows["trusted"]):
+        if run_id <= last_run:  # older than the state: cannot count any more
+            out.append((int(run_id), int(misses), False, True))
+            continue
+        last_run = int(run_id)
+        if present:
+            misses, tracked = 0, True
+            continue
+        if not tracked:
+            continue
+        if trusted:
+            misses += 1
+        if misses >= 1:
+            out.append((last_run, misses, misses == threshold, False))
+        if misses == threshold:
+            misses, tracked = 0, False
+    return out, (int(misses), bool(tracked), int(last_run))
+
+
+class MissCounter(StatefulProcessor):
+    """State of one URL: a typed value, forgotten ``ttl_days`` after its last run."""
+
+    def __init__(self, threshold: int, ttl_days: int | None):
+        self.threshold, self.ttl_days = threshold, ttl_days
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        ttl = self.ttl_days * 86_400_000 if self.ttl_days else None
+        self.value = handle.getValueState("misses", MISS_STATE_SCHEMA, ttl)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        state = self.value.get() if self.value.exists() else None
+        found, state = miss_step(pd.concat(list(rows), ignore_index=True), state, self.threshold)
+        self.value.update(state)
+        yield pd.DataFrame([(key[0], key[1], *f) for f in found], columns=["domain", "url", "run_id", "consecutive_misses", "deleted", "late"])
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        first = initialState.iloc[0]
+        self.value.update((int(first["misses"]), bool(first["tracked"]), int(first["last_run"])))
+
+    def close(self) -> None:
+        pass
+
+
+def miss_counter_stream(
+    presence: DataFrame, initial: DataFrame | None = None, ttl_days: int | None = None, threshold: int = S.DELETION_MISS_THRESHOLD
+) -> DataFrame:
+    """ST2 over a streaming DataFrame of ``PRESENCE_SCHEMA`` rows. ``initial``
+    (domain, url, misses, tracked, last_run) is the state that the first
+    micro-batch starts from, one row per URL."""
     from pagetide.session import ship_package
 
     ship_package(presence.sparkSession)
-    return presence.groupBy("domain", "url").applyInPandasWithState(
-        miss_state_fn(), MISS_OUT_SCHEMA, MISS_STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout
+    return presence.groupBy("domain", "url").transformWithStateInPandas(
+        MissCounter(threshold, ttl_days), MISS_OUT_SCHEMA, "Append", "ProcessingTime" if ttl_days else "None",
+        initialState=initial.groupBy("domain", "url") if initial is not None else None,
     )
 
 
+@contextmanager
+def rocksdb_state(spark: SparkSession):
+    """Streams started inside keep their state in RocksDB, as typed state needs;
+    the session's own setting is restored."""
+    name, old = "spark.sql.streaming.stateStore.providerClass", None
+    old = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if old is None else spark.conf.set(name, old)
+
+
+def feed_miss_counter(spark: SparkSession, source: str, base: str, **options) -> None:
+    """Run ST2 over what is new in ``source`` and stop: a restart goes on from the
+    state of the checkpoint under ``base``."""
+    with rocksdb_state(spark):
+        q = (
+            miss_counter_stream(spark.readStream.schema(PRESENCE_SCHEMA).parquet(source), **options)
+            .writeStream.format("parquet")
+            .option("path", f"{base}/out")
+            .option("checkpointLocation", f"{base}/ckpt")
+            .outputMode("append")
+            .trigger(availableNow=True)
+            .start()
+        )
+        q.awaitTermination()
+
+
 def run_miss_counter_stream(spark: SparkSession, run_map: DataFrame) -> DataFrame:
     """Feed a run history through ST2 and return the emitted candidate states
     (read back from the stream's parquet sink). ``late`` rows, whose run is not
@@ -83,22 +139,15 @@ def miss_stream_late(spark: SparkSession, run_map: DataFrame) -> DataFrame:
 
 
 def _miss_stream_sink(spark: SparkSession, run_map: DataFrame) -> DataFrame:
+    """Each run is written when it happens, and the stream started anew on it: the
+    state alone carries the history."""
     base = scratch(spark, "miss")
     health = S.run_health(run_map).select("domain", "run_id", "trusted")
     presence = run_map.join(health, ["domain", "run_id"]).select("domain", "url", "run_id", "present", "trusted")
-    # the state function orders what a micro-batch holds of a URL by run
-    presence.write.parquet(f"{base}/in")
-    src = spark.readStream.schema(PRESENCE_SCHEMA).parquet(f"{base}/in")
-    q = (
-        miss_counter_stream(src)
-        .writeStream.format("parquet")
-        .option("path", f"{base}/out")
-        .option("checkpointLocation", f"{base}/ckpt")
-        .outputMode("append")
-        .trigger(availableNow=True)
-        .start()
-    )
-    q.awaitTermination()
+    runs = sorted(r["run_id"] for r in run_map.select("run_id").distinct().collect())
+    for run_id in runs:
+        presence.where(F.col("run_id") == run_id).write.mode("append").parquet(f"{base}/in")
+        feed_miss_counter(spark, f"{base}/in", base)
     return spark.read.schema(MISS_OUT_SCHEMA).parquet(f"{base}/out")
 
 

@@ -67,27 +67,38 @@ def test_snapshot_stream_and_page_upsert(spark):
     assert set(store.docs().inputFiles()) == files
 
 
-def test_late_rows_are_reported(spark):
-    """A second micro-batch with an older run: nothing is counted, the rows are kept apart."""
-    import pandas as pd
-
-    fn = ST.miss_state_fn()
-
-    class State:
-        exists, value = False, None
-
-        def update(self, v):
-            self.exists, self.value = True, v
-
-        @property
-        def get(self):
-            return self.value
-
-    state = State()
-    frame = lambda *rows: iter([pd.DataFrame(rows, columns=["run_id", "present", "trusted"])])
-    list(fn(("a.com", "u"), frame((0, True, True), (3, False, True)), state))
-    out = pd.concat(list(fn(("a.com", "u"), frame((2, False, True), (4, False, True)), state)))
-    assert out[["run_id", "consecutive_misses", "late"]].values.tolist() == [[2, 1, True], [4, 2, False]]
+def _presence(spark, source, *rows):
+    spark.createDataFrame(list(rows), ST.PRESENCE_SCHEMA).coalesce(1).write.mode("append").parquet(source)
+
+
+def _misses(spark, base):
+    rows = spark.read.schema(ST.MISS_OUT_SCHEMA).parquet(f"{base}/out").collect()
+    return sorted((r.url, r.run_id, r.consecutive_misses, r.deleted, r.late) for r in rows)
+
+
+def test_late_rows_and_restarts(spark):
+    """Each call is a stream of its own that goes on from the checkpoint."""
+    base = ST.scratch(spark, "miss-late")
+    src = f"{base}/in"
+    _presence(spark, src, ("a.com", "u", 0, True, True), ("a.com", "u", 3, False, True), ("a.com", "v", 0, True, True))
+    ST.feed_miss_counter(spark, src, base)
+    assert _misses(spark, base) == [("u", 3, 1, False, False)]
+    _presence(spark, src, ("a.com", "u", 2, False, True), ("a.com", "u", 4, False, True), ("a.com", "v", 4, False, False))
+    ST.feed_miss_counter(spark, src, base)
+    assert _misses(spark, base) == [("u", 2, 1, False, True), ("u", 3, 1, False, False), ("u", 4, 2, False, False)]
+    ST.feed_miss_counter(spark, src, base)  # nothing new, nothing twice
+    _presence(spark, src, ("a.com", "u", 5, False, True), ("a.com", "v", 5, False, True))
+    ST.feed_miss_counter(spark, src, base)
+    assert _misses(spark, base)[3:] == [("u", 5, 3, True, False), ("v", 5, 1, False, False)]
+
+
+def test_initial_state_and_time_to_live(spark):
+    base = ST.scratch(spark, "miss-init")
+    src = f"{base}/in"
+    initial = spark.createDataFrame([("a.com", "u", 2, True, 6), ("a.com", "w", 1, True, 6)], "domain string, url string, misses int, tracked boolean, last_run int")
+    _presence(spark, src, ("a.com", "u", 7, False, True), ("a.com", "new", 7, False, True), ("a.com", "w", 6, False, True))
+    ST.feed_miss_counter(spark, src, base, initial=initial, ttl_days=30)
+    assert _misses(spark, base) == [("u", 7, 3, True, False), ("w", 6, 1, False, True)]
 
 
 def test_run_times_come_from_the_snapshot_rows(spark):

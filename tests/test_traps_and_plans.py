@@ -117,3 +117,44 @@ def test_no_query_plans_cross_products(spark):
         if hits:
             bad[name] = hits
     assert not bad
+
+
+def test_content_diff_moves_no_text(spark):
+    """No exchange of the diff holds a body or a rendered text, and only pages
+    that share a slug are shuffled for the documents themselves."""
+    import re
+
+    from pagetide.plans import queries as Q
+
+    diff = Q.scoped(Q.content_diff)(spark, SF001)
+    plan = diff._jdf.queryExecution().optimizedPlan().toString()
+    keyed = diff._jdf.queryExecution().executedPlan()
+    text = keyed.toString()
+    assert "Exchange" in text
+    for stage in re.findall(r"(?:Exchange|Window|Sort) [^\n]*", text):
+        assert not re.search(r"\b(body|content|markdown|html)#", stage), stage
+    # what goes into each hash exchange: the columns of the project below it
+    lines = text.split("\n")
+    for i, line in enumerate(lines):
+        if "Exchange hashpartitioning" in line:
+            below = next(x for x in lines[i + 1:] if "Project" in x or "Scan" in x or "HashAggregate" in x)
+            names = re.search(r"\[(.*)\]", below).group(1)
+            outputs = [part.rsplit(" AS ", 1)[-1] for part in re.split(r", (?![^()]*\))", names)]
+            assert not any(re.match(r"(body|content|markdown|html)#", o.strip()) for o in outputs), below
+    assert "Join" in plan
+
+
+def test_documents_without_rivals_are_not_shuffled(spark):
+    from pagetide.operators import assemble as A
+
+    rows = [(1, "https://a.com/x", "<p>1</p>"), (2, "https://a.com/x?q", "<p>2</p>"), (3, "https://a.com/y", "<p>3</p>"), (4, "https://b.com/x", ""),
+            (5, "https://b.com/x#t", "<p>5</p>"), (6, "https://b.com/z", " "), (7, "", "<p>7</p>"), (8, None, "<p>8</p>"), (3, "https://a.com/y", "<p>3</p>")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    from pagetide.operators import extract as E
+
+    table = E.extract_pages(pages)
+    rivals = A.rival_pages(E.keyed_pages(pages.select("page_id", "url")))
+    assert {r["seq"] for r in rivals.collect()} == {1, 2, 3, 4, 5, 7, 8}
+    got = A.one_per_slug(A.render(A.resolve_fields(table)), rivals)
+    key = lambda df: sorted((r["domain"] or "", r["slug"], r["seq"], r["body"]) for r in df.collect())
+    assert key(got) == key(A.page_docs(table))
