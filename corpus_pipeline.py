@@ -4,6 +4,13 @@ Every stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame that is
 written as Parquet and read again as the next stage's ``docs``. All but the
 last return the columns of ``documents``; the last returns one row per piece of
 a packed sequence.
+
+Defined cases: null texts count as empty, and the first stage rejects them with
+all other texts under 50 words. Null doc_ids, langs and sources are carried; of
+rows that repeat doc_id and text one stays; of documents that tie the smallest
+doc_id stays (null last). Texts of any length are read whole. An empty table
+gives no piece. Extra columns are carried up to the last stage, whatever their
+names.
 """
 
 from __future__ import annotations
