@@ -121,8 +121,55 @@ def test_templated_crowd_matches_brute_force(spark):
 def test_rest_is_exact_in_blocks_and_in_small_buckets(spark, monkeypatch, small, block):
     monkeypatch.setattr(minhash, "SMALL", small)
     monkeypatch.setattr(minhash, "BLOCK", block)
-    monkeypatch.setattr(minhash, "CENTRES", ())
     rows = near_copies(21) + near_copies(22)
     rows = [(i, t, s) for i, (_, t, s) in enumerate(rows)]
     got = minhash.near_duplicates(documents(spark, rows), 4).select("doc_id", "n_shingles", "component_id", "kept")
     assert ordered(got.collect()) == ordered(brute(rows, 4))
+
+
+def pair_at_threshold(rng, n):
+    """Sorted sets of n values whose similarity is 0.8 or a little more."""
+    same = -(-8 * n // 9)  # |a and b| / |a or b| = same / (2n - same)
+    pool = np.unique(rng.integers(0, 1 << 63, 2 * n - same, dtype=np.uint64) * np.uint64(2) + np.uint64(1))
+    pool = rng.permutation(pool)
+    return np.sort(pool[:n]), np.sort(np.concatenate((pool[:same], pool[n:])))
+
+
+@pytest.mark.parametrize("n", [200, 230, 1000])
+def test_sketch_check_and_bands_lose_no_pair_at_the_threshold(n):
+    rng = np.random.default_rng(n)
+    least, banded, total = minhash.CHECKED, 0, 3000 if n < 1000 else 1000
+    for _ in range(total):
+        a, b = (minhash.sketch(s) for s in pair_at_threshold(rng, n))
+        same = a[: minhash.CHECKED].astype(np.uint8) == b[: minhash.CHECKED].astype(np.uint8)
+        least = min(least, int(same.sum()))
+        banded += bool((minhash.band_keys(a) == minhash.band_keys(b)).any())
+    assert least >= minhash.AGREE and banded == total
+
+
+def test_prefixes_of_a_templated_crowd_make_few_matches():
+    """What all pages share makes no pairs, and pairs at the threshold meet."""
+    import collections
+
+    import pyarrow as pa
+
+    rnd = random.Random(11)
+    words = lambda k: ["".join(rnd.choice("abcdefgh") for _ in range(7)) for _ in range(k)]
+    template, texts = words(303), []
+    for _ in range(700):
+        shared = words(6)
+        texts += [" ".join(template + shared + words(36)) for _ in range(2)]
+    sets = list(minhash.shingle_sets(pa.array(texts), 4))
+    tokens, counts = np.unique(np.concatenate(sets), return_counts=True)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["cid", "text"])
+    sides = {True: collections.defaultdict(list), False: collections.defaultdict(list)}
+    size = [len(s) for s in sets]
+    for found in minhash._prefixes([batch], 4, 80, 100, tokens[counts > 1], counts[counts > 1]):
+        for r in found.to_pylist():
+            own = int(minhash.size_class(size[r["cid"]]))
+            for partner in range(r["lo"] - 1, r["hi"] + 2):
+                sides[r["short"]][r["token"], *((own, partner) if r["short"] else (partner, own))].append(r["cid"])
+    met = {(a, b) for key, ones in sides[True].items() for a in ones for b in sides[False].get(key, ()) if a != b}
+    matches = sum(len(ones) * len(sides[False].get(key, ())) for key, ones in sides[True].items())
+    assert matches < 60 * len(texts)
+    assert all((2 * i, 2 * i + 1) in met or (2 * i + 1, 2 * i) in met for i in range(700))
