@@ -206,10 +206,14 @@ def pending_deletions(counter: DataFrame, show: int = 5) -> DataFrame:
 
 
 def batch_status(batches: DataFrame) -> DataFrame:
-    """A10: chunks and URLs per site and batch status, with the error class."""
-    err = F.when(F.col("status") == "failed", "batch_failed").otherwise("")
-    return batches.groupBy("domain", "status", err.alias("error")).agg(
-        F.count(F.lit(1)).alias("n_batches"), F.sum("n_urls").cast("bigint").alias("n_urls")
+    """A10, A3: batches, URLs and reported credits per site, status and kind of
+    failure: the service said so (batch_failed), it took too long (poll_timeout),
+    or a call failed and left its message (message)."""
+    error = F.col("error")
+    kind = F.when(error.isNull(), "").when(error.isin("batch_failed", "poll_timeout"), error).otherwise("message")
+    return batches.groupBy("domain", "status", kind.alias("error")).agg(
+        F.count(F.lit(1)).alias("n_batches"), F.sum("n_urls").cast("bigint").alias("n_urls"),
+        F.coalesce(F.sum("credits_used"), F.lit(0)).cast("bigint").alias("credits_used"),
     )
 
 

@@ -737,9 +737,15 @@ GROUP BY domain""",
     "counter",
 )
 SQL["batch_status"] = build(
-    """SELECT domain, status, CASE WHEN status = 'failed' THEN 'batch_failed' ELSE '' END AS error,
-  count(*) AS n_batches, sum(n_urls)::BIGINT AS n_urls FROM batches GROUP BY ALL""",
+    f"""SELECT domain, status, error, count(*) AS n_batches, sum(n_urls)::BIGINT AS n_urls, sum(credits)::BIGINT AS credits_used FROM (
+  SELECT domain, status, n_urls, CASE WHEN status <> 'failed' THEN '' WHEN length(domain) % 3 = 0 THEN 'batch_failed'
+         WHEN length(domain) % 3 = 1 THEN 'poll_timeout' ELSE 'message' END AS error, CASE WHEN status = 'completed' THEN 5 * n_urls ELSE 0 END AS credits
+  FROM batches
+  UNION ALL
+  SELECT domain, 'polling', count(*), '', 0 FROM (SELECT *, (queue_pos - 1) // {Q.QUEUE_CHUNK} AS chunk FROM queue)
+  WHERE (chunk + length(domain)) % 3 = 1 GROUP BY domain, chunk) GROUP BY ALL""",
     "batches",
+    "queue",
 )
 SQL["site_manifest"] = build(
     f"""SELECT d.domain, {D.site_name('d.domain')} AS site_name, d.description, coalesce(r.total, 0)::BIGINT AS page_count,
@@ -755,6 +761,12 @@ LEFT JOIN (SELECT domain, string_agg(category, '; ' ORDER BY cat_rank) AS expans
     "expansions",
 )
 SQL["map_scan"] = build("SELECT domain, url, row_number() OVER (PARTITION BY domain ORDER BY seq) AS seq FROM site_pages", "site_pages")
+SQL["state_cached"] = build(
+    """SELECT b.domain, b.url, b.batch_id, pt.m_title AS title, sha256(pt.markdown) AS markdown_sha
+FROM (SELECT domain, batch_id, unnest(urls) AS url FROM batches WHERE status = 'completed') b JOIN pt ON pt.domain = b.domain AND pt.url = b.url""",
+    "batches",
+    "pt",
+)
 SQL["sync_map"] = build(
     """SELECT domain, url, seq FROM cur_map WHERE domain IN (SELECT domain FROM health WHERE trusted)
 UNION ALL SELECT domain, url, seq FROM prev_map WHERE domain NOT IN (SELECT domain FROM health WHERE trusted)""",

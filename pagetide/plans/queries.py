@@ -252,10 +252,17 @@ def queue(spark, sf, max_pages=None):
 
 def pending_batches(spark, sf):
     q = queue(spark, sf)
-    known = SN.batches(spark, sf).select("domain", "batch_id", "status").unionByName(SN.interrupted_batches(q, QUEUE_CHUNK))
+    known = SN.batches(spark, sf).select("domain", "batch_id", "status").unionByName(SN.interrupted_batches(q, QUEUE_CHUNK).drop("n_urls"))
     return S.pending_batches(q, known, chunk=QUEUE_CHUNK)
 
 
+def batch_status(spark, sf):
+    """Batches of the previous run and those that a run over the queue left polling."""
+    left = SN.interrupted_batches(queue(spark, sf), QUEUE_CHUNK).where("status = 'polling'")
+    both = SN.batches(spark, sf).unionByName(left, allowMissingColumns=True)
+    return ST.batch_status(both.select("domain", "status", "error", "n_urls", "credits_used"))
+
+
 @shared
 def prev_docs(spark, sf):
     """Documents as the previous run left them: the cached pages rendered,
@@ -414,6 +421,29 @@ def map_scan(spark, sf):
     return read_map_files(spark, path)
 
 
+def state_cached(spark, sf):
+    """The batches of the previous run with their pages as state files, one
+    per site, read back; of completed batches the page of every URL."""
+    from pagetide.sources import state as SS
+    from pagetide.streaming.snapshots import scratch
+
+    path = scratch(spark, "state")
+    b = SN.batches(spark, sf)
+    page = F.struct("markdown", "metadata", "json")
+    urls = b.select("domain", "batch_id", F.explode("urls").alias("url"))
+    held = urls.join(page_table(spark, sf).select("domain", "url", page.alias("page")), ["domain", "url"])
+    held = held.groupBy("domain", "batch_id").agg(F.collect_list("page").alias("pages"))  # a batch's pages
+    record = F.struct("batch_id", "urls", "status", "pages", F.date_format("ts", S.TS_FORMAT).alias("timestamp"))
+    state = b.join(held, ["domain", "batch_id"], "left").groupBy("domain").agg(
+        F.to_json(F.struct(F.map_from_entries(F.collect_list(F.struct("batch_id", record.alias("b")))).alias("batches"))).alias("value")
+    )
+    state.write.partitionBy("domain").text(path)
+    found = SS.state_cached_pages(SS.read_state(spark, f"{path}/*/*.txt")["batch_pages"], keep="latest")
+    return found.select(
+        "domain", "url", "batch_id", F.col("page.metadata.title").alias("title"), F.sha2("page.markdown", 256).alias("markdown_sha")
+    )
+
+
 def _indexed(spark, sf):
     """The documents with postings of their own."""
     from pagetide.operators.postings import Postings
@@ -441,7 +471,9 @@ def sync_map(spark, sf):
 
     store = CorpusStore(spark, scratch(spark, "store"))
     none = read_pages(spark, sf).where(F.lit(False))
-    one = read_pages(spark, sf).where(F.col("page_id") == read_pages(spark, sf, "page_id").agg(F.min("page_id")).first()[0])
+    # the map is what counts: one page is fetched, so that not every site fails
+    first = SN.prev_map(spark, sf).agg(F.min("seq")).first()[0]
+    one = read_pages(spark, sf).where(F.col("page_id") == first)
     sync(spark, store, SN.prev_map(spark, sf), one, RunOptions(run_id=0, run_ts=SN.PREV_RUN_TS))
     sync(spark, store, SN.cur_map(spark, sf), none, RunOptions(run_id=1, run_ts=SN.RUN_TS))
     return store.map()
@@ -462,6 +494,7 @@ def sync_guard_log(spark, sf):
 QUERIES: dict[str, Query] = {
     "map_scan": map_scan,
     "sync_map": sync_map,
+    "state_cached": state_cached,
     "sync_guard_log": with_probes(sync_guard_log),
     # the sync job
     "sync_docs": lambda s, f: _doc_columns(_synced(s, f).docs()),
@@ -509,7 +542,7 @@ QUERIES: dict[str, Query] = {
     "site_description": site_description,
     "asset_filter_report": asset_filter_report,
     "pending_deletions": lambda s, f: ST.pending_deletions(counter(s, f)),
-    "batch_status": lambda s, f: ST.batch_status(SN.batches(s, f)),
+    "batch_status": batch_status,
     "site_manifest": site_manifest,
     # search
     "search_any": lambda s, f: Q.search_any(docs(s, f), SEARCH_PATTERN),

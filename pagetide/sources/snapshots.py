@@ -62,19 +62,24 @@ def cached_urls(spark: SparkSession, sf_dir: str, spec: SnapshotSpec = SPEC) ->
 def batches(spark: SparkSession, sf_dir: str, spec: SnapshotSpec = SPEC) -> DataFrame:
     """Batch records of the previous run: chunks of cached URLs per site.
 
-    ``(domain, chunk, batch_id, urls, n_urls, status, ts)``; status failed
-    where chunk % 3 == 2. Only keys travel; pages stay in their own table.
+    ``(domain, chunk, batch_id, urls, n_urls, status, ts, error, credits_used)``;
+    status failed where chunk % 3 == 2, in one of three ways per site. Only keys
+    travel; pages stay in their own table.
     """
     c = positions(cached_urls(spark, sf_dir, spec), ["domain"], [F.asc("url")])
     c = c.withColumn("chunk", F.floor((F.col("pos") - 1) / spec.batch_chunk).cast("int"))
     g = c.groupBy("domain", "chunk").agg(F.array_sort(F.collect_list("url")).alias("urls"))
+    failed, way = F.col("chunk") % spec.failed_chunk_mod == 2, F.length("domain") % 3
+    error = F.when(way == 0, "batch_failed").when(way == 1, "poll_timeout").otherwise(F.concat(F.lit("HTTP 503 for site "), "domain"))
     return g.select(
         "domain", "chunk",
         batch_id_of("urls").alias("batch_id"),
         "urls",
         F.size("urls").cast("bigint").alias("n_urls"),
-        F.when(F.col("chunk") % spec.failed_chunk_mod == 2, "failed").otherwise("completed").alias("status"),
+        F.when(failed, "failed").otherwise("completed").alias("status"),
         (F.to_timestamp(F.lit(PREV_RUN_TS)) + F.make_interval(mins=F.col("chunk"))).alias("ts"),
+        F.when(failed, error).alias("error"),
+        F.when(~failed, 5 * F.size("urls")).cast("bigint").alias("credits_used"),
     )
 
 
@@ -85,7 +90,8 @@ def interrupted_batches(queue: DataFrame, chunk_size: int) -> DataFrame:
     g = c.groupBy("domain", "chunk").agg(F.array_sort(F.collect_list("url")).alias("urls"))
     turn = (F.col("chunk") + F.length("domain")) % 3
     return g.where(turn < 2).select(
-        "domain", batch_id_of("urls").alias("batch_id"), F.when(turn == 0, "completed").otherwise("polling").alias("status")
+        "domain", batch_id_of("urls").alias("batch_id"), F.when(turn == 0, "completed").otherwise("polling").alias("status"),
+        F.size("urls").cast("bigint").alias("n_urls"),
     )
 
 

@@ -2,7 +2,7 @@
 
 Layout per site: ``<root>/<domain>/state.json`` and
 ``<root>/<domain>/batch-response.json``; the site key is taken from the
-folder name. A file that is not a JSON object (or is corrupt) counts as an
+folder name (``domain=<site>`` as Spark writes it, too). A file that is not a JSON object (or is corrupt) counts as an
 empty state, as in the reference.
 """
 
@@ -54,7 +54,7 @@ STATE = T.StructType(
 
 
 def _site_of_path() -> F.Column:
-    return F.regexp_extract(F.input_file_name(), r"([^/]+)/[^/]+$", 1)
+    return F.try_url_decode(F.regexp_extract(F.input_file_name(), r"/(?:domain=)?([^/]+)/[^/]+$", 1))
 
 
 def read_state(spark: SparkSession, pattern: str) -> dict[str, DataFrame]:

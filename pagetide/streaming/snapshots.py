@@ -98,17 +98,26 @@ def miss_counter_stream(
     )
 
 
+#: What typed state needs, and no micro-batches without data: with a time to live
+#: these would go on for ever.
+STATE_CONF = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.noDataMicroBatches.enabled": "false",
+}
+
+
 @contextmanager
 def rocksdb_state(spark: SparkSession):
-    """Streams started inside keep their state in RocksDB, as typed state needs;
-    the session's own setting is restored."""
-    name, old = "spark.sql.streaming.stateStore.providerClass", None
-    old = spark.conf.get(name, None)
-    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    """Streams started inside keep their state in RocksDB; the session's own
+    settings are restored."""
+    old = {name: spark.conf.get(name, None) for name in STATE_CONF}
+    for name, value in STATE_CONF.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.unset(name) if old is None else spark.conf.set(name, old)
+        for name, value in old.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
 def feed_miss_counter(spark: SparkSession, source: str, base: str, **options) -> None:
