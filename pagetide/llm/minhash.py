@@ -41,7 +41,7 @@ from pyspark.sql import types as T
 
 from pagetide.llm import bloom
 from pagetide.llm import hashing as H
-from pagetide.llm.common import discard, documents, materialize, python_ready, text_or_empty
+from pagetide.llm.common import discard, documents, materialize, python_ready, releasing, text_or_empty
 from pagetide.llm.components import components
 
 SHINGLE = 5
@@ -214,7 +214,7 @@ class _Work:
         src = docs.select("doc_id", F.xxhash64(text, F.octet_length(text)).alias("th"), text.alias("text"))
         schema = src.drop("text").schema.add("n_shingles", "long").add("cls", "binary")
         schema = schema.add("bands", T.ArrayType(T.LongType())).add("brief", "binary")
-        self.rows = materialize(src.mapInArrow(lambda it: _sketches(it, width), schema), "minhash-sketch")
+        self.rows = materialize(src.mapInArrow(lambda it: releasing(_sketches(it, width)), schema), "minhash-sketch")
         # equal sets have equal sizes and sketches; any text of the class will do
         grouped = self.rows.filter(F.col("cls").isNotNull()).groupBy("cls").agg(
             F.min("doc_id").alias("rep"), F.min("th").alias("th"),
@@ -301,7 +301,7 @@ class _Work:
         order = np.argsort(common)
         common, counts = common[order], top["n"].to_numpy(np.int64)[order]
         schema = "token long, cid long, pos long, short boolean, lo long, hi long"
-        found = texts.mapInArrow(lambda it: _prefixes(it, width, num, den, common, counts), schema)
+        found = texts.mapInArrow(lambda it: releasing(_prefixes(it, width, num, den, common, counts)), schema)
         sized = crowd.join(self.known.select("cid", "n"), "cid")
         step = F.floor(F.log(F.greatest("n", F.lit(50)) / F.lit(50.0)) / F.lit(float(np.log(SIZE_STEP)))) + 50
         sized = sized.withColumn("own", F.when(F.col("n") <= 50, F.col("n")).otherwise(step).cast("long"))
@@ -333,7 +333,7 @@ class _Work:
         few = texts.filter(bloom.maybe(wanted.select("th"), F.col("th")))
         width = self.width
         found = few.join(wanted, "th").groupBy("th", "cid", "cls").agg(F.first("text").alias("text"))
-        out = materialize(found.select("cid", "cls", "text").mapInArrow(lambda it: _own_class(it, width), "cid long, text string"), "minhash-texts")
+        out = materialize(found.select("cid", "cls", "text").mapInArrow(lambda it: releasing(_own_class(it, width)), "cid long, text string"), "minhash-texts")
         discard(wanted)
         return out
 
@@ -344,7 +344,7 @@ class _Work:
         right = texts.select(F.col("cid").alias("b"), F.col("text").alias("text_b"))
         joined = pairs.join(left, "a").join(right, "b").select("b", "comp_a", "comp_b", "text_a", "text_b")
         width, num, den = self.width, self.num, self.den
-        found = materialize(joined.mapInArrow(lambda it: _confirm(it, width, num, den), "comp_a long, comp_b long").distinct(), "minhash-links")
+        found = materialize(joined.mapInArrow(lambda it: releasing(_confirm(it, width, num, den)), "comp_a long, comp_b long").distinct(), "minhash-links")
         discard(texts, *self.spent)
         self.spent = []
         return found

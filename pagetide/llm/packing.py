@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from pagetide.llm.common import documents, python_ready, text_or_empty
+from pagetide.llm.common import documents, python_ready, releasing, text_or_empty
 from pagetide.llm.tokens import WORD_MODEL, WordEncoder, encoder, tokenizer_path, work_batches
 
 WINDOW = 4096
@@ -31,6 +31,7 @@ END_ID = 2
 #: Bounds what a task holds: at most this many open windows of ids.
 MAX_OPEN = 4096
 ROWS_OUT = 20_000
+BYTES_OUT = 8 << 20  # of ids, where they are given out
 
 
 class Packer:
@@ -128,18 +129,21 @@ def _pack_batches(batches, path, model, window, end_id, with_ids, schema):
     end = np.array([end_id], "<u4").tobytes()
     base = TaskContext.get().partitionId() << 33
     out: list[tuple] = []
-    made = 0
+    made = held = 0
 
     def emit(pieces):
-        nonlocal made
+        nonlocal made, held
         at = 0
         for (doc_id, total), start, ids in pieces:
             n = len(ids) // 4
             out.append((doc_id, start, n, zlib.crc32(ids), total, base + made, at, *([ids] if with_ids else [])))
             at += n
         made += 1
+        held += 4 * at if with_ids else 0
 
     def flush():
+        nonlocal held
+        held = 0
         cols = list(zip(*out)) or [[] for _ in schema]
         out.clear()
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
@@ -161,7 +165,7 @@ def _pack_batches(batches, path, model, window, end_id, with_ids, schema):
                     close(current)
                     current = i
                 parts.append(encoded)
-            if len(out) >= ROWS_OUT:
+            if len(out) >= ROWS_OUT or held >= BYTES_OUT:
                 yield flush()
         if len(texts):
             close(current)
@@ -183,7 +187,7 @@ def pack(
     from pyspark.sql.pandas.types import to_arrow_schema
 
     arrow = to_arrow_schema(schema)
-    return src.mapInArrow(lambda batches: _pack_batches(batches, path, model, window, end_id, with_ids, arrow), schema)
+    return src.mapInArrow(lambda batches: releasing(_pack_batches(batches, path, model, window, end_id, with_ids, arrow)), schema)
 
 
 def op10_packing(spark, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ from pagetide.llm.common import documents, python_ready, text_or_empty
 
 BATCH_BYTES = 1 << 20
 #: Units kept per Python worker and generation.
-CACHE_UNITS = 500_000
+CACHE_UNITS = 150_000
 LIMIT = 4096
 
 PIECE_MODEL = "piece_bpe_32k.model"
