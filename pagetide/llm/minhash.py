@@ -389,9 +389,11 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, num: int = THRESHOLD_
     of_class = materialize(named.join(smallest, "comp").select("cls", "comp", "component_id"), "minhash-of-class")
     out = w.rows.select("doc_id", "th", "n_shingles", "cls").join(of_class, "cls", "left")
     component = F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "th", "n_shingles", F.col("comp").alias("group"), component.alias("component_id")).withColumn(
+    found = out.select("doc_id", "th", "n_shingles", F.col("comp").alias("group"), component.alias("component_id")).withColumn(
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))
     )
+    found._tables = [w.rows, of_class]  # what it reads, for a caller that writes it
+    return found
 
 
 def dedup(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
@@ -401,6 +403,7 @@ def dedup(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     every = near_duplicates(docs.select("doc_id", "text"), width)
     key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th").alias("key")
     rows = materialize(every.select("group", key), "minhash-rows")
+    discard(*every._tables)
     again = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
     found = rows.filter("group is not null")
     first = materialize(found.groupBy("group").agg(F.min("key").alias("first")), "minhash-firsts")
