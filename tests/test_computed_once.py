@@ -79,3 +79,16 @@ def test_keywords_of_repeated_pages(spark):
     assert sorted(map(str, ((r["url"], r["keywords"], r["keyword_tf"]) for r in df.collect()))) == sorted(map(str, [
         ("u", "bb aa", 5), ("u", "bb aa", 5), ("v", "", 0), ("w", "", 0), ("x", "cc aa", 2),
     ]))
+
+
+def test_a_page_is_rendered_by_one_branch(spark, tmp_path):
+    """Pages that share a slug and those that do not are told apart below the rendering."""
+    rows = [(i, f"https://a.example.com/{u}", f"<p>the body of {i}</p>") for i, u in ((1, "x"), (2, "x"), (3, "y"), (3, "z"), (4, "v"))]
+    rows += [(None, "https://a.example.com/w", "<p>the body of none</p>"), (5, None, "<p>the body of 5</p>"), (6, "https://a.example.com/y", None)]
+    spark.createDataFrame(rows, "page_id bigint, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    docs = PQ.QUERIES["page_docs"](spark, str(tmp_path))
+    plan = docs._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    joins = {kind: [i for i, line in enumerate(plan) if f"Join {kind}" in line] for kind in ("LeftAnti", "LeftSemi")}
+    passes = [i for i, line in enumerate(plan) if "<!--.*?" in line]
+    assert len(passes) == 2 and all(any(p < j for j in found) for p, found in zip(passes, joins.values()))
+    assert sorted((r["slug"], r["seq"] or 0) for r in docs.collect()) == [("index", 5), ("v", 4), ("w", 0), ("x", 2), ("y", 3), ("z", 3)]
