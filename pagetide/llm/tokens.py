@@ -19,6 +19,7 @@ work in bounded memory; an empty table gives no rows; extra columns are ignored.
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 from collections.abc import Iterable, Iterator
@@ -118,16 +119,26 @@ class PieceCounter:
         return [sum(map(get, self.units(t))) if t else 0 for t in texts]
 
 
+#: The splitting pattern and the normalizers of the word model: pre-tokens below
+#: U+0100 are told apart here as the library does (there NFC changes nothing).
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+_LETTERS, _NUMBERS, _SPACES = "a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u00ff", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be", "\t-\r \x85\xa0"
+
+
 class WordEncoder:
-    """Ids of a ``tokenizers`` model that drops white space, word by word, as
-    little-endian unsigned 32-bit bytes.
+    """Ids of a ``tokenizers`` model that drops white space, as little-endian
+    unsigned 32-bit bytes, unit by unit.
 
-    A word of plain Latin letters is one pre-token, so its lower-case form goes
-    to the library's BPE model directly; a full stop or comma after it is a
-    pre-token of its own. All other words take the whole pipeline.
+    Units of a text in Latin-1 are its lower-case pre-tokens, of which runs of
+    letters go to the library's BPE model directly. Other texts, and those that
+    may hold a special string, are cut into words: those in Latin-1 are put
+    together from pre-tokens, all others take the whole pipeline.
     """
 
     LATIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+").fullmatch
+    PRE_TOKENS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^{_SPACES}{_LETTERS}{_NUMBERS}]+").findall
+    WIDE = re.compile("[^\x00-\xff]").search
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -141,27 +152,37 @@ class WordEncoder:
         plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
         others = [b for b in range(256) if b not in plain]
         self.alphabet = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
-        self.marks = {m: self.whole(m) for m in ".,"}
+        made = json.loads(self.model.to_str())
+        cut, *_ = made["pre_tokenizer"].get("pretokenizers") or [{}]
+        lowered = [n["type"] for n in (made["normalizer"] or {}).get("normalizers", ())]
+        self.known = cut.get("pattern") == {"Regex": SPLIT} and lowered == NORMALIZERS
+        self.special = [t.content for t in self.model.get_added_tokens_decoder().values()]
         self.cache = UnitCache(self.word)
 
+    def plain(self, text: str) -> bool:
+        """Whether ``text`` can be cut into pre-tokens here."""
+        return self.known and (text.isascii() or not self.WIDE(text)) and not any(s in text for s in self.special)
+
     def whole(self, word: str) -> bytes:
         return pack_ids(self.model.encode(word, add_special_tokens=False).ids)
 
     def word(self, word: str) -> bytes:
-        if not word:
-            return b""
-        low = word.lower()
-        if self.LATIN(low) and len(low) == len(word):
-            if low != word:
-                return self.cache[low]
+        if self.LATIN(word) and self.known:
             return pack_ids([t.id for t in self.bpe.tokenize(word.encode().decode("latin-1").translate(self.alphabet))])
-        if word[-1] in self.marks and self.LATIN(low[:-1]):
-            return self.cache[low[:-1]] + self.marks[word[-1]]
+        if self.plain(word):
+            units = self.PRE_TOKENS(word.lower())
+            if units != [word]:
+                return b"".join(map(self.cache.__getitem__, units))
         return self.whole(word)
 
+    def units(self, text: str) -> list[str]:
+        if self.plain(text):
+            return self.PRE_TOKENS(text.lower())
+        return text.replace("\n", " ").split(" ")
+
     def encode(self, texts: list[str]) -> list[bytes]:
         get = self.cache.__getitem__
-        return [b"".join(map(get, t.replace("\n", " ").split(" "))) for t in texts]
+        return [b"".join(map(get, self.units(t))) for t in texts]
 
     def pieces(self, text: str, size: int = BATCH_BYTES) -> Iterator[str]:
         at = 0
