@@ -92,3 +92,22 @@ def test_a_page_is_rendered_by_one_branch(spark, tmp_path):
     passes = [i for i, line in enumerate(plan) if "<!--.*?" in line]
     assert len(passes) == 2 and all(any(p < j for j in found) for p, found in zip(passes, joins.values()))
     assert sorted((r["slug"], r["seq"] or 0) for r in docs.collect()) == [("index", 5), ("v", 4), ("w", 0), ("x", 2), ("y", 3), ("z", 3)]
+
+
+def test_pages_of_one_row_group_are_dealt_to_all_tasks(spark, tmp_path):
+    """One file of one row group is read by one task, but not rendered by one; null and repeated keys are dealt too."""
+    rows = [(None if i % 4 == 0 else i % 50, f"https://a.example.com/{i}", f"<p>the body of {i}</p>") for i in range(200)]
+    spark.createDataFrame(rows, "page_id bigint, url string, html string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    for name in ("page_docs", "search_any"):
+        docs = PQ.QUERIES[name](spark, str(tmp_path))
+        places = [r["n"] for r in docs.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()]
+        assert sum(places) == 200 and len(places) >= spark.sparkContext.defaultParallelism and max(places) < 60
+    found = PQ.QUERIES["artifact_lines_by_domain"](spark, str(tmp_path))
+    assert "_row" in found._jdf.queryExecution().optimizedPlan().toString() and found.first()["n_pages"] == 200
+
+
+def test_long_texts_are_stripped_as_short_ones(spark):
+    edges = ["", *P.WS_LATIN, *P.WS_WIDE]
+    texts = [None, "", *(f"{e}a b{e}" for e in edges), *(f"{e}é" for e in edges), *(f"x{e}" for e in edges), P.WS_LATIN + P.WS_WIDE, "​a"]
+    rows = spark.createDataFrame([(t,) for t in texts], "s string").select(py_strip("s").alias("p"), T.strip_text("s").alias("t")).collect()
+    assert all(r["p"] == r["t"] for r in rows)
